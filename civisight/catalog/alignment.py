@@ -29,7 +29,7 @@ VOTES_SQL = f"""joined AS (
   row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_extendedprice) AS rn
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
 votes AS (SELECT *, value = advice AS pro, {PERIOD_SQL.format(d='d')} AS period, strftime(d, '%Y-%m') AS m, year(d) AS y FROM joined WHERE rn = 1)"""
-SUMS_SQL = "CAST(count(*) FILTER (pro) AS BIGINT) AS pro, CAST(count(*) FILTER (NOT pro) AS BIGINT) AS "anti", count(*) AS total"
+SUMS_SQL = 'count(*) FILTER (pro) AS pro, count(*) FILTER (NOT pro) AS "anti", count(*) AS total'
 PCT_SQL = "count(*) FILTER (pro) / CAST(count(*) AS DOUBLE) * 100 AS pct"
 
 

@@ -35,4 +35,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from civisight.catalog import alignment  # noqa: F401
+    from civisight.catalog import alignment, budget, cards, requests  # noqa: F401
