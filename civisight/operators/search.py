@@ -42,6 +42,7 @@ def search_registry(
     df: DataFrame, queries: Sequence[str], limit: int, prefix: str = "prefix", operator: str = "operator", document: str = "document",
     owners_text: str = "owners", models: Sequence[str] = ("model", "manufacturer", "icao_type"),
     more: Sequence[str] = (), more_compact: Sequence[str] = (), cancelled: str = "cancel_date",
+    tie: str | None = None,
 ) -> DataFrame:
     """Best records per query by weighted hits over several fields.
 
@@ -83,7 +84,7 @@ def search_registry(
     active = F.col(cancelled).isNull()
     scored = scored.withColumn("_hit", base + tokens).filter((F.col("_hit") > 0) & F.forall("_ts", lambda s: s > 0))
     scored = scored.select(F.col("_q.query").alias("query"), (F.col("_hit") + F.when(active, 6).otherwise(0)).alias("score"), active.alias("is_active"), *df.columns)
-    return top_per_group(scored, ["query"], [F.col("score").desc(), F.col("is_active").desc(), F.col(prefix)], limit, rank="position")
+    return top_per_group(scored, ["query"], [F.col("score").desc(), F.col("is_active").desc(), F.col(tie or prefix)], limit, rank="position")
 
 
 def search_sanctions(df: DataFrame, queries: Sequence[str], name: str, document: str, active: str, fields: Sequence[str], key: str, limit: int = 60) -> DataFrame:
