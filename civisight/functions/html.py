@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import html
 import json
+from collections.abc import Sequence
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -80,13 +82,17 @@ def without_code(c: ColumnOrName) -> Column:
     return F.regexp_replace(out, r"(?is)<(script|style|noscript|svg)\b[^>]*>.*?</\1\s*>", "")
 
 
+# the functions below expect HTML that went through ``without_code`` once
+
 def page_text(c: ColumnOrName) -> Column:
     """Whole visible text with collapsed spaces (entities still encoded)."""
-    return clean_text(F.regexp_replace(without_code(c), r"(?s)<[^>]*>", " "))
+    return clean_text(F.regexp_replace(as_col(c), r"(?s)<[^>]*>", " "))
 
 
-def first_tag_text(c: ColumnOrName, tag: str) -> Column:
-    inner = F.regexp_extract(without_code(c), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
+def first_tag_text(c: ColumnOrName, tag: str, css_class: str | None = None) -> Column:
+    """Text of the first element of a tag, optionally only of one with a class."""
+    mark = rf"[^>]*class\s*=\s*[\"'][^\"']*\b{css_class}\b[^>]*" if css_class else r"\b[^>]*"
+    inner = F.regexp_extract(as_col(c), rf"(?is)<{tag}{mark}>(.*?)</{tag}\s*>", 1)
     return clean_text(F.regexp_replace(inner, r"(?s)<[^>]*>", " "))
 
 
@@ -96,7 +102,7 @@ def attribute(tag: ColumnOrName, name: str) -> Column:
 
 
 def tags(c: ColumnOrName, tag: str) -> Column:
-    return F.regexp_extract_all(without_code(c), F.lit(rf"(?is)<{tag}\b[^>]*>"), F.lit(0))
+    return F.regexp_extract_all(as_col(c), F.lit(rf"(?is)<{tag}\b[^>]*>"), F.lit(0))
 
 
 def attr_values(tag_array: Column, where: tuple[str, str] | None, attr: str) -> Column:
@@ -111,7 +117,7 @@ def first_attr(tag_array: Column, rules: list[tuple[tuple[str, str] | None, str]
 
 def links(c: ColumnOrName) -> Column:
     """Array of struct(href, text) of all anchors, in page order."""
-    anchors = F.regexp_extract_all(without_code(c), F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), F.lit(0))
+    anchors = F.regexp_extract_all(as_col(c), F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), F.lit(0))
     return F.filter(
         F.transform(anchors, lambda a: F.struct(
             F.trim(attribute(F.regexp_extract(a, r"(?is)^<a\b[^>]*>", 0), "href")).alias("href"),
@@ -121,6 +127,81 @@ def links(c: ColumnOrName) -> Column:
     )
 
 
+_BLOCKS = {"p", "li", "blockquote", "h2", "h3"}
+_SKIPPED = {"script", "style", "noscript", "iframe", "form", "button", "header", "footer", "nav", "aside", "figure", "figcaption"}
+_VOID = {"br", "img", "hr", "input", "meta", "link", "source", "wbr"}
+
+
+class _Body(HTMLParser):
+    """Text blocks inside the first element that matches an id or a tag name."""
+
+    def __init__(self, want_id: str | None, want_tag: str | None):
+        super().__init__(convert_charrefs=True)
+        self.want_id, self.want_tag = want_id, want_tag
+        self.open: list[str] = []       # elements inside the container, the container first
+        self.skip = 0                   # depth of skipped elements
+        self.done = False
+        self.blocks: list[list[str]] = []
+        self.active: list[tuple[int, list[str]]] = []
+        self.everything: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        if self.done or tag in _VOID:
+            return
+        if not self.open:
+            hit = dict(attrs).get("id") == self.want_id if self.want_id else tag == self.want_tag
+            if hit:
+                self.open.append(tag)
+            return
+        self.open.append(tag)
+        if tag in _SKIPPED:
+            self.skip += 1
+        elif tag in _BLOCKS and not self.skip:
+            self.blocks.append([])
+            self.active.append((len(self.open), self.blocks[-1]))
+
+    def handle_endtag(self, tag):
+        if self.done or tag not in self.open:
+            return
+        while self.open:
+            last = self.open.pop()
+            if last in _SKIPPED:
+                self.skip = max(0, self.skip - 1)
+            while self.active and self.active[-1][0] > len(self.open):
+                self.active.pop()
+            if last == tag:
+                break
+        self.done = not self.open
+
+    def handle_data(self, data):
+        if self.open and not self.done and not self.skip:
+            self.everything.append(data)
+            for _, block in self.active:
+                block.append(data)
+
+
+def _lines(page: str, containers: Sequence[tuple[str | None, str | None]], min_chars: int) -> list[str]:
+    for want_id, want_tag in containers:
+        body = _Body(want_id, want_tag)
+        body.feed(page)
+        lines = [line for line in (" ".join(" ".join(b).split()) for b in body.blocks) if line]
+        if not lines:
+            lines = [line for line in [" ".join(" ".join(body.everything).split())] if line]
+        if sum(map(len, lines)) >= min_chars:
+            return lines
+    return []
+
+
+# Containers of the body, in order of preference.
+BODY_CONTAINERS = (("parent-fieldname-text", None), ("content-core", None), (None, "article"), (None, "main"))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def body_lines(pages: pd.Series) -> pd.Series:
+    """Paragraphs, list items, quotes and sub-headings of the main container of a page."""
+    return pages.map(lambda page: _lines(page or "", BODY_CONTAINERS, 160))
+
+
 def repair_json(c: ColumnOrName, schema: str) -> Column:
     """struct(value, ok): the whole reply as JSON, else its outermost ``{...}``."""
     text = F.trim(as_col(c))

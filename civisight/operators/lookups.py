@@ -190,10 +190,10 @@ def merge_candidates(rows: DataFrame, key: str, order: str, first_fields: Sequen
 
 def extract_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(page url, resolved link, text), one row per page and link, first text kept."""
-    from civisight.functions.html import links
+    from civisight.functions.html import links, without_code
     from civisight.functions.urls import absolute_url
 
-    rows = pages.select(F.col(url).alias("page_url"), F.posexplode(links(html)).alias("pos", "link"))
+    rows = pages.select(F.col(url).alias("page_url"), F.posexplode(links(without_code(html))).alias("pos", "link"))
     rows = rows.select("page_url", "pos", absolute_url("page_url", "link.href").alias("href"), F.col("link.text").alias("text"))
     return rows.groupBy("page_url", "href").agg(F.min("pos").alias("pos"), F.min_by("text", "pos").alias("text"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from civisight import rules
 from civisight.functions.arrays import content_hash
 from civisight.functions.dates import parse_timestamp
-from civisight.functions.html import links, repair_json
+from civisight.functions.html import links, repair_json, without_code
 from civisight.functions.money import optional_int, parse_money
 from civisight.functions.text import clean_text, format_id, strip_tags
 from civisight.functions.urls import absolute_url, op_meta
@@ -73,7 +73,7 @@ def questionnaire_status(observed: DataFrame) -> DataFrame:
 
 def report_list(pages: DataFrame, states: Sequence[str] = rules.STATES) -> DataFrame:
     """Reports linked from landed pages (``url``, ``html``): one row per link, first title kept."""
-    rows = pages.select(F.col("url").alias("origin"), F.posexplode(links("html")).alias("pos", "link"))
+    rows = pages.select(F.col("url").alias("origin"), F.posexplode(links(without_code("html"))).alias("pos", "link"))
     rows = rows.select(
         absolute_url("origin", "link.href").alias("url"), strip_tags("link.text").alias("title"), "origin", F.struct("origin", "pos").alias("row_no"))
     first = windows.dedupe_first(rows.filter(F.lower("url").rlike(r"\.pdf($|[?#])|@@download|/view$")), ["url"], "row_no")
