@@ -53,6 +53,12 @@ def aligned(t: Tables) -> DataFrame:
     return plan.aligned_votes(votes(t), events(t), advice(t), PERIODS, PROCEDURAL)
 
 
+def redated(rows: DataFrame, year: int) -> DataFrame:
+    """Move the rows of one year a year back."""
+    moved = F.when(F.col("year") == year, F.add_months("date", -12)).otherwise(F.col("date"))
+    return rows.withColumn("date", moved).withColumn("month", F.to_date(F.trunc("date", "month")))
+
+
 def month_text(df: DataFrame, column: str = "month") -> DataFrame:
     return df.withColumn(column, F.date_format(column, "yyyy-MM"))
 
@@ -101,25 +107,23 @@ def alignment_person_cube(t: Tables) -> DataFrame:
 
 
 @query("alignment_monthly_filled", f"""WITH {VOTES_SQL},
-kept AS (SELECT * FROM votes WHERE kind = 'procedural' AND y <> 1999),
+kept AS (SELECT * EXCLUDE (d, m), CASE WHEN y = 1999 THEN CAST(d - INTERVAL '12 months' AS DATE) ELSE d END AS d, strftime(CASE WHEN y = 1999 THEN d - INTERVAL '12 months' ELSE d END, '%Y-%m') AS m FROM votes),
 spine AS (SELECT unnest(generate_series((SELECT date_trunc('month', min(d)) FROM kept), (SELECT date_trunc('month', max(d)) FROM kept), INTERVAL '1 month')) AS s),
 months AS (SELECT m, count(*) FILTER (pro) AS pro, count(*) FILTER (NOT pro) AS "anti", count(*) AS total, count(DISTINCT event_id) AS events FROM kept GROUP BY m)
 SELECT strftime(s, '%Y-%m') AS month, coalesce(pro, 0)::BIGINT AS pro, coalesce("anti", 0)::BIGINT AS "anti", coalesce(total, 0)::BIGINT AS total,
  coalesce(events, 0)::BIGINT AS events, (m IS NOT NULL) AS has_rows, pro / CAST(total AS DOUBLE) * 100 AS pct, {PERIOD_SQL.format(d='s')} AS period
 FROM spine LEFT JOIN months ON strftime(s, '%Y-%m') = m""")
 def alignment_monthly_filled(t: Tables) -> DataFrame:
-    """Monthly series with a gap of a year in the data, filled."""
-    kept = aligned(t).filter("kind = 'procedural' and year <> 1999")
-    return month_text(plan.monthly_filled(plan.event_tallies(kept), PERIODS))
+    """Monthly series, filled. The roll calls of 1999 are dated a year earlier, which leaves a gap."""
+    return month_text(plan.monthly_filled(plan.event_tallies(redated(aligned(t), 1999)), PERIODS))
 
 
 @query("alignment_missing_months", f"""WITH {VOTES_SQL},
-months AS (SELECT DISTINCT date_trunc('month', d) AS s FROM votes WHERE kind = 'procedural' AND y NOT IN (1997, 1999))
+months AS (SELECT DISTINCT date_trunc('month', CASE WHEN y = 1997 THEN d - INTERVAL '12 months' ELSE d END) AS s FROM votes)
 SELECT strftime(s, '%Y-%m') AS month, coalesce(date_diff('month', lag(s) OVER (ORDER BY s), s) - 1, 0)::BIGINT AS missing_before FROM months""")
 def alignment_missing_months(t: Tables) -> DataFrame:
     """Gaps between consecutive months with votes."""
-    kept = aligned(t).filter("kind = 'procedural' and year not in (1997, 1999)")
-    return month_text(missing_months(kept.select("month").distinct(), "month"))
+    return month_text(missing_months(redated(aligned(t), 1997).select("month").distinct(), "month"))
 
 
 @query("group_ranking_top", f"""WITH {VOTES_SQL}

@@ -52,19 +52,20 @@ def spend_by_unit(t: Tables) -> DataFrame:
     return shown(plan.spend_by(transactions(t), "month", "unit"), "total", "cash", "purchase")
 
 
-RATE_SQL = f"""{TX_SQL}, rates AS (SELECT m, round(avg(l_discount::DECIMAL(10,2))::DOUBLE * 10, 4) AS rate FROM tx WHERE month(m) <> 5 GROUP BY m),
+RATE_SQL = f"""{TX_SQL}, rates AS (SELECT CASE WHEN month(m) = 5 THEN CAST(m + INTERVAL '1 month' AS DATE) ELSE m END AS m, round(sum(l_discount::DECIMAL(10,2))::DOUBLE / count(*) * 10, 4) AS rate FROM tx GROUP BY ALL),
 spine AS (SELECT months.m, coalesce(rate, 0) AS rate FROM months LEFT JOIN rates USING (m)),
 fac AS (SELECT m, round(coalesce(product(1 + rate / 100) OVER (ORDER BY m ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1), 6) AS factor FROM spine)"""
 
 
 def _rates(t: Tables) -> DataFrame:
     mean = F.sum(F.col("discount").cast("decimal(10,2)")).cast("double") / F.count("*")
-    return transactions(t).filter(F.month("month") != 5).groupBy("month").agg(F.round(mean * 10, 4).alias("rate"))
+    month = F.when(F.month("month") == 5, F.add_months("month", 1)).otherwise(F.col("month"))
+    return transactions(t).groupBy(month.alias("month")).agg(F.round(mean * 10, 4).alias("rate"))
 
 
 @query("deflator", f"""WITH {RATE_SQL} SELECT strftime(m, '%Y-%m') AS month, factor FROM fac""")
 def deflator(t: Tables) -> DataFrame:
-    """Factors to the last month from monthly rates; May has no rate, which counts as zero."""
+    """Factors to the last month from monthly rates; May is counted into June, so it has none, i.e. zero."""
     return shown(plan.deflators(_rates(t), months(t)).select("month", "factor"))
 
 

@@ -182,8 +182,8 @@ def latest_items(t: Tables) -> DataFrame:
     return plan.latest_items(_archive(t), ASOF, 365).select("doc_id", F.col("published_at").cast("string").alias("published"), "category")
 
 
-@query("category_counts", f"""WITH {ARCH_SQL}, c AS (SELECT category AS label, count(*) AS n FROM ar GROUP BY ALL)
-SELECT 'category' AS dimension, label, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(['authored','talk','interview','profile','quoted','echo','republication','mention']) AS label) LEFT JOIN c USING (label)""")
+@query("category_counts", f"""WITH {ARCH_SQL}, cc AS (SELECT category AS label, count(*) AS n FROM ar GROUP BY ALL)
+SELECT 'category' AS dimension, label, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(['authored','talk','interview','profile','quoted','echo','republication','mention']) AS label) LEFT JOIN cc USING (label)""")
 def category_counts(t: Tables) -> DataFrame:
     """Zero-filled category counts."""
     return plan.metadata(_archive(t), ASOF)["counts"].filter("dimension = 'category'")

@@ -38,13 +38,12 @@ def excerpts(t: Tables) -> DataFrame:
         "doc_id", text.truncate("text", 280).alias("excerpt"), text.first_line("text", 120, "(untitled)").alias("title"), text.cap_first(text.clean_text("text")).alias("capped"))
 
 
-@query("name_windows", f"""WITH c AS (SELECT doc_id, {FOLD.replace('lower', 'lower').format(c='text')} AS f, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')),
+@query("name_windows", f"""WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^\\x00-\\x7F]', '', 'g'), '\\s+', ' ', 'g')) AS f, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM documents),
 p AS (SELECT *, CASE WHEN contains(f, 'of the') AND contains(f, 'and the') THEN least(instr(f, 'of the'), instr(f, 'and the')) WHEN contains(f, 'of the') THEN instr(f, 'of the') WHEN contains(f, 'and the') THEN instr(f, 'and the') END - 1 AS h FROM c)
 SELECT doc_id, CASE WHEN h IS NULL THEN left(x, 420) ELSE CASE WHEN h > 180 THEN '... ' ELSE '' END || substr(x, greatest(0, h - 180) + 1, least(length(x), h + 240) - greatest(0, h - 180)) || CASE WHEN h + 240 < length(x) THEN ' ...' ELSE '' END END AS excerpt FROM p""")
 def name_windows(t: Tables) -> DataFrame:
-    """Window around the first hit of a name (documents in plain ASCII, where positions agree)."""
-    plain = t.documents.filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return plain.select("doc_id", text.excerpt_around("text", ["Of the", "And the"]).alias("excerpt"))
+    """Window around the first hit of a name."""
+    return t.documents.select("doc_id", text.excerpt_around("text", ["Of the", "And the"]).alias("excerpt"))
 
 
 @query("snippets")

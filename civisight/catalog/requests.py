@@ -54,15 +54,16 @@ def merge_partials(t: Tables) -> DataFrame:
     return plan.over_years(by(t, "year", "body"), "body")
 
 
-@query("request_monthly_grid", f"""WITH {REQ_SQL}, c AS (SELECT year, month, {CNT} FROM req WHERE month <> 2 GROUP BY ALL),
+@query("request_monthly_grid", f"""WITH {REQ_SQL}, c AS (SELECT year, month, {CNT} FROM (SELECT * REPLACE (CASE WHEN month = 2 THEN 1 ELSE month END AS month) FROM req) GROUP BY ALL),
 grid AS (SELECT DISTINCT year, unnest(range(1, 13))::INTEGER AS month FROM c)
 SELECT year, month, coalesce(total, 0)::BIGINT AS total, coalesce(denied, 0)::BIGINT AS denied, coalesce(restricted, 0)::BIGINT AS restricted,
  coalesce(personal, 0)::BIGINT AS personal, coalesce(denied / total::DOUBLE, 0) AS denied_rate, coalesce(restricted / total::DOUBLE, 0) AS restricted_rate,
  coalesce(personal / total::DOUBLE, 0) AS personal_rate, coalesce(CASE WHEN restricted > 0 THEN personal / restricted::DOUBLE END, 0) AS personal_in_restricted
 FROM grid LEFT JOIN c USING (year, month)""")
 def request_monthly_grid(t: Tables) -> DataFrame:
-    """Twelve months per year; February is left out of the input to show the filling."""
-    return plan.monthly_grid(plan.request_counts(requests(t).filter("month <> 2"), {"month": ["year", "month"]}))
+    """Twelve months per year; the input dates February to January, so that it has to be filled."""
+    rows = requests(t).withColumn("month", F.when(F.col("month") == 2, 1).otherwise(F.col("month")))
+    return plan.monthly_grid(plan.request_counts(rows, {"month": ["year", "month"]}))
 
 
 @query("restricted_reason_counts", f"""WITH {REQ_SQL} SELECT year, reason, count(*) AS n FROM req WHERE is_restricted GROUP BY ALL""")
@@ -258,7 +259,7 @@ def worsening(t: Tables) -> DataFrame:
     return periods.worsening(rows, by(t, "year", "month"), "theme", min_total=20)
 
 
-@query("peak_year", f"""WITH {REQ_SQL}, c AS (SELECT year, {CNT} FROM req WHERE year <> 2001 GROUP BY year), x AS (SELECT *, denied / total::DOUBLE AS rate FROM c)
+@query("peak_year", f"""WITH {REQ_SQL}, c AS (SELECT year, {CNT} FROM req GROUP BY year), x AS (SELECT *, denied / total::DOUBLE AS rate FROM c WHERE year <> 2001)
 SELECT first(year ORDER BY denied DESC, year) AS peak_count_year, max(denied) AS peak_count, first(year ORDER BY rate DESC, year) AS peak_rate_year, max(rate) AS peak_rate FROM x""")
 def peak_year(t: Tables) -> DataFrame:
     """Peaks over complete years; the running last year does not count."""

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from civisight.functions.text import ColumnOrName, as_col, clean_text, fold
+from civisight.functions.text import ColumnOrName, as_col, case_when, clean_text, fold
 
 # Portuguese month names, accent-free.
 MONTH_NAMES = (
@@ -56,10 +56,7 @@ def parse_timestamp(c: ColumnOrName, formats: Sequence[str] = (
 
 def _month_number(name: Column) -> Column:
     flat = fold(name)
-    out = F.lit(None).cast("string")
-    for number, label in reversed(list(enumerate(MONTH_NAMES, 1))):
-        out = F.when(flat == label, F.lit(f"{number:02d}")).otherwise(out)
-    return out
+    return case_when([(flat == label, F.lit(f"{number:02d}")) for number, label in enumerate(MONTH_NAMES, 1)], F.lit(None).cast("string"))
 
 
 _LETTERS = r"[a-zA-ZçÇãÃáÁàÀâÂéÉêÊíÍóÓôÔõÕúÚ]+"

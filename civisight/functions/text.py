@@ -252,6 +252,33 @@ def plausible_year(c: ColumnOrName, low: int = 1900, high: int = 2100) -> Column
 
 
 def any_of(words: Sequence[str], whole_words: bool = False) -> str:
-    """One alternation pattern for a list of literal words."""
-    body = "|".join(re.escape(w) for w in words)
-    return rf"\b(?:{body})\b" if whole_words else f"(?:{body})"
+    """One pattern for a list of literal words, with shared beginnings factored out: at most
+    positions of a text it fails on the first character, however long the list."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for ch in word:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def emit(node: dict) -> str:
+        if "" in node and not whole_words:
+            return ""               # a shorter word already decides
+        parts = [re.escape(ch) + emit(child) for ch, child in node.items() if ch]
+        if not parts:
+            return ""
+        body = parts[0] if len(parts) == 1 and "" not in node else f"(?:{'|'.join(parts)})"
+        return body + "?" if "" in node else body
+
+    return rf"\b{emit(tree)}\b" if whole_words else emit(tree)
+
+
+def case_when(rules: Sequence[tuple[Column, Column]], default: Column) -> Column:
+    """One flat CASE: the first rule that holds. Flat, so that an expression shared by the
+    conditions is computed once per row."""
+    if not rules:
+        return default
+    out = F.when(*rules[0])
+    for test, value in rules[1:]:
+        out = out.when(test, value)
+    return out.otherwise(default)

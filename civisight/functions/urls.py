@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from civisight.functions.text import ColumnOrName, as_col
+from civisight.functions.text import ColumnOrName, as_col, case_when
 
 _SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -156,10 +156,7 @@ def slug_after(c: ColumnOrName, segment: str) -> Column:
 def doc_type(url: ColumnOrName, title: ColumnOrName, words: dict[str, str], default: str) -> Column:
     """Document type by the first word found in URL or title."""
     ref = F.lower(F.concat_ws(" ", as_col(url), as_col(title)))
-    out = F.lit(default)
-    for word, label in reversed(list(words.items())):
-        out = F.when(ref.contains(word), F.lit(label)).otherwise(out)
-    return out
+    return case_when([(ref.contains(word), F.lit(label)) for word, label in words.items()], F.lit(default))
 
 
 def op_meta(text: ColumnOrName, url: ColumnOrName, states: Sequence[str]) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civisight.functions.text import ColumnOrName, any_of, as_col, cap_first, clean_text, fold, fold_text
+from civisight.functions.text import ColumnOrName, any_of, as_col, cap_first, case_when, clean_text, fold, fold_text
 from civisight.functions.urls import domain, in_domains
 from civisight.operators.clean import is_noise
 
@@ -16,11 +16,8 @@ from civisight.operators.clean import is_noise
 def canonical_label(c: ColumnOrName, labels: Sequence[str], missing: str, other: str, max_len: int = 120) -> Column:
     """Known label, also when followed by more words; long free text goes to one bucket."""
     text, flat = clean_text(c), fold(c)
-    out = F.when(F.length(text) > max_len, F.lit(other)).otherwise(text)
-    for label in reversed(list(labels)):
-        key = fold_text(label)
-        out = F.when((flat == key) | flat.startswith(key + " "), F.lit(label)).otherwise(out)
-    return F.when(text.isNull(), F.lit(missing)).otherwise(out)
+    known = [((flat == fold_text(x)) | flat.startswith(fold_text(x) + " "), F.lit(x)) for x in labels]
+    return case_when([*known, (text.isNull(), F.lit(missing)), (F.length(text) > max_len, F.lit(other))], text)
 
 
 def canonical_by_map(c: ColumnOrName, mapping: dict[str, str], missing: str, other: str, max_len: int = 180) -> Column:
@@ -42,10 +39,8 @@ def normalize_value(c: ColumnOrName, mapping: dict[str, str]) -> Column:
 def first_match(c: ColumnOrName, rules: Sequence[tuple[str, Sequence[str]]], default: str, whole_words: bool = False) -> Column:
     """Label of the first rule with a keyword in the lower-cased text (accents kept)."""
     text = F.lower(F.coalesce(as_col(c), F.lit("")))
-    out = F.lit(default)
-    for label, words in reversed(list(rules)):
-        out = F.when(text.rlike(any_of([w.lower() for w in words], whole_words)), F.lit(label)).otherwise(out)
-    return out
+    tests = [(text.rlike(any_of([w.lower() for w in words], whole_words)), F.lit(label)) for label, words in rules]
+    return case_when(tests, F.lit(default))
 
 
 def keyword_flag(c: ColumnOrName, words: Sequence[str]) -> Column:
@@ -199,10 +194,8 @@ def classify_items(scored: DataFrame, rules: PersonRules) -> DataFrame:
 
 
 def _relation(category: Column, given: Column, rules: PersonRules) -> Column:
-    out = F.lit("mentioned")
-    for name, label in rules.categories.items():
-        out = F.when(category == name, F.lit(label)).otherwise(out)
-    return F.when(given != "", given).otherwise(out)
+    named = [(category == name, F.lit(label)) for name, label in rules.categories.items()]
+    return case_when([(given != "", given), *named], F.lit("mentioned"))
 
 
 def mark_republished(items: DataFrame, rules: PersonRules) -> DataFrame:

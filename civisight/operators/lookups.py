@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civisight.functions.money import ratio
-from civisight.functions.text import ColumnOrName, as_col
+from civisight.functions.text import ColumnOrName, as_col, case_when
 from civisight.operators.windows import top_per_group
 
 
@@ -38,22 +38,22 @@ def lookup(df: DataFrame, key: str, dims: Sequence[DataFrame], dim_key: str, val
     for t in tagged[1:]:
         pool = pool.unionByName(t)
     best = pool.filter(F.col("_v").isNotNull()).groupBy("_k").agg(F.min_by("_v", "_p").alias("_v"))
-    chosen = F.coalesce(F.col("_v"), F.lit(default))
-    for test, label in reversed(list(rules)):
-        chosen = F.when(test, F.lit(label)).otherwise(chosen)
+    chosen = case_when([(test, F.lit(label)) for test, label in rules], F.coalesce(F.col("_v"), F.lit(default)))
     return df.join(best, F.col(key) == F.col("_k"), "left").withColumn(value, chosen).drop("_k", "_v")
 
 
 def period_of(date: ColumnOrName, periods: Sequence[dict], default: tuple[str, str] = ("other", "Other")) -> Column:
     """struct(id, label) of the first period that holds the day; ends inclusive, last one open."""
+    def named(id_: str, label: str) -> Column:
+        return F.struct(F.lit(id_).alias("id"), F.lit(label).alias("label"))
+
+    return case_when([(_inside(date, p), named(p["id"], p["label"])) for p in periods], named(*default))
+
+
+def _inside(date: ColumnOrName, period: dict) -> Column:
     day = as_col(date)
-    out = F.struct(F.lit(default[0]).alias("id"), F.lit(default[1]).alias("label"))
-    for p in reversed(list(periods)):
-        inside = day >= F.lit(p["start"]).cast("date")
-        if p.get("end"):
-            inside = inside & (day <= F.lit(p["end"]).cast("date"))
-        out = F.when(inside, F.struct(F.lit(p["id"]).alias("id"), F.lit(p["label"]).alias("label"))).otherwise(out)
-    return out
+    after = day >= F.lit(period["start"]).cast("date")
+    return after & (day <= F.lit(period["end"]).cast("date")) if period.get("end") else after
 
 
 def interval_calendar(intervals: DataFrame, start: str, end: str, ordinal: str, labels: Sequence[str], horizon: Column, keys: Sequence[str] = ()) -> DataFrame:
@@ -76,26 +76,17 @@ def interval_join(df: DataFrame, date: str, intervals: DataFrame, start: str, en
 
 def term_label(df: DataFrame, slug: str, name: str, date: str, url: str, terms: Sequence[dict], url_labels: Sequence[dict] = (), forced: Sequence[dict] = (), undated: dict[str, str] | None = None) -> DataFrame:
     """Term of office: forced by source, by URL segment, by date, by sole term, by year."""
-    undated = undated or {}
-    link, day = F.lower(F.coalesce(F.col(url), F.lit(""))), F.col(date)
-    out = F.when(day.isNotNull(), F.concat(F.col(name), F.lit(" ("), F.year(day).cast("string"), F.lit(")"))).otherwise(
-        F.concat(F.col(name), F.lit(" (term unknown)")))
-    by_slug: dict[str, list[dict]] = {}
+    who, link, day = F.col(slug), F.lower(F.coalesce(F.col(url), F.lit(""))), F.col(date)
+    rules = [((F.col("source") == f["source"]) & (who == f["slug"]), F.lit(f["label"])) for f in forced]
+    rules += [((who == u["slug"]) & link.contains(u["segment"]), F.lit(u["label"])) for u in url_labels]
+    rules += [((who == t["slug"]) & _inside(date, t), F.lit(t["label"])) for t in terms]
+    by_slug: dict[str, list[str]] = {}
     for t in terms:
-        by_slug.setdefault(t["slug"], []).append(t)
-    for s, rules in by_slug.items():
-        sole = rules[0]["label"] if len(rules) == 1 else undated.get(s)
-        if sole:
-            out = F.when((F.col(slug) == s) & day.isNull(), F.lit(sole)).otherwise(out)
-    for t in reversed(list(terms)):
-        inside = (F.col(slug) == t["slug"]) & (day >= F.lit(t["start"]).cast("date"))
-        if t.get("end"):
-            inside = inside & (day <= F.lit(t["end"]).cast("date"))
-        out = F.when(inside, F.lit(t["label"])).otherwise(out)
-    for u in reversed(list(url_labels)):
-        out = F.when((F.col(slug) == u["slug"]) & link.contains(u["segment"]), F.lit(u["label"])).otherwise(out)
-    for f in reversed(list(forced)):
-        out = F.when((F.col("source") == f["source"]) & (F.col(slug) == f["slug"]), F.lit(f["label"])).otherwise(out)
+        by_slug.setdefault(t["slug"], []).append(t["label"])
+    sole = {s: labels[0] for s, labels in by_slug.items() if len(labels) == 1} | (undated or {})
+    rules += [((who == s) & day.isNull(), F.lit(label)) for s, label in sole.items()]
+    rules.append((day.isNotNull(), F.concat(F.col(name), F.lit(" ("), F.year(day).cast("string"), F.lit(")"))))
+    out = case_when(rules, F.concat(F.col(name), F.lit(" (term unknown)")))
     return df.withColumn("term", out)
 
 

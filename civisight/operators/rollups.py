@@ -7,22 +7,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civisight.functions.money import ratio
-from civisight.functions.text import ColumnOrName, as_col
+from civisight.functions.text import ColumnOrName, as_col, case_when
 
 
-def roll_up(df: DataFrame, sets: dict[str, Sequence[str]], measures: dict[str, Column], sums: dict[str, str] | None = None) -> DataFrame:
+def roll_up(df: DataFrame, sets: dict[str, Sequence[str]], measures: dict[str, Column]) -> DataFrame:
     """The same additive measures over many key sets, in one scan.
 
     Facts are first aggregated to the finest key, so the row multiplication of GROUPING
     SETS meets a small table. ``grain`` names the key set; columns outside it are null.
-    ``sums`` maps output name to a source column of ``df`` when no measure is needed.
     """
     keys = list(dict.fromkeys(k for s in sets.values() for k in s))
     finest = df.groupBy(*keys).agg(*[c.alias(n) for n, c in measures.items()])
     grain_of = {sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s): n for n, s in sets.items()}
-    grain = F.lit(None).cast("string")
-    for gid, name in grain_of.items():
-        grain = F.when(F.grouping_id() == gid, F.lit(name)).otherwise(grain)
+    grain = case_when([(F.grouping_id() == gid, F.lit(name)) for gid, name in grain_of.items()], F.lit(None).cast("string"))
     return finest.groupingSets([[F.col(k) for k in s] for s in sets.values()], *[F.col(k) for k in keys]).agg(
         grain.alias("grain"), *[F.sum(n).alias(n) for n in measures])
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civisight.functions.arrays import owners, share_number
-from civisight.functions.text import ColumnOrName, as_col, compact_key, doc_digits, fold, fold_text, match_tokens
+from civisight.functions.text import case_when, compact_key, fold, fold_text, match_tokens
 from civisight.operators.windows import top_per_group
 
 
@@ -32,10 +32,7 @@ def _with_queries(df: DataFrame, queries: Sequence[str]) -> DataFrame:
 
 def _first(*rules: tuple[Column, int]) -> Column:
     """Weight of the first rule that holds, else zero."""
-    out = F.lit(0)
-    for test, weight in reversed(rules):
-        out = F.when(test, F.lit(weight)).otherwise(out)
-    return out
+    return case_when([(test, F.lit(weight)) for test, weight in rules], F.lit(0))
 
 
 def search_registry(

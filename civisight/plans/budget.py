@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from civisight import rules
 from civisight.functions.dates import parse_date
 from civisight.functions.money import MONEY, parse_money, ratio, safe_int, total
-from civisight.functions.text import clean_text, first_present, join_nonempty, upper_key
+from civisight.functions.text import case_when, clean_text, first_present, join_nonempty, upper_key
 from civisight.operators import lookups, rollups, spines, windows
 
 NO_AUTHOR, NO_PLACE = "Autor não informado", "Destino não informado"
@@ -61,10 +61,7 @@ def with_party(df: DataFrame, members: Sequence[DataFrame]) -> DataFrame:
 
 
 def supporter_group(column: str) -> Column:
-    out = F.lit(rules.ROLE_MEMBER)
-    for test, label in reversed(role_rules(column)):
-        out = F.when(test, F.lit(label)).otherwise(out)
-    return out
+    return case_when([(test, F.lit(label)) for test, label in role_rules(column)], F.lit(rules.ROLE_MEMBER))
 
 
 BUDGET_SETS = {"all": [], "author": ["author"], "place": ["place"], "author_place": ["author", "place"]}
