@@ -93,7 +93,9 @@ def date_in_text(c: ColumnOrName) -> Column:
 
 def prose_date(candidates: Sequence[ColumnOrName], url: ColumnOrName, last_year: int, first_year: int = 1880) -> Column:
     """struct(date, source): first dated candidate, else 1 January of a year in the URL."""
-    found = F.coalesce(*[date_in_text(c) for c in candidates])
+    # one lambda for all candidates keeps the generated code small
+    dates = F.transform(F.array(*[as_col(c) for c in candidates]), lambda c: date_in_text(c))
+    found = F.get(F.filter(dates, lambda d: d.isNotNull()), F.lit(0))
     years = F.filter(
         F.transform(F.regexp_extract_all(F.coalesce(as_col(url), F.lit("")), F.lit(r"\b((?:18|19|20)\d{2})\b"), F.lit(1)),
                     lambda y: y.try_cast("int")),
@@ -122,13 +124,13 @@ def clean_place(c: ColumnOrName) -> Column:
 
 def prose_place(candidates: Sequence[ColumnOrName]) -> Column:
     """First place named before a date, over candidates then patterns."""
-    tries = []
-    for c in candidates:
+    def place(c: Column) -> Column:
         text = F.coalesce(clean_text(c), F.lit(""))
-        for pattern in _PLACE_PATTERNS:
-            place = clean_place(F.regexp_extract(text, pattern, 1))
-            tries.append(F.when(F.length(place) >= 2, place))
-    return F.coalesce(*tries)
+        tries = F.array(*[F.regexp_extract(text, pattern, 1) for pattern in _PLACE_PATTERNS])
+        return F.get(F.filter(F.transform(tries, lambda t: clean_place(t)), lambda p: F.length(p) >= 2), F.lit(0))
+
+    places = F.transform(F.array(*[as_col(c) for c in candidates]), place)
+    return F.get(F.filter(places, lambda p: p.isNotNull()), F.lit(0))
 
 
 # -------------------------------------------------------------------- keys

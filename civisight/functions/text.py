@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -65,7 +65,8 @@ def _fold_pairs() -> tuple[str, str]:
 
 def strip_accents(c: ColumnOrName) -> Column:
     src, dst = _fold_pairs()
-    return F.translate(as_col(c), src, dst)
+    # plain ASCII has as many bytes as characters and nothing to strip
+    return F.when(F.octet_length(as_col(c)) == F.char_length(as_col(c)), as_col(c)).otherwise(F.translate(as_col(c), src, dst))
 
 
 def fold(c: ColumnOrName, ascii_only: bool = False) -> Column:
@@ -99,22 +100,32 @@ def match_key(value: str | None) -> str:
     return re.sub(r"[^a-z0-9]+", " ", fold_text(value)).strip()
 
 
+def _plain(c: ColumnOrName) -> Column:
+    """Lower-case without accents, spaces as they are."""
+    return F.lower(strip_accents(F.coalesce(as_col(c), F.lit(""))))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a costly value to a name, so that a body that uses it often computes it once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def upper_key(c: ColumnOrName) -> Column:
-    return F.trim(F.regexp_replace(F.upper(fold(c)), "[^A-Z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.upper(_plain(c)), "[^A-Z0-9]+", " "))
 
 
 def match_text(c: ColumnOrName) -> Column:
     """Folded text where every run of non-alphanumerics is one space."""
-    return F.trim(F.regexp_replace(fold(c), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(_plain(c), "[^a-z0-9]+", " "))
 
 
 def match_tokens(c: ColumnOrName) -> Column:
     """Tokens of ``match_text`` (an empty text has no tokens)."""
-    return F.filter(F.split(match_text(c), " "), lambda t: t != "")
+    return F.array_remove(F.split(match_text(c), " "), "")
 
 
 def compact_key(c: ColumnOrName) -> Column:
-    return F.regexp_replace(fold(c), "[^a-z0-9]+", "")
+    return F.regexp_replace(_plain(c), "[^a-z0-9]+", "")
 
 
 def slug(c: ColumnOrName, default: str = "item") -> Column:
@@ -146,18 +157,22 @@ def truncate(c: ColumnOrName, n: int) -> Column:
 
 def excerpt_around(c: ColumnOrName, names: Sequence[str], before: int = 180, after: int = 240, plain: int = 420) -> Column:
     """Window around the first hit of any name, else the opening of the text."""
+    def positions(text: Column) -> Column:
+        return let(fold(text, ascii_only=True), lambda flat: F.array_min(F.filter(
+            F.array(*[F.instr(flat, fold_text(n)) for n in names]), lambda p: p > 0)) - 1)
+
+    def window(x: Column) -> Column:
+        text, hit, size = x["text"], x["hit"], F.length(x["text"])
+        start, end = F.greatest(F.lit(0), hit - before), F.least(size, hit + after)
+        around = F.concat(
+            F.when(start > 0, F.lit("... ")).otherwise(F.lit("")), F.substring(text, start + 1, end - start),
+            F.when(end < size, F.lit(" ...")).otherwise(F.lit("")))
+        return F.when(hit.isNotNull(), around).otherwise(F.substring(text, 1, plain))
+
     text = F.coalesce(clean_text(c), F.lit(""))
-    flat = fold(text, ascii_only=True)
-    hits = [F.nullif(F.instr(flat, fold_text(n)), F.lit(0)) for n in names]
-    hit = (F.least(*hits) if len(hits) > 1 else hits[0]) - 1 if hits else F.lit(None).cast("int")
-    start = F.greatest(F.lit(0), hit - before)
-    end = F.least(F.length(text), hit + after)
-    window = F.concat(
-        F.when(start > 0, F.lit("... ")).otherwise(F.lit("")),
-        F.substring(text, start + 1, end - start),
-        F.when(end < F.length(text), F.lit(" ...")).otherwise(F.lit("")),
-    )
-    return F.when(hit.isNotNull(), window).otherwise(F.substring(text, 1, plain))
+    if not names:
+        return F.substring(text, 1, plain)
+    return let(text, lambda t: let(F.struct(t.alias("text"), positions(t).alias("hit")), window))
 
 
 def join_nonempty(*cols: ColumnOrName, sep: str = " ") -> Column:
@@ -192,17 +207,23 @@ def snippet(c: ColumnOrName, aliases: ColumnOrName, n: int = 340) -> Column:
     """First sentence or line that holds an alias, else the opening of the text."""
     text = F.coalesce(as_col(c), F.lit(""))
     segments = F.filter(
-        F.transform(F.split(text, r"\n+|(?<=[.!?])\s+"), lambda s: F.coalesce(clean_text(s), F.lit(""))),
-        lambda s: s != "",
-    )
+        F.transform(F.split(text, r"\n+|(?<=[.!?])\s+"), lambda s: F.coalesce(clean_text(s), F.lit(""))), lambda s: s != "")
     wanted = F.filter(F.transform(as_col(aliases), match_text), lambda a: a != "")
-    found = F.try_element_at(
-        F.filter(segments, lambda s: F.exists(wanted, lambda a: match_text(s).contains(a))), F.lit(1)
-    )
-    cut = F.concat(F.rtrim(F.substring(found, 1, n - 3)), F.lit("..."))
-    opening = F.coalesce(clean_text(F.substring(text, 1, n)), F.lit(""))
-    fallback = F.when(F.length(text) > F.length(opening), F.concat(opening, F.lit("..."))).otherwise(opening)
-    return F.when(text == "", "").when(found.isNotNull(), F.when(F.length(found) > n, cut).otherwise(found)).otherwise(fallback)
+
+    def holding(x: Column) -> Column:
+        keyed = F.transform(x["segments"], lambda s: F.struct(s.alias("s"), match_text(s).alias("k")))
+        hits = F.filter(keyed, lambda s: let(s["k"], lambda k: F.exists(x["wanted"], lambda a: k.contains(a))))
+        return F.get(hits, F.lit(0))["s"]
+
+    def shaped(x: Column) -> Column:
+        found = x["found"]
+        cut = F.concat(F.rtrim(F.substring(found, 1, n - 3)), F.lit("..."))
+        opening = F.coalesce(clean_text(F.substring(x["text"], 1, n)), F.lit(""))
+        fallback = F.when(F.length(x["text"]) > F.length(opening), F.concat(opening, F.lit("..."))).otherwise(opening)
+        return F.when(x["text"] == "", "").when(found.isNotNull(), F.when(F.length(found) > n, cut).otherwise(found)).otherwise(fallback)
+
+    hit = let(F.struct(segments.alias("segments"), wanted.alias("wanted")), holding)
+    return let(F.struct(text.alias("text"), hit.alias("found")), shaped)
 
 
 def strip_suffix(title: ColumnOrName, site: ColumnOrName | None = None, hints: Sequence[str] = ()) -> Column:

@@ -117,8 +117,7 @@ def _found(hay: Column, words: Sequence[str]) -> Column:
     """Words of the rule table that occur in the text, in table order."""
     if not words:
         return F.array().cast("array<string>")
-    pairs = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(fold_text(w)).alias("f")) for w in words])
-    return F.transform(F.filter(pairs, lambda p: hay.contains(p["f"])), lambda p: p["w"])
+    return F.array_compact(F.array(*[F.when(hay.contains(fold_text(w)), F.lit(w)) for w in words]))
 
 
 def _templates(templates: Sequence[str], names: Sequence[str]) -> list[str]:
@@ -126,9 +125,9 @@ def _templates(templates: Sequence[str], names: Sequence[str]) -> list[str]:
 
 
 def textual_byline(rules: PersonRules) -> Column:
-    """The text itself credits the person."""
+    """The text itself credits the person (needs ``_hay``, the folded title, description and text)."""
     names = [fold_text(n) for n in rules.names]
-    hay = _flat("title", "description", "text_excerpt")
+    hay = F.col("_hay")
     any_name = any_of(names)
     named = hay.rlike(any_name)
     credited = hay.rlike(any_of(_templates(BYLINE_BY_NAME, names)))
@@ -143,13 +142,15 @@ def textual_byline(rules: PersonRules) -> Column:
 def identity_score(items: DataFrame, rules: PersonRules) -> DataFrame:
     """Adds how sure it is that an item is about the person: score, matched names and words."""
     names = [fold_text(n) for n in rules.names]
-    authors = _flat(_joined("author_names"))
-    about = _flat("title", "description", "text_excerpt", _joined("author_names"), "notes")
-    wide = _flat("title", "description", "text_excerpt", "site_name", _joined("author_names"), _joined("queries"), "notes", "relation_hint")
-    work = items.withColumns({
-        "matched_names": _found(about, rules.names), "matched_context": _found(wide, rules.context),
-        "has_byline": authors.rlike(any_of(names)), "has_credit": textual_byline(rules),
-    })
+    # long texts are folded once; the rules below read the folded columns
+    work = items.withColumns({"_hay": _flat("title", "description", "text_excerpt"), "_by": _flat(_joined("author_names")), "_notes": _flat("notes")})
+    work = work.withColumns({
+        "_about": F.concat_ws(" ", "_hay", "_by", "_notes"),
+        "_wide": F.concat_ws(" ", F.col("_hay"), _flat("site_name"), F.col("_by"), _flat(_joined("queries")), F.col("_notes"), _flat("relation_hint"))})
+    work = work.withColumns({
+        "matched_names": _found(F.col("_about"), rules.names), "matched_context": _found(F.col("_wide"), rules.context),
+        "has_byline": F.col("_by").rlike(any_of(names)), "has_credit": textual_byline(rules),
+    }).drop("_hay", "_by", "_notes", "_about", "_wide")
     on_profile = in_domains(domain("url"), rules.profile_domains) if rules.profile_domains else F.lit(False)
     # fixed values: weights of the identity score
     score = (
@@ -164,8 +165,8 @@ def classify_items(scored: DataFrame, rules: PersonRules) -> DataFrame:
     """First pass: admission, then the first category that applies. Dropped items are absent."""
     names = [fold_text(n) for n in rules.names]
     host = domain("url")
-    title = _flat("title")
-    full = F.concat_ws(" ", _flat("title", "description", "notes"), _flat("text_excerpt"))
+    scored = scored.withColumns({"_title": _flat("title"), "_full": F.concat_ws(" ", _flat("title", "description", "notes"), _flat("text_excerpt"))})
+    title, full = F.col("_title"), F.col("_full")
     hint = F.coalesce("category_hint", F.lit(""))
     for old, new in rules.hint_renames.items():
         hint = F.when(hint == old, F.lit(new)).otherwise(hint)
@@ -189,8 +190,11 @@ def classify_items(scored: DataFrame, rules: PersonRules) -> DataFrame:
     admitted = (
         ~host.isin(list(rules.dropped_domains) or [""]) & ~is_noise("url", "title") & (F.col("match_score") >= 2)
         & ~(host.isin(list(SOCIAL_HOSTS)) & (F.col("match_score") < 4)))
-    out = scored.withColumn("category", category).filter(admitted & F.col("category").isNotNull())
-    return out.withColumn("relation", _relation(F.col("category"), relation, rules)).withColumn("domain", host)
+    # exploding one or no category drops the rest, like a filter, but is not pushed below the
+    # folded columns, where the rule chain would fold the text again for every rule
+    chosen = F.array_compact(F.array(F.when(admitted, category)))
+    out = scored.select(*scored.columns, F.explode(chosen).alias("category"))
+    return out.withColumn("relation", _relation(F.col("category"), relation, rules)).withColumn("domain", host).drop("_title", "_full")
 
 
 def _relation(category: Column, given: Column, rules: PersonRules) -> Column:

@@ -114,19 +114,28 @@ def alias_table(entities: DataFrame, rules: AliasRules) -> DataFrame:
         "entity_id", "alias", "alias_key", F.row_number().over(order).alias("alias_rank"), F.size(words).alias("n_tokens"))
 
 
-def alias_hits(docs: DataFrame, aliases: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def alias_hits(docs: DataFrame, aliases: DataFrame, doc: str = "doc_id", text: str = "text", sizes: Sequence[int] | None = None) -> DataFrame:
     """(doc, entity_id, alias, alias_rank, start, end) of every alias occurrence.
 
     After folding, an alias at token boundaries is a token n-gram, so matching is an
-    equi-join on the n-gram instead of one regular expression per alias.
+    equi-join on the n-gram instead of one regular expression per alias. Only the lengths
+    that aliases have are built (``sizes``; asked from the alias table when not given).
     """
-    sizes = aliases.agg(F.sort_array(F.collect_set("n_tokens"))).scalar()
+    if sizes is None:
+        sizes = [r.n_tokens for r in aliases.select("n_tokens").distinct().collect()]
+    if not sizes:
+        sizes = [1]
+    widest = max(sizes)
     tokens = docs.select(doc, match_tokens(text).alias("_t"))
-    grams = F.flatten(F.transform(F.coalesce(F.col("_sizes"), F.array().cast("array<int>")), lambda n: F.transform(
-        F.when(F.size("_t") >= n, F.sequence(F.lit(1), F.size("_t") - n + 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(i.alias("start"), (i + n).alias("end"), F.array_join(F.slice(F.col("_t"), i, n), " ").alias("alias_key")))))
-    rows = tokens.withColumn("_sizes", sizes).select(doc, F.explode(grams).alias("g")).select(doc, "g.*")
-    return rows.join(aliases.select("entity_id", "alias", "alias_key", "alias_rank"), "alias_key")
+    # token i next to tokens i+1, i+2, ...: shifted copies of the array, zipped
+    shifted = F.arrays_zip(*[F.slice("_t", k + 1, F.greatest(F.size("_t") - k, F.lit(0))).alias(f"t{k}") for k in range(widest)])
+    rows = tokens.select(doc, F.posexplode(shifted).alias("start", "z"))
+    grams = F.array(*[F.struct(
+        F.lit(n).alias("n"), F.when(F.col("z")[f"t{n - 1}"].isNotNull(), F.concat_ws(" ", *[F.col("z")[f"t{k}"] for k in range(n)])).alias("alias_key"))
+        for n in sorted(sizes)])
+    rows = rows.select(doc, "start", F.explode(grams).alias("g")).select(doc, "start", (F.col("start") + F.col("g.n")).alias("end"), F.col("g.alias_key").alias("alias_key"))
+    known = aliases.select("entity_id", "alias", "alias_key", "alias_rank")
+    return rows.filter("alias_key is not null").join(known, "alias_key")
 
 
 def accepted_mentions(hits: DataFrame, doc: str = "doc_id") -> DataFrame:

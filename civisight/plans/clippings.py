@@ -49,8 +49,9 @@ def page_metadata(pages: DataFrame, names: Sequence[str], site_hints: Sequence[s
 def preferred_title(candidates: Sequence[str], url: str, site: str, hints: Sequence[str]) -> Column:
     """First usable candidate (they come in order of weight) without the site's name; the
     last one when none is usable."""
-    tries = [F.when(~clean.is_placeholder(c) & ~clean.is_noise(url, c), strip_suffix(c, site, hints)) for c in candidates]
-    return F.coalesce(*tries, F.col(candidates[-1]))
+    usable = F.filter(
+        F.array(*[F.col(c) for c in candidates]), lambda c: ~clean.is_placeholder(c) & ~clean.is_noise(url, c))
+    return F.coalesce(F.get(F.transform(F.slice(usable, 1, 1), lambda c: strip_suffix(c, site, hints)), F.lit(0)), F.col(candidates[-1]))
 
 
 def reader_metadata(pages: DataFrame, names: Sequence[str]) -> DataFrame:
