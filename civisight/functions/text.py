@@ -226,30 +226,41 @@ def snippet(c: ColumnOrName, aliases: ColumnOrName, n: int = 340) -> Column:
     return let(F.struct(text.alias("text"), hit.alias("found")), shaped)
 
 
+# Separators between a title and the name of its site, in order of trial.
+TITLE_SEPARATORS = (" | ", " - ", " — ", " – ")
+
+
 def strip_suffix(title: ColumnOrName, site: ColumnOrName | None = None, hints: Sequence[str] = ()) -> Column:
     """Remove the part after the last separator when it names the site."""
-    text = F.coalesce(clean_text(title), F.lit(""))
     site_key = fold(site, ascii_only=True) if site is not None else F.lit("")
-    out = F.lit(None).cast("string")
-    for sep in (" | ", " - ", " — ", " – "):
-        pattern = "(?s)^(.*)" + re.escape(sep) + "(.*)$"
-        left = clean_text(F.regexp_extract(text, pattern, 1))
-        right = fold(F.regexp_extract(text, pattern, 2), ascii_only=True)
-        named = (site_key != "") & (site_key.contains(right) | right.contains(site_key))
-        if hints:
-            named = named | right.isin([fold_text(h) for h in hints])
-        out = F.coalesce(out, F.when(text.contains(sep) & left.isNotNull() & named, left))
-    return F.coalesce(out, text)
+    known = [fold_text(h) for h in hints]
+
+    def split_at(x: Column, sep: Column) -> Column:
+        right = F.call_function("substring_index", x["text"], sep, F.lit(-1))
+        left = F.substring(x["text"], F.lit(1), F.length(x["text"]) - F.length(right) - F.length(sep))
+        return F.struct(x["text"].contains(sep).alias("found"), F.coalesce(clean_text(left), F.lit("")).alias("left"), fold(right, ascii_only=True).alias("right"))
+
+    def names_site(x: Column, s: Column) -> Column:
+        named = (x["site"] != "") & (x["site"].contains(s["right"]) | s["right"].contains(x["site"]))
+        return s["found"] & (s["left"] != "") & (named | s["right"].isin(known) if known else named)
+
+    def body(x: Column) -> Column:
+        parts = F.transform(F.array(*[F.lit(sep) for sep in TITLE_SEPARATORS]), lambda sep: split_at(x, sep))
+        return F.coalesce(F.get(F.filter(parts, lambda s: names_site(x, s)), F.lit(0))["left"], x["text"])
+
+    return let(F.struct(F.coalesce(clean_text(title), F.lit("")).alias("text"), site_key.alias("site")), body)
 
 
 def array_unique_folded(a: ColumnOrName) -> Column:
     """Drop later elements whose folded key occurred before; keeps order."""
-    items = F.filter(F.transform(as_col(a), lambda x: clean_text(x)), lambda x: x.isNotNull() & (match_text(x) != ""))
-    keyed = F.transform(items, lambda x: F.struct(match_text(x).alias("k"), x.alias("v")))
-    keys = F.transform(keyed, lambda s: s["k"])
-    return F.transform(
-        F.filter(keyed, lambda s, i: F.array_position(keys, s["k"]) == i + 1), lambda s: s["v"]
-    )
+    keyed = F.filter(
+        F.transform(as_col(a), lambda x: F.struct(match_text(x).alias("k"), clean_text(x).alias("v"))), lambda s: s["k"] != "")
+
+    def firsts(x: Column) -> Column:
+        chosen = F.filter(x["items"], lambda s, i: F.array_position(x["keys"], s["k"]) == i + 1)
+        return F.transform(chosen, lambda s: s["v"])
+
+    return let(keyed, lambda items: let(F.struct(items.alias("items"), F.transform(items, lambda s: s["k"]).alias("keys")), firsts))
 
 
 def format_id(c: ColumnOrName) -> Column:

@@ -151,7 +151,7 @@ def read_state(spark: SparkSession, path: str, schema: T.StructType | str, fmt:
 
 def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files: ``file_name``, ``doc_key`` (name without suffix), ``text``."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_name").alias("file_name"),
         F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("doc_key"),
         F.col("value").alias("text"),

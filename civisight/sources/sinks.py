@@ -58,11 +58,11 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], order: st
 def write_partitions(df: DataFrame, path: str, by: Sequence[str], files_per_partition: int = 16) -> None:
     """Replace only the partitions present in ``df``.
 
-    Rows of one partition value go to several writers (salted), so a heavy partition
-    does not end up in one task.
+    Rows of one partition value go to several writers, so a heavy partition does not end up
+    in one task. The salt is a hash of the row: a task that runs again writes the same rows.
     """
-    salted = df.repartition(*[F.col(c) for c in by], (F.rand(7) * files_per_partition).cast("int"))
-    salted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_partition))
+    df.repartition(*[F.col(c) for c in by], salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def refresh_partitions(

@@ -88,8 +88,8 @@ def snapshot_delta(
             stamp, before = version(batch), versions.read(spark, number)
             changed = before is None or not stamp.exceptAll(before).isEmpty() or not before.exceptAll(stamp).isEmpty()
             versions.write(stamp, number)
-        base = current if previous is None or not changed else previous
         now = current if changed or previous is None else previous
+        base = now if previous is None else previous
         delta = snapshot_diff(now, base, keys, value)
         delta.withColumn("batch_id", F.lit(number)).write.mode("overwrite").parquet(f"{path}/delta/batch={number}")
         up = F.coalesce(F.sum(F.when(F.col("delta") > 0, F.col("delta"))), F.lit(0)).cast("double")
