@@ -12,10 +12,6 @@ from civisight.functions.money import pct_diff, ratio
 from civisight.functions.text import ColumnOrName, as_col
 
 
-def latest_month(months: DataFrame, month: str) -> Column:
-    return months.agg(F.max(month)).scalar()
-
-
 def peak_day(days: DataFrame, day: str, value: str) -> DataFrame:
     """Day with the largest value (the earliest one on a tie) and its share."""
     total = days.agg(F.sum(value)).scalar()
@@ -24,16 +20,15 @@ def peak_day(days: DataFrame, day: str, value: str) -> DataFrame:
 
 
 def peak_week(days: DataFrame, day: str, value: str) -> DataFrame:
-    """ISO week with the largest total against the mean of the other weeks with movement."""
+    """ISO week with the largest total (the earliest on a tie) against the mean of the other
+    weeks with movement."""
     weeks = days.filter(F.col(value) != 0).groupBy(iso_week(day).alias("week")).agg(F.sum(value).alias("total"))
     stats = weeks.agg(
-        F.max_by("week", F.struct("total", F.lit(0))).alias("_any"), F.max("total").alias("_max"),
-        F.sum("total").alias("_sum"), F.count("*").alias("_n"))
-    top = weeks.filter(F.col("total") == weeks.agg(F.max("total")).scalar()).agg(F.min("week")).scalar()
-    others = ratio(F.col("_sum") - F.col("_max"), F.col("_n") - 1)
+        F.min(F.struct((-F.col("total")).alias("minus"), "week")).alias("_top"), F.sum("total").alias("_sum"), F.count("*").alias("_n"))
+    top = -F.col("_top.minus")
+    others = ratio(F.col("_sum") - top, F.col("_n") - 1)
     return stats.select(
-        top.alias("week"), F.col("_max").cast("double").alias("week_total"), others.alias("others_mean"),
-        ratio("_max", others).alias("times_mean"))
+        F.col("_top.week").alias("week"), top.cast("double").alias("week_total"), others.alias("others_mean"), ratio(top, others).alias("times_mean"))
 
 
 def period_mean(months: DataFrame, period: str, value: str) -> DataFrame:
@@ -53,18 +48,24 @@ def campaign_month(month: ColumnOrName, years: Sequence[int] = (2014, 2018, 2022
     return F.year(as_col(month)).isin(list(years)) & F.month(as_col(month)).between(first, last)
 
 
-def same_months(months: DataFrame, month: str, latest: Column | None = None) -> DataFrame:
-    """Rows of the months January..m of every year that has all of them, m being the month of
-    the latest row; adds ``year`` and ``is_current``. The current year may have gaps: its own
-    count of months sets the window."""
-    last = latest if latest is not None else latest_month(months, month)
-    work = months.withColumns({"year": F.year(month), "_m": F.month(month)})
-    current = work.filter((F.col("year") == F.year(last)) & (F.col("_m") <= F.month(last)))
-    width = current.agg(F.count_distinct("_m")).scalar()
-    inside = work.filter((F.col("_m") <= width) | ((F.col("year") == F.year(last)) & (F.col("_m") <= F.month(last))))
-    complete = inside.groupBy("year").agg(F.count_distinct("_m").alias("_n")).filter(
-        (F.col("_n") == width) | (F.col("year") == F.year(last))).select("year")
-    return inside.join(complete, "year").withColumn("is_current", F.col("year") == F.year(last)).drop("_m")
+def same_months(months: DataFrame, month: str) -> DataFrame:
+    """Rows of the current year and, of every earlier year that has all of them, of the months
+    January..k, k being the number of months the current year has; adds ``year`` and
+    ``is_current``.
+
+    The calendar of the data (a few hundred months) is one array in one scalar subquery, so
+    the rows themselves are scanned once more and not joined to themselves.
+    """
+    calendar = months.agg(F.sort_array(F.collect_set(month)).alias("c")).select("c", F.year(F.array_max("c")).alias("now"))
+    calendar = calendar.withColumn("k", F.size(F.filter("c", lambda d: F.year(d) == F.col("now"))))
+    early = F.filter("c", lambda d: (F.year(d) < F.col("now")) & (F.month(d) <= F.col("k")))
+    calendar = calendar.withColumn("e", F.transform(early, lambda d: F.year(d)))
+    complete = F.filter(F.array_distinct("e"), lambda y: F.size(F.filter("e", lambda z: z == y)) == F.col("k"))
+    ctx = calendar.select(F.struct("now", "k", complete.alias("years"))).scalar()
+    work = months.withColumn("year", F.year(month)).withColumn("_ctx", ctx)
+    current = F.col("year") == F.col("_ctx.now")
+    inside = current | ((F.month(month) <= F.col("_ctx.k")) & F.array_contains(F.col("_ctx.years"), F.col("year")))
+    return work.filter(inside).withColumn("is_current", current).drop("_ctx")
 
 
 def ytd_window(months: DataFrame, month: str, value: str) -> DataFrame:
@@ -117,30 +118,37 @@ def series_share(a: DataFrame, b: DataFrame, month: str, value: str) -> DataFram
 
 # ------------------------------------------------ year to date with baselines
 
-def ytd_context(months: DataFrame, year: str = "year", month: str = "month", total: str = "total") -> tuple[Column, Column, Column]:
-    """(latest year, latest month with volume, up to three earlier years) as scalars."""
-    last_year = months.agg(F.max(year)).scalar()
-    last_month = months.filter((F.col(year) == last_year) & (F.col(total) > 0)).agg(F.max(month)).scalar()
-    before = months.filter(F.col(year) < last_year).select(year).distinct().orderBy(F.col(year).desc()).limit(3)
-    return last_year, last_month, before.agg(F.sort_array(F.collect_list(year))).scalar()
+def ytd_context(months: DataFrame, year: str = "year", month: str = "month", total: str = "total") -> Column:
+    """struct(last_year, last_month with volume, before: up to three earlier years), as one
+    scalar over the monthly totals (a few hundred cells)."""
+    cells = months.filter(F.col(year).isNotNull()).agg(F.collect_list(F.struct(F.col(year).alias("y"), F.col(month).alias("m"), F.col(total).alias("t"))).alias("c"))
+    cells = cells.withColumn("now", F.array_max(F.transform("c", lambda x: x["y"])))
+    last = F.array_max(F.transform(F.filter("c", lambda x: (x["y"] == F.col("now")) & (x["t"] > 0)), lambda x: x["m"]))
+    earlier = F.array_distinct(F.transform(F.filter("c", lambda x: x["y"] < F.col("now")), lambda x: x["y"]))
+    return cells.select(F.struct(
+        F.col("now").alias("last_year"), last.alias("last_month"), F.slice(F.sort_array(earlier, asc=False), 1, 3).alias("before"))).scalar()
+
+
+def _in_context(rows: DataFrame, months: DataFrame, total: str = "total") -> tuple[DataFrame, Column]:
+    """Rows of the current and the comparison years with ``_ctx``, and the test for current."""
+    work = rows.withColumn("_ctx", ytd_context(months, total=total))
+    now = F.col("year") == F.col("_ctx.last_year")
+    return work.filter(now | F.array_contains(F.col("_ctx.before"), F.col("year"))), now
 
 
 def ytd_vs_baseline(months: DataFrame, counts: Sequence[str], rate_of: dict[str, str], total: str = "total", step: float = 0.8) -> DataFrame:
     """Current year to date against the mean of up to three previous years: means of yearly
     counts, means of yearly rates, change in points and a status."""
-    last_year, last_month, before = ytd_context(months, total=total)
-    window = months.filter((F.col("month") <= last_month) & ((F.col("year") == last_year) | F.array_contains(before, F.col("year"))))
-    per_year = window.groupBy("year").agg(*[F.sum(c).alias(c) for c in counts])
+    window, now = _in_context(months, months, total)
     # a comparison year without any row up to the month still counts, as zeros
-    years = months.filter((F.col("year") == last_year) | F.array_contains(before, F.col("year"))).select("year").distinct()
-    per_year = years.join(per_year, "year", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    upto = lambda c: F.sum(F.when(F.col("month") <= F.col("_ctx.last_month"), F.col(c)).otherwise(0))
+    per_year = window.groupBy("year", now.alias("_now"), F.col("_ctx.last_month").alias("month")).agg(*[upto(c).alias(c) for c in counts])
     per_year = per_year.withColumns({f"{r}_rate": ratio(r, d) for r, d in rate_of.items()})
-    now = F.col("year") == last_year
     fields = [*counts, *[f"{r}_rate" for r in rate_of]]
     out = per_year.agg(
-        F.max("year").alias("year"), last_month.alias("month"), F.count_if(~now).alias("base_years"),
-        *[F.max(F.when(now, F.col(f))).alias(f) for f in fields],
-        *[F.coalesce(F.avg(F.when(~now, F.col(f))), F.lit(0.0)).alias(f"{f}_base") for f in fields])
+        F.max("year").alias("year"), F.max("month").alias("month"), F.count_if(~F.col("_now")).alias("base_years"),
+        *[F.max(F.when(F.col("_now"), F.col(f))).alias(f) for f in fields],
+        *[F.coalesce(F.avg(F.when(~F.col("_now"), F.col(f))), F.lit(0.0)).alias(f"{f}_base") for f in fields])
     deltas = {f"{r}_delta_pp": (F.col(f"{r}_rate") - F.col(f"{r}_rate_base")) * 100 for r in rate_of}
     out = out.withColumns(deltas)
     return out.withColumns({
@@ -150,28 +158,30 @@ def ytd_vs_baseline(months: DataFrame, counts: Sequence[str], rate_of: dict[str,
 
 def ytd_top_rate(bodies: DataFrame, months: DataFrame, body: str, min_total: int = 200, n: int = 5) -> DataFrame:
     """Bodies with the highest denial rate of the current year to date."""
-    last_year, last_month, _ = ytd_context(months)
-    per = bodies.filter((F.col("year") == last_year) & (F.col("month") <= last_month)).groupBy(body).agg(
+    window, now = _in_context(bodies, months)
+    per = window.filter(now & (F.col("month") <= F.col("_ctx.last_month"))).groupBy(body).agg(
         F.sum("total").alias("total"), F.sum("denied").alias("denied"))
     return per.filter(F.col("total") >= min_total).withColumn("denied_rate", ratio("denied", "total")).orderBy(
         F.col("denied_rate").desc(), F.col("denied").desc(), F.col("total").desc(), F.col(body)).limit(n)
 
 
+def _now_and_before(rows: DataFrame, key: str, now: Column, measures: Sequence[str]) -> DataFrame:
+    """Sums of the current and of the comparison years per key, and the number of the latter."""
+    part = lambda c, test: F.sum(F.when(test, F.col(c)).otherwise(0))
+    return rows.groupBy(key, F.size("_ctx.before").alias("_years")).agg(
+        *[part(m, now).alias(f"now_{m}") for m in measures], *[part(m, ~now).alias(f"base_{m}") for m in measures]).filter("_years > 0")
+
+
 def spikes(bodies: DataFrame, months: DataFrame, body: str, min_now: int = 12, min_base: float = 6, times: float = 1.35, plus: float = 8, n: int = 8) -> DataFrame:
     """Bodies whose denials in the latest month jump above the same month of earlier years
     (a year without the body counts as zero)."""
-    last_year, last_month, before = ytd_context(months)
-    years = F.size(before)
-    same = bodies.filter((F.col("month") == last_month) & ((F.col("year") == last_year) | F.array_contains(before, F.col("year"))))
-    now = F.col("year") == last_year
-    per = same.groupBy(body).agg(
-        F.sum(F.when(now, F.col("denied")).otherwise(0)).alias("current_denied"), F.sum(F.when(now, F.col("total")).otherwise(0)).alias("_t"),
-        F.sum(F.when(~now, F.col("denied")).otherwise(0)).alias("_bd"), F.sum(F.when(~now, F.col("total")).otherwise(0)).alias("_bt"))
-    base = F.col("_bd") / years
-    out = per.filter(years > 0).select(
-        body, "current_denied", base.alias("base_denied"), (F.col("current_denied") - base).alias("delta"),
-        F.when(base > 0, F.col("current_denied") / base - 1).otherwise(F.lit(0.0)).alias("lift"),
-        ratio("current_denied", "_t").alias("current_rate"), ratio("_bd", "_bt").alias("base_rate"))
+    window, now = _in_context(bodies, months)
+    per = _now_and_before(window.filter(F.col("month") == F.col("_ctx.last_month")), body, now, ["denied", "total"])
+    base = F.col("base_denied") / F.col("_years")
+    out = per.select(
+        body, F.col("now_denied").alias("current_denied"), base.alias("base_denied"), (F.col("now_denied") - base).alias("delta"),
+        F.when(base > 0, F.col("now_denied") / base - 1).otherwise(F.lit(0.0)).alias("lift"),
+        ratio("now_denied", "now_total").alias("current_rate"), ratio("base_denied", "base_total").alias("base_rate"))
     return out.filter(
         (F.col("current_denied") >= min_now) & (F.col("base_denied") >= min_base)
         & (F.col("current_denied") >= F.col("base_denied") * times) & (F.col("delta") >= plus)
@@ -180,18 +190,12 @@ def spikes(bodies: DataFrame, months: DataFrame, body: str, min_now: int = 12, m
 
 def worsening(themes: DataFrame, months: DataFrame, theme: str, min_total: float = 120, step: float = 1.0, n: int = 8) -> DataFrame:
     """Themes whose restricted rate to date rises above the pooled rate of earlier years."""
-    last_year, last_month, before = ytd_context(months)
-    years = F.size(before)
-    window = themes.filter((F.col("month") <= last_month) & ((F.col("year") == last_year) | F.array_contains(before, F.col("year"))))
-    now = F.col("year") == last_year
-    part = lambda c, test: F.sum(F.when(test, F.col(c)).otherwise(0))
-    per = window.groupBy(theme).agg(
-        part("total", now).alias("current_total"), part("restricted", now).alias("current_restricted"),
-        part("total", ~now).alias("_bt"), part("restricted", ~now).alias("_br"))
-    rate, base = ratio("current_restricted", "current_total"), ratio("_br", "_bt")
-    out = per.filter((years > 0) & (F.col("current_total") >= min_total) & (F.col("_bt") / years >= min_total)).select(
+    window, now = _in_context(themes, months)
+    per = _now_and_before(window.filter(F.col("month") <= F.col("_ctx.last_month")), theme, now, ["total", "restricted"])
+    rate, base = ratio("now_restricted", "now_total"), ratio("base_restricted", "base_total")
+    out = per.filter((F.col("now_total") >= min_total) & (F.col("base_total") / F.col("_years") >= min_total)).select(
         theme, rate.alias("current_rate"), base.alias("base_rate"), ((rate - base) * 100).alias("delta_pp"),
-        "current_total", "current_restricted")
+        F.col("now_total").alias("current_total"), F.col("now_restricted").alias("current_restricted"))
     return out.filter(F.col("delta_pp") >= step).orderBy(
         F.col("delta_pp").desc(), F.col("current_restricted").desc(), F.col(theme)).limit(n)
 
