@@ -240,11 +240,11 @@ p AS (SELECT body, count(*) FILTER (year = y AND is_denied) AS current_denied, c
 SELECT body, current_denied, bd / k::DOUBLE AS base_denied, current_denied - bd / k::DOUBLE AS delta,
  CASE WHEN bd > 0 THEN current_denied / (bd / k::DOUBLE) - 1 ELSE 0 END AS lift, CASE WHEN ct > 0 THEN current_denied / ct::DOUBLE ELSE 0 END AS current_rate,
  CASE WHEN bt > 0 THEN bd / bt::DOUBLE ELSE 0 END AS base_rate
-FROM p, nb WHERE current_denied >= 1 AND bd / k::DOUBLE >= 1 AND current_denied >= bd / k::DOUBLE * 0.01 AND current_denied - bd / k::DOUBLE >= -100
+FROM p, nb WHERE current_denied >= 0 AND bd / k::DOUBLE >= 1 AND current_denied >= bd / k::DOUBLE * 0 AND current_denied - bd / k::DOUBLE >= -100
 ORDER BY lift DESC, delta DESC, body LIMIT 8""")
 def spikes(t: Tables) -> DataFrame:
     """The last month of the tables has a single day, so the thresholds are low here."""
-    return periods.spikes(by(t, "year", "month", "body"), by(t, "year", "month"), "body", min_now=1, min_base=1, times=0.01, plus=-100)
+    return periods.spikes(by(t, "year", "month", "body"), by(t, "year", "month"), "body", min_now=0, min_base=1, times=0, plus=-100)
 
 
 @query("worsening", f"""WITH {REQ_SQL}, {MON_SQL}, nb AS (SELECT count(*) AS k FROM base),
