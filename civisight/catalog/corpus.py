@@ -229,7 +229,8 @@ def alias_table(t: Tables) -> DataFrame:
     return entities.alias_table(people(t), RULES).select("entity_id", "alias_key", "n_tokens")
 
 
-# people with exactly two aliases, one inside the other: overlaps are plain in SQL
+# people with exactly two aliases, one inside the other: the long one is placed first, then the
+# short one in what is left, each from left to right (also where an alias overlaps itself)
 NEST = entities.AliasRules(strict_kinds=("short",))
 HIT_SQL = f"""{ENT_SQL}, al AS (SELECT id, name AS k, 2 AS n FROM ent UNION ALL SELECT id, official, 3 FROM ent),
 al2 AS (SELECT DISTINCT id, k, n FROM al WHERE NOT list_contains({PARTS}, split_part(k, ' ', 1))),
@@ -237,7 +238,13 @@ dt AS (SELECT doc_id, list_filter(string_split({KEY.format(c='text')}, ' '), lam
 gr AS (SELECT doc_id, unnest(range(1, len(w))) AS i, w FROM dt), h AS (
  SELECT doc_id, id, k, n, i FROM (SELECT doc_id, i, w[i] || ' ' || w[i+1] AS g FROM gr) JOIN al2 ON g = k WHERE n = 2
  UNION ALL SELECT doc_id, id, k, n, i FROM (SELECT doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS g FROM gr WHERE i + 2 <= len(w)) JOIN al2 ON g = k WHERE n = 3),
-hit AS (SELECT * FROM h a WHERE n = 3 OR NOT EXISTS (SELECT 1 FROM h b WHERE b.n = 3 AND b.id = a.id AND b.doc_id = a.doc_id AND b.i < a.i + 2 AND a.i < b.i + 3))"""
+h3 AS (SELECT doc_id, id, k, i FROM h WHERE n = 3),
+n3 AS (SELECT a.doc_id, a.id, a.k, a.i, min(b.i) AS nxt FROM h3 a LEFT JOIN h3 b ON b.doc_id = a.doc_id AND b.id = a.id AND b.k = a.k AND b.i >= a.i + 3 GROUP BY ALL),
+a3 AS (SELECT doc_id, id, k, min(i) AS i FROM h3 GROUP BY ALL UNION ALL SELECT a3.doc_id, a3.id, a3.k, nxt FROM a3 JOIN n3 USING (doc_id, id, k, i) WHERE nxt IS NOT NULL),
+h2 AS (SELECT doc_id, id, k, i FROM h a WHERE n = 2 AND NOT EXISTS (SELECT 1 FROM a3 b WHERE b.id = a.id AND b.doc_id = a.doc_id AND b.i < a.i + 2 AND a.i < b.i + 3)),
+n2 AS (SELECT a.doc_id, a.id, a.k, a.i, min(b.i) AS nxt FROM h2 a LEFT JOIN h2 b ON b.doc_id = a.doc_id AND b.id = a.id AND b.k = a.k AND b.i >= a.i + 2 GROUP BY ALL),
+a2 AS (SELECT doc_id, id, k, min(i) AS i FROM h2 GROUP BY ALL UNION ALL SELECT a2.doc_id, a2.id, a2.k, nxt FROM a2 JOIN n2 USING (doc_id, id, k, i) WHERE nxt IS NOT NULL),
+hit AS (FROM a3 UNION ALL FROM a2)"""
 
 
 def _mentions(t: Tables) -> DataFrame:
@@ -245,14 +252,14 @@ def _mentions(t: Tables) -> DataFrame:
     return entities.accepted_mentions(entities.alias_hits(t.documents, entities.alias_table(names, NEST)))
 
 
-@query("mention_counts", f"""WITH {HIT_SQL} SELECT doc_id, id AS entity_id, count(*) AS occurrences, string_agg(DISTINCT k, '|' ORDER BY k) AS matched_aliases FROM hit GROUP BY ALL""")
+@query("mention_counts", f"""WITH RECURSIVE {HIT_SQL} SELECT doc_id, id AS entity_id, count(*) AS occurrences, string_agg(DISTINCT k, '|' ORDER BY k) AS matched_aliases FROM hit GROUP BY ALL""")
 def mention_counts(t: Tables) -> DataFrame:
     """Mentions per document and person, overlaps resolved."""
     rows = entities.mention_counts(_mentions(t))
     return rows.withColumn("matched_aliases", F.array_join("matched_aliases", "|"))
 
 
-@query("entity_directory", f"""WITH {HIT_SQL}, tot AS (SELECT id, count(*) AS occurrences, count(DISTINCT doc_id) AS docs FROM hit GROUP BY id),
+@query("entity_directory", f"""WITH RECURSIVE {HIT_SQL}, tot AS (SELECT id, count(*) AS occurrences, count(DISTINCT doc_id) AS docs FROM hit GROUP BY id),
 st AS (SELECT id, k, count(*) AS o, count(DISTINCT doc_id) AS d, len(list_filter(string_split(k, ' '), lambda x: NOT list_contains({PARTS}, x))) AS w FROM hit GROUP BY ALL),
 best AS (SELECT id, first(k ORDER BY d DESC, o DESC, w DESC, k) AS k FROM st WHERE w >= 2 GROUP BY id)
 SELECT id AS entity_id, 'short' AS kind, coalesce(k, name) AS display_name, occurrences, docs FROM tot LEFT JOIN best USING (id) JOIN ent USING (id)""")
