@@ -1,7 +1,6 @@
 """Rule classifiers. A rule table becomes one CASE expression: one pass, whatever its length."""
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 

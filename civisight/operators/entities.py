@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civisight.functions.text import ColumnOrName, array_unique_folded, as_col, clean_text, fold, match_text, match_tokens
+from civisight.functions.text import ColumnOrName, array_unique_folded, clean_text, fold, match_text, match_tokens
 
 # Particles and suffixes of Portuguese names.
 PARTICLES = ("a", "as", "da", "das", "de", "del", "della", "di", "do", "dos", "du", "e")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from civisight import rules
 from civisight.functions.dates import month_from_parts, parse_date
 from civisight.functions.money import parse_money, total
-from civisight.functions.text import clean_text, first_present, title_case, upper_key
+from civisight.functions.text import first_present, title_case, upper_key
 from civisight.operators import lookups, periods, spines, windows
 
 LANDED = (
