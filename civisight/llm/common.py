@@ -111,6 +111,7 @@ def components(shelf: Shelf, nodes: DataFrame, edges: DataFrame) -> DataFrame:
         for _ in range(3):
             over = hooks.select(F.col("label").alias("up"), F.col("up").alias("further"))
             hooks = hooks.join(over, "up", "left").select("label", F.coalesce("further", "up").alias("up"))
+        hooks = shelf.put(hooks, "jumped")  # settled, so that the join below can split a hot label
         new = shelf.put(labels.join(hooks, "label", "left").select("id", F.coalesce("up", "label").alias("label")), "labels")
         shelf.drop(labels)
         labels = new

@@ -5,17 +5,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from civisight.llm.common import prepare
 from civisight.llm.exact_dedup import exact_groups
+from civisight.llm.ngram_join import ngram_components
+from civisight.llm.substring_dedup import substring_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_components(_table(spark, folder, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_exact_dedup,)}
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup(_table(spark, folder, "documents")).drop("kept_text")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op7_exact_dedup, op10_substring_dedup)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES = {
