@@ -94,7 +94,7 @@ def exchange(packed: DataFrame, partitions: int, reduce: Callable, schema: str)
         if rows:
             yield from reduce(rows)
 
-    return packed.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(run, schema)
+    return packed.repartitionById(partitions, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
 def components(shelf: Shelf, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ sets meet in a band of their common size class (pigeonhole). Candidates then pas
 1024-bit parity sketches (a lower bound of the difference), and at last the exact test on the texts.
 
 Sets that are equal are one node. A band shared by many sets is no clique: its members are compared
-with one hub per round, then joined by label; only members that still carry different labels
-are compared further, and in the end all such pairs, so no link between different sets is lost.
+with one hub per round, then joined by label; only members that still carry different labels are
+compared further, and in the end all of them in blocks, by sketch, so no link between different sets is
+lost; only pairs that pass the test leave a block.
 Tokens and nodes are 64-bit hashes; equality of hashes stands for equality.
 
 Null and empty texts have no tokens and no links; repeated rows are copies; a null id gets a
@@ -29,6 +30,7 @@ from civisight.llm.words import Words, mix, slices
 
 SKETCH_WORDS = 16
 HOT = 64
+CELL = 1000
 _U = np.uint64
 
 
@@ -163,10 +165,48 @@ def _met(rows: list[tuple]):
     fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
     key, node = key[fresh], node[fresh]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    many = np.repeat(np.diff(np.append(first, len(key))) > 1, np.diff(np.append(first, len(key))))
+    size = np.diff(np.append(first, len(key)))
+    # a band is named after its members, so that bands with equal members are one
+    name = mix(np.add.reduceat(mix(node.view(np.uint64)), first) + size.astype(np.uint64))
+    key, many = np.repeat(name, size), np.repeat(size > 1, size)
     yield _members(key[many], node[many])
 
 
+def _cells(batches: Iterator[pa.RecordBatch], threshold: int):
+    """Pairs with different labels that pass the Hamming test, cell by cell; rows are
+    (band, i, j, block, node, label, n, sketch), sorted by cell: block i against block j of a band's members."""
+    held = None
+
+    def pairs(rows: pa.Table):
+        block, node, label, n = (rows.column(k).to_numpy() for k in ("block", "node", "label", "n"))
+        sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for at in range(0, len(left), 256):
+            some = left[at:at + 256]
+            total = n[some][:, None] + n[right][None, :]
+            near = label[some][:, None] != label[right][None, :]
+            near &= 100 * np.minimum(n[some][:, None], n[right][None, :]) >= threshold * np.maximum(n[some][:, None], n[right][None, :])
+            p, q = np.nonzero(near)
+            for cut in range(0, len(p), 100_000):
+                pp, qq = p[cut:cut + 100_000], q[cut:cut + 100_000]
+                far = np.bitwise_count(sketch[some[pp]] ^ sketch[right[qq]]).sum(1)
+                ok = far * (100 + threshold) <= total[pp, qq] * (100 - threshold)
+                a, b = node[some[pp[ok]]], node[right[qq[ok]]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        cell = [held.column(k).to_numpy() for k in ("band", "i", "j")]
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cell])) + 1
+        for a, b in zip(np.append(0, cuts)[:-1], cuts):
+            yield from pairs(held.slice(a, b - a))
+        held = held.slice(cuts[-1]) if len(cuts) else held
+    if held is not None and held.num_rows:
+        yield from pairs(held)
+
+
 def _members(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node)], names=["band", "node"])
 
@@ -197,7 +237,7 @@ def _linked(batches: Iterator[pa.RecordBatch], k: int, threshold: int):
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
-def ngram_components(docs: DataFrame, k: int = 5, threshold: int = 80, star_rounds: int = 4) -> DataFrame:
+def ngram_components(docs: DataFrame, k: int = 5, threshold: int = 80, star_rounds: int = 6) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of docs(doc_id, text).
 
     component_id is the smallest id reachable over links, a link being a Jaccard similarity of the
@@ -208,10 +248,9 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: int = 80, star_roun
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = shelf.put(docs.mapInArrow(lambda b: _sets(b, k), "doc_id long, n_shingles long, node long, sketch array<long>"), "sets")
     longest = sets.agg(F.max("n_shingles")).first()[0] or 0
-    bounds, parts = size_bounds(longest * 2), 4 * n
+    bounds, parts = size_bounds(longest * 2), n
     packed = docs.select("doc_id", "text").mapInArrow(lambda b: _bands(b, k, threshold, bounds, parts), PACK)
-    met = exchange(packed, n, _met, "band long, node long")
-    met = shelf.put(met, "met")
+    met = shelf.put(exchange(packed, n, _met, "band long, node long").distinct(), "met")
 
     nodes = shelf.put(met.select(F.col("node").alias("id")).distinct(), "nodes")
     facts = sets.filter("node is not null").groupBy("node").agg(
@@ -243,20 +282,26 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: int = 80, star_roun
         if not work:
             break
         cross = open_bands.select("band", "cross").distinct().agg(F.sum("cross")).first()[0]
-        if turn < star_rounds and cross > 2 * work or turn == 0:
-            order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-            hub = F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+        last = turn == star_rounds or turn > 0 and cross <= 2 * work
+        if not last:
+            # each set is compared with the hub that it shares most bands with
+            hub = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("hub"), F.col("label").alias("hub_label"))
             hubs = shelf.put(open_bands.groupBy("band").agg(F.min(hub).alias("h")).select("band", "h.*"), "hubs")
-            pairs = (open_bands.join(hubs, "band").filter("label <> hub_label").groupBy("node")
-                     .agg(F.min(F.struct("o", "hub")).alias("h"))
+            pairs = (open_bands.join(hubs, "band").filter("label <> hub_label").groupBy("node", "hub").agg(F.count("*").alias("m"))
+                     .groupBy("node").agg(F.max(F.struct("m", "hub")).alias("h"))
                      .select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b")).distinct())
         else:
-            other = open_bands.select("band", F.col("node").alias("other"), F.col("label").alias("other_label"))
-            pairs = (open_bands.join(other, "band").filter("label < other_label")
-                     .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+            # all that is left, in blocks: a large band is split into cells of two blocks
+            sizes = shelf.put(open_bands.groupBy("band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks")), "sizes")
+            members = (open_bands.select("band", "node", "label").join(sizes, "band")
+                       .join(known.filter("n > 0").select("node", "n", "sketch"), "node")
+                       .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+                       .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+                       .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "n", "sketch"))
+            pairs = (members.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+                     .mapInArrow(lambda b: _cells(b, threshold), "a long, b long").distinct())
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        last = not (turn < star_rounds and cross > 2 * work or turn == 0)
         pairs = shelf.put(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = shelf.put(links(pairs), "links")

@@ -2,10 +2,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from civisight.llm.common import prepare
+from civisight.llm.decontamination import template_matches
 from civisight.llm.exact_dedup import exact_groups
+from civisight.llm.langid import predict_languages
+from civisight.llm.licenses import RULES, SENTENCES, license_matches
+from civisight.llm.line_dedup import line_dedup
+from civisight.llm.lm_score import lm_scores
 from civisight.llm.ngram_join import ngram_components
+from civisight.llm.packing import pack_documents
+from civisight.llm.quality import quality_scores
 from civisight.llm.substring_dedup import substring_dedup
 
 
@@ -17,15 +25,45 @@ def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_components(_table(spark, folder, "documents"))
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(_table(spark, folder, "documents"))
+
+
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op4_langid(spark: SparkSession, folder: str) -> DataFrame:
+    return predict_languages(_table(spark, folder, "documents"))
+
+
+def op5_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scores(_table(spark, folder, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return template_matches(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(_table(spark, folder, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = line_dedup(_table(spark, folder, "documents"))
+    return out.withColumn("kept_sha256", F.sha2(F.coalesce("kept_text", F.lit("")), 256)).drop("kept_text", "longest_run")
+
+
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return license_matches(_table(spark, folder, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup(_table(spark, folder, "documents")).drop("kept_text")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op7_exact_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_quality, op4_langid, op5_lm_score, op6_decontamination,
+                                  op7_exact_dedup, op8_line_dedup, op9_licenses, op10_substring_dedup)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES = {

@@ -205,7 +205,7 @@ def repeated_paths(docs: DataFrame, k: int = 13, m: int = 6, shelf: Shelf | None
     windows whose first occurrence is in ``source``, with a smaller id; texts of the documents involved."""
     spark = docs.sparkSession
     shelf, n = shelf or Shelf(spark), width(spark)
-    parts = 4 * n
+    parts = n
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     marks = exchange(base.mapInArrow(lambda b: _marks(b, k, m, parts), PACK), n, _shared, "doc_id long, marks binary")
     marks = shelf.put(marks, "marks")
