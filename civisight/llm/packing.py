@@ -11,6 +11,7 @@ packed like any others; further columns are ignored; no rows give no rows.
 """
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +35,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def _tokenizer(path: str):
     if path not in _loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and its process was forked
         from tokenizers import Tokenizer
 
         _loaded[path] = Tokenizer.from_file(path)
@@ -92,6 +94,25 @@ def _price(duals: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return value[room], pattern
 
 
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Product without BLAS, whose threads do not survive the driver's fork of the JVM."""
+    return np.einsum("ij,j->i", matrix, vector)
+
+
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with row pivots."""
+    m = len(matrix)
+    work = np.hstack([matrix.astype(float), np.eye(m)])
+    for i in range(m):
+        k = i + int(np.argmax(np.abs(work[i:, i])))
+        work[[i, k]] = work[[k, i]]
+        work[i] /= work[i, i]
+        factor = work[:, i].copy()
+        factor[i] = 0
+        work -= factor[:, None] * work[i]
+    return work[:, m:]
+
+
 def _first_fit(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[np.ndarray]:
     """A starting basis: largest sizes first, each pattern used until a size is exhausted."""
     m = len(sizes)
@@ -113,7 +134,7 @@ def _first_fit(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[np.ndar
     return basis
 
 
-def patterns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 4000, gap: float = 0.002) -> list[tuple[np.ndarray, int]]:
+def patterns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 1500, gap: float = 0.001) -> list[tuple[np.ndarray, int]]:
     """[(pattern, times)] that cover the demand exactly; sizes ascending, in units.
 
     Columns are generated until the program is within ``gap`` of its bound (or for ``rounds`` pivots).
@@ -122,13 +143,13 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 400
     if not m:
         return []
     basis = _first_fit(sizes, demand, room)
-    inverse = np.linalg.inv(np.column_stack(basis))
-    x, volume = np.maximum(inverse @ demand, 0), sizes / room
-    bound = volume @ demand
+    inverse = _inverse(np.column_stack(basis))
+    x, volume = np.maximum(_times(inverse, demand), 0), sizes / room
+    bound = (volume * demand).sum()
     for turn in range(rounds):
         if turn % 200 == 199:
-            inverse = np.linalg.inv(np.column_stack(basis))
-            x = np.maximum(inverse @ demand, 0)
+            inverse = _inverse(np.column_stack(basis))
+            x = np.maximum(_times(inverse, demand), 0)
         if x.sum() <= bound * (1 + gap):
             break
         # prices pulled towards the volume's keep the columns from swinging; the true ones decide at last
@@ -138,13 +159,13 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 400
             prices[sizes - 1] = pull * volume + (1 - pull) * duals
             best, new = _price(prices, room)
             new = new[sizes - 1]
-            if duals @ new > 1 + 1e-6:
+            if (duals * new).sum() > 1 + 1e-6:
                 break
         else:
             break
         if not pull:
             bound = max(bound, x.sum() / best)
-        way = inverse @ new
+        way = _times(inverse, new)
         ok = way > 1e-9
         if not ok.any():
             break
@@ -153,7 +174,7 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 400
         x = np.maximum(x - step * way, 0)
         x[leave] = step
         row = inverse[leave] / way[leave]
-        inverse = inverse - np.outer(way, row)
+        inverse = inverse - way[:, None] * row
         inverse[leave] = row
         basis[leave] = new
     left, out = demand.astype(np.int64).copy(), []

@@ -87,7 +87,8 @@ class Discriminant:
         self.means, self.factors, self.logs = [], [], []
         for label in (0, 1):
             own = z[y == label]
-            spread = np.cov(own.T, bias=True) + 1e-3 * np.eye(z.shape[1])
+            apart = own - own.mean(0)
+            spread = np.einsum("ki,kj->ij", apart, apart) / len(own) + 1e-3 * np.eye(z.shape[1])
             spread = (1 - shrink) * spread + shrink * np.diag(np.diag(spread) + 0.05)
             factor = np.linalg.cholesky(spread)
             self.means.append(own.mean(0))
@@ -104,7 +105,7 @@ class Discriminant:
 
     def difference(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.centre) / self.scale
-        far = [-0.5 * (((z - m) @ f.T) ** 2).sum(1) - c for m, f, c in zip(self.means, self.factors, self.logs)]
+        far = [-0.5 * (np.einsum("ki,ji->kj", z - m, f) ** 2).sum(1) - c for m, f, c in zip(self.means, self.factors, self.logs)]
         return np.clip((far[1] - far[0]) / 4, -15, 15)
 
     def score(self, x: np.ndarray) -> np.ndarray:
