@@ -115,3 +115,10 @@ def components(shelf: Shelf, nodes: DataFrame, edges: DataFrame) -> DataFrame:
         new = shelf.put(labels.join(hooks, "label", "left").select("id", F.coalesce("up", "label").alias("label")), "labels")
         shelf.drop(labels)
         labels = new
+
+
+def by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of docs with (``left_semi``) or without (``left_anti``) an id in ids(doc_id); null equals null."""
+    key = f"_{uuid.uuid4().hex}"
+    ids = ids.select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids[key]), how)

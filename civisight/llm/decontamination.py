@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civisight.llm.common import Shelf
+from civisight.llm.common import Shelf, by_id
 
 # Units of measure that may stand in a slot.
 UNITS = ["km", "kg", "cm", "mm", "ml", "mg", "kmh", "mph", "miles", "mile", "metres", "meters", "metre", "meter", "feet", "foot",
@@ -95,5 +95,4 @@ def template_matches(docs: DataFrame, items: DataFrame, window: int = 8, coverag
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """Rows of docs that match no item; rows without an id stay; all columns are kept."""
-    bad = template_matches(docs, items, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("_bad"), "left_anti")
+    return by_id(docs, template_matches(docs, items, **options).filter("doc_id is not null"), "left_anti")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civisight.llm.common import Shelf
+from civisight.llm.common import Shelf, by_id
 from civisight.llm.words import LOWER, slices
 
 FIRST = 32
@@ -86,6 +86,5 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """Rows of docs whose text is the one that stays of its group; all columns are kept."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    """Rows of docs whose text is the one that stays of its group, by id; all columns are kept."""
+    return by_id(docs, exact_groups(docs).filter("kept"), "left_semi")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civisight.llm.common import PACK, Shelf, components, exchange, pack, width
+from civisight.llm.common import PACK, Shelf, by_id, components, exchange, pack, width
 from civisight.llm.words import Words, mix, slices
 
 SKETCH_WORDS = 16
@@ -322,5 +322,4 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: int = 80, star_roun
 
 def ngram_dedup(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """Rows of docs that are the smallest id of their component; all columns are kept."""
-    kept = ngram_components(docs, k, threshold).filter("component_id <=> doc_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    return by_id(docs, ngram_components(docs, k, threshold).filter("component_id <=> doc_id"), "left_semi")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civisight.llm.common import Shelf
+from civisight.llm.common import Shelf, by_id
 from civisight.llm.words import Words, mix, slices
 
 STATISTICS = ("log_words", "word_length", "long_words", "symbols", "upper", "digits", "marks", "same_as_last",
@@ -155,5 +155,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, f
 
 def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Rows of docs that the classifier does not reject; rows without an id stay; all columns are kept."""
-    bad = quality_scores(docs, labels, **options).filter("predicted = 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("_bad"), "left_anti")
+    return by_id(docs, quality_scores(docs, labels, **options).filter("predicted = 0 and doc_id is not null"), "left_anti")
