@@ -184,9 +184,16 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 150
         if times > 0:
             out.append((p, times))
             left -= p * times
+    out += _largest_first(sizes, left, room)
+    plain = _largest_first(sizes, demand.astype(np.int64), room)
+    return min(out, plain, key=lambda plan: sum(times for _, times in plan))
+
+
+def _largest_first(sizes: np.ndarray, left: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
+    left, out = left.copy(), []
     while left.any():
-        p, free = np.zeros(m, np.int64), room
-        for i in range(m - 1, -1, -1):
+        p, free = np.zeros(len(sizes), np.int64), room
+        for i in range(len(sizes) - 1, -1, -1):
             p[i] = min(left[i], free // sizes[i])
             free -= p[i] * sizes[i]
         times = int(min(left[p > 0] // p[p > 0]))
