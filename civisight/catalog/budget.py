@@ -256,10 +256,10 @@ def override_metric(t: Tables) -> DataFrame:
 
 
 @query("history_upsert", f"""WITH {DOC_SQL}, h AS (SELECT d, sum(committed) AS v FROM doc GROUP BY d), last AS (SELECT max(d) AS d FROM h),
-n AS (SELECT CASE WHEN d = (SELECT d FROM last) THEN 0 ELSE v END AS v, d FROM h ORDER BY d DESC LIMIT 730)
+n AS (SELECT CASE WHEN d = (SELECT d FROM last) THEN 0 ELSE v END AS v, d FROM h)
 SELECT CAST(d AS VARCHAR) AS date, v::DOUBLE AS v FROM n""")
 def history_upsert(t: Tables) -> DataFrame:
-    """A new row replaces the one of the same date; the last 730 dates stay."""
+    """A new row replaces the one of the same date; all other dates stay."""
     history = documents(t).groupBy("date").agg(F.sum("committed").alias("v"))
     row = history.agg(F.max("date").alias("date")).withColumn("v", F.lit(0).cast("decimal(30,2)"))
     return doubles(day_text(state.history_upsert(history, row, "date"), "date"), "v")

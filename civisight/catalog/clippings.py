@@ -78,7 +78,7 @@ def link_admission(t: Tables) -> DataFrame:
     return t.pages.select("page_id", clean.keep_link(own, F.regexp_replace(href, r"//www\.www\.", "//www."), F.lit("title"), mode).alias("kept"))
 
 
-@query("merge_candidates", """WITH c AS (SELECT source AS url, doc_id AS o, CASE WHEN lang = 'de' THEN 'UK' WHEN lang = 'es' THEN '' ELSE lang || doc_id END AS title, CASE WHEN n_chars < 900 THEN lang ELSE left(text, 80) END AS description,
+@query("merge_candidates", """WITH c AS (SELECT source AS url, doc_id AS o, CASE WHEN lang = 'de' THEN 'UK' WHEN lang = 'es' THEN '' ELSE lang || doc_id END AS title, text AS description,
   CASE WHEN lang = 'fr' THEN 'hint' || doc_id ELSE '' END AS hint, lang AS label FROM documents)
 SELECT url, count(*) AS n_rows, first(hint ORDER BY o) FILTER (hint <> '') AS hint, coalesce(first(title ORDER BY o) FILTER (title NOT IN ('UK', '')), last(title ORDER BY o) FILTER (title <> '')) AS title,
  coalesce(first(description ORDER BY o) FILTER (length(description) >= 40), last(description ORDER BY o) FILTER (description <> '')) AS description, (SELECT string_agg(x.label, ',' ORDER BY x.m) FROM (SELECT label, min(o) AS m FROM c c2 WHERE c2.url = c.url GROUP BY label) x) AS labels
@@ -88,7 +88,7 @@ def merge_candidates(t: Tables) -> DataFrame:
     rows = t.documents.select(
         F.col("source").alias("url"), F.col("doc_id").alias("o"),
         F.when(F.col("lang") == "de", "UK").when(F.col("lang") == "es", "").otherwise(F.concat("lang", F.col("doc_id").cast("string"))).alias("title"),
-        F.when(F.col("n_chars") < 900, F.col("lang")).otherwise(F.substring("text", 1, 80)).alias("description"),
+        F.col("text").alias("description"),
         F.when(F.col("lang") == "fr", F.concat(F.lit("hint"), F.col("doc_id").cast("string"))).otherwise("").alias("hint"), F.col("lang").alias("label"))
     out = lookups.merge_candidates(rows, "url", "o", ["hint"], "title", "description", ["label"])
     return out.withColumn("labels", F.array_join("labels", ","))

@@ -147,11 +147,11 @@ def in_scope(t: Tables) -> DataFrame:
 
 
 @query("corpus_profile", """WITH x AS (SELECT 'lang' AS dimension, lang AS label FROM documents UNION ALL SELECT 'source', source FROM documents),
-c AS (SELECT dimension, label, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT 'lang', 'pt', 0), r AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, label) AS rn FROM c)
-SELECT dimension, label, n FROM r WHERE rn <= 10""")
+c AS (SELECT dimension, label, count(*) AS n, dimension = 'lang' AND label IN ('en', 'pt') AS listed FROM x GROUP BY ALL UNION ALL SELECT 'lang', 'pt', 0, true), r AS (SELECT *, row_number() OVER (PARTITION BY dimension, listed ORDER BY n DESC, label) AS rn FROM c)
+SELECT dimension, label, n FROM r WHERE rn <= 2 OR listed""")
 def corpus_profile(t: Tables) -> DataFrame:
     """Largest labels of several dimensions; listed labels keep their zeros."""
-    return profiles.corpus_profile(t.documents, ["lang", "source"], 10, {"lang": ["en", "pt"]})
+    return profiles.corpus_profile(t.documents, ["lang", "source"], 2, {"lang": ["en", "pt"]})
 
 
 @query("flag_counts", """SELECT count(*) FILTER (n_chars > 1000) AS long_texts, count(*) FILTER (lang = 'en') AS english, count(*) FILTER (quality IS NULL) AS unlabelled FROM documents LEFT JOIN labels USING (doc_id)""")

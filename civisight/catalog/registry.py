@@ -35,17 +35,10 @@ def retention_filter(t: Tables) -> DataFrame:
     return spans(t).filter(clean.recent_or_active("active", ["s", "e"], ASOF, 2)).select("key", "active")
 
 
-@query("cap_by_size", f"""WITH {SPAN_SQL} SELECT key FROM act WHERE active""")
-def cap_by_size(t: Tables) -> DataFrame:
-    """The filter applies, because the payload is over the (small) limit."""
-    return clean.cap_by_size(spans(t), F.col("active"), 1000).select("key")
-
-
-@query("cap_by_size_not_needed", "SELECT r_regionkey AS key FROM region")
-def cap_by_size_not_needed(t: Tables) -> DataFrame:
-    """A payload under the limit stays whole."""
-    rows = t.region.select(F.col("r_regionkey").alias("key"), F.col("r_name"))
-    return clean.cap_by_size(rows, F.col("r_name") == "ASIA").select("key")
+@query("encoded_size", "SELECT count(*) AS rows, sum(octet_length(('{\"k\":' || n_nationkey || ',\"v\":\"' || n_name || '\"}')::BLOB))::BIGINT AS bytes FROM nation")
+def encoded_size(t: Tables) -> DataFrame:
+    """Size of a table as it would be published."""
+    return clean.encoded_size(t.nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v")))
 
 
 @query("recency_counts", """SELECT o_orderstatus AS status, count(*) FILTER (d BETWEEN 0 AND 30) AS last_30_days, count(*) FILTER (d BETWEEN 0 AND 90) AS last_90_days

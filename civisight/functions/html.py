@@ -1,12 +1,11 @@
 """Page metadata out of HTML, and JSON out of noisy replies.
 
-Tags are found with regular expressions in the JVM. Two short Arrow helpers remain in
-Python: entity decoding and the recursive walk over embedded JSON-LD.
+Tags and JSON-LD are found with expressions in the JVM. Two short Arrow helpers remain in
+Python: decoding of character references, on fields only, and the lines of a page's body.
 """
 from __future__ import annotations
 
 import html
-import json
 from collections.abc import Sequence
 from html.parser import HTMLParser
 
@@ -15,59 +14,53 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from civisight.functions.dates import parse_timestamp
 from civisight.functions.text import ColumnOrName, as_col, clean_text
 
-JSONLD_SCHEMA = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("title", "description", "site_name", "published_at")]
-    + [T.StructField("author_names", T.ArrayType(T.StringType()))]
-)
-
-
 @F.pandas_udf(T.StringType())
 def unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-def _walk(node: object, out: dict) -> None:
-    if isinstance(node, list):
-        for child in node:
-            _walk(child, out)
-        return
-    if not isinstance(node, dict):
-        return
-
-    def take(field: str, value: object) -> None:
-        if isinstance(value, str) and value.strip() and not out[field]:
-            out[field] = " ".join(value.split())
-
-    for key in ("datePublished", "dateCreated", "dateModified", "uploadDate"):
-        take("published_at", node.get(key))
-    authors = node.get("author")
-    for author in authors if isinstance(authors, list) else [authors]:
-        name = (author.get("name") or author.get("alternateName")) if isinstance(author, dict) else author
-        if isinstance(name, str) and name.strip():
-            out["author_names"].append(" ".join(name.split()))
-    if isinstance(node.get("publisher"), dict):
-        take("site_name", node["publisher"].get("name"))
-    take("title", node.get("headline"))
-    take("description", node.get("description"))
-    for child in node.values():
-        _walk(child, out)
-
-
-@F.pandas_udf(JSONLD_SCHEMA)
-def jsonld_fields(blocks: pd.Series) -> pd.DataFrame:
-    """Depth-first first values over the JSON-LD blocks of a page; bad blocks are skipped."""
-    rows = []
-    for texts in blocks:
-        out = {"title": None, "description": None, "site_name": None, "published_at": None, "author_names": []}
-        for text in texts if texts is not None else []:
-            try:
-                _walk(json.loads(text), out)
-            except ValueError:
-                continue
-        rows.append(out)
-    return pd.DataFrame(rows, columns=["title", "description", "site_name", "published_at", "author_names"])
+def decoded(c: ColumnOrName) -> Column:
+    """Text without character references; only fields that hold one are decoded."""
+    col = as_col(c)
+    return F.when(col.contains("&"), unescape(F.when(col.contains("&"), col))).otherwise(col)
+
+
+_STRING = r'"((?:[^"\\]|\\.)*)"'
+
+
+def _strings(blocks: Column, key: str) -> Column:
+    """Non-blank string values of a key, in the order of the text."""
+    found = F.regexp_extract_all(blocks, F.lit(rf'"{key}"\s*:\s*{_STRING}'), F.lit(1))
+    return F.filter(F.transform(found, lambda x: clean_text(F.get_json_object(F.concat(F.lit('{"v":"'), x, F.lit('"}')), "$.v"))), lambda x: x.isNotNull())
+
+
+def _objects(blocks: Column, key: str) -> Column:
+    """Values of a key that are a string, a list or an object (with one level inside), as JSON text."""
+    flat = r"[^{}\[\]]|\{[^{}]*\}|\[[^\[\]]*\]"
+    return F.regexp_extract_all(blocks, F.lit(rf'"{key}"\s*:\s*("(?:[^"\\]|\\.)*"|\[(?:{flat})*\]|\{{(?:{flat})*\}})'), F.lit(1))
+
+
+def jsonld_fields(blocks: Column) -> Column:
+    """struct(title, description, site_name, published_at, author_names) out of JSON-LD blocks.
+
+    Blocks that do not parse are skipped. Fields are the first value in the text; the date is the first that
+    can be read, published before created before modified before uploaded.
+    """
+    text = F.array_join(F.filter(blocks, lambda b: F.try_parse_json(b).isNotNull()), "\n")
+    first = lambda values: F.try_element_at(values, F.lit(1))
+    dates = F.concat(*[_strings(text, k) for k in ("datePublished", "dateCreated", "dateModified", "uploadDate")])
+    site = F.flatten(F.transform(_objects(text, "publisher"), lambda o: _strings(F.regexp_replace(F.substring(o, 2, 1 << 30), r"\{[^{}]*\}", ""), "name")))
+    listed = F.flatten(F.transform(_objects(text, "author"), lambda a: F.from_json(
+        F.when(a.startswith("["), a).otherwise(F.concat(F.lit("["), a, F.lit("]"))), "array<string>")))
+    named = F.transform(listed, lambda x: clean_text(F.when(x.startswith("{"), F.coalesce(
+        F.nullif(F.trim(F.get_json_object(x, "$.name")), F.lit("")), F.get_json_object(x, "$.alternateName"))).otherwise(x)))
+    return F.struct(
+        first(_strings(text, "headline")).alias("title"), first(_strings(text, "description")).alias("description"), first(site).alias("site_name"),
+        F.coalesce(first(F.filter(dates, lambda d: parse_timestamp(d).isNotNull())), first(dates)).alias("published_at"),
+        F.filter(named, lambda n: n.isNotNull()).alias("author_names"))
 
 
 def jsonld_blocks(c: ColumnOrName) -> Column:
@@ -181,6 +174,7 @@ class _Body(HTMLParser):
 
 
 def _lines(page: str, containers: Sequence[tuple[str | None, str | None]], min_chars: int) -> list[str]:
+    best: list[str] = []
     for want_id, want_tag in containers:
         body = _Body(want_id, want_tag)
         body.feed(page)
@@ -189,7 +183,8 @@ def _lines(page: str, containers: Sequence[tuple[str | None, str | None]], min_c
             lines = [line for line in [" ".join(" ".join(body.everything).split())] if line]
         if sum(map(len, lines)) >= min_chars:
             return lines
-    return []
+        best = max(best, lines, key=lambda x: sum(map(len, x)))
+    return best
 
 
 # Containers of the body, in order of preference.
@@ -198,7 +193,8 @@ BODY_CONTAINERS = (("parent-fieldname-text", None), ("content-core", None), (Non
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def body_lines(pages: pd.Series) -> pd.Series:
-    """Paragraphs, list items, quotes and sub-headings of the main container of a page."""
+    """Paragraphs, list items, quotes and sub-headings of the main container of a page: the first
+    with 160 characters, else the one with most text."""
     return pages.map(lambda page: _lines(page or "", BODY_CONTAINERS, 160))
 
 

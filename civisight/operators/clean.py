@@ -28,11 +28,9 @@ def recent_or_active(active: ColumnOrName, dates: Sequence[ColumnOrName], asof:
     return as_col(active) | F.coalesce(newest >= F.add_months(F.lit(asof), -12 * years), F.lit(False))
 
 
-def cap_by_size(df: DataFrame, keep: Column, limit_bytes: int = 8 * 1024 * 1024) -> DataFrame:
-    """Apply ``keep`` only when the encoded rows exceed the limit. The size is one scalar in
-    the same plan; no rows reach the driver."""
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))))
-    return df.filter(keep | (F.coalesce(size.scalar(), F.lit(0)) <= limit_bytes))
+def encoded_size(df: DataFrame) -> DataFrame:
+    """One row: rows and bytes of the encoded table, as a plain metric."""
+    return df.agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))).alias("bytes"))
 
 
 # Navigation titles that say nothing about a page.

@@ -74,8 +74,8 @@ def recency_counts(df: DataFrame, date: ColumnOrName, asof: dt.date, days: Seque
 
 
 def corpus_profile(df: DataFrame, dims: Sequence[str], top: int = 20, labels: dict[str, Sequence[str]] | None = None) -> DataFrame:
-    """(dimension, label, n): counts of several dimensions in one pass, the largest of each;
-    fixed label lists keep their zeros."""
+    """(dimension, label, n): counts of several dimensions in one pass, the ``top`` largest of each
+    besides the listed labels, which always stay, with zeros where there are none."""
     from civisight.operators.windows import top_per_group
 
     labels = labels or {}
@@ -83,11 +83,13 @@ def corpus_profile(df: DataFrame, dims: Sequence[str], top: int = 20, labels: di
         F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("")).alias("label")) for d in dims
     ])).alias("x")).select("x.*")
     counts = long.groupBy("dimension", "label").agg(F.count("*").alias("n"))
-    if labels:
-        fixed = [F.struct(F.lit(d).alias("dimension"), F.lit(v).alias("label")) for d, vs in labels.items() for v in vs]
-        listed = df.sparkSession.range(1).select(F.explode(F.array(*fixed)).alias("x")).select("x.*")
-        counts = counts.join(listed, ["dimension", "label"], "full").withColumn("n", F.coalesce("n", F.lit(0)))
-    return top_per_group(counts, ["dimension"], [F.col("n").desc(), F.col("label")], top)
+    if not labels:
+        return top_per_group(counts, ["dimension"], [F.col("n").desc(), F.col("label")], top)
+    fixed = [F.struct(F.lit(d).alias("dimension"), F.lit(v).alias("label")) for d, vs in labels.items() for v in vs]
+    listed = df.sparkSession.range(1).select(F.explode(F.array(*fixed)).alias("x")).select("x.*").distinct().withColumn("listed", F.lit(True))
+    counts = counts.join(listed, ["dimension", "label"], "full").withColumn("n", F.coalesce("n", F.lit(0)))
+    cut = top_per_group(counts.filter("listed is null"), ["dimension"], [F.col("n").desc(), F.col("label")], top)
+    return cut.unionByName(counts.filter("listed")).drop("listed")
 
 
 def snapshot_label(df: DataFrame, source: str, date: str) -> DataFrame:

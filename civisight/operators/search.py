@@ -123,12 +123,11 @@ def build_index(docs: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return tokens.groupBy("token", key).agg(F.count("*").alias("tf"))
 
 
-def write_index(postings: DataFrame, key: str, path: str, buckets: int = 256, writers: int = 4) -> None:
-    """Bucketed by token hash and sorted, so a lookup reads one bucket's row groups."""
-    bucket = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
-    work = postings.withColumn("bucket", bucket)
-    work = work.repartition("bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(writers)))
-    work.sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(path)
+def write_index(postings: DataFrame, key: str, path: str, buckets: int = 256) -> None:
+    """Bucketed by token hash and sorted, so a lookup reads one bucket's row groups; a heavy bucket is split
+    over as many writers as its size asks for."""
+    work = postings.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+    work.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def search_index(postings: DataFrame, key: str, tokens: Sequence[str]) -> DataFrame:

@@ -14,10 +14,10 @@ from civisight.operators.sets import dataset_diff
 from civisight.operators.windows import dedupe_last
 
 
-def history_upsert(history: DataFrame, row: DataFrame, date: str, keep: int = 730) -> DataFrame:
-    """The new row replaces one of the same date; only the last ``keep`` dates stay."""
+def history_upsert(history: DataFrame, row: DataFrame, date: str, since: dt.date | None = None) -> DataFrame:
+    """The new row replaces one of the same date; nothing else goes, unless a first date to keep is given."""
     kept = history.join(row.select(date), date, "left_anti").unionByName(row, allowMissingColumns=True)
-    return kept.orderBy(F.col(date).desc()).limit(keep)
+    return kept if since is None else kept.filter(F.col(date) >= F.lit(since))
 
 
 def history_row(diff: DataFrame, totals: Column, date: dt.date, source_changed: bool, kinds: Sequence[str], positive_from: str) -> DataFrame:

@@ -23,7 +23,6 @@ def page_metadata(pages: DataFrame, names: Sequence[str], site_hints: Sequence[s
     (``url``, ``html``). The whole page text is read."""
     prepared = pages.select(
         "url", html.without_code("html").alias("_c"), html.jsonld_fields(html.jsonld_blocks("html")).alias("_ld"))
-    prepared = prepared.withColumn("_u", html.unescape("_c"))
     meta, links = html.tags("_c", "meta"), html.tags("_c", "link")
     content = lambda *where: html.first_attr(meta, [(w, "content") for w in where])
     stamps = F.concat(
@@ -34,12 +33,12 @@ def page_metadata(pages: DataFrame, names: Sequence[str], site_hints: Sequence[s
         html.attr_values(meta, ("name", "author"), "content"), html.attr_values(meta, ("property", "article:author"), "content"),
         html.attr_values(meta, ("itemprop", "author"), "content"), F.col("_ld.author_names"))
     found = prepared.select(
-        "url", F.coalesce(html.first_tag_text("_u", "title"), F.col("_ld.title")).alias("_title"), html.first_tag_text("_u", "h1").alias("_h1"),
+        "url", F.coalesce(html.decoded(html.first_tag_text("_c", "title")), F.col("_ld.title")).alias("_title"), html.decoded(html.first_tag_text("_c", "h1")).alias("_h1"),
         content(("property", "og:title")).alias("_og"), content(("name", "twitter:title")).alias("_tw"),
         F.coalesce(content(("name", "description"), ("property", "og:description"), ("name", "twitter:description")), F.col("_ld.description")).alias("description"),
         F.coalesce(content(("property", "og:site_name"), ("name", "application-name")), F.col("_ld.site_name")).alias("site_name"),
         F.coalesce(html.first_attr(links, [(("rel", "canonical"), "href")]), content(("property", "og:url"))).alias("canonical_url"),
-        published.alias("published_at"), union_distinct(authors).alias("author_names"), html.page_text("_u").alias("text"))
+        published.alias("published_at"), union_distinct(authors).alias("author_names"), html.decoded(html.page_text("_c")).alias("text"))
     return found.select(
         "url", preferred_title(["_h1", "_og", "_tw", "_title"], "url", "site_name", site_hints).alias("title"), "description", "site_name",
         F.coalesce(canonical_url("canonical_url"), canonical_url("url")).alias("canonical_url"), "published_at", "author_names",
@@ -61,7 +60,7 @@ def reader_metadata(pages: DataFrame, names: Sequence[str]) -> DataFrame:
     out = pages.select(
         "url", head("Title").alias("title"), F.coalesce(canonical_url(head("URL Source")), canonical_url("url")).alias("canonical_url"),
         parse_timestamp(head("Published Time")).alias("published_at"), excerpt_around(body, names).alias("text_excerpt"), domain("url").alias("site_name"))
-    return out.withColumn("description", F.substring("text_excerpt", 1, 220))
+    return out.withColumn("description", F.col("text_excerpt"))
 
 
 def candidates(rows: DataFrame, order: str = "row_no") -> DataFrame:

@@ -54,21 +54,22 @@ RECORD_FIELDS = ("title", "description", "location", "text", "date", "date_sourc
 def document_pages(pages: DataFrame, last_year: int) -> DataFrame:
     """Fields of landed document pages (``url``, ``html``)."""
     page = pages.select(
-        article_url("url").alias("url"), html.without_code("html").alias("_c"), html.unescape(html.without_code("html")).alias("_u"))
+        article_url("url").alias("url"), html.without_code("html").alias("_c"))
     meta = html.tags("_c", "meta")
     parsed = page.select(
         "url",
         F.coalesce(
-            html.first_tag_text("_u", "h1", "documentFirstHeading"), html.first_tag_text("_u", "h1"),
-            html.first_attr(meta, [(("property", "og:title"), "content")]), html.first_tag_text("_u", "title")).alias("title"),
+            html.first_tag_text("_c", "h1", "documentFirstHeading"), html.first_tag_text("_c", "h1"),
+            html.first_attr(meta, [(("property", "og:title"), "content")]), html.first_tag_text("_c", "title")).alias("title"),
         F.coalesce(
-            html.first_tag_text("_u", "div", "documentDescription"), html.first_tag_text("_u", "p", "documentDescription"),
+            html.first_tag_text("_c", "div", "documentDescription"), html.first_tag_text("_c", "p", "documentDescription"),
             html.first_attr(meta, [(("name", "description"), "content")])).alias("description"),
-        F.coalesce(html.first_tag_text("_u", "span", "documentPublished"), html.first_tag_text("_u", "time")).alias("published_line"),
+        F.coalesce(html.first_tag_text("_c", "span", "documentPublished"), html.first_tag_text("_c", "time")).alias("published_line"),
         html.body_lines("_c").alias("lines"))
+    parsed = parsed.withColumns({c: html.decoded(c) for c in ("title", "description", "published_line")})
     line = lambda i: F.get("lines", F.lit(i))
     return parsed.withColumn("_d", prose_date(["description", "published_line", line(0), line(1), line(2), "title"], "url", last_year)).select(
-        "url", "title", "description", F.array_join("lines", "\n").alias("text"), F.col("_d.date").alias("date"), F.col("_d.source").alias("date_source"),
+        "url", "title", "description", F.array_join("lines", "\n").alias("text"), F.length(F.array_join("lines", "\n")).alias("text_length"), F.col("_d.date").alias("date"), F.col("_d.source").alias("date_source"),
         prose_place([line(0), line(1), line(2), "description", "title"]).alias("location"))
 
 

@@ -40,12 +40,6 @@ def retained(rows: DataFrame, asof: dt.date, years: int = 6) -> DataFrame:
     return rows.filter(clean.recent_or_active("active", ["start", "end", "published"], asof, years))
 
 
-def payload(rows: DataFrame, asof: dt.date, years: int = 6, limit_bytes: int = 8 * 1024 * 1024) -> DataFrame:
-    """All rows while they fit the payload limit, else the active and recent ones."""
-    keep = clean.recent_or_active("active", ["start", "end", "published"], asof, years)
-    return clean.cap_by_size(rows, keep, limit_bytes)
-
-
 def summary(rows: DataFrame, asof: dt.date) -> dict[str, DataFrame]:
     """Report tables of the registry."""
     active = rows.filter("active")

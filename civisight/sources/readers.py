@@ -6,11 +6,13 @@ are text and, in archives, not splittable: land them to Parquet once and query t
 """
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -32,55 +34,81 @@ def _position() -> F.Column:
     )
 
 
+def _files(df: DataFrame) -> list[str]:
+    return sorted(unquote(f) for f in df.inputFiles())
+
+
 def read_delimited(
     spark: SparkSession, path: str | Sequence[str], sep: str = ";", encoding: str = "UTF-8",
     multiline: bool = False, drop_malformed: bool = False, year_pattern: str | None = None,
 ) -> DataFrame:
     """Delimited text, all columns as strings, plus ``row_no``.
 
-    ``year_pattern`` (one group) adds ``year`` taken from the file path, for inputs that
-    come as one file per year.
+    Columns go by name: files whose headers differ, in order or in columns, are read in groups of
+    equal headers; a column that a file lacks is null. ``year_pattern`` (one group) adds ``year`` taken
+    from the file path, for inputs that come as one file per year.
     """
     reader = (
         spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
         .option("multiLine", multiline).option("escape", '"')
         .option("mode", "DROPMALFORMED" if drop_malformed else "PERMISSIVE")
     )
-    df = reader.csv(path if isinstance(path, str) else list(path))
     extra = {"row_no": _position()}
     if year_pattern:
         extra["year"] = F.regexp_extract(F.col("_metadata.file_path"), year_pattern, 1).try_cast("int")
-    names = {c: c.replace("﻿", "").strip() for c in df.columns}
-    return df.withColumns(extra).withColumnsRenamed(names)
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.withColumns(extra).withColumnsRenamed({c: c.replace("\ufeff", "").strip() for c in df.columns})
+
+    whole = reader.csv(path if isinstance(path, str) else list(path))
+    files, groups = _files(whole), {}
+    if len(files) < 2:
+        return named(whole)
+    for file in files:  # reads the first line of each file only
+        groups.setdefault(tuple(reader.csv(file).columns), []).append(file)
+    parts = [named(reader.csv(some)) for some in groups.values()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.select(*[c for c in out.columns if c not in extra], *extra)
 
 
 def read_with_preamble(spark: SparkSession, path: str, sep: str = ";", date_pattern: str = r"(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})") -> DataFrame:
-    """Delimited text whose first line carries the source date and whose second is the header."""
-    first, header = (r.value.replace("﻿", "") for r in spark.read.text(path).take(2))
-    names = [h.strip() for h in next(csv.reader([header], delimiter=sep))]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    stamp = re.search(date_pattern, first)
-    rows = spark.read.option("sep", sep).option("escape", '"').schema(schema).csv(path)
-    lead = F.regexp_replace(F.coalesce(F.col(f"`{names[0]}`"), F.lit("")), "﻿", "")
-    is_header = (lead == names[0]) & (F.col(f"`{names[1]}`") == names[1]) if len(names) > 1 else lead == names[0]
-    is_preamble = F.lit(first).startswith(lead) & (lead != "") if len(names) == 1 else (
-        F.lit(first).startswith(lead) & (lead != "") & F.col(f"`{names[-1]}`").isNull() & F.col(f"`{names[1]}`").isNull())
-    stamp_text = F.lit(stamp.group(1) if stamp else None).cast("string")
-    return (
-        rows.withColumn("row_no", _position()).filter(~F.coalesce(is_header | is_preamble, F.lit(False)))
-        .withColumn("source_date", F.coalesce(F.try_to_date(stamp_text, "yyyy-MM-dd"), F.try_to_date(stamp_text, "dd/MM/yyyy")))
-    )
+    """Delimited text whose first line carries the source date and whose second is the header,
+    per file: each file has its own date and its own order of columns."""
+    parts = []
+    for file in _files(spark.read.text(path)):
+        lines = spark.read.text(file)
+        first, header = (r.value for r in lines.take(2))
+        names = [h.strip() for h in next(csv.reader([header.replace("\ufeff", "")], delimiter=sep))]
+        stamp = re.search(date_pattern, first)
+        stamp_text = F.lit(stamp.group(1) if stamp else None).cast("string")
+        data = lines.withColumn("row_no", _position()).filter(~F.col("value").isin(first, header) & (F.trim("value") != ""))
+        parts.append(data.select(F.from_csv("value", _ddl(names), {"sep": sep, "escape": '"'}).alias("x"), "row_no")
+                     .select("x.*", "row_no", F.coalesce(F.try_to_date(stamp_text, "yyyy-MM-dd"), F.try_to_date(stamp_text, "dd/MM/yyyy")).alias("source_date")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _ddl(names: Sequence[str]) -> str:
+    return ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
 
 
 def pick_member(names: Sequence[str], contains: Sequence[str] = (), excludes: Sequence[str] = (), suffix: str = ".csv") -> str | None:
-    """Archive member to read: the first by position whose name fits; any delimited file otherwise."""
-    wanted = [n for n in names if n.lower().endswith(suffix.lower())]
+    """Archive member to read: the first by name that fits; any delimited file otherwise."""
+    wanted = [n for n in sorted(names) if n.lower().endswith(suffix.lower())]
     fitting = [n for n in wanted if all(x.lower() in n.lower() for x in contains) and not any(x.lower() in n.lower() for x in excludes)]
     return next(iter(fitting or ([] if contains else wanted)), None)
 
 
 def _decoded(raw: zipfile.ZipFile, member: str, encodings: Sequence[str]) -> io.TextIOBase:
-    """Text stream in the first encoding that fits the whole member."""
+    """Text stream in the encoding of the byte-order mark, else in the first that fits the whole member."""
+    with raw.open(member) as probe:
+        mark = probe.read(4)
+    if mark.startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)):
+        return io.TextIOWrapper(raw.open(member), encoding="utf-16", newline="")
     for encoding in encodings[:-1]:
         try:
             with raw.open(member) as probe:
@@ -115,9 +143,11 @@ def read_zip_member(
                     name = member(raw.namelist())
                     if name is None:
                         continue
+                    csv.field_size_limit(2**31 - 1)
                     reader = csv.reader(_decoded(raw, name, encodings), delimiter=sep)
-                    header = {snake(h): i for i, h in reversed(list(enumerate(next(reader, []))))}
-                    width = len(header)
+                    raw_header = next(reader, [])
+                    header = {snake(h): i for i, h in reversed(list(enumerate(raw_header)))}
+                    width = len(raw_header)
                     places = [header.get(key) for _, key in wanted]
                     rows: list[tuple] = []
                     for number, row in enumerate(reader):
@@ -188,18 +218,19 @@ def resolve_columns(headers: Sequence[str], spec: dict[str, dict]) -> dict[str,
     ``spec[field]`` has ``exact`` names, tried first, and ``contains`` groups of words, of
     which the shortest header that holds all words of a group wins.
     """
-    flat = {h: snake(h).replace("_", " ") for h in headers}
-    by_key = {k: h for h, k in flat.items()}
-
-    def resolve(wanted: dict) -> str | None:
-        for name in wanted.get("exact", ()):
-            if (hit := by_key.get(snake(name).replace("_", " "))) is not None:
-                return hit
-        groups = [[fold_text(w) for w in g] for g in wanted.get("contains", ())]
-        holding = [(len(k), h) for h, k in flat.items() if any(all(w in k for w in g) for g in groups)]
-        return min(holding)[1] if holding else None
-
-    return {field: resolve(wanted) for field, wanted in spec.items()}
+    words = {h: snake(h).replace("_", " ") for h in headers}
+
+    def fit(header: str, wanted: dict) -> tuple | None:
+        """Rank of a header for a field: place among the exact names, then length and name."""
+        exact = [snake(n).replace("_", " ") for n in wanted.get("exact", ())]
+        if words[header] in exact:
+            return exact.index(words[header]), 0, ""
+        if any(all(fold_text(w) in words[header] for w in group) for group in wanted.get("contains", ())):
+            return len(exact), len(words[header]), header
+        return None
+
+    ranked = {field: sorted((rank, h) for h in headers if (rank := fit(h, wanted)) is not None) for field, wanted in spec.items()}
+    return {field: found[0][1] if found else None for field, found in ranked.items()}
 
 
 def select_resolved(df: DataFrame, spec: dict[str, dict], keep: Sequence[str] = ()) -> DataFrame:

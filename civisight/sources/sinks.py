@@ -46,23 +46,19 @@ def union_typed(parts: dict[str, DataFrame], kind: str = "row_kind") -> DataFram
     return out
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Updates replace target rows of the same key; among updates the last by ``order`` wins."""
     from civisight.operators.windows import dedupe_last
 
-    latest = dedupe_last(updates, keys, order) if order else updates.dropDuplicates(list(keys))
+    latest = dedupe_last(updates, keys, order)
     kept = target.join(latest.select(*keys), list(keys), "left_anti")
     return kept.unionByName(latest.select(*target.columns), allowMissingColumns=True)
 
 
-def write_partitions(df: DataFrame, path: str, by: Sequence[str], files_per_partition: int = 16) -> None:
-    """Replace only the partitions present in ``df``.
-
-    Rows of one partition value go to several writers, so a heavy partition does not end up
-    in one task. The salt is a hash of the row: a task that runs again writes the same rows.
-    """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_partition))
-    df.repartition(*[F.col(c) for c in by], salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+def write_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Replace only the partitions present in ``df``. Rows are rebalanced by partition value: a heavy
+    value is split over as many writers as its size asks for, small ones share a writer."""
+    df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def refresh_partitions(

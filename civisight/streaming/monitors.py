@@ -31,6 +31,12 @@ class StateSlots:
 
     def write(self, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/slot={batch % 2}")
+        # the pointer follows its slot: a batch that fails in between is run again
+        df.sparkSession.range(batch, batch + 1).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/last")
+
+    def latest(self, spark: SparkSession) -> str:
+        """Folder of the slot written last, also when this run had nothing to do."""
+        return f"{self.path}/slot={spark.read.parquet(f'{self.path}/last').first()[0] % 2}"
 
 
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -104,18 +110,17 @@ def snapshot_delta(
 
 
 def upsert_stream(stream: DataFrame, keys: Sequence[str], order: str, path: str, seed: DataFrame | None = None) -> str:
-    """Keyed table kept by a stream of updates, latest wins. Returns the folder of the last slot."""
-    slots, last = StateSlots(f"{path}/state", seed), {}
+    """Keyed table kept by a stream of updates, the largest ``order`` wins, also over batches.
+    Returns the folder of the last slot."""
+    slots = StateSlots(f"{path}/state", seed)
 
     def each(batch: DataFrame, number: int) -> None:
         before = slots.read(batch.sparkSession, number)
-        latest = dedupe_last(batch, keys, order)
-        merged = latest if before is None else before.join(latest.select(*keys), list(keys), "left_anti").unionByName(latest)
-        slots.write(merged, number)
-        last["n"] = number
+        rows = batch if before is None else before.unionByName(batch, allowMissingColumns=True)
+        slots.write(dedupe_last(rows, keys, order), number)
 
     run_available(stream, each, f"{path}/checkpoint")
-    return f"{path}/state/slot={last.get('n', 0) % 2}"
+    return slots.latest(stream.sparkSession)
 
 
 # -------------------------------------------------------------- posts feed
