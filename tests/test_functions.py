@@ -114,3 +114,15 @@ def test_html(one):
 def test_repair_json(one):
     got = [one(html.repair_json("x", "struct<a:int>"), x=v)[0] for v in ('{"a":1}', 'Sure: {"a":2} ok', "none", "[1]")]
     assert [(g.value.a if g.value else None, g.ok) for g in got] == [(1, True), (2, True), (None, False), (None, False)]
+
+
+def test_jsonld_rules(one):
+    block = '<script type="application/ld+json">%s</script>'
+    page = block % '{"datePublished": "soon", "dateCreated": "2024-02-03", "description": "a &quot; \\"q\\"", "publisher": {"logo": {"name": "no"}, "name": "Site"}, "author": {"alternateName": "Alt"}}'
+    out = one(html.jsonld_fields(html.jsonld_blocks("x")), html.decoded("y"), html.decoded("z"), x=page, y="a &amp; b", z="plain")
+    assert (out[0].published_at, out[0].site_name, out[0].author_names, out[0].description) == ("2024-02-03", "Site", ["Alt"], 'a &quot; "q"')
+    assert out[1:] == ("a & b", "plain")
+
+
+def test_short_body_is_kept(one):
+    assert one(html.body_lines("x"), x="<main><p>Short</p></main>")[0] == ["Short"]

@@ -221,3 +221,11 @@ def test_clippings(spark):
     assert got == {
         1: ("authored", "author"), 2: ("mention", "mentioned"), 3: ("republication", "republication / syndication"), 4: ("quoted", "quoted as source"),
         5: ("interview", "interviewee"), 6: ("profile", "profile"), 11: ("mention", "mentioned"), 12: ("echo", "follow-up of own work")}
+
+
+def test_listed_labels_survive_the_cut(spark):
+    from civisight.operators import profiles
+
+    df = rows(spark, "c", *[(x,) for x in "aaabbccd"])
+    got = {(r.label, r.n) for r in profiles.corpus_profile(df, ["c"], 2, {"c": ["d", "zz"]}).collect()}
+    assert got == {("a", 3), ("b", 2), ("d", 1), ("zz", 0)}

@@ -107,3 +107,42 @@ def test_upsert_and_index(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "ix"))
     assert {(r.d, r.tf) for r in search.search_index(stored, "d", ["fim", "Acao"]).collect()} == {(1, 3)}
     assert stored.filter(F.col("token") == "fim").count() == 2
+
+
+def test_headers_in_another_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a;b\n1;2\n")
+    (tmp_path / "b.csv").write_text("b;a\n8;9\n")
+    (tmp_path / "c.csv").write_text("a;c\n5;6\n")
+    df = readers.read_delimited(spark, str(tmp_path / "*.csv"))
+    assert {(r.a, r.b, r.c) for r in df.collect()} == {("1", "2", None), ("9", "8", None), ("5", None, "6")}
+
+
+def test_preamble_per_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Date: 2024-05-06\nX;Y\nDate;2\n")
+    (tmp_path / "b.csv").write_text("Date: 07/06/2024\nY;X\n4;3\n")
+    df = readers.read_with_preamble(spark, str(tmp_path / "*.csv"))
+    assert {(r.X, r.Y, r.source_date) for r in df.collect()} == {("Date", "2", dt.date(2024, 5, 6)), ("3", "4", dt.date(2024, 6, 7))}
+
+
+def test_zip_odd_members(spark, tmp_path):
+    assert readers.pick_member(["z_data.csv", "a_data.csv"], ["data"]) == "a_data.csv"
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("d.csv", ("Nome;NOME;x\n" + "a;b;" + "l" * 200_000 + "\n").encode("utf-16"))
+    row = readers.read_zip_member(spark, str(tmp_path / "a.zip"), ["nome", "x"], skip_malformed=True).collect()
+    assert [(r.nome, len(r.x)) for r in row] == [("a", 200_000)]
+
+
+def test_heavy_partition_is_split(spark, tmp_path):
+    """90 % of rows in one partition value and on one token: no writer takes most of them."""
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(200_000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(99).alias("part"), F.sha1(F.col("id").cast("string")).alias("v")).repartition(8)
+        sinks.write_partitions(rows, str(tmp_path / "p"), ["part"])
+        files = spark.read.parquet(str(tmp_path / "p")).filter("part = 99").groupBy(F.col("_metadata.file_path")).count().collect()
+        assert len(files) > 4 and max(r["count"] for r in files) < 90_000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -77,3 +77,19 @@ def test_append_first_seen_has_watermark(spark, tmp_path):
     first = monitors.append_first_seen(stream, ["k"], "ts", "1 day")
     monitors.run_available(first, lambda df, n: df.write.mode("overwrite").parquet(str(tmp_path / "out" / f"b={n}")), str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "out" / "*")).count() == 1
+
+
+def test_upsert_stream_resumes_and_keeps_order(spark, tmp_path):
+    src, path = tmp_path / "in", str(tmp_path / "job")
+    schema = "k int, o int, v string"
+    land = lambda name, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(src / name))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src / "*"))
+    state = lambda folder: {(r.k, r.v) for r in spark.read.parquet(folder).collect()}
+    land("1", [(1, 1, "old")])
+    monitors.upsert_stream(stream(), ["k"], "o", path)
+    land("2", [(1, 2, "new"), (2, 1, "b")])
+    first = monitors.upsert_stream(stream(), ["k"], "o", path)
+    assert state(first) == {(1, "new"), (2, "b")}
+    assert state(monitors.upsert_stream(stream(), ["k"], "o", path)) == {(1, "new"), (2, "b")}  # nothing new
+    land("3", [(1, 1, "stale"), (3, 1, "c")])
+    assert state(monitors.upsert_stream(stream(), ["k"], "o", path)) == {(1, "new"), (2, "b"), (3, "c")}
