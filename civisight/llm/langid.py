@@ -164,7 +164,7 @@ def learn(docs: DataFrame, pieces: list[str], max_docs: int = 1000, rounds: int
 
 
 def _scored(batches: Iterator[pa.RecordBatch], index: Pieces, languages: list[str], chance: np.ndarray):
-    rare = np.log(chance.min())
+    rare = np.log(chance.min()) if languages else 0.0
     for batch in batches:
         for rows, data, offsets in slices(batch, limit=8 << 20):
             words = Words(data, offsets)

@@ -89,7 +89,7 @@ def test_lines(spark):
     rows = [(1, "a\nb\nc\n\nd"), (2, "x\n b \n\nc\ny"), (3, "a\nb\nc"), (4, "b\nb\nb"), (5, None), (6, ""), (7, "c\nd\nz"), (8, "lone\nb"), (9, "b\nb\nb")]
     got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (5, 0, "a\nb\nc\n\nd"), 2: (5, 2, "x\n\ny"), 3: (3, 3, ""), 4: (3, 2, "b"), 5: (0, 0, None), 6: (1, 0, ""),
-                   7: (3, 2, "z"), 8: (2, 0, "lone\nb"), 9: (3, 3, "")} or got[4] == (3, 3, "")
+                   7: (3, 2, "z"), 8: (2, 0, "lone\nb"), 9: (3, 3, "")}
 
 
 @pytest.mark.parametrize("operator", [exact_groups, ngram_components, substring_dedup, line_dedup])
