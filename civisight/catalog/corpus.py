@@ -271,7 +271,7 @@ def entity_directory(t: Tables) -> DataFrame:
 def mention_rows(t: Tables) -> DataFrame:
     """Mentions with snippet and period keys (general aliases, with overlapping pairs)."""
     names = people(t)
-    docs = t.documents.join(t.orders.select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").cast("date").alias("date")), "doc_id").select(
+    docs = t.documents.join(t.orders.select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").cast("date").alias("date")), "doc_id", "left").select(
         "doc_id", F.col("source").alias("url"), F.col("lang").alias("title"), "date", "text")
     rows = plan.mention_rows(docs, entities.alias_table(names, RULES), names)
     return rows.withColumns({"matched_aliases": F.array_join("matched_aliases", "|"), "date": F.col("date").cast("string")})

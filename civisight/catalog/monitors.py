@@ -98,7 +98,7 @@ def change_stamp(t: Tables) -> DataFrame:
 
 @query("status_machine", f"""WITH o AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN CASE WHEN value < 30 THEN 'image_only' ELSE 'ok' END WHEN 'signup' THEN 'not_supplied' ELSE 'error' END AS status, ts FROM events),
 s AS (SELECT user_id, max_by(status, event_id) AS status FROM o WHERE ts < TIMESTAMP '2024-01-05' GROUP BY user_id),
-n AS (SELECT user_id, max_by(status, event_id) AS status FROM o WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-10' AND user_id NOT IN (SELECT user_id FROM s WHERE status <> 'error') GROUP BY user_id)
+n AS (SELECT user_id, max_by(status, event_id) AS status FROM o WHERE ts >= TIMESTAMP '2024-01-05' AND user_id NOT IN (SELECT user_id FROM s WHERE status <> 'error') GROUP BY user_id)
 SELECT user_id, coalesce(n.status, s.status) AS status FROM s FULL JOIN n USING (user_id)""")
 def status_machine(t: Tables) -> DataFrame:
     """Terminal states stay, errors are tried again, the last attempt counts."""
@@ -106,16 +106,16 @@ def status_machine(t: Tables) -> DataFrame:
     body = F.when(F.col("value") < 30, "short").otherwise(F.rpad(F.lit("long"), 300, "x"))
     seen = t.events.select("user_id", "event_id", "ts", state.observed_status(outcome, body).alias("status"))
     first = dedupe_last(seen.filter(F.col("ts") < ts("2024-01-05")), ["user_id"], "event_id").select("user_id", "status")
-    later = seen.filter((F.col("ts") >= ts("2024-01-05")) & (F.col("ts") < ts("2024-01-10")))
+    later = seen.filter(F.col("ts") >= ts("2024-01-05"))
     return state.advance_status(first, later, "user_id", "event_id", retry_errors=True)
 
 
-@query("failure_counter", """WITH s AS (SELECT user_id, count(*) AS failures FROM events WHERE ts < TIMESTAMP '2024-01-15' AND event_type = 'error' GROUP BY ALL),
+@query("failure_counter", """WITH s AS (SELECT user_id, count(*) AS failures FROM events WHERE ts < TIMESTAMP '2024-01-30' AND event_type = 'error' GROUP BY ALL),
 o AS (SELECT user_id, max_by(event_type, event_id) <> 'error' AS ok FROM events WHERE ts >= TIMESTAMP '2024-01-30' GROUP BY ALL),
 x AS (SELECT user_id, CASE WHEN ok IS NULL THEN coalesce(failures, 0) WHEN ok THEN 0 ELSE coalesce(failures, 0) + 1 END::BIGINT AS failures FROM s FULL JOIN o USING (user_id))
 SELECT user_id, failures, failures >= 5 AS blocked FROM x""")
 def failure_counter(t: Tables) -> DataFrame:
-    before = t.events.filter((F.col("ts") < ts("2024-01-15")) & (F.col("event_type") == "error")).groupBy("user_id").agg(F.count("*").alias("failures"))
+    before = t.events.filter((F.col("ts") < ts("2024-01-30")) & (F.col("event_type") == "error")).groupBy("user_id").agg(F.count("*").alias("failures"))
     last = t.events.filter(F.col("ts") >= ts("2024-01-30")).groupBy("user_id").agg((F.max_by("event_type", "event_id") != "error").alias("ok"))
     return state.count_failures(before, last, "user_id", "ok", 5)
 

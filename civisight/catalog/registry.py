@@ -60,15 +60,15 @@ def registry_profile(t: Tables) -> DataFrame:
     return out.withColumn("states", F.array_join("states", ","))
 
 
-@query("set_change", """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderdate < DATE '1996-06-01'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderdate >= DATE '2001-01-01'),
+@query("set_change", """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderdate < DATE '1998-06-01'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderdate >= DATE '1998-06-01'),
 n AS (SELECT k FROM b EXCEPT SELECT k FROM a), r AS (SELECT k FROM a EXCEPT SELECT k FROM b), s AS (SELECT k FROM a INTERSECT SELECT k FROM b)
 SELECT (SELECT count(*) FROM n) AS added, (SELECT count(*) FROM r) AS removed, (SELECT count(*) FROM s) AS shared,
  round((SELECT count(*) FROM s) / ((SELECT count(*) FROM n) + (SELECT count(*) FROM r) + (SELECT count(*) FROM s))::DOUBLE, 6) AS jaccard,
  (SELECT string_agg(k::VARCHAR, ',' ORDER BY k) FROM (SELECT k FROM n ORDER BY k LIMIT 10)) AS added_sample,
  (SELECT string_agg(k::VARCHAR, ',' ORDER BY k) FROM (SELECT k FROM r ORDER BY k LIMIT 10)) AS removed_sample""")
 def set_change(t: Tables) -> DataFrame:
-    old = t.orders.filter(F.col("o_orderdate") < F.lit("1996-06-01").cast("timestamp_ntz"))
-    new = t.orders.filter(F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz"))
+    old = t.orders.filter(F.col("o_orderdate") < F.lit("1998-06-01").cast("timestamp_ntz"))
+    new = t.orders.filter(F.col("o_orderdate") >= F.lit("1998-06-01").cast("timestamp_ntz"))
     out = profiles.set_change(old, new, "o_custkey")
     return out.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("added_sample", "removed_sample")})
 

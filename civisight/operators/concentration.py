@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from civisight.functions.money import ratio
 from civisight.operators.windows import top_per_group
+from civisight.session import settle
 
 
 def top_share(totals: DataFrame, key: str, value: str, ks: Sequence[int] = (1, 5)) -> DataFrame:
@@ -24,7 +25,7 @@ def top_share(totals: DataFrame, key: str, value: str, ks: Sequence[int] = (1, 5
 def supporter_profile(rows: DataFrame, supporter: str, author: str, committed: str, paid: str, top: int = 20, nested: int = 3) -> DataFrame:
     """Largest supporters with sums, share, distinct authors over all rows and their top authors."""
     positive = lambda c: F.sum(F.when(F.col(c) > 0, F.col(c)))
-    pairs = rows.groupBy(supporter, author).agg(positive(committed).alias("_c"), positive(paid).alias("_p"))
+    pairs = settle(rows.groupBy(supporter, author).agg(positive(committed).alias("_c"), positive(paid).alias("_p")))
     totals = pairs.groupBy(supporter).agg(
         F.sum("_c").alias("committed"), F.sum("_p").alias("paid"), F.count(F.lit(1)).alias("authors_count"))
     grand = totals.agg(F.sum("committed")).scalar()
@@ -42,7 +43,7 @@ def supporter_profile(rows: DataFrame, supporter: str, author: str, committed: s
 def dominant_contributor(rows: DataFrame, group: Sequence[str], contributor: str, denied: Column) -> DataFrame:
     """Per group: contributors, attributed rows, and the contributor with most rows
     (then most denials, then the smallest id)."""
-    per = rows.groupBy(*group, contributor).agg(F.count("*").alias("_n"), F.count_if(denied).alias("_d"))
+    per = settle(rows.groupBy(*group, contributor).agg(F.count("*").alias("_n"), F.count_if(denied).alias("_d")))
     totals = per.groupBy(*group).agg(F.count("*").alias("distinct_contributors"), F.sum("_n").alias("total_attributed"))
     top = top_per_group(per, group, [F.col("_n").desc(), F.col("_d").desc(), F.col(contributor).asc()], 1)
     top = top.select(*group, F.col(contributor).alias("top_id"), F.col("_n").alias("top_total"), F.col("_d").alias("top_denied"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from civisight.functions.dates import iso_week
 from civisight.functions.money import pct_diff, ratio
 from civisight.functions.text import ColumnOrName, as_col
+from civisight.session import settle
 
 
 def peak_day(days: DataFrame, day: str, value: str) -> DataFrame:
@@ -82,6 +83,7 @@ def ytd_window(months: DataFrame, month: str, value: str) -> DataFrame:
 def unit_vs_history(units: DataFrame, month: str, unit: str, value: str, top: int = 10) -> DataFrame:
     """Largest units of the current window against their mean over earlier complete years;
     a year without the unit still counts in the divisor."""
+    units = settle(units.groupBy(month, unit).agg(F.sum(value).alias(value)))
     window = same_months(units, month)
     per = window.groupBy(unit).agg(
         F.sum(F.when(F.col("is_current"), F.col(value))).alias("current_total"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from civisight.functions.money import ratio
 from civisight.functions.text import ColumnOrName, as_col, is_masked, plausible_year
+from civisight.session import settle
 
 
 def registry_profile(df: DataFrame, key: str, cancelled: str, document: str, operator: str, state: str, year: str) -> DataFrame:
@@ -29,7 +30,7 @@ def set_change(old: DataFrame, new: DataFrame, key: str, sample: int = 10) -> Da
     """One row: keys added, removed and shared, Jaccard index, first sorted samples."""
     a = old.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_old", F.lit(True))
     b = new.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_new", F.lit(True))
-    both = a.join(b, key, "full")
+    both = settle(a.join(b, key, "full"))
     added, removed = F.col("_old").isNull(), F.col("_new").isNull()
 
     def first(mask: Column) -> Column:
@@ -49,20 +50,29 @@ def set_change(old: DataFrame, new: DataFrame, key: str, sample: int = 10) -> Da
 def accept_snapshot(candidate: DataFrame, current: DataFrame, expected: Sequence[str], key: str, names: str, min_rows: int = 1000, min_ratio: float = 0.9) -> DataFrame:
     """One row: may the candidate replace the current snapshot, why not, does it differ."""
     absent = sorted(set(expected) - set(candidate.columns))
-    new = candidate.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("ids"), F.count_distinct(names).alias("names"))
-    rows_now = current.agg(F.count("*")).scalar()
-    change = set_change(current, candidate, key).select((F.col("added") + F.col("removed")).alias("_moved"))
-    name_change = set_change(current, candidate, names).select((F.col("added") + F.col("removed")).alias("_moved"))
-    vs = ratio("rows", rows_now)
+
+    def values(df: DataFrame, tag: int) -> DataFrame:
+        parts = F.array(*[F.struct(F.lit(d).alias("d"), v.cast("string").alias("v")) for d, v in (
+            ("row", F.lit(None)), ("key", F.col(key)), ("name", F.col(names)))])
+        return df.select(F.explode(parts).alias("x"), F.lit(tag).alias("new")).select("x.*", "new")
+
+    # each side is read once: rows per value on either side, then sums over the values
+    sides = values(candidate, 1).unionByName(values(current, 0)).groupBy("d", "v").agg(
+        F.sum("new").alias("n"), F.sum(1 - F.col("new")).alias("o"))
+    moved = F.col("v").isNotNull() & (F.col("d") != "row") & ((F.col("n") > 0) != (F.col("o") > 0))
+    new = sides.agg(
+        F.coalesce(F.sum(F.when(F.col("d") == "row", F.col("n"))), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(F.when(F.col("d") == "row", F.col("o"))), F.lit(0)).alias("current_rows"), F.count_if(moved).alias("_moved"))
+    vs = ratio("rows", "current_rows")
     reason = (
         F.when(F.lit(bool(absent)), F.lit("missing columns: " + ", ".join(absent)))
         .when(F.col("rows") < min_rows, F.lit("too few rows"))
-        .when((rows_now > 0) & (vs < min_ratio), F.lit("too small against current"))
+        .when((F.col("current_rows") > 0) & (vs < min_ratio), F.lit("too small against current"))
         .otherwise(F.lit("ok"))
     )
     return new.select(
-        "rows", rows_now.alias("current_rows"), vs.alias("ratio"), reason.alias("reason"), (reason == "ok").alias("accepted"),
-        ((F.col("rows") != rows_now) | (change.scalar() > 0) | (name_change.scalar() > 0)).alias("changed"),
+        "rows", "current_rows", vs.alias("ratio"), reason.alias("reason"), (reason == "ok").alias("accepted"),
+        ((F.col("rows") != F.col("current_rows")) | (F.col("_moved") > 0)).alias("changed"),
     )
 
 

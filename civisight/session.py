@@ -3,8 +3,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every plan in this package relies on. Shuffle width and file
 # split size are left to the cluster; AQE coalesces and splits partitions.
@@ -54,3 +55,11 @@ def shared_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="civisight-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """A small aggregate written once to the shared folder and read from there, so that several
+    uses of it read its sources once."""
+    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
