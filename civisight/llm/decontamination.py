@@ -23,10 +23,11 @@ UNITS = ["km", "kg", "cm", "mm", "ml", "mg", "kmh", "mph", "miles", "mile", "met
          "liters", "grams", "pounds", "dollars", "euros", "cents", "percent"]
 EDGE = ".,;:!?()[]{}\"'*"
 BROADCAST_ROWS = 1_000_000
+PIECE = 512
 
 
 def tokens(text: str = "text") -> Column:
-    return F.filter(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
 
 
 def bare(token: Column | str) -> Column:
@@ -72,11 +73,17 @@ def template_matches(docs: DataFrame, items: DataFrame, window: int = 8, coverag
     wanted = shelf.put(item_windows(items, window), "windows")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens().alias("t")).withColumn("before", F.concat(F.array(F.lit("")), "t"))
-    at = docs.select("doc_id", "before", F.posexplode("t").alias("pos", "token")).withColumn("anchor", F.lower(bare("token")))
-    seen = (at.join(wanted, "anchor").withColumn("begin", F.col("pos") - F.col("offset"))
-            .filter((F.col("begin") >= 0) & (F.col("begin") + F.size("template") < F.size("before")))
-            .withColumn("mine", F.slice("before", F.col("begin") + 1, F.size("template") + 1))
+    # long texts are cut into overlapping pieces, so that a row holds no more than a piece
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens().alias("t")).filter(F.size("t") > 0)
+    pieces = docs.select("doc_id", "t", F.explode(F.expr(f"sequence(0, (size(t) - 1) div {PIECE})")).alias("piece")).select(
+        "doc_id", (F.col("piece") * PIECE).alias("base"), F.expr(f"greatest(piece * {PIECE} - {window}, 0)").alias("low"),
+        F.expr(f"slice(t, greatest(piece * {PIECE} - {window}, 0) + 1, {PIECE + 2 * window})").alias("part"))
+    at = (pieces.select("doc_id", "base", "low", "part", F.posexplode("part").alias("i", "token"))
+          .filter((F.col("low") + F.col("i") >= F.col("base")) & (F.col("low") + F.col("i") < F.col("base") + PIECE))
+          .withColumn("anchor", F.lower(bare("token"))))
+    seen = (at.join(wanted, "anchor").withColumn("own", F.col("i") - F.col("offset")).withColumn("begin", F.col("low") + F.col("own"))
+            .filter((F.col("own") >= 0) & (F.col("own") + F.size("template") <= F.size("part")))
+            .withColumn("mine", F.slice(F.concat(F.array(F.lit("")), "part"), F.col("own") + 1, F.size("template") + 1))
             .filter(_template(F.col("mine")) == F.col("template")))
     # the slots of a window, as (value in the item, value in the document)
     slots = F.filter(F.transform("template", lambda x, i: F.struct(
