@@ -66,9 +66,56 @@ QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_quality, op4
                                   op7_exact_dedup, op8_line_dedup, op9_licenses, op10_substring_dedup)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_BLANK = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
+_SENTENCES = ", ".join(f"('{i}', '{s}')" for i, s in SENTENCES.items())
+_STEPS = ", ".join(f"('{r}', {k}, '{i}', {len(ids)})" for r, ids in RULES.items() for k, i in enumerate(ids))
+
 ORACLES = {
+    "op1_ngram_join": f"""
+        with recursive w as (select doc_id, {_WORDS.format(_LOW)} as t from documents),
+        g as (select doc_id, list_distinct(case when len(t) = 0 then [] when len(t) < 5 then [array_to_string(t, ' ')]
+              else list_transform(range(1, len(t) - 3), lambda p: array_to_string(t[p:p + 4], ' ')) end) as s from w),
+        u as (select doc_id, len(s) as n, unnest(s) as x from g),
+        e as (select a.doc_id as p, b.doc_id as q from u a join u b on a.x = b.x and a.doc_id < b.doc_id
+              group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        links as (select p, q from e union all select q, p from e),
+        reach as (select doc_id as p, doc_id as q from documents union select r.p, b.q from reach r join links b on r.q = b.p)
+        select doc_id, len(s)::bigint as n_shingles, (select min(q) from reach where p = doc_id) as component_id from g""",
     "op7_exact_dedup": f"""
         select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
                doc_id = max(doc_id) over g as kept, sha256({_LOW}) as text_sha256
         from documents window g as (partition by {_LOW})""",
+    "op8_line_dedup": f"""
+        with l as (select doc_id, unnest(list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10)))))) as z from documents),
+        n as (select doc_id, z[1] as raw, z[2] as number, trim(z[1], {_BLANK}) as line from l),
+        b as (select doc_id, number, line, row_number() over (partition by doc_id order by number) as place from n where line <> ''),
+        v as (select *, lead(line) over (partition by doc_id order by place) as next_line from b),
+        f as (select *, min(struct_pack(d := doc_id, a := place)) over (partition by line, next_line) as first from v where next_line is not null),
+        c as (select doc_id, place from f where first <> struct_pack(d := doc_id, a := place)),
+        gone as (select distinct b.doc_id, b.number from b join c on b.doc_id = c.doc_id and b.place in (c.place, c.place + 1)),
+        m as (select n.*, gone.number is not null as cut from n left join gone using (doc_id, number)),
+        k as (select doc_id, count(*) as n_lines, count(*) filter (cut) as n_removed,
+              coalesce(string_agg(raw, chr(10) order by number) filter (not cut), '') as kept from m group by doc_id)
+        select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+        from documents left join k using (doc_id)""",
+    "op9_licenses": f"""
+        with known(sentence_id, sentence) as (values {_SENTENCES}), steps(license_id, step, sentence_id, steps) as (values {_STEPS}),
+        t as (select doc_id, string_split_regex(regexp_replace(text, '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), '\n+') as s from documents),
+        u as (select doc_id, unnest(list_zip(s, range(len(s)))) as z from t),
+        r as (select doc_id, z[2] as number, sentence_id, row_number() over (partition by doc_id order by z[2]) as place
+              from u join known on trim(regexp_replace(lower(z[1]), '[^a-z0-9]+', ' ', 'g')) = sentence),
+        m as (select doc_id, license_id, place - step as begin, min(number) as number from r join steps using (sentence_id)
+              group by doc_id, license_id, place - step, steps having count(distinct step) = steps)
+        select doc_id, license_id, count(*) as n_matches, min(number) as first_sentence from m group by doc_id, license_id""",
+    "op10_substring_dedup": f"""
+        with w as (select doc_id, {_WORDS.format("coalesce(text, '')")} as t from documents),
+        g as (select doc_id, list_transform(range(1, greatest(len(t) - 11, 1)), lambda p: struct_pack(p := p, s := array_to_string(t[p:p + 12], ' '))) as s from w),
+        u as (select doc_id, unnest(s, recursive := true) from g),
+        m as (select doc_id, p, min(doc_id) over (partition by s) as f from u),
+        r as (select distinct doc_id, unnest(range(p, p + 13)) as q from m where f < doc_id),
+        x as (select doc_id, list(q) as gone from r group by doc_id)
+        select doc_id, len(t)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+               sha256(array_to_string(case when gone is null then t else list_filter(t, lambda v, i: not list_contains(gone, i)) end, ' ')) as kept_sha256
+        from w left join x using (doc_id)""",
 }
