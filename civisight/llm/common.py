@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from civisight.session import shared_dir, tune
@@ -117,6 +118,21 @@ def components(shelf: Shelf, nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = new
 
 
+def smallest_hashes(df: DataFrame, k: int, id: str = "doc_id", per: str | None = None) -> DataFrame:
+    """At most k rows of df (of each value of ``per``), those with the smallest hash of their id.
+
+    Rows are counted first, so that only about 4 k candidates (of each value) are ordered, at any size.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(id), 11) / F.lit(float(1 << 53))
+    if per is None:
+        n = max(df.count(), 1)
+        return df.withColumn("_place", place).filter(F.col("_place") < 4 * k / n).orderBy("_place", id).limit(k).drop("_place")
+    counts = df.groupBy(per).agg(F.count("*").alias("_n"))
+    near = df.withColumn("_place", place).join(counts, per).filter(F.col("_place") < 4 * k / F.col("_n"))
+    order = W.partitionBy(per).orderBy("_place", id)
+    return near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_place", "_n", "_r")
+
+
 def by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Rows of docs with (``left_semi``) or without (``left_anti``) an id in ids(doc_id); null equals null."""
     key = f"_{uuid.uuid4().hex}"

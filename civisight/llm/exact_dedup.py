@@ -58,14 +58,14 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     rows = docs.mapInArrow(lambda b: _normalised(b, True), schema + ", rest binary").join(
         shared.select("length", "digit"), ["length", "digit"], "left_semi")
     rows = shelf.put(rows.withColumn("number", F.monotonically_increasing_id()), "rows")
-    names = rows.groupBy("length", "digit").agg(F.max("number").alias("group"))
+    names = shelf.put(rows.groupBy("length", "digit").agg(F.max("number").alias("group")), "names")
     active, read, step = rows.join(names, ["length", "digit"]).drop("digit"), FIRST, FIRST * GROWTH
     while True:
         active = shelf.put(active, "active")
         ended = active.filter(F.col("length") <= read)
-        best = ended.groupBy("group").agg(
+        best = shelf.put(ended.groupBy("group").agg(
             F.max(F.struct(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)), "number")).alias("best"), F.count("*").alias("group_size"),
-            F.max("doc_id").alias("keep_id"))
+            F.max("doc_id").alias("keep_id")), "best")
         done.append(ended.join(best, "group").select(
             "doc_id", "keep_id", "group_size", (F.col("number") == F.col("best.number")).alias("kept"), "text_sha256"))
         going = active.filter(F.col("length") > read)

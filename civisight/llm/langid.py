@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civisight.llm.common import Shelf
+from civisight.llm.common import Shelf, smallest_hashes
 from civisight.llm.words import Words, slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -133,11 +133,11 @@ def _counted(batches: Iterator[pa.RecordBatch]):
 
 def learn(docs: DataFrame, pieces: list[str], max_docs: int = 1000, rounds: int = 3, shelf: Shelf | None = None) -> tuple[list[str], np.ndarray]:
     """(languages, chance[piece, language]) from docs(doc_id, text, lang)."""
-    from pyspark.sql import Window as W
-
     shelf, index = shelf or Shelf(docs.sparkSession), Pieces(pieces)
-    usable = docs.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id")
-    sample = usable.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= max_docs)
+    usable = docs.filter("lang is not null and text is not null")
+    # texts are joined to the chosen ids, so that none is ordered
+    chosen = smallest_hashes(usable.filter("doc_id is not null").select("doc_id", "lang").distinct(), max_docs, per="lang")
+    sample = usable.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi")
     words = shelf.put(sample.select("lang", "text").mapInArrow(_counted, "lang string, word string, n long")
                       .groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     languages = sorted(r[0] for r in words.select("lang").distinct().collect())

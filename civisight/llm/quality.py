@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civisight.llm.common import Shelf, by_id
+from civisight.llm.common import Shelf, by_id, smallest_hashes
 from civisight.llm.words import Words, mix, slices
 
 STATISTICS = ("log_words", "word_length", "long_words", "symbols", "upper", "digits", "marks", "same_as_last",
@@ -138,6 +138,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, f
     table = shelf.put(docs.mapInArrow(_measured, schema), "statistics")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
     labelled = labels.filter("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    labelled = smallest_hashes(labelled.filter(~held), max_rows)
     sample = table.filter(~held).join(labelled, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS, "quality").limit(max_rows)
     rows = sample.select(*STATISTICS, "quality").toPandas()
     model = fit(rows[list(STATISTICS)].to_numpy(float), rows["quality"].to_numpy(float))
