@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from civisight.llm.common import Shelf
 from civisight.llm.words import Words, slices
 
-_loaded: dict[str, object] = {}
+_loaded: dict[object, object] = {}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -42,16 +42,44 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
+class WordCodes:
+    """Ids of the distinct words a worker has met; started anew when it holds ``limit`` words."""
+
+    def __init__(self, path: str, limit: int = 1_000_000):
+        self.path, self.limit = path, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def of(self, hashes: np.ndarray, text) -> np.ndarray:
+        """Places of the words (distinct hashes, ascending); ``text(i)`` gives the i-th word."""
+        if len(self.hashes) + len(hashes) > self.limit:
+            self.clear()
+        place = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        new = np.flatnonzero(self.hashes[place] != hashes) if len(self.hashes) else np.arange(len(hashes))
+        if len(new):
+            coded = [e.ids for e in _tokenizer(self.path).encode_batch([text(i) for i in new.tolist()], add_special_tokens=False)]
+            size = np.array([len(c) for c in coded], np.int64)
+            order = np.argsort(both := np.concatenate([self.hashes, hashes[new]]))
+            self.hashes = both[order]
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])[order]
+            self.size = np.concatenate([self.size, size])[order]
+            self.flat = np.concatenate([self.flat, np.array([i for c in coded for i in c], "<u4")])
+        return np.searchsorted(self.hashes, hashes)
+
+
 def token_ids(data: np.ndarray, offsets: np.ndarray, path: str, closing: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all rows in a row, offsets): the tokenizer never joins over white space, so each distinct word is encoded once."""
-    words = Words(data, offsets)
-    _, where, back = np.unique(words.hash, return_index=True, return_inverse=True)
-    raw = words.data.tobytes()
-    texts = [raw[words.start[i]:words.end[i]].decode() for i in where.tolist()]
-    coded = [e.ids for e in _tokenizer(path).encode_batch(texts, add_special_tokens=False)] if texts else []
-    size = np.array([len(c) for c in coded], np.int64)
-    flat = np.array([i for c in coded for i in c], "<u4")
-    begin = np.cumsum(size) - size
+    """(ids of all rows in a row, offsets): the tokenizer ignores case and never joins over white space
+    or between ASCII letters and signs, so each distinct piece is encoded once."""
+    # names of special tokens are read as they are written
+    plain = b"<|" not in data.tobytes()
+    words = Words(data, offsets, lower=plain, split=plain)
+    hashes, where, back = np.unique(words.hash, return_index=True, return_inverse=True)
+    raw, start, end = words.data.tobytes(), words.start[where].tolist(), words.end[where].tolist()
+    codes = _loaded.setdefault((path, "codes"), WordCodes(path))
+    at = codes.of(hashes, lambda i: raw[start[i]:end[i]].decode()) if len(hashes) else np.zeros(0, np.int64)
+    size, begin, flat = codes.size[at], codes.begin[at], codes.flat
     each = size[back] if len(back) else np.zeros(0, np.int64)
     # one closing id after the last word of each row
     ends = np.append(0, np.cumsum(each))[words.first]

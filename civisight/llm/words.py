@@ -11,6 +11,12 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+SIGN = np.zeros(256, np.uint8)  # 1: letters and digits, 2: signs, 4: neither
+SIGN[:] = 4
+SIGN[33:127] = 2
+SIGN[39] = 4
+SIGN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _RANDOM = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -56,7 +62,8 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = 1 << 20) -> I
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of the rows of one slice: ``row``, ``start``, ``end``, ``hash``; ``first`` indexes rows."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashes: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashes: bool = True, split: bool = False):
+        """``split`` also cuts words between ASCII letters or digits and ASCII signs (but for apostrophes)."""
         data = LOWER[data] if lower else data
         self.data, n = data, len(data)
         inside = ~SPACE[data]
@@ -64,6 +71,11 @@ class Words:
         if n:
             begin[1:] &= ~inside[:-1]
             finish[:-1] &= ~inside[1:]
+            if split:
+                kind = SIGN[data]
+                cut = kind[1:] + kind[:-1] == 3
+                begin[1:] |= cut
+                finish[:-1] |= cut
             edges = offsets[:-1][offsets[:-1] < n]
             begin[edges] = inside[edges]
             edges = offsets[1:][offsets[1:] > 0] - 1

@@ -125,3 +125,23 @@ def test_lm_of_unseen_words_is_a_distribution(spark):
 @pytest.mark.parametrize("operator", [pack_documents, predict_languages, lm_scores])
 def test_no_rows(nothing, operator):
     assert operator(nothing).collect() == []
+
+
+def test_token_ids_of_odd_texts():
+    """Pieces encoded once give the ids of the whole text, also around signs and special names."""
+    import random
+
+    import pyarrow as pa
+
+    from civisight.llm.packing import _tokenizer, token_ids
+    from civisight.llm.words import slices
+
+    rng, letters = random.Random(3), "abzAZ09 \n'!.,-_$%é…—ß́İΣςñ>\"中"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1000)]
+    texts += ["don't I'll x!'s a's'S 12ab3", "", "a <|endoftext|> b <|ENDOFTEXT|>"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    tokenizer = _tokenizer(tokenizer_path())
+    for rows, data, offsets in slices(batch, limit=5000):
+        ids, cut = token_ids(data, offsets, tokenizer_path(), 1)
+        for text, a, b in zip(rows.column(0).to_pylist(), cut[:-1], cut[1:]):
+            assert ids[a:b].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
