@@ -2,7 +2,7 @@
 
 Numbers, names and units become placeholders, so an item whose values were changed still has the
 item's template. Every window of ``window`` canonical tokens of an item is keyed by its longest literal
-token (the anchor); documents are joined on anchors, then windows are compared. A document matches an
+token (the anchor); documents are joined on anchors, then the next longest, then windows are compared. A document matches an
 item when enough of the item's windows occur at one distance and the values found in the
 slots correspond one to one (slot consistency).
 
@@ -49,19 +49,20 @@ def _template(raw: Column) -> Column:
 
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:
-    """(item_id, place, offset, anchor, template, raw, windows) of every window of the items."""
+    """(item_id, place, offset, anchor, second_offset, second, template, raw, windows) of every window of the items."""
     base = (items.select(F.col("item_id").cast("long").alias("item_id"), tokens().alias("t")).dropDuplicates(["item_id"])
             .filter(F.size("t") > 0)
             .withColumn("size", F.least(F.lit(window), F.size("t"))).withColumn("windows", F.size("t") - F.col("size") + 1)
             .withColumn("t", F.concat(F.array(F.lit("")), "t")))
     rows = (base.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)))
             .withColumn("raw", F.slice("t", F.col("place") + 1, F.col("size") + 1)).withColumn("template", _template(F.col("raw"))))
-    # the longest literal, ties by the first
+    # the two longest literals, ties by the first
     literal = F.filter(F.transform("template", lambda x, i: F.struct(F.when(x.startswith("<"), 0).otherwise(F.length(x)).alias("n"), (-i).alias("i"), x.alias("x"))),
                        lambda s: s["n"] > 0)
-    return (rows.withColumn("best", F.array_max(literal)).filter("best is not null")
-            .select("item_id", "place", (-F.col("best.i")).alias("offset"), F.col("best.x").alias("anchor"), "template",
-                    F.slice("raw", 2, window).alias("raw"), "windows"))
+    ranked = F.sort_array(literal, asc=False)
+    return (rows.withColumn("best", F.get(ranked, F.lit(0))).withColumn("next", F.get(ranked, F.lit(1))).filter("best is not null")
+            .select("item_id", "place", (-F.col("best.i")).alias("offset"), F.col("best.x").alias("anchor"), (-F.col("next.i")).alias("second_offset"),
+                    F.col("next.x").alias("second"), "template", F.slice("raw", 2, window).alias("raw"), "windows"))
 
 
 def template_matches(docs: DataFrame, items: DataFrame, window: int = 8, coverage: float = 0.5) -> DataFrame:
@@ -74,25 +75,33 @@ def template_matches(docs: DataFrame, items: DataFrame, window: int = 8, coverag
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     # long texts are cut into overlapping pieces, so that a row holds no more than a piece
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens().alias("t")).filter(F.size("t") > 0)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens().alias("t"))
     pieces = docs.select("doc_id", "t", F.explode(F.expr(f"sequence(0, (size(t) - 1) div {PIECE})")).alias("piece")).select(
         "doc_id", (F.col("piece") * PIECE).alias("base"), F.expr(f"greatest(piece * {PIECE} - {window}, 0)").alias("low"),
         F.expr(f"slice(t, greatest(piece * {PIECE} - {window}, 0) + 1, {PIECE + 2 * window})").alias("part"))
     at = (pieces.select("doc_id", "base", "low", "part", F.posexplode("part").alias("i", "token"))
           .filter((F.col("low") + F.col("i") >= F.col("base")) & (F.col("low") + F.col("i") < F.col("base") + PIECE))
           .withColumn("anchor", F.lower(bare("token"))))
-    seen = (at.join(wanted, "anchor").withColumn("own", F.col("i") - F.col("offset")).withColumn("begin", F.col("low") + F.col("own"))
-            .filter((F.col("own") >= 0) & (F.col("own") + F.size("template") <= F.size("part")))
-            .withColumn("mine", F.slice(F.concat(F.array(F.lit("")), "part"), F.col("own") + 1, F.size("template") + 1))
-            .filter(_template(F.col("mine")) == F.col("template")))
+    # the join's condition is plain comparisons, so that it runs inside the scan's generated code and only
+    # places with all literals of a window leave it; the typed slots are compared on those
+    own = F.col("i") - F.col("offset")
+    literals = F.lit(True)
+    for k in range(window):
+        want = F.get("template", F.lit(k))
+        literals &= (F.size("template") <= k) | want.startswith("<") | (F.lower(bare(F.get("part", own + k))) == want)
+    fits = (own >= 0) & (own + F.size("template") <= F.size("part"))
+    next_one = F.col("second").isNull() | (F.lower(bare(F.get("part", own + F.col("second_offset")))) == F.col("second"))
+    seen = (at.join(wanted, "anchor").filter(fits & next_one & literals)
+            .withColumn("mine", F.slice(F.concat(F.array(F.lit("")), "part"), F.greatest(own, F.lit(0)) + 1, F.size("template") + 1))
+            .withColumn("begin", F.col("low") + own).withColumn("ok", _template(F.col("mine")) == F.col("template")))
     # the slots of a window, as (value in the item, value in the document)
     slots = F.filter(F.transform("template", lambda x, i: F.struct(
         F.when(x.startswith("<"), F.lower(bare(F.get("raw", i)))).alias("item"), F.lower(bare(F.get("mine", i + 1))).alias("doc"))), lambda s: s["item"].isNotNull())
-    hits = seen.select("doc_id", "item_id", "windows", (F.col("begin") - F.col("place")).alias("shift"), "place", slots.alias("slots"))
+    hits = seen.select("doc_id", "item_id", "windows", (F.col("begin") - F.col("place")).alias("shift"), "place", "ok", slots.alias("slots"))
     # groups are bounded by the windows of one item
     by_shift = (hits.groupBy("doc_id", "item_id", "shift").agg(
-        F.first("windows").alias("n_windows"), F.count_distinct("place").alias("n_matched"),
-        F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+        F.first("windows").alias("n_windows"), F.count_distinct(F.when(F.col("ok"), F.col("place"))).alias("n_matched"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(F.col("ok"), F.col("slots"))))).alias("slots"))
         .withColumn("items", F.size(F.array_distinct("slots.item"))).withColumn("docs", F.size(F.array_distinct("slots.doc")))
         .filter((F.col("n_matched") >= coverage * F.col("n_windows")) & (F.col("items") == F.size("slots")) & (F.col("docs") == F.size("slots"))))
     best = F.max(F.struct("n_matched", F.size("slots").alias("n_slots"), F.exists("slots", lambda s: s["item"] != s["doc"]).alias("changed"))).alias("best")
