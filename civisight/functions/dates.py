@@ -59,6 +59,7 @@ def _month_number(name: Column) -> Column:
     return case_when([(flat == label, F.lit(f"{number:02d}")) for number, label in enumerate(MONTH_NAMES, 1)], F.lit(None).cast("string"))
 
 
+# Patterns of dates in prose.
 _LETTERS = r"[a-zA-ZçÇãÃáÁàÀâÂéÉêÊíÍóÓôÔõÕúÚ]+"
 _PROSE = rf"(?i)(?<![\w])(\d{{1,2}}|1º)\s+de\s+({_LETTERS})\s+de\s+(\d{{4}})\b"
 _NUMERIC = r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})\b"
@@ -109,6 +110,7 @@ def prose_date(candidates: Sequence[ColumnOrName], url: ColumnOrName, last_year:
     )
 
 
+# Patterns of a place before a date.
 _DAY = rf"(?:\d{{1,2}}|1º)\s+de\s+{_LETTERS}\s+de\s+\d{{4}}"
 _PLACE_PATTERNS = (
     rf"(?i)^(.{{2,130}}?),\s*{_DAY}",

@@ -1,12 +1,14 @@
 """Rule classifiers. A rule table becomes one CASE expression: one pass, whatever its length."""
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civisight import rules as tables
 from civisight.functions.text import ColumnOrName, any_of, as_col, cap_first, case_when, clean_text, fold, fold_text
 from civisight.functions.urls import domain, in_domains
 from civisight.operators.clean import is_noise
@@ -49,37 +51,6 @@ def keyword_flag(c: ColumnOrName, words: Sequence[str]) -> Column:
 
 # ---------------------------------------------------------------- web items
 
-# Wording that reveals what an item is (accent-free).
-EVENT_WORDS = (
-    "palestra", "palestrante", "speaker", "workshop", "conference", "congresso", "seminar", "seminario",
-    "webinar", "training", "udemy",
-)
-INTERVIEW_WORDS = ("entrevista", "interview", "podcast", "episode", "stage talks", "youtube", "spotify")
-PROFILE_WORDS = ("speaker profile", "resume", "curriculo", "portfolio", "people", "orcid", "staff profile")
-ECHO_LEADS = (
-    "apos reportagem", "apos investigacao", "apos apuracao", "apos levantamento", "apos denuncia",
-    "segundo reportagem", "segundo levantamento", "segundo apuracao", "segundo investigacao",
-    "conforme reportagem", "conforme apuracao", "conforme levantamento", "como mostrou reportagem",
-    "como revelou reportagem", "como revelou investigacao", "como revelou apuracao",
-    "reportagem publicada pelo", "reportagem publicada pela",
-)
-# Fixed values: {} stands for the person's name.
-ECHO_BY_NAME = ("reportagem de {}", "investigacao de {}", "apuracao de {}")
-CITATION_BY_NAME = (
-    "segundo {}", "de acordo com {}", "afirma {}", "explica {}", "disse {}", "diz {}", "aponta {}", "destaca {}",
-    "avalia {}", "analisa {}", "comenta {}", "observa {}", "ressalta {}", "o jornalista {}", "o reporter {}",
-    "o pesquisador {}", "o diretor {}", "o cofundador {}", "o professor {}", "jornalista {}", "according to {}",
-    "says {}", "said {}", "told {}", "{}, who", "{}, diretor", "{}, cofundador", "{}, jornalista",
-    "{}, pesquisador", "{}, reporter",
-)
-BYLINE_BY_NAME = (
-    "por {}", "author {}", "author, {}", "reporter {}", "reportera {}", "reportagem: {}", "reportagem de {}",
-    "texto: {}", "texto de {}", "apuracao: {}", "apuracao de {}",
-)
-# Hosts that need a higher score.
-SOCIAL_HOSTS = ("linkedin.com", "facebook.com", "instagram.com")
-
-
 @dataclass(frozen=True)
 class PersonRules:
     """Who is looked for, and the sites around that person. Names are folded once."""
@@ -93,6 +64,16 @@ class PersonRules:
     citation_words: Sequence[str] = ()
     hint_renames: dict[str, str] = field(default_factory=dict)
     categories: dict[str, str] = field(default_factory=lambda: dict(RELATIONS))
+    # wording that reveals what an item is; {} stands for the person's name
+    event_words: Sequence[str] = tables.EVENT_WORDS
+    interview_words: Sequence[str] = tables.INTERVIEW_WORDS
+    profile_words: Sequence[str] = tables.PROFILE_WORDS
+    profile_paths: Sequence[str] = tables.PROFILE_PATHS
+    echo_leads: Sequence[str] = tables.ECHO_LEADS
+    echo_by_name: Sequence[str] = tables.ECHO_BY_NAME
+    citation_by_name: Sequence[str] = tables.CITATION_BY_NAME
+    byline_by_name: Sequence[str] = tables.BYLINE_BY_NAME
+    social_hosts: Sequence[str] = tables.SOCIAL_HOSTS
 
 
 # category -> default relation, in order of precedence
@@ -129,7 +110,7 @@ def textual_byline(rules: PersonRules) -> Column:
     hay = F.col("_hay")
     any_name = any_of(names)
     named = hay.rlike(any_name)
-    credited = hay.rlike(any_of(_templates(BYLINE_BY_NAME, names)))
+    credited = hay.rlike(any_of(_templates(rules.byline_by_name, names)))
     listed = F.regexp_extract(hay, r"author,\s*(.{0,200}?)(?:role,|$)", 1).rlike(any_name)
     crawled = F.lit(False)
     if rules.author_domains:
@@ -178,17 +159,17 @@ def classify_items(scored: DataFrame, rules: PersonRules) -> DataFrame:
         F.coalesce(F.col("queries"), F.array().cast("array<string>")),
         lambda q: fold(F.replace(q, F.lit('"'), F.lit("")), ascii_only=True).isin([fold_text(x) for x in (rules.exact_queries or rules.names)]))
     on_profile = in_domains(host, rules.profile_domains) if rules.profile_domains else F.lit(False)
-    cites = [*_templates(CITATION_BY_NAME, names), *[fold_text(w) for w in rules.citation_words]]
-    echoes = [*ECHO_LEADS, *_templates(ECHO_BY_NAME, names), *[fold_text(w) for w in rules.echo_words]]
+    cites = [*_templates(rules.citation_by_name, names), *[fold_text(w) for w in rules.citation_words]]
+    echoes = [*rules.echo_leads, *_templates(rules.echo_by_name, names), *[fold_text(w) for w in rules.echo_words]]
     category = (
         F.when(hint != "", hint)
-        .when(signed, "authored").when(title.rlike(any_of(EVENT_WORDS)), "talk").when(title.rlike(any_of(INTERVIEW_WORDS)), "interview")
-        .when(on_profile | F.col("url").contains("/staff/") | title.rlike(any_of(PROFILE_WORDS)), "profile")
+        .when(signed, "authored").when(title.rlike(any_of(rules.event_words)), "talk").when(title.rlike(any_of(rules.interview_words)), "interview")
+        .when(on_profile | F.col("url").rlike("|".join(map(re.escape, rules.profile_paths))) | title.rlike(any_of(rules.profile_words)), "profile")
         .when(named & full.rlike(any_of(cites)), "quoted").when(full.rlike(any_of(echoes)), "echo")
         .when(named & exact, "mention").when(named & context, "mention"))
     admitted = (
         ~host.isin(list(rules.dropped_domains) or [""]) & ~is_noise("url", "title") & (F.col("match_score") >= 2)
-        & ~(host.isin(list(SOCIAL_HOSTS)) & (F.col("match_score") < 4)))
+        & ~(host.isin(list(rules.social_hosts)) & (F.col("match_score") < 4)))
     # exploding one or no category drops the rest, like a filter, but is not pushed below the
     # folded columns, where the rule chain would fold the text again for every rule
     chosen = F.array_compact(F.array(F.when(admitted, category)))

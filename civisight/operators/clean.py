@@ -2,11 +2,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civisight import rules as tables
 from civisight.functions.text import ColumnOrName, any_of, as_col, clean_text, fold, fold_text
 
 
@@ -101,17 +103,21 @@ def eligible_place(location: ColumnOrName, positive: Sequence[str], remote: str,
     return good | (text.contains(remote) & ~barred)
 
 
-def keep_link(base: ColumnOrName, href: ColumnOrName, text: ColumnOrName, mode: ColumnOrName) -> Column:
+def keep_link(
+    base: ColumnOrName, href: ColumnOrName, text: ColumnOrName, mode: ColumnOrName,
+    articles: Sequence[str] = tables.ARTICLE_PATHS, listings: Sequence[str] = tables.LISTING_PATHS,
+) -> Column:
     """Admission of a link found on a page, by crawl mode."""
     from civisight.functions.urls import canonical_url, domain, url_part
 
     path = F.coalesce(F.nullif(url_part(href, "path"), F.lit("")), F.lit("/"))
+    holds = lambda parts: path.rlike("|".join(map(re.escape, parts)))
     slashes = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
     by_mode = (
-        F.when(as_col(mode) == "articles", path.contains("/articles/"))
+        F.when(as_col(mode) == "articles", holds(articles))
         .when(as_col(mode) == "year_paths", path.rlike(r"/20\d\d/"))
         .when(as_col(mode) == "contributor",
-              ~path.contains("/colaborador/") & ~path.contains("/page/") & (slashes >= 2)
+              ~holds(listings) & (slashes >= 2)
               & (F.length(F.coalesce(clean_text(text), F.lit(""))) >= 12))
         .otherwise(F.lit(False))
     )

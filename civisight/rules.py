@@ -54,8 +54,8 @@ PERSONAL_WORDS = (
 
 # Spellings of a reason.
 REASONS = {
-    "dado pessoal": "Dados pessoais",
     "dados pessoais": "Dados pessoais",
+    "dado pessoal": "Dados pessoais",
     "dados pessoais.": "Dados pessoais",
     "dados pessoais e sensíveis": "Dados pessoais e sensíveis",
     "pedido genérico": "Pedido genérico",
@@ -92,3 +92,39 @@ UNIT_LABELS = {
     "SECRETARIA DE ADMINISTRACAO PR": "Secretaria de Administração",
     "EMPRESA BRASIL DE COMUNICACAO S A": "EBC",
 }
+
+
+# Wording that reveals what an item is (accent-free).
+EVENT_WORDS = (
+    "palestra", "palestrante", "speaker", "workshop", "conference", "congresso", "seminar", "seminario",
+    "webinar", "training", "udemy",
+)
+INTERVIEW_WORDS = ("entrevista", "interview", "podcast", "episode", "stage talks", "youtube", "spotify")
+PROFILE_PATHS = ("/staff/",)
+PROFILE_WORDS = ("speaker profile", "resume", "curriculo", "portfolio", "people", "orcid", "staff profile")
+ECHO_LEADS = (
+    "apos reportagem", "apos investigacao", "apos apuracao", "apos levantamento", "apos denuncia",
+    "segundo reportagem", "segundo levantamento", "segundo apuracao", "segundo investigacao",
+    "conforme reportagem", "conforme apuracao", "conforme levantamento", "como mostrou reportagem",
+    "como revelou reportagem", "como revelou investigacao", "como revelou apuracao",
+    "reportagem publicada pelo", "reportagem publicada pela",
+)
+# Fixed values: {} stands for the person's name.
+ECHO_BY_NAME = ("reportagem de {}", "investigacao de {}", "apuracao de {}")
+CITATION_BY_NAME = (
+    "segundo {}", "de acordo com {}", "afirma {}", "explica {}", "disse {}", "diz {}", "aponta {}", "destaca {}",
+    "avalia {}", "analisa {}", "comenta {}", "observa {}", "ressalta {}", "o jornalista {}", "o reporter {}",
+    "o pesquisador {}", "o diretor {}", "o cofundador {}", "o professor {}", "jornalista {}", "according to {}",
+    "says {}", "said {}", "told {}", "{}, who", "{}, diretor", "{}, cofundador", "{}, jornalista",
+    "{}, pesquisador", "{}, reporter",
+)
+BYLINE_BY_NAME = (
+    "por {}", "author {}", "author, {}", "reporter {}", "reportera {}", "reportagem: {}", "reportagem de {}",
+    "texto: {}", "texto de {}", "apuracao: {}", "apuracao de {}",
+)
+# Hosts that need a higher score.
+SOCIAL_HOSTS = ("linkedin.com", "facebook.com", "instagram.com")
+
+# Paths of the crawl modes of a site.
+ARTICLE_PATHS = ("/articles/",)
+LISTING_PATHS = ("/colaborador/", "/page/")
