@@ -108,6 +108,10 @@ def band_keys(tokens: np.ndarray, bounds: np.ndarray, threshold: int) -> np.ndar
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    return (key >> _U(40)) % _U(parts)
+
+
 def _bands(batches: Iterator[pa.RecordBatch], k: int, threshold: int, bounds: np.ndarray, parts: int):
     for batch in batches:
         for _, data, offsets in slices(batch, limit=4 << 20):
@@ -128,13 +132,12 @@ def _bands(batches: Iterator[pa.RecordBatch], k: int, threshold: int, bounds: np
             size = np.diff(np.append(first, len(key)))
             keep = np.ones(len(key), bool)
             for f, s in zip(first[size > HOT].tolist(), size[size > HOT].tolist()):
-                # a band that is hot in this chunk: its members are known now, one of them goes on
+                # a band that is hot in this chunk: its members go as one table, to the part of the band's other entries
                 members = np.unique(nodes[index[f:f + s]])
-                spread = np.array([int(key[f] % _U(parts))], np.int32)
-                yield pack(spread, np.array([key[f]]), kind=0, table=members.tobytes())
-                keep[f:f + s] = index[f:f + s] == index[f + int(np.argmin(nodes[index[f:f + s]]))]
+                yield pack(_part(key[f:f + 1], parts).astype(np.int32), key[f:f + 1], kind=0, table=members.tobytes())
+                keep[f:f + s] = False
             key, index = key[keep], index[keep]
-            part = (key >> _U(40)) % _U(parts)
+            part = _part(key, parts)
             # the nodes of a blob's entries travel with it, as a table of the chunk cut to what the blob needs
             order = np.argsort(part, kind="stable")
             part, key, index = part[order], key[order], index[order]
@@ -149,7 +152,9 @@ def _bands(batches: Iterator[pa.RecordBatch], k: int, threshold: int, bounds: np
 
 
 def _met(rows: list[tuple]):
+    """Members of the bands of a part; a band that is hot in any chunk keeps its raw key in all of them."""
     keys, nodes = [], []
+    hot = np.unique(np.array([np.frombuffer(a, np.uint64)[0] for _, kind, a, *_ in rows if kind == 0], np.uint64))
     for _, kind, a, b, _, d in rows:
         table, key = np.frombuffer(d, np.int64), np.frombuffer(a, np.uint64)
         if kind == 0:
@@ -164,6 +169,12 @@ def _met(rows: list[tuple]):
     key, node = key[order], node[order]
     fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
     key, node = key[fresh], node[fresh]
+    raw = np.isin(key, hot)
+    if raw.any():
+        yield _members(key[raw], node[raw])
+        key, node = key[~raw], node[~raw]
+    if not len(key):
+        return
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(first, len(key)))
     # a band is named after its members, so that bands with equal members are one

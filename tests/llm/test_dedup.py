@@ -4,11 +4,12 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from civisight.llm.exact_dedup import exact_dedup, exact_groups
 from civisight.llm.line_dedup import line_dedup
-from civisight.llm.ngram_join import band_keys, ngram_components, ngram_dedup, size_bounds
+from civisight.llm.ngram_join import _bands, _met, _sets, band_keys, ngram_components, ngram_dedup, size_bounds
 from civisight.llm.substring_dedup import substring_dedup
 
 
@@ -77,6 +78,21 @@ def test_hot_bands(spark):
     assert got == brute.components(rows)
 
 
+def test_band_hot_in_one_chunk_and_cold_in_another():
+    """Documents of one template, not linked to each other, and one in another chunk that is linked to all of them."""
+    base = [f"t{i}" for i in range(164)]
+    chunk = lambda ids, own: pa.RecordBatch.from_pylist([{"doc_id": i, "text": " ".join(base + [f"d{i}x{j}" for j in range(own)])} for i in ids])
+    family, other, bounds = chunk(range(150), 22), chunk([1000], 5), size_bounds(364)
+    sets = [{r["node"] for b in _sets(iter([x]), 5) for r in b.to_pylist()} for x in (family, other)]
+    blobs = [tuple(r.values()) for x in (family, other) for b in _bands(iter([x]), 5, 80, bounds, 4) for r in b.to_pylist()]
+    met = {}
+    for part in range(4):
+        for batch in _met([r for r in blobs if r[0] == part]):
+            for r in batch.to_pylist():
+                met.setdefault(r["band"], set()).add(r["node"])
+    assert set().union(*(m for m in met.values() if m >= sets[1])) == sets[0] | sets[1]
+
+
 def test_substrings(docs, texts):
     rows = substring_dedup(docs).collect()
     want = brute.substring_dedup(list(dict(texts).items()))
