@@ -26,6 +26,16 @@ def test_templates(spark):
     assert template_matches(_docs(spark, []), items).collect() == []
 
 
+def test_types_are_the_items(spark):
+    """Verbatim copies count in any case and after any token; a name is typed by its place in the item."""
+    short, twice = "What is the capital of Peru today?", "Yesterday our old neighbour Anna bought pears. Anna gave her little sister most of them."
+    items = spark.createDataFrame([(1, ITEM), (2, short), (3, twice)], "item_id long, text string")
+    rows = [(1, ITEM.lower()), (2, ITEM.upper()), (3, f"Question {short}"), (4, twice.replace("Anna", "Carla")), (5, twice.replace("Anna", "carla")),
+            (6, ITEM.replace("120", "many")), (7, ITEM.lower().replace("before", "after").replace("train", "bus"))]
+    got = {(r.doc_id, r.item_id): (r.n_matched, r.changed) for r in template_matches(_docs(spark, rows), items).collect()}
+    assert got == {(1, 1): (12, False), (2, 1): (12, False), (3, 2): (1, False), (4, 3): (8, True), (5, 3): (8, True)}
+
+
 def test_licenses(spark):
     rows = [(1, "Text. All rights reserved. More."), (2, "# Licensed under the Apache License, Version 2.0 (the \"License\");\nNothing"),
             (3, "Licensed under the Apache License, Version 2.0 (the License). You may not use this file except in compliance with the License. "
