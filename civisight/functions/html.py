@@ -1,11 +1,12 @@
 """Page metadata out of HTML, and JSON out of noisy replies.
 
-Tags and JSON-LD are found with expressions in the JVM. Two short Arrow helpers remain in
-Python: decoding of character references, on fields only, and the lines of a page's body.
+Tags are found with expressions in the JVM. Three short Arrow helpers remain in Python: decoding of
+character references, on fields only, the walk over JSON-LD blocks, and the lines of a page's body.
 """
 from __future__ import annotations
 
 import html
+import json
 from collections.abc import Sequence
 from html.parser import HTMLParser
 
@@ -28,39 +29,60 @@ def decoded(c: ColumnOrName) -> Column:
     return F.when(col.contains("&"), unescape(F.when(col.contains("&"), col))).otherwise(col)
 
 
-_STRING = r'"((?:[^"\\]|\\.)*)"'
+_DATES = ("datePublished", "dateCreated", "dateModified", "uploadDate")
+_LISTS = T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for n in ("headline", "description", "publisher", "author", *_DATES)])
 
 
-def _strings(blocks: Column, key: str) -> Column:
-    """Non-blank string values of a key, in the order of the text."""
-    found = F.regexp_extract_all(blocks, F.lit(rf'"{key}"\s*:\s*{_STRING}'), F.lit(1))
-    return F.filter(F.transform(found, lambda x: clean_text(F.get_json_object(F.concat(F.lit('{"v":"'), x, F.lit('"}')), "$.v"))), lambda x: x.isNotNull())
+def _listed(value: object) -> list:
+    return value if isinstance(value, list) else [value]
 
 
-def _objects(blocks: Column, key: str) -> Column:
-    """Values of a key that are a string, a list or an object (with one level inside), as JSON text."""
-    flat = r"[^{}\[\]]|\{[^{}]*\}|\[[^\[\]]*\]"
-    return F.regexp_extract_all(blocks, F.lit(rf'"{key}"\s*:\s*("(?:[^"\\]|\\.)*"|\[(?:{flat})*\]|\{{(?:{flat})*\}})'), F.lit(1))
+def _walk(block: object, out: dict[str, list[str]]) -> None:
+    """Strings of the fields, an object's own before those of the objects inside it, at any depth."""
+    left = [block]
+    while left:
+        node = left.pop()
+        if isinstance(node, dict):
+            found = {key: [node.get(key)] for key in ("headline", "description", *_DATES)}
+            found["publisher"] = [x.get("name") for x in _listed(node.get("publisher")) if isinstance(x, dict)]
+            found["author"] = []
+            for x in _listed(node.get("author")):
+                if isinstance(x, dict):
+                    name = x.get("name")
+                    x = x.get("alternateName") if name is None or isinstance(name, str) and not name.strip() else name
+                found["author"].append(x)
+            for key, values in found.items():
+                out[key] += [x for x in values if isinstance(x, str)]
+            left += reversed(node.values())
+        elif isinstance(node, list):
+            left += reversed(node)
+
+
+@F.pandas_udf(_LISTS)
+def _jsonld_lists(blocks: pd.Series) -> pd.DataFrame:
+    rows = []
+    for texts in blocks:
+        out = {f.name: [] for f in _LISTS}
+        for text in texts if texts is not None else []:
+            _walk(json.loads(text, strict=False, parse_int=float), out)
+        rows.append(out)
+    return pd.DataFrame(rows, columns=_LISTS.names)
 
 
 def jsonld_fields(blocks: Column) -> Column:
     """struct(title, description, site_name, published_at, author_names) out of JSON-LD blocks.
 
-    Blocks that do not parse are skipped. Fields are the first value in the text; the date is the first that
-    can be read, published before created before modified before uploaded.
+    Blocks that do not parse are skipped. Fields are the first value, an object's own before those inside it; the date
+    is the first that can be read, published before created before modified before uploaded.
     """
-    text = F.array_join(F.filter(blocks, lambda b: F.try_parse_json(b).isNotNull()), "\n")
+    lists = _jsonld_lists(F.filter(blocks, lambda b: F.try_parse_json(b).isNotNull()))
+    clean = lambda key: F.filter(F.transform(lists[key], lambda x: clean_text(x)), lambda x: x.isNotNull())
     first = lambda values: F.try_element_at(values, F.lit(1))
-    dates = F.concat(*[_strings(text, k) for k in ("datePublished", "dateCreated", "dateModified", "uploadDate")])
-    site = F.flatten(F.transform(_objects(text, "publisher"), lambda o: _strings(F.regexp_replace(F.substring(o, 2, 1 << 30), r"\{[^{}]*\}", ""), "name")))
-    listed = F.flatten(F.transform(_objects(text, "author"), lambda a: F.from_json(
-        F.when(a.startswith("["), a).otherwise(F.concat(F.lit("["), a, F.lit("]"))), "array<string>")))
-    named = F.transform(listed, lambda x: clean_text(F.when(x.startswith("{"), F.coalesce(
-        F.nullif(F.trim(F.get_json_object(x, "$.name")), F.lit("")), F.get_json_object(x, "$.alternateName"))).otherwise(x)))
+    dates = F.concat(*[clean(k) for k in _DATES])
     return F.struct(
-        first(_strings(text, "headline")).alias("title"), first(_strings(text, "description")).alias("description"), first(site).alias("site_name"),
+        first(clean("headline")).alias("title"), first(clean("description")).alias("description"), first(clean("publisher")).alias("site_name"),
         F.coalesce(first(F.filter(dates, lambda d: parse_timestamp(d).isNotNull())), first(dates)).alias("published_at"),
-        F.filter(named, lambda n: n.isNotNull()).alias("author_names"))
+        F.when(blocks.isNotNull(), clean("author")).alias("author_names"))
 
 
 def jsonld_blocks(c: ColumnOrName) -> Column:

@@ -124,5 +124,13 @@ def test_jsonld_rules(one):
     assert out[1:] == ("a & b", "plain")
 
 
+def test_jsonld_nested(one):
+    block = '<script type="application/ld+json">%s</script>'
+    page = block % ('{"@graph": [{"publisher": {"name": "Site }", "description": "of the site", "address": {"geo": {"x": 1}}}, "description": "of the article", '
+                    '"author": [{"name": "A", "affiliation": {"name": "X"}}, "B", {"name": "C [", "worksFor": {"address": {"geo": [1]}}}]}]}')
+    out = one(html.jsonld_fields(html.jsonld_blocks("x")), x=page)[0]
+    assert (out.site_name, out.description, out.author_names) == ("Site }", "of the article", ["A", "B", "C ["])
+
+
 def test_short_body_is_kept(one):
     assert one(html.body_lines("x"), x="<main><p>Short</p></main>")[0] == ["Short"]
