@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from civisight.llm.common import prepare
 from civisight.llm.decontamination import template_matches
 from civisight.llm.exact_dedup import exact_groups
+from civisight.llm.hard_negatives import hard_negatives
 from civisight.llm.langid import predict_languages
 from civisight.llm.licenses import RULES, SENTENCES, license_matches
 from civisight.llm.line_dedup import line_dedup
 from civisight.llm.lm_score import lm_scores
 from civisight.llm.ngram_join import ngram_components
 from civisight.llm.packing import pack_documents
+from civisight.llm.periodic import periodic_runs, run_digests, tile_words
 from civisight.llm.quality import quality_scores
+from civisight.llm.quality_rules import quality_rules
 from civisight.llm.substring_dedup import substring_dedup
 
 
@@ -62,8 +65,23 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup(_table(spark, folder, "documents")).drop("kept_text")
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return run_digests(periodic_runs(tile_words(_table(spark, folder, "documents"))))
+
+
+def op12_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules(_table(spark, folder, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", shifted), anchor=F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_quality, op4_langid, op5_lm_score, op6_decontamination,
-                                  op7_exact_dedup, op8_line_dedup, op9_licenses, op10_substring_dedup)}
+                                  op7_exact_dedup, op8_line_dedup, op9_licenses, op10_substring_dedup, op11_periodic_runs,
+                                  op12_quality_rules, op13_hard_negatives)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -118,4 +136,38 @@ ORACLES = {
         select doc_id, len(t)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
                sha256(array_to_string(case when gone is null then t else list_filter(t, lambda v, i: not list_contains(gone, i)) end, ' ')) as kept_sha256
         from w left join x using (doc_id)""",
+    "op12_quality_rules": f"""
+        with t as (select rowid as r, doc_id, source, coalesce(text, '') as text from (select row_number() over () as rowid, * from documents)),
+        w as (select r, {_WORDS.format("text")} as w from t),
+        g as (select r, list_transform(range(1, greatest(len(w) - 1, 1)), lambda p: struct_pack(p := p, s := array_to_string(w[p:p + 2], ' '))) as s from w),
+        u as (select r, unnest(s, recursive := true) from g),
+        m as (select r, p, count(*) over (partition by r, s) as n from u),
+        rep as (select r, count(distinct q) as n_repeat_words from (select r, unnest([p, p + 1, p + 2]) as q from m where n > 1) group by r),
+        raw as (select r, unnest(string_split(text, chr(10))) as line from t),
+        norm as (select r, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[ 	]+', ' ', 'g')) as l from raw),
+        lines as (select norm.*, source, text from norm join t using (r) where l <> ''),
+        dup as (select r, count(*) - count(distinct line) as n_dup_lines from lines group by r),
+        hosts as (select source, count(distinct text) as all_texts from t group by source),
+        high as (select source, l from lines group by source, l having count(distinct text) > 10),
+        seen as (select source, l, count(distinct text) as n from lines semi join high using (source, l) group by source, l),
+        over_limit as (select source, l from seen join hosts using (source) where 100 * n > 5 * all_texts),
+        gone as (select r, count(*) as n_lines_removed, sum(len(string_split(l, ' '))) as n_words_removed from lines join over_limit using (source, l) group by r),
+        f as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+              (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+              coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines_removed, 0) as n_lines_removed, coalesce(n_words_removed, 0)::bigint as n_words_removed
+              from t join w using (r) left join rep using (r) left join dup using (r) left join gone using (r)),
+        b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from f)
+        select *, not base_failed and n_words - n_words_removed >= 50 and 100 * n_words_removed <= 50 * n_words as kept from b""",
+    "op13_hard_negatives": """
+        with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, embedding from embeddings
+              where vec_id is not null and label is not null and embedding is not null
+              and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+        e as (select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)) as x from v),
+        s as (select a.vec_id as a, a.label as la, b.vec_id as b, b.label as lb, list_inner_product(a.x, b.x)::bigint as score
+              from e a, e b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+        p as (select a, b, la, score from s where la = lb qualify row_number() over (partition by a order by score desc, b) <= 5)
+        select p.a as anchor_id, p.b as positive_id, row_number() over (partition by p.a, p.b order by s.score desc, s.b)::int as rank,
+               s.b as negative_id, p.score as positive_score, s.score as negative_score
+        from p join s on p.a = s.a and s.lb <> p.la and 100 * s.score between 80 * p.score and 100 * p.score
+        qualify rank <= 5""",
 }
