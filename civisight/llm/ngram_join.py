@@ -10,11 +10,13 @@ sets meet in a band of their common size class (pigeonhole). Candidates then pas
 Sets that are equal are one node. A band shared by many sets is no clique: its members are compared
 with one hub per round, then joined by label; only members that still carry different labels are
 compared further, and in the end all of them in blocks, by sketch, so no link between different sets is
-lost; only pairs that pass the test leave a block.
+lost. A block gives a spanning forest of the pairs that pass the test, so fewer pairs than members; blocks where a pair
+of the forest fails the exact test are asked again without it, until their forests hold.
 Tokens and nodes are 64-bit hashes; equality of hashes stands for equality.
 
-Null and empty texts have no tokens and no links; repeated rows are copies; a null id gets a
-component like any other row; further columns are ignored; no rows give no rows.
+Null and empty texts have no tokens and no links; repeated rows are copies; rows that repeat an id with other texts
+are compared by their own texts; a row with a null id gets the component of the rows it is linked with, null if none
+of them has an id; further columns are ignored; no rows give no rows.
 """
 from __future__ import annotations
 
@@ -79,11 +81,12 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int):
     for batch in batches:
         for rows, data, offsets in slices(batch):
             sets = shingle_sets(data, offsets, k)
+            kept = [c for c in rows.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                [*(rows.column(rows.schema.names.index(c)) for c in kept), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
                  pa.array([_sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "sketch"])
+                names=[*kept, "n_shingles", "node", "sketch"])
 
 
 def band_keys(tokens: np.ndarray, bounds: np.ndarray, threshold: int) -> np.ndarray:
@@ -183,28 +186,70 @@ def _met(rows: list[tuple]):
     yield _members(key[many], node[many])
 
 
+def _code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each pair of nodes, whichever comes first."""
+    return mix(np.minimum(a, b).view(np.uint64)) + np.maximum(a, b).view(np.uint64)
+
+
+def _forest(label: np.ndarray, p: np.ndarray, q: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Indices of the pairs (p, q) of the least spanning forest over labels (Boruvka's rounds)."""
+    comp = np.unique(label, return_inverse=True)[1]
+    order = np.argsort(weight, kind="stable")
+    alive, picked = order[comp[p[order]] != comp[q[order]]], []
+    while len(alive):
+        ends = np.stack([comp[p[alive]], comp[q[alive]]], 1)
+        _, first = np.unique(ends.ravel(), return_index=True)  # each component's lightest pair
+        chosen = np.unique(first // 2)
+        picked.append(alive[chosen])
+        a, b, up = ends[chosen, 0], ends[chosen, 1], np.arange(comp.max() + 1)
+        while True:
+            least = np.minimum(up[a], up[b])
+            if (up[a] == least).all() and (up[b] == least).all():
+                break
+            np.minimum.at(up, a, least)
+            np.minimum.at(up, b, least)
+            up = up[up]
+        comp = up[comp]
+        alive = alive[comp[p[alive]] != comp[q[alive]]]
+    return np.concatenate(picked) if picked else np.zeros(0, np.int64)
+
+
 def _cells(batches: Iterator[pa.RecordBatch], threshold: int):
-    """Pairs with different labels that pass the Hamming test, cell by cell; rows are
-    (band, i, j, block, node, label, n, sketch), sorted by cell: block i against block j of a band's members."""
+    """Of each cell's pairs that pass the Hamming test, a spanning forest over the labels, nearest pairs first;
+    so a cell gives fewer pairs than it has members. Rows are (band, i, j, block, node, label, n, sketch, failed), sorted by
+    cell: block i against block j of a band's members; pairs of a node with those it has failed with do not count."""
     held = None
 
     def pairs(rows: pa.Table):
         block, node, label, n = (rows.column(k).to_numpy() for k in ("block", "node", "label", "n"))
         sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        failed = rows.column("failed").combine_chunks()
+        lengths = np.array(failed.value_lengths().fill_null(0), np.int64)
+        known = np.unique(_code(np.repeat(node, lengths), np.array(failed.flatten(), np.int64)))
+        band, i, j = (rows.column(k)[0].as_py() for k in ("band", "i", "j"))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        p, q, weight = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for at in range(0, len(left), 256):
             some = left[at:at + 256]
-            total = n[some][:, None] + n[right][None, :]
             near = label[some][:, None] != label[right][None, :]
             near &= 100 * np.minimum(n[some][:, None], n[right][None, :]) >= threshold * np.maximum(n[some][:, None], n[right][None, :])
-            p, q = np.nonzero(near)
-            for cut in range(0, len(p), 100_000):
-                pp, qq = p[cut:cut + 100_000], q[cut:cut + 100_000]
-                far = np.bitwise_count(sketch[some[pp]] ^ sketch[right[qq]]).sum(1)
-                ok = far * (100 + threshold) <= total[pp, qq] * (100 - threshold)
-                a, b = node[some[pp[ok]]], node[right[qq[ok]]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            if i == j:
+                near &= some[:, None] < right[None, :]
+            x, y = np.nonzero(near)
+            for cut in range(0, len(x), 100_000):
+                xx, yy = some[x[cut:cut + 100_000]], right[y[cut:cut + 100_000]]
+                far = np.bitwise_count(sketch[xx] ^ sketch[yy]).sum(1)
+                ok = far * (100 + threshold) <= (n[xx] + n[yy]) * (100 - threshold)
+                code = _code(node[xx[ok]], node[yy[ok]])
+                new = ~np.isin(code, known)
+                p, q = np.append(p, xx[ok][new]), np.append(q, yy[ok][new])
+                weight = np.append(weight, (far[ok][new].astype(np.uint64) << _U(40)) | (code[new] >> _U(24)))
+                keep = _forest(label, p, q, weight)
+                p, q, weight = p[keep], q[keep], weight[keep]
+        a, b = node[p], node[q]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(a), band, np.int64)), pa.array(np.full(len(a), i, np.int32)), pa.array(np.full(len(a), j, np.int32)),
+             pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["band", "i", "j", "a", "b"])
 
     for batch in batches:
         rows = pa.Table.from_batches([batch])
@@ -212,10 +257,10 @@ def _cells(batches: Iterator[pa.RecordBatch], threshold: int):
         cell = [held.column(k).to_numpy() for k in ("band", "i", "j")]
         cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cell])) + 1
         for a, b in zip(np.append(0, cuts)[:-1], cuts):
-            yield from pairs(held.slice(a, b - a))
+            yield pairs(held.slice(a, b - a))
         held = held.slice(cuts[-1]) if len(cuts) else held
     if held is not None and held.num_rows:
-        yield from pairs(held)
+        yield pairs(held)
 
 
 def _members(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
@@ -257,7 +302,8 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: int = 80, star_roun
     shelf = Shelf(docs.sparkSession)
     spark, n = docs.sparkSession, width(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = shelf.put(docs.mapInArrow(lambda b: _sets(b, k), "doc_id long, n_shingles long, node long, sketch array<long>"), "sets")
+    docs = docs.withColumn("digest", F.unhex(F.md5("text")))
+    sets = shelf.put(docs.mapInArrow(lambda b: _sets(b, k), "doc_id long, digest binary, n_shingles long, node long, sketch array<long>"), "sets")
     longest = sets.agg(F.max("n_shingles")).first()[0] or 0
     bounds, parts = size_bounds(longest * 2), n
     packed = docs.select("doc_id", "text").mapInArrow(lambda b: _bands(b, k, threshold, bounds, parts), PACK)
@@ -265,9 +311,11 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: int = 80, star_roun
 
     nodes = shelf.put(met.select(F.col("node").alias("id")).distinct(), "nodes")
     facts = sets.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+        F.min(F.struct("doc_id", "digest")).alias("one"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     known = shelf.put(facts.join(nodes.withColumnRenamed("id", "node"), "node"), "known")
-    texts = shelf.put(docs.join(known.filter("n > 0").select("doc_id", "node"), "doc_id").dropDuplicates(["node"])
+    # a node's text is that of one row, named by id (which may be null) and text
+    one = known.filter("n > 0").select("node", F.col("one.doc_id").alias("_id"), F.col("one.digest").alias("_digest"))
+    texts = shelf.put(docs.join(one, docs["doc_id"].eqNullSafe(one["_id"]) & (docs["digest"] == one["_digest"])).dropDuplicates(["node"])
                       .select("node", "text"), "texts")
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -282,8 +330,20 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: int = 80, star_roun
                 .join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb"))
         return full.mapInArrow(lambda b: _linked(b, k, threshold), "a long, b long")
 
-    labels, found, tried = nodes.select("id", F.col("id").alias("label")), None, None
-    bands = met
+    labels, found, tried, bands, work = nodes.select("id", F.col("id").alias("label")), None, None, met, 0
+
+    def test(pairs: DataFrame) -> DataFrame:
+        """The links among pairs not tried before; labels take them up."""
+        nonlocal labels, found, tried
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = shelf.put(pairs, "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = shelf.put(links(pairs), "links")
+        found = new if found is None else found.unionByName(new)
+        labels = components(shelf, nodes, found)
+        return new
+
     for turn in range(star_rounds + 1):
         named = bands.select("band", "node").join(labels.withColumnRenamed("id", "node"), "node")
         tally = shelf.put(named.groupBy("band", "label").agg(F.count("*").alias("m")).groupBy("band").agg(
@@ -294,33 +354,42 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: int = 80, star_roun
             break
         cross = open_bands.select("band", "cross").distinct().agg(F.sum("cross")).first()[0]
         last = turn == star_rounds or turn > 0 and cross <= 2 * work
-        if not last:
-            # each set is compared with the hub that it shares most bands with
-            hub = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-            hubs = shelf.put(open_bands.groupBy("band").agg(F.min(hub).alias("h")).select("band", "h.*"), "hubs")
-            pairs = (open_bands.join(hubs, "band").filter("label <> hub_label").groupBy("node", "hub").agg(F.count("*").alias("m"))
-                     .groupBy("node").agg(F.max(F.struct("m", "hub")).alias("h"))
-                     .select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b")).distinct())
-        else:
-            # all that is left, in blocks: a large band is split into cells of two blocks
-            sizes = shelf.put(open_bands.groupBy("band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks")), "sizes")
-            members = (open_bands.select("band", "node", "label").join(sizes, "band")
-                       .join(known.filter("n > 0").select("node", "n", "sketch"), "node")
-                       .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-                       .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-                       .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "n", "sketch"))
-            pairs = (members.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-                     .mapInArrow(lambda b: _cells(b, threshold), "a long, b long").distinct())
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = shelf.put(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = shelf.put(links(pairs), "links")
-        found = new if found is None else found.unionByName(new)
-        labels = components(shelf, nodes, found)
         bands = open_bands
         if last:
             break
+        # each set is compared with the hub that it shares most bands with
+        hub = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+        hubs = shelf.put(open_bands.groupBy("band").agg(F.min(hub).alias("h")).select("band", "h.*"), "hubs")
+        pairs = (open_bands.join(hubs, "band").filter("label <> hub_label").groupBy("node", "hub").agg(F.count("*").alias("m"))
+                 .groupBy("node").agg(F.max(F.struct("m", "hub")).alias("h"))
+                 .select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b")).distinct())
+        test(pairs)
+
+    if work:
+        # all that is left, in blocks: a large band is split into cells of two blocks
+        sizes = bands.groupBy("band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
+        members = shelf.put(bands.select("band", "node").join(sizes, "band")
+                            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+                            .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+                            .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node"), "members")
+        facts, failed = known.filter("n > 0").select("node", "n", "sketch"), None
+        while True:
+            cells = members.join(labels.select(F.col("id").alias("node"), "label"), "node").join(facts, "node")
+            if failed is None:
+                cells = cells.withColumn("failed", F.lit(None).cast("array<long>"))
+            else:
+                cells = cells.join(failed.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed")), "node", "left")
+            chosen = shelf.put(cells.select("band", "i", "j", "block", "node", "label", "n", "sketch", "failed")
+                               .repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+                               .mapInArrow(lambda b: _cells(b, threshold), "band long, i int, j int, a long, b long"), "chosen")
+            linked = test(chosen.select("a", "b").distinct())
+            # cells whose forest has a pair that is no link look for another way round it
+            missed = shelf.put(chosen.join(linked, ["a", "b"], "left_anti"), "missed")
+            if missed.isEmpty():
+                break
+            new = missed.select("a", "b").distinct()
+            failed = shelf.put(new if failed is None else failed.unionByName(new), "failed")
+            members = shelf.put(members.join(missed.select("band", "i", "j").distinct(), ["band", "i", "j"], "left_semi"), "members")
 
     labelled = sets.join(labels.select(F.col("id").alias("node"), "label"), "node", "left")
     # nodes outside every band are components of their own; texts without tokens of their row alone
