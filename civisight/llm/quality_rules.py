@@ -40,7 +40,7 @@ def document_facts(docs: DataFrame, host: str = "source") -> DataFrame:
     t = t.withColumn("_n", F.size("_w")).withColumn("_g", F.expr(
         "if(_n < 3, array(), transform(slice(_w, 1, _n - 2), (w, i) -> xxhash64(w, get(_w, i + 1), get(_w, i + 2))))"))
     t = t.withColumn("_s", F.expr(
-        "if(size(array_distinct(_g)) = size(_g), null, array_sort(transform(_g, (g, i) -> struct(g, i))))"))
+        "if(size(array_distinct(_g)) = size(_g), null, sort_array(transform(_g, (g, i) -> struct(g, i))))"))
     repeats = f"coalesce(size(array_distinct(flatten(transform({_AGAIN}, p -> array(p, p + 1, p + 2))))), 0)"
     return t.select(
         "doc_id", "host", F.unhex(F.md5("_t")).alias("key"),
