@@ -179,6 +179,23 @@ def spend_periods(t: Tables) -> DataFrame:
     return shown(joined.groupBy("period").agg(F.sum("total").alias("total")), "total")
 
 
+ROLE_SQL = """own AS (SELECT o_custkey AS k, o_orderkey AS ord, CAST(o_orderdate AS DATE) AS s, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 900 AS INTEGER) END AS e, o_orderpriority AS role FROM orders),
+fact AS (SELECT o_custkey AS k, l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS d FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
+
+
+@query("keyed_periods", f"""WITH {ROLE_SQL}, hit AS (SELECT a.k, d, arg_min(role, ord) AS role FROM (SELECT DISTINCT k, d FROM fact) a JOIN own ON own.k = a.k AND d BETWEEN s AND coalesce(e, DATE '9999-01-01') GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, coalesce(role, 'none') AS role FROM fact LEFT JOIN hit USING (k, d)""")
+def keyed_periods(t: Tables) -> DataFrame:
+    """Each line by the first of its customer's own, overlapping and partly open, intervals that holds its day."""
+    start = F.col("o_orderdate").cast("date")
+    own = t.orders.select(
+        F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("ord"), start.alias("s"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.date_add(start, (F.col("o_orderkey") % 900).cast("int"))).alias("e"), F.col("o_orderpriority").alias("role"))
+    facts = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("k")), "l_orderkey")
+    horizon = t.lineitem.agg(F.max(F.col("l_shipdate").cast("date"))).scalar()
+    return lookups.interval_join(facts, "l_shipdate", own, "s", "e", "ord", "role", "none", horizon, keys=["k"]).select("l_orderkey", "l_linenumber", "role")
+
+
 @query("running_total_months", f"""WITH {TX_SQL} SELECT strftime(m, '%Y-%m') AS month, sum(total) OVER (ORDER BY m)::DOUBLE AS running FROM months""")
 def running_total_months(t: Tables) -> DataFrame:
     rows = windows.running_sum(months(t).select("month", "total"), "month", {"total": "running"})

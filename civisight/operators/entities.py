@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civisight.functions.text import ColumnOrName, array_unique_folded, clean_text, fold, match_text, match_tokens
+from civisight.operators.lookups import key_bits, may_hold
 
 # Particles and suffixes of Portuguese names.
 PARTICLES = ("a", "as", "da", "das", "de", "del", "della", "di", "do", "dos", "du", "e")
@@ -114,28 +115,40 @@ def alias_table(entities: DataFrame, rules: AliasRules) -> DataFrame:
         "entity_id", "alias", "alias_key", F.row_number().over(order).alias("alias_rank"), F.size(words).alias("n_tokens"))
 
 
-def alias_hits(docs: DataFrame, aliases: DataFrame, doc: str = "doc_id", text: str = "text", sizes: Sequence[int] | None = None) -> DataFrame:
+def token_frequencies(docs: DataFrame, aliases: DataFrame, text: str = "text") -> DataFrame:
+    """(token, docs): in how many documents each word of an alias occurs."""
+    wanted = aliases.select(F.explode(F.split("alias_key", " ")).alias("token")).distinct()
+    seen = docs.select(F.explode(F.array_distinct(match_tokens(text))).alias("token")).filter(may_hold(key_bits(wanted, "token"), "token"))
+    return seen.join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("docs"))
+
+
+def alias_anchors(aliases: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """aliases with their rarest word as ``token`` and its place as ``token_at``; an alias with a word
+    that no document has cannot occur and is left out."""
+    words = aliases.select("*", F.posexplode(F.split("alias_key", " ")).alias("token_at", "token"))
+    rare = F.min(F.struct("docs", (-F.length("token")).alias("_long"), "token_at", "token")).alias("_a")
+    keys = ["entity_id", "alias", "alias_key", "alias_rank", "n_tokens"]
+    found = words.join(frequencies, "token").groupBy(*keys).agg(rare, F.count("*").alias("_n")).filter("_n = n_tokens")
+    return found.select(*keys, "_a.token", "_a.token_at")
+
+
+def alias_hits(docs: DataFrame, aliases: DataFrame, doc: str = "doc_id", text: str = "text", frequencies: DataFrame | None = None) -> DataFrame:
     """(doc, entity_id, alias, alias_rank, start, end) of every alias occurrence.
 
-    After folding, an alias at token boundaries is a token n-gram, so matching is an
-    equi-join on the n-gram instead of one regular expression per alias. Only the lengths
-    that aliases have are built (``sizes``; asked from the alias table when not given).
+    After folding, an alias at token boundaries is a token n-gram. Each alias is looked up by its anchor, the
+    word that the fewest documents have (``frequencies``, of ``token_frequencies``; counted when not given). Words
+    are tested against the anchors' bits where they are read, then joined with the anchors; only around the few places
+    left the whole alias is compared.
     """
-    if sizes is None:
-        sizes = [r.n_tokens for r in aliases.select("n_tokens").distinct().collect()]
-    if not sizes:
-        sizes = [1]
-    widest = max(sizes)
-    tokens = docs.select(doc, match_tokens(text).alias("_t"))
-    # token i next to tokens i+1, i+2, ...: shifted copies of the array, zipped
-    shifted = F.arrays_zip(*[F.slice("_t", k + 1, F.greatest(F.size("_t") - k, F.lit(0))).alias(f"t{k}") for k in range(widest)])
-    rows = tokens.select(doc, F.posexplode(shifted).alias("start", "z"))
-    grams = F.array(*[F.struct(
-        F.lit(n).alias("n"), F.when(F.col("z")[f"t{n - 1}"].isNotNull(), F.concat_ws(" ", *[F.col("z")[f"t{k}"] for k in range(n)])).alias("alias_key"))
-        for n in sorted(sizes)])
-    rows = rows.select(doc, "start", F.explode(grams).alias("g")).select(doc, "start", (F.col("start") + F.col("g.n")).alias("end"), F.col("g.alias_key").alias("alias_key"))
-    known = aliases.select("entity_id", "alias", "alias_key", "alias_rank")
-    return rows.filter("alias_key is not null").join(known, "alias_key")
+    anchors = alias_anchors(aliases, token_frequencies(docs, aliases, text) if frequencies is None else frequencies)
+    reach = aliases.agg(F.coalesce(F.max("n_tokens"), F.lit(1))).scalar()
+    places = docs.select(doc, match_tokens(text).alias("_t")).select(doc, "_t", F.posexplode("_t").alias("at", "token")).filter(may_hold(key_bits(anchors, "token"), "token"))
+    before = F.least(F.col("at"), reach - 1)
+    around = F.slice("_t", F.col("at") - before + 1, 2 * reach - 1)
+    places = places.select(doc, "at", "token", before.alias("before"), around.alias("around"))
+    hits = places.join(anchors, "token").filter("before >= token_at and array_join(slice(around, before - token_at + 1, n_tokens), ' ') = alias_key")
+    start = F.col("at") - F.col("token_at")
+    return hits.select("alias_key", doc, start.alias("start"), (start + F.col("n_tokens")).alias("end"), "entity_id", "alias", "alias_rank")
 
 
 def accepted_mentions(hits: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -56,22 +56,60 @@ def _inside(date: ColumnOrName, period: dict) -> Column:
     return after & (day <= F.lit(period["end"]).cast("date")) if period.get("end") else after
 
 
-def interval_calendar(intervals: DataFrame, start: str, end: str, ordinal: str, labels: Sequence[str], horizon: Column, keys: Sequence[str] = ()) -> DataFrame:
-    """One row per (keys, day): the first interval that covers the day. Open ends reach the
-    horizon. A calendar has a few ten thousand days, however many facts look it up."""
-    days = F.explode(F.sequence(F.col(start), F.least(F.coalesce(F.col(end), horizon), horizon), F.expr("interval 1 day")))
-    valid = intervals.filter(F.col(start) <= F.least(F.coalesce(F.col(end), horizon), horizon))
-    return (
-        valid.select(*keys, days.alias("day"), F.struct(*labels).alias("_l"), ordinal)
-        .groupBy(*keys, "day").agg(F.min_by("_l", ordinal).alias("_l")).select(*keys, "day", "_l.*")
-    )
+_ZERO, _LEVELS = 1 << 22, 24  # day numbers are counted from 11,000 years before 1970, so that they are positive
+
+
+def _day_number(day: Column) -> Column:
+    return F.unix_date(day) + F.lit(_ZERO)
+
+
+def dyadic_ranges(start: Column, end: Column) -> Column:
+    """The days from start to end as aligned ranges of 1, 2, 4, ... days: array of (level, block).
+
+    At each level at most one range is taken from either end, so n days make at most 2 log2 n ranges. No ranges
+    for an empty interval.
+    """
+    low, high = _day_number(start), _day_number(end) + 1
+
+    def at(level: Column) -> Column:
+        up = F.call_function("shiftright", low + F.call_function("shiftleft", F.lit(1), level) - 1, level)
+        down = F.call_function("shiftright", high, level)
+        block = lambda b: F.struct(level.alias("level"), b.alias("block"))
+        return F.array(F.when((up < down) & (up % 2 == 1), block(up)), F.when((up < down) & (down % 2 == 1), block(down - 1)))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), at)))
+
+
+def dyadic_prefixes(day: Column, levels: Column) -> Column:
+    """The aligned ranges of the given levels that hold a day: array of (level, block)."""
+    number = _day_number(day)
+    return F.transform(levels, lambda level: F.struct(level.alias("level"), F.call_function("shiftright", number, level).alias("block")))
+
+
+def interval_ranges(intervals: DataFrame, start: str, end: str, ordinal: str, labels: Sequence[str], horizon: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, level, block, labels, ordinal): intervals as dyadic ranges; open ends reach the horizon."""
+    last = F.least(F.coalesce(F.col(end), horizon), horizon)
+    cut = intervals.select(*keys, ordinal, F.struct(*labels).alias("_l"), F.col(start).alias("_s"), last.alias("_e"))
+    parts = cut.select(*keys, ordinal, "_l", F.explode(dyadic_ranges(F.col("_s"), F.col("_e"))).alias("_r"))
+    # of equal ranges of a key only the first interval counts
+    return parts.groupBy(*keys, F.col("_r.level").alias("level"), F.col("_r.block").alias("block")).agg(
+        F.min_by("_l", ordinal).alias("_l"), F.min(ordinal).alias(ordinal))
 
 
 def interval_join(df: DataFrame, date: str, intervals: DataFrame, start: str, end: str, ordinal: str, label: str, default: str, horizon: Column, keys: Sequence[str] = ()) -> DataFrame:
-    """Point-in-interval join as an equi-join on the day."""
-    calendar = interval_calendar(intervals, start, end, ordinal, [label], horizon, keys)
-    work = df.withColumn("day", F.col(date).cast("date"))
-    return work.join(calendar, [*keys, "day"], "left").withColumn(label, F.coalesce(label, F.lit(default))).drop("day")
+    """Point-in-interval join, per key: the first interval (by ``ordinal``) that holds the day, else the default.
+
+    Intervals become O(log n) aligned ranges and days the ranges that hold them, so this is an equi-join whose size
+    does not depend on the length of the intervals. Only the distinct (keys, day) of the rows are looked up.
+    """
+    ranges = interval_ranges(intervals, start, end, ordinal, [label], horizon, keys)
+    levels = ranges.agg(F.array_sort(F.collect_set("level"))).scalar()
+    work = df.withColumn("_day", F.col(date).cast("date"))
+    asked = work.select(*keys, "_day").filter("_day is not null").distinct()
+    prefixes = asked.withColumn("_levels", levels).select(*keys, "_day", F.explode(dyadic_prefixes(F.col("_day"), F.col("_levels"))).alias("_r")).select(
+        *keys, "_day", F.col("_r.level").alias("level"), F.col("_r.block").alias("block"))
+    found = prefixes.join(ranges, [*keys, "level", "block"]).groupBy(*keys, "_day").agg(F.min_by(f"_l.{label}", ordinal).alias(label))
+    return work.join(found, [*keys, "_day"], "left").withColumn(label, F.coalesce(label, F.lit(default))).drop("_day")
 
 
 def term_label(df: DataFrame, slug: str, name: str, date: str, url: str, terms: Sequence[dict], url_labels: Sequence[dict] = (), forced: Sequence[dict] = (), undated: dict[str, str] | None = None) -> DataFrame:
@@ -202,3 +240,26 @@ def reconcile(a: ColumnOrName, b: ColumnOrName, good: float = 0.02, fair: float
 def annotate_present(result: DataFrame, notes: DataFrame, key: str, note: str) -> DataFrame:
     """Notes for keys that occur in a result."""
     return result.select(key).distinct().join(notes.select(key, note), key)
+
+
+# ------------------------------------------------------------ filters before a shuffle
+
+def key_bits(keys: DataFrame, column: str, words: int = 1 << 14) -> Column:
+    """A bit table of the hashes of keys(column) as one scalar: 64 * ``words`` bits, however many keys there are.
+
+    ``may_hold`` tests a value against it where the value is read, so that rows without a partner are gone before
+    a join shuffles them; a row that passes by chance is left to the join.
+    """
+    place = F.pmod(F.xxhash64(column), F.lit(64 * words))
+    bits = keys.select(place.alias("_p")).groupBy(F.expr("_p div 64").alias("_i")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_p % 64 as int))")).alias("_b"))
+    every = keys.sparkSession.range(words).select(F.col("id").alias("_i"), F.lit(0).cast("long").alias("_b"))
+    table = bits.unionByName(every).groupBy("_i").agg(F.bit_or("_b").alias("_b"))
+    return table.agg(F.array_sort(F.collect_list(F.struct("_i", "_b")))["_b"].alias("_t")).scalar()
+
+
+def may_hold(bits: Column, value: ColumnOrName, words: int = 1 << 14) -> Column:
+    """Whether a value may be among the keys of ``key_bits`` (of the same number of words)."""
+    place = F.pmod(F.xxhash64(value), F.lit(64 * words))
+    word = F.get(bits, (place / 64).cast("int"))
+    return F.call_function("shiftrightunsigned", word, (place % 64).cast("int")).bitwiseAND(F.lit(1)) == 1

@@ -1,33 +1,79 @@
 """Scored search over registries, filters over archives, and an inverted token index.
 
-Queries are a short list given by the caller. They ride along as literals of one array and
-are exploded per record after the record's keys were computed, so a batch of queries is one
-scan and needs no join.
+A batch of queries meets the records through their n-grams: every hit of a query holds all n-grams of its words, so
+the one that the fewest records hold is enough to find candidates. N-grams are counted first, then records are joined
+with queries on each query's rarest, and only those pairs are scored.
 """
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civisight.functions.arrays import owners, share_number
-from civisight.functions.text import case_when, compact_key, fold, fold_text, match_tokens
+from civisight.functions.text import case_when, compact_key, fold, fold_text, let, match_tokens
+from civisight.operators.lookups import key_bits, may_hold
 from civisight.operators.windows import top_per_group
 
+GRAM = 3
+_QUERY = ("struct<id:int,way:string,query:string,norm:string,compact:string,digits:string,"
+          "tokens:array<struct<t:string,c:string>>,grams:array<string>>")
 
-def _with_queries(df: DataFrame, queries: Sequence[str]) -> DataFrame:
+
+def _plain_grams(way: str, words: Sequence[str]) -> list[str]:
+    """N-grams of words, each tagged with the way it is looked up; a word shorter than an n-gram is one itself."""
+    return sorted({f"{way}:{w[i:i + GRAM]}" for w in words for i in range(max(1, len(w) - GRAM + 1))})
+
+
+def _queries(spark: SparkSession, queries: Sequence[str], ways: dict[str, object]) -> DataFrame:
+    """One row per query and way; ``ways[way](row)`` gives the words whose n-grams a hit holds, or None if the
+    query cannot be answered that way."""
     rows = []
     for q in queries:
         norm = fold_text(q)
-        tokens = [t for t in norm.split(" ") if t]
-        pairs = [F.struct(F.lit(t).alias("t"), F.lit(re.sub(r"[^a-z0-9]+", "", t)).alias("c")) for t in tokens]
-        rows.append(F.struct(
-            F.lit(q).alias("query"), F.lit(norm).alias("norm"), F.lit(re.sub(r"[^a-z0-9]+", "", norm)).alias("compact"),
-            F.lit(re.sub(r"\D+", "", q)).alias("digits"),
-            F.array(*pairs).cast("array<struct<t:string,c:string>>").alias("tokens")))
-    return df.withColumn("_q", F.explode(F.array(*rows)))
+        row = {"query": q, "norm": norm, "compact": re.sub(r"[^a-z0-9]+", "", norm), "digits": re.sub(r"\D+", "", q),
+               "tokens": [{"t": t, "c": re.sub(r"[^a-z0-9]+", "", t)} for t in norm.split(" ") if t]}
+        rows += [row | {"way": way, "grams": _plain_grams(way, words)} for way, f in ways.items() if (words := f(row)) is not None]
+    table = json.dumps([r | {"id": i} for i, r in enumerate(rows)])
+    return spark.range(1).select(F.explode(F.from_json(F.lit(table), f"array<{_QUERY}>")).alias("_q"))
+
+
+def grams(c: Column, way: str, sizes: Sequence[int] = (GRAM,)) -> Column:
+    """Distinct tagged n-grams of a text; the empty one is in every text."""
+    def of(chars: Column, n: int) -> Column:
+        places = F.sequence(F.lit(0), F.size(chars) - n)
+        return F.when(F.size(chars) >= n, F.transform(places, lambda i: F.concat(F.lit(f"{way}:"), *[F.get(chars, i + k) for k in range(n)])))
+
+    none = F.array().cast("array<string>")
+    found = let(F.split(c, ""), lambda chars: F.concat(*[F.coalesce(of(chars, n), none) for n in sizes if n]))
+    return F.array_distinct(F.concat(F.array(F.lit(f"{way}:")), found))
+
+
+def candidates(records: DataFrame, held: Column, queries: DataFrame) -> DataFrame:
+    """records with each query (``_q``) whose rarest n-gram they hold, once per query and way.
+
+    ``held`` is the array of a record's n-grams. Records are tested against the n-grams' bits where they are read, so
+    what is shuffled, or looked up in the table of queries, are candidates only.
+    """
+    asked = queries.select("_q", F.explode("_q.grams").alias("_gram"))
+    wanted = asked.select("_gram").distinct()
+    counts = (records.select(F.explode(held).alias("_gram")).filter(may_hold(key_bits(wanted, "_gram"), "_gram"))
+              .join(wanted, "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_n")))
+    # an n-gram that no record holds rules its query out
+    rarest = (asked.join(counts, "_gram", "left").groupBy("_q.id")
+              .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_r"), F.first("_q").alias("_q"))
+              .filter("_r.n > 0").select("_q", F.col("_r.gram").alias("_gram")))
+    rows = records.select("*", F.explode(held).alias("_gram")).filter(may_hold(key_bits(rarest, "_gram"), "_gram"))
+    return rows.join(rarest, "_gram").drop("_gram")
+
+
+def _sizes(queries: Sequence[str]) -> list[int]:
+    """Lengths of the n-grams that the words of queries are looked up by."""
+    words = [re.sub(r"[^a-z0-9]+", "", t) for q in queries for t in fold_text(q).split(" ")]
+    return sorted({min(GRAM, len(w)) for w in words} | {GRAM})
 
 
 def _first(*rules: tuple[Column, int]) -> Column:
@@ -57,7 +103,11 @@ def search_registry(
         "_text": fold(F.concat_ws(" ", F.col(prefix), F.col(operator), F.col(document), F.col(owners_text), F.array_join(share, " "), *[F.col(c) for c in (*models, *more)])),
         "_comp": compact_key(F.concat_ws(" ", F.col(prefix), F.col(operator), F.col(document), F.col(owners_text), F.array_join(share, " "), *[F.col(c) for c in (*models, *more_compact)])),
     }
-    work = _with_queries(df.withColumns(keys), queries)
+    # a word that hits any field is, without its signs, part of one of the two compact texts
+    sizes = _sizes(queries)
+    ask = _queries(df.sparkSession, queries, {"c": lambda row: [x["c"] for x in row["tokens"]]})
+    held = F.array_union(grams(F.col("_comp"), "c", sizes), grams(F.regexp_replace("_text", "[^a-z0-9]+", ""), "c", sizes))
+    work = candidates(df.withColumns(keys), held, ask)
     q, pre, doc = F.col("_q"), F.col("_pre"), F.col("_doc")
     c, n = q["compact"], q["norm"]
     some = c != ""
@@ -86,8 +136,11 @@ def search_registry(
 
 def search_sanctions(df: DataFrame, queries: Sequence[str], name: str, document: str, active: str, fields: Sequence[str], key: str, limit: int = 60) -> DataFrame:
     """Best records per query by name (3 characters or more) or document digits (5 or more)."""
-    work = _with_queries(df.withColumns({
-        "_text": fold(F.concat_ws(" ", *[F.col(f) for f in fields])), "_digits": F.coalesce(F.regexp_replace(document, r"\D+", ""), F.lit(""))}), queries)
+    keyed = df.withColumns({
+        "_text": fold(F.concat_ws(" ", *[F.col(f) for f in fields])), "_digits": F.coalesce(F.regexp_replace(document, r"\D+", ""), F.lit(""))})
+    ask = _queries(df.sparkSession, queries, {
+        "d": lambda row: [row["digits"]] if len(row["digits"]) >= 5 else None, "t": lambda row: [row["norm"]] if len(row["norm"]) >= 3 else None})
+    work = candidates(keyed, F.concat(grams(F.col("_digits"), "d"), grams(F.col("_text"), "t")), ask)
     q, text, digits = F.col("_q"), F.col("_text"), F.col("_digits")
     by_doc = (F.length(q["digits"]) >= 5) & digits.contains(q["digits"])
     by_text = (F.length(q["norm"]) >= 3) & text.contains(q["norm"])
@@ -96,7 +149,8 @@ def search_sanctions(df: DataFrame, queries: Sequence[str], name: str, document:
         _first((F.col(active), 100))
         + _first(((q["digits"] != "") & (digits == q["digits"]), 60), ((q["digits"] != "") & digits.contains(q["digits"]), 30))
         + _first((text.startswith(q["norm"]), 20), (text.contains(q["norm"]), 10)))
-    hits = work.filter(by_doc | by_text).select(F.col("_q.query").alias("query"), score.alias("score"), *df.columns)
+    # a record found both ways counts once, as found by its digits
+    hits = work.filter(F.when(q["way"] == "d", by_doc).otherwise(by_text & ~by_doc)).select(F.col("_q.query").alias("query"), score.alias("score"), *df.columns)
     return top_per_group(hits, ["query"], [F.col("score").desc(), F.col(name), F.col(key)], limit, rank="position")
 
 

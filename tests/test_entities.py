@@ -65,3 +65,46 @@ def test_directory(spark):
     counts = {r.doc_id: (r.occurrences, r.matched_aliases) for r in entities.mention_counts(mentions).collect()}
     assert counts == {1: (2, ["Ana Sá", "Ana Sá Lima"]), 2: (2, ["Ana Sá Lima"])}
     assert mentions.agg(F.count("*")).first()[0] == 4
+
+
+def _shuffled_rows(df):
+    """Rows written by the exchanges of an executed plan, by depth first order."""
+    df.collect()
+    plan, out = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        if name == "Exchange":
+            out.append(node.metrics().apply("shuffleRecordsWritten").value())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(plan)
+    return out
+
+
+def test_anchors_bound_the_shuffle(spark):
+    """With broadcasts off the places of a text that go through a shuffle are those of anchors."""
+    text = " ".join(f"w{i % 50}" for i in range(400))
+    docs = spark.createDataFrame([(i, text + (" w3 rare w4 " if i % 10 == 0 else "")) for i in range(200)], "doc_id int, text string").repartition(2)
+    aliases = spark.createDataFrame([(1, "W3 Rare", "w3 rare", 1, 2), (1, "rare w4 w9", "rare w4 w9", 2, 3), (2, "w1 absent", "w1 absent", 1, 2)],
+                                    "entity_id int, alias string, alias_key string, alias_rank int, n_tokens int")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        freq = entities.token_frequencies(docs, aliases)
+        assert {r.token: r.docs for r in freq.collect()} == {"w3": 200, "w1": 200, "w4": 200, "w9": 200, "rare": 20}
+        hits = entities.alias_hits(docs, aliases, frequencies=freq)
+        rows = _shuffled_rows(hits)
+        assert hits.count() == 20 and {(r.alias, r.start) for r in hits.collect()} == {("W3 Rare", 400)}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    print(rows)
