@@ -98,9 +98,12 @@ def exchange(packed: DataFrame, partitions: int, reduce: Callable, schema: str)
     return packed.repartitionById(partitions, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
-def components(shelf: Shelf, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, label): label is the smallest id reachable over edges (a, b); min-label hooking with pointer jumps."""
-    labels = shelf.put(nodes.select("id", F.col("id").alias("label")), "labels")
+def components(shelf: Shelf, nodes: DataFrame, edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(id, label): label is the smallest id reachable over edges (a, b); min-label hooking with pointer jumps.
+
+    Given the ``labels`` of former edges, only the new edges are looked at.
+    """
+    labels = shelf.put(nodes.select("id", F.col("id").alias("label")) if labels is None else labels, "labels")
     while True:
         ends = (edges.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a")
                 .join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")

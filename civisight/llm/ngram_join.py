@@ -7,11 +7,12 @@ bands that differ is at most the symmetric difference. With Jaccard >= t that di
 sets meet in a band of their common size class (pigeonhole). Candidates then pass a Hamming test on
 1024-bit parity sketches (a lower bound of the difference), and at last the exact test on the texts.
 
-Sets that are equal are one node. A band shared by many sets is no clique: its members are compared
-with one hub per round, then joined by label; only members that still carry different labels are
-compared further, and in the end all of them in blocks, by sketch, so no link between different sets is
-lost. A block gives a spanning forest of the pairs that pass the test, so fewer pairs than members; blocks where a pair
-of the forest fails the exact test are asked again without it, until their forests hold.
+Sets that are equal are one node. A band shared by many sets is no clique: its members are first compared with one hub
+per round and joined by label. What then still carries different labels is put into families, the components of sets over
+shared bands, and each family is compared once, in cells of two blocks, with token hashes at hand: pairs of different
+labels go through the Hamming test, then, the nearest first, through the exact test, and a pair whose labels are
+joined by then is skipped. So a cell gives at most as many links as it has members, and no link between components is
+lost. Blocks hold a bounded number of sets and of tokens; two blocks of one label do not meet.
 Tokens and nodes are 64-bit hashes; equality of hashes stands for equality.
 
 Null and empty texts have no tokens and no links; repeated rows are copies; rows that repeat an id with other texts
@@ -32,7 +33,8 @@ from civisight.llm.words import Words, mix, slices
 
 SKETCH_WORDS = 16
 HOT = 64
-CELL = 1000
+CELL, CELL_TOKENS = 1000, 2_000_000  # sets and tokens of a block
+FINE_BITS, FINE_FROM = 1 << 14, 60  # longer sketches, and the difference from which they are worth it
 _U = np.uint64
 
 
@@ -186,81 +188,98 @@ def _met(rows: list[tuple]):
     yield _members(key[many], node[many])
 
 
-def _code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A hash of each pair of nodes, whichever comes first."""
-    return mix(np.minimum(a, b).view(np.uint64)) + np.maximum(a, b).view(np.uint64)
-
-
-def _forest(label: np.ndarray, p: np.ndarray, q: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Indices of the pairs (p, q) of the least spanning forest over labels (Boruvka's rounds)."""
-    comp = np.unique(label, return_inverse=True)[1]
-    order = np.argsort(weight, kind="stable")
-    alive, picked = order[comp[p[order]] != comp[q[order]]], []
-    while len(alive):
-        ends = np.stack([comp[p[alive]], comp[q[alive]]], 1)
-        _, first = np.unique(ends.ravel(), return_index=True)  # each component's lightest pair
-        chosen = np.unique(first // 2)
-        picked.append(alive[chosen])
-        a, b, up = ends[chosen, 0], ends[chosen, 1], np.arange(comp.max() + 1)
-        while True:
-            least = np.minimum(up[a], up[b])
-            if (up[a] == least).all() and (up[b] == least).all():
-                break
-            np.minimum.at(up, a, least)
-            np.minimum.at(up, b, least)
-            up = up[up]
-        comp = up[comp]
-        alive = alive[comp[p[alive]] != comp[q[alive]]]
-    return np.concatenate(picked) if picked else np.zeros(0, np.int64)
+def _fine(tokens: list[np.ndarray]) -> np.ndarray:
+    """Longer parity sketches, for sets that differ too much for the stored ones."""
+    out = np.zeros((len(tokens), FINE_BITS // 64), np.uint64)
+    for row, t in zip(out, tokens):
+        bits = np.bincount((mix(t + _U(3)) % _U(FINE_BITS)).astype(np.int64), minlength=FINE_BITS).astype(np.uint8) & 1
+        row[:] = np.packbits(bits).view(np.uint64)
+    return out
+
+
+def _cell_links(rows: pa.Table, threshold: int) -> list[tuple[int, int]]:
+    """Links that join the labels of a cell, block i against block j."""
+    block, node, label, n = (rows.column(k).to_numpy() for k in ("block", "node", "label", "n"))
+    sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
+    i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    names, of = np.unique(label, return_inverse=True)
+    up = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    raw, tokens, fine = rows.column("tokens").to_pylist(), {}, None
+    at = lambda x: tokens[x] if x in tokens else tokens.setdefault(x, np.frombuffer(raw[x], np.uint64))
+    differ = lambda total: total * (100 - threshold) // (100 + threshold)
+    found = []
+    for cut in range(0, len(left), 256):
+        some = left[cut:cut + 256]
+        now = np.array([root(x) for x in range(len(up))])[of]
+        near = now[some][:, None] != now[right][None, :]
+        near &= 100 * np.minimum(n[some][:, None], n[right][None, :]) >= threshold * np.maximum(n[some][:, None], n[right][None, :])
+        if i == j:
+            near &= some[:, None] < right[None, :]
+        x, y = np.nonzero(near)
+        p, q, far = [], [], []
+        for part in range(0, len(x), 100_000):
+            xx, yy = some[x[part:part + 100_000]], right[y[part:part + 100_000]]
+            gap = np.bitwise_count(sketch[xx] ^ sketch[yy]).sum(1)
+            most = differ(n[xx] + n[yy])
+            ok = gap <= most
+            if (most[ok] > FINE_FROM).any():
+                fine = _fine([at(z) for z in range(len(raw))]) if fine is None else fine
+                for step in range(0, len(xx), 4096):
+                    mine = np.flatnonzero(ok[step:step + 4096]) + step
+                    gap[mine] = np.bitwise_count(fine[xx[mine]] ^ fine[yy[mine]]).sum(1)
+                ok &= gap <= most
+            p.append(xx[ok])
+            q.append(yy[ok])
+            far.append(gap[ok])
+        if not p:
+            continue
+        p, q, far = np.concatenate(p), np.concatenate(q), np.concatenate(far)
+        order = np.argsort(far, kind="stable")
+        for a, b in zip(p[order].tolist(), q[order].tolist()):
+            la, lb = root(of[a]), root(of[b])
+            if la == lb:
+                continue
+            both = len(np.intersect1d(at(a), at(b), assume_unique=True))
+            if 100 * both >= threshold * (len(at(a)) + len(at(b)) - both):
+                up[max(la, lb)] = min(la, lb)
+                found.append((int(node[a]), int(node[b])))
+    return found
 
 
 def _cells(batches: Iterator[pa.RecordBatch], threshold: int):
-    """Of each cell's pairs that pass the Hamming test, a spanning forest over the labels, nearest pairs first;
-    so a cell gives fewer pairs than it has members. Rows are (band, i, j, block, node, label, n, sketch, failed), sorted by
-    cell: block i against block j of a band's members; pairs of a node with those it has failed with do not count."""
+    """Links of each cell; rows are (family, i, j, block, node, label, n, sketch, tokens), sorted by cell."""
     held = None
 
-    def pairs(rows: pa.Table):
-        block, node, label, n = (rows.column(k).to_numpy() for k in ("block", "node", "label", "n"))
-        sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
-        failed = rows.column("failed").combine_chunks()
-        lengths = np.array(failed.value_lengths().fill_null(0), np.int64)
-        known = np.unique(_code(np.repeat(node, lengths), np.array(failed.flatten(), np.int64)))
-        band, i, j = (rows.column(k)[0].as_py() for k in ("band", "i", "j"))
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        p, q, weight = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for at in range(0, len(left), 256):
-            some = left[at:at + 256]
-            near = label[some][:, None] != label[right][None, :]
-            near &= 100 * np.minimum(n[some][:, None], n[right][None, :]) >= threshold * np.maximum(n[some][:, None], n[right][None, :])
-            if i == j:
-                near &= some[:, None] < right[None, :]
-            x, y = np.nonzero(near)
-            for cut in range(0, len(x), 100_000):
-                xx, yy = some[x[cut:cut + 100_000]], right[y[cut:cut + 100_000]]
-                far = np.bitwise_count(sketch[xx] ^ sketch[yy]).sum(1)
-                ok = far * (100 + threshold) <= (n[xx] + n[yy]) * (100 - threshold)
-                code = _code(node[xx[ok]], node[yy[ok]])
-                new = ~np.isin(code, known)
-                p, q = np.append(p, xx[ok][new]), np.append(q, yy[ok][new])
-                weight = np.append(weight, (far[ok][new].astype(np.uint64) << _U(40)) | (code[new] >> _U(24)))
-                keep = _forest(label, p, q, weight)
-                p, q, weight = p[keep], q[keep], weight[keep]
-        a, b = node[p], node[q]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(a), band, np.int64)), pa.array(np.full(len(a), i, np.int32)), pa.array(np.full(len(a), j, np.int32)),
-             pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["band", "i", "j", "a", "b"])
+    def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], names=["a", "b"])
 
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         held = rows if held is None else pa.concat_tables([held, rows])
-        cell = [held.column(k).to_numpy() for k in ("band", "i", "j")]
+        cell = [held.column(k).to_numpy() for k in ("family", "i", "j")]
         cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cell])) + 1
+        links = []
         for a, b in zip(np.append(0, cuts)[:-1], cuts):
-            yield pairs(held.slice(a, b - a))
+            links += _cell_links(held.slice(a, b - a), threshold)
+        yield out(links)
         held = held.slice(cuts[-1]) if len(cuts) else held
     if held is not None and held.num_rows:
-        yield pairs(held)
+        yield out(_cell_links(held, threshold))
+
+
+def _tokens(batches: Iterator[pa.RecordBatch], k: int):
+    for batch in batches:
+        for rows, data, offsets in slices(batch):
+            sets = shingle_sets(data, offsets, k)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([t.tobytes() for t in sets], pa.binary())], names=["node", "tokens"])
 
 
 def _members(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
@@ -330,19 +349,17 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: int = 80, star_roun
                 .join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb"))
         return full.mapInArrow(lambda b: _linked(b, k, threshold), "a long, b long")
 
-    labels, found, tried, bands, work = nodes.select("id", F.col("id").alias("label")), None, None, met, 0
+    labels, tried, bands, work = nodes.select("id", F.col("id").alias("label")), None, met, 0
 
-    def test(pairs: DataFrame) -> DataFrame:
-        """The links among pairs not tried before; labels take them up."""
-        nonlocal labels, found, tried
+    def test(pairs: DataFrame) -> None:
+        """Labels take up the links among pairs not tried before."""
+        nonlocal labels, tried
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = shelf.put(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = shelf.put(links(pairs), "links")
-        found = new if found is None else found.unionByName(new)
-        labels = components(shelf, nodes, found)
-        return new
+        labels = components(shelf, nodes, new, labels)
 
     for turn in range(star_rounds + 1):
         named = bands.select("band", "node").join(labels.withColumnRenamed("id", "node"), "node")
@@ -353,7 +370,7 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: int = 80, star_roun
         if not work:
             break
         cross = open_bands.select("band", "cross").distinct().agg(F.sum("cross")).first()[0]
-        last = turn == star_rounds or turn > 0 and cross <= 2 * work
+        last = turn == star_rounds or turn > 0 and cross <= 100 * work
         bands = open_bands
         if last:
             break
@@ -366,30 +383,29 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: int = 80, star_roun
         test(pairs)
 
     if work:
-        # all that is left, in blocks: a large band is split into cells of two blocks
-        sizes = bands.groupBy("band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
-        members = shelf.put(bands.select("band", "node").join(sizes, "band")
-                            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-                            .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-                            .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node"), "members")
-        facts, failed = known.filter("n > 0").select("node", "n", "sketch"), None
-        while True:
-            cells = members.join(labels.select(F.col("id").alias("node"), "label"), "node").join(facts, "node")
-            if failed is None:
-                cells = cells.withColumn("failed", F.lit(None).cast("array<long>"))
-            else:
-                cells = cells.join(failed.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed")), "node", "left")
-            chosen = shelf.put(cells.select("band", "i", "j", "block", "node", "label", "n", "sketch", "failed")
-                               .repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-                               .mapInArrow(lambda b: _cells(b, threshold), "band long, i int, j int, a long, b long"), "chosen")
-            linked = test(chosen.select("a", "b").distinct())
-            # cells whose forest has a pair that is no link look for another way round it
-            missed = shelf.put(chosen.join(linked, ["a", "b"], "left_anti"), "missed")
-            if missed.isEmpty():
-                break
-            new = missed.select("a", "b").distinct()
-            failed = shelf.put(new if failed is None else failed.unionByName(new), "failed")
-            members = shelf.put(members.join(missed.select("band", "i", "j").distinct(), ["band", "i", "j"], "left_semi"), "members")
+        opened = shelf.put(bands.select("node").distinct(), "opened")
+        least = bands.groupBy("band").agg(F.min("node").alias("a"))
+        over = shelf.put(bands.select("band", F.col("node").alias("b")).join(least, "band").filter("a <> b").select("a", "b").distinct(), "over")
+        family = components(shelf, opened.select(F.col("node").alias("id")), over).select(F.col("id").alias("node"), F.col("label").alias("family"))
+        tokens = texts.join(opened, "node").select("node", "text").mapInArrow(lambda b: _tokens(b, k), "node long, tokens binary")
+        members = (family.join(labels.withColumnRenamed("id", "node"), "node").join(known.filter("n > 0").select("node", "n", "sketch"), "node"))
+        # a label with many sets has blocks of its own; the others of a family share some
+        sizes = members.groupBy("family", "label").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
+        sizes = sizes.withColumn("own", F.when((F.col("m") * 2 > CELL) | (F.col("t") * 2 > CELL_TOKENS), F.col("label")))
+        blocks = sizes.groupBy("family", "own").agg(F.greatest(F.ceil(F.sum("m") / CELL), F.ceil(F.sum("t") / CELL_TOKENS)).cast("int").alias("parts"))
+        sizes, blocks = shelf.put(sizes.select("family", "label", "own"), "sizes"), shelf.put(blocks, "blocks")
+        name = lambda part: F.xxhash64(F.coalesce("own", F.lit(0)), F.col("own").isNull(), part)
+        placed = (members.join(sizes, ["family", "label"]).join(blocks, (members["family"] == blocks["family"]) & sizes["own"].eqNullSafe(blocks["own"]))
+                  .select(members["family"], "node", "label", "n", "sketch", sizes["own"], "parts")
+                  .withColumn("block", name(F.pmod(F.xxhash64("node"), F.col("parts")))).drop("parts"))
+        other = blocks.select(F.col("family").alias("_family"), F.col("own").alias("_own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_part"), "own")
+        other = other.select("_family", "_own", name(F.col("_part").cast("long")).alias("other"))
+        cells = (placed.join(other, (F.col("family") == F.col("_family")) & (F.col("own").isNull() | ~F.col("own").eqNullSafe(F.col("_own"))))
+                 .select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "n", "sketch"))
+        links_in = (cells.join(shelf.put(tokens, "tokens"), "node").repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j")
+                    .select("family", "i", "j", "block", "node", "label", "n", "sketch", "tokens")
+                    .mapInArrow(lambda b: _cells(b, threshold), "a long, b long"))
+        labels = components(shelf, nodes, shelf.put(links_in, "links"), labels)
 
     labelled = sets.join(labels.select(F.col("id").alias("node"), "label"), "node", "left")
     # nodes outside every band are components of their own; texts without tokens of their row alone
