@@ -35,4 +35,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from civisight.catalog import alignment, budget, cards, clippings, corpus, monitors, registry, requests  # noqa: F401
+    from civisight.catalog import alignment, budget, cards, clippings, corpus, landed, monitors, registry, requests  # noqa: F401

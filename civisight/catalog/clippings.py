@@ -63,7 +63,8 @@ r AS (SELECT page_url, pos, text, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0
 @query("page_links", f"""WITH {LINK_SQL} SELECT page_url, href, min(pos)::INTEGER AS pos, first(text ORDER BY pos) AS text FROM r GROUP BY page_url, href""")
 def page_links(t: Tables) -> DataFrame:
     """Links of whole pages, resolved, one row per page and target."""
-    return lookups.extract_links(t.pages.dropDuplicates(["url", "html"]))
+    links = lookups.extract_links(t.pages)
+    return links.groupBy("page_url", "href").agg(F.min("pos").alias("pos"), F.min_by("text", "pos").alias("text"))
 
 
 @query("link_admission", f"""SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) LIKE '%example.com' AS kept FROM pages""")

@@ -46,7 +46,13 @@ def name_windows(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.excerpt_around("text", ["Of the", "And the"]).alias("excerpt"))
 
 
-@query("snippets")
+_SNIPPET_SEGMENTS = r"""list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')"""
+
+
+@query("snippets", f"""WITH s AS (SELECT doc_id, coalesce(text, '') AS text, {_SNIPPET_SEGMENTS} AS seg, trim(regexp_replace(left(coalesce(text, ''), 340), '\\s+', ' ', 'g')) AS opening FROM documents),
+f AS (SELECT *, list_filter(seg, lambda x: contains({KEY.format(c='x')}, 'of the') OR contains({KEY.format(c='x')}, 'and the'))[1] AS hit FROM s)
+SELECT doc_id, CASE WHEN text = '' THEN '' WHEN hit IS NOT NULL THEN CASE WHEN length(hit) > 340 THEN rtrim(left(hit, 337)) || '...' ELSE hit END
+ ELSE opening || CASE WHEN length(text) > length(opening) THEN '...' ELSE '' END END AS snippet FROM f""")
 def snippets(t: Tables) -> DataFrame:
     """First sentence of a document that holds one of two phrases."""
     return t.documents.select("doc_id", text.snippet("text", F.array(F.lit("of the"), F.lit("and the"))).alias("snippet"))

@@ -139,7 +139,7 @@ def contains_search(t: Tables) -> DataFrame:
     return search.filter_items(t.documents, "Óf the", ["text", "lang"]).select("doc_id", "source")
 
 
-@query("rank_page", """SELECT c_custkey AS key, c_acctbal AS balance, position::INTEGER AS position FROM (SELECT *, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS position FROM customer) WHERE position BETWEEN 41 AND 60""")
+@query("rank_page", """SELECT c_custkey AS key, c_acctbal AS balance, position FROM (SELECT *, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS position FROM customer) WHERE position BETWEEN 41 AND 60""")
 def third_page(t: Tables) -> DataFrame:
     rows = t.customer.select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance"))
     return rank_page(rows, [F.col("balance").desc(), F.col("key")], 3, 20)

@@ -37,6 +37,11 @@ def _listed(value: object) -> list:
     return value if isinstance(value, list) else [value]
 
 
+def _sound(text: str) -> str:
+    """Text without lone halves of surrogate pairs, which cut descriptions end in and no encoding takes."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def _walk(block: object, out: dict[str, list[str]]) -> None:
     """Strings of the fields, an object's own before those of the objects inside it, at any depth."""
     left = [block]
@@ -52,7 +57,7 @@ def _walk(block: object, out: dict[str, list[str]]) -> None:
                     x = x.get("alternateName") if name is None or isinstance(name, str) and not name.strip() else name
                 found["author"].append(x)
             for key, values in found.items():
-                out[key] += [x for x in values if isinstance(x, str)]
+                out[key] += [_sound(x) for x in values if isinstance(x, str)]
             left += reversed(node.values())
         elif isinstance(node, list):
             left += reversed(node)

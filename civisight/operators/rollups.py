@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from civisight.functions.money import ratio
 from civisight.functions.text import ColumnOrName, as_col, case_when
+from civisight.operators.windows import numbered
 
 
 def roll_up(df: DataFrame, sets: dict[str, Sequence[str]], measures: dict[str, Column]) -> DataFrame:
@@ -39,6 +40,37 @@ def merge_partials(partials: DataFrame, keys: Sequence[str], sums: Sequence[str]
     return partials.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums])
 
 
+def dense_numbers(df: DataFrame, key: str, name: str = "number") -> DataFrame:
+    """(key, number): the distinct keys numbered without gaps, as bitmaps need them to be small."""
+    return numbered(df.select(key).filter(F.col(key).isNotNull()).distinct(), [F.col(key)], name)
+
+
+def distinct_bitmaps(df: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
+    """Partial of an exact distinct count that can be stored and merged: (keys, bucket, bits), a bit per number."""
+    return df.groupBy(*keys, F.bitmap_bucket_number(number).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+
+
+def merge_bitmaps(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Stored partials, of several periods say, to partials per key."""
+    return partials.groupBy(*keys, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def bitmap_counts(partials: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Exact number of distinct numbers per key; a number in several partials counts once."""
+    return merge_bitmaps(partials, keys).groupBy(*keys).agg(F.sum(F.bitmap_count("bits")).alias(name))
+
+
+def roll_up_distinct(df: DataFrame, sets: dict[str, Sequence[str]], number: str, name: str) -> DataFrame:
+    """Exact distinct counts over many key sets: facts become bits within tasks, so one shuffle moves bitmaps."""
+    keys = list(dict.fromkeys(k for s in sets.values() for k in s))
+    work = df.select(*keys, F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("_bit"))
+    grain_of = {sum(1 << (len(keys) - i) for i, k in enumerate(keys) if k not in s): n for n, s in sets.items()}
+    grain = case_when([(F.grouping_id() == gid, F.lit(label)) for gid, label in grain_of.items()], F.lit(None).cast("string"))
+    bits = work.groupingSets([[F.col(k) for k in (*s, "bucket")] for s in sets.values()], *[F.col(k) for k in (*keys, "bucket")]).agg(
+        grain.alias("grain"), F.bitmap_construct_agg("_bit").alias("bits"))
+    return bits.groupBy("grain", *keys).agg(F.sum(F.bitmap_count("bits")).alias(name))
+
+
 def rates(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     """Safe ratios: output name to (numerator, denominator)."""
     return df.withColumns({n: ratio(a, b) for n, (a, b) in pairs.items()})

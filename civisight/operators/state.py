@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civisight.operators.sets import dataset_diff
+from civisight.operators.sets import unchanged
 from civisight.operators.windows import dedupe_last
 
 
@@ -84,9 +84,8 @@ def count_failures(state: DataFrame, observed: DataFrame, key: str, ok: str, lim
 
 
 def change_stamp(previous: DataFrame, current: DataFrame, stamp: Column, now: Column) -> DataFrame:
-    """One row: the old timestamp when nothing changed, else now."""
-    diff = dataset_diff(current, previous).agg(F.count("*").alias("n"))
-    return diff.select(F.when(F.col("n") == 0, stamp).otherwise(now).alias("changed_at"), (F.col("n") > 0).alias("changed"))
+    """One row: the old timestamp when nothing changed, else now. Data sets are compared by fingerprint."""
+    return unchanged(current, previous).select(F.when(F.col("same"), stamp).otherwise(now).alias("changed_at"), (~F.col("same")).alias("changed"))
 
 
 def incremental_by_period(state: DataFrame, loads: DataFrame, period: str, archive: str, first: str, last: str) -> DataFrame:

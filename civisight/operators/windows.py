@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from civisight.functions.money import ratio
 from civisight.functions.text import ColumnOrName, as_col
+from civisight.session import settle
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:
@@ -114,12 +115,31 @@ def missing_months(spine: DataFrame, month: str) -> DataFrame:
     return spine.withColumn("missing_before", F.coalesce(gap, F.lit(0)))
 
 
-def rank_page(df: DataFrame, order: Sequence[Column], page: int, size: int) -> DataFrame:
-    """Rows of one result page with their position. Only the rows up to the page's end are kept
-    before the position is computed."""
-    head = df.orderBy(*order).limit(page * size)
-    ranked = head.withColumn("position", F.row_number().over(Window.partitionBy().orderBy(*order)))
-    return ranked.filter(F.col("position") > (page - 1) * size)
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """Rows with their place, from 1, in an order over the whole table; the order must tell all rows apart.
+
+    Rows are dealt out by range and sorted within partitions; a partition's rows begin where those of the partitions
+    before it end, a running sum over one count per partition. No task sees more than its own range.
+    """
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = settle(sorted_)  # so that counts and rows are of the same ranges
+    part, row = F.call_function("shiftrightunsigned", F.col("_at"), F.lit(33)), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    return placed.withColumns({"_part": part, "_row": row}).join(starts, "_part").withColumn(name, F.col("_start") + F.col("_row") + 1).drop("_at", "_part", "_row", "_start")
+
+
+def rank_page(df: DataFrame, order: Sequence[Column], page: int | Column, size: int) -> DataFrame:
+    """Rows of one result page with their position; every page costs the same."""
+    number = F.lit(page) if isinstance(page, int) else page
+    ranked = numbered(df, order)
+    return ranked.filter((F.col("position") > (number - 1) * size) & (F.col("position") <= number * size))
+
+
+def last_page(df: DataFrame, order: Sequence[Column], size: int) -> DataFrame:
+    """The page that holds the last rows."""
+    return rank_page(df, order, F.ceil(df.agg(F.count("*")).scalar() / size), size)
 
 
 def share_of_total(df: DataFrame, value: str, out: str = "share", by: Sequence[str] = ()) -> DataFrame:

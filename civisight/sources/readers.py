@@ -15,12 +15,14 @@ from collections.abc import Callable, Iterator, Sequence
 from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civisight.functions.text import clean_text, fold_text, snake
+from civisight.sources.landed import LandedCsv, open_store
 
 ENCODINGS = ("utf-8-sig", "utf-8", "latin-1")
 BATCH_ROWS = 20_000
@@ -34,8 +36,47 @@ def _position() -> F.Column:
     )
 
 
-def _files(df: DataFrame) -> list[str]:
-    return sorted(unquote(f) for f in df.inputFiles())
+def _first_lines(batches: Iterator[pa.RecordBatch], encoding: str) -> Iterator[pa.RecordBatch]:
+    """(file, line) of files given by name; only the beginning of a file is read."""
+    for batch in batches:
+        files, lines = batch.column(0).to_pylist(), []
+        for file in files:
+            store, inner = open_store(file)
+            decoder, line = codecs.getincrementaldecoder(encoding)("replace"), ""
+            with store.open_input_stream(inner) as stream:
+                while "\n" not in line and (chunk := stream.read(1 << 14)):
+                    line += decoder.decode(chunk)
+            lines.append(line.split("\n")[0].rstrip("\r") if line else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.string())], names=["file", "line"])
+
+
+def file_headers(spark: SparkSession, path: str | Sequence[str], sep: str = ";", encoding: str = "UTF-8") -> dict[str, tuple[str, ...]]:
+    """Column names of every file, by one job that reads the first line of each.
+
+    The result has a row per file, as the listing that any scan keeps on the driver. Empty files have no header.
+    In a store that only Spark can open, that job scans the files.
+    """
+    lines = spark.read.text(path if isinstance(path, str) else list(path))
+    files = lines.inputFiles()
+    if not files:
+        return {}
+    try:
+        open_store(files[0])
+    except (ValueError, OSError, NotImplementedError):
+        raw = spark.read.schema("line string").option("sep", "\u0001").option("quote", "").option("encoding", encoding).csv(files)
+        firsts = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"), "line")
+        rows = firsts.filter("_b = 0").groupBy("file").agg(F.min_by("line", "_i").alias("line")).collect()
+    else:
+        tasks = min(len(files), 4 * spark.sparkContext.defaultParallelism)
+        names = spark.createDataFrame(pd.DataFrame({"file": files})).repartition(tasks)
+        rows = names.mapInArrow(lambda b: _first_lines(b, encoding), "file string, line string").collect()
+    return {unquote(r.file): _names(r.line, sep) for r in rows if r.line}
+
+
+def _names(line: str, sep: str) -> tuple[str, ...]:
+    """Names of a header line; nameless columns and repeated names get their place."""
+    raw = [h.replace("\ufeff", "").strip() for h in next(csv.reader([line], delimiter=sep), [])]
+    return tuple(f"_c{i}" if not n else f"{n}{i}" if n in raw[:i] else n for i, n in enumerate(raw))
 
 
 def read_delimited(
@@ -45,8 +86,8 @@ def read_delimited(
     """Delimited text, all columns as strings, plus ``row_no``.
 
     Columns go by name: files whose headers differ, in order or in columns, are read in groups of
-    equal headers; a column that a file lacks is null. ``year_pattern`` (one group) adds ``year`` taken
-    from the file path, for inputs that come as one file per year.
+    equal headers, found by one job (``file_headers``); a column that a file lacks is null. ``year_pattern`` (one
+    group) adds ``year`` taken from the file path, for inputs that come as one file per year.
     """
     reader = (
         spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
@@ -56,17 +97,12 @@ def read_delimited(
     extra = {"row_no": _position()}
     if year_pattern:
         extra["year"] = F.regexp_extract(F.col("_metadata.file_path"), year_pattern, 1).try_cast("int")
-
-    def named(df: DataFrame) -> DataFrame:
-        return df.withColumns(extra).withColumnsRenamed({c: c.replace("\ufeff", "").strip() for c in df.columns})
-
-    whole = reader.csv(path if isinstance(path, str) else list(path))
-    files, groups = _files(whole), {}
-    if len(files) < 2:
-        return named(whole)
-    for file in files:  # reads the first line of each file only
-        groups.setdefault(tuple(reader.csv(file).columns), []).append(file)
-    parts = [named(reader.csv(some)) for some in groups.values()]
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, names in sorted(file_headers(spark, path, sep, encoding).items()):
+        groups.setdefault(names, []).append(file)
+    if not groups:  # empty files only
+        return reader.csv(path if isinstance(path, str) else list(path)).withColumns(extra)
+    parts = [reader.schema(_ddl(names)).csv(files).withColumns(extra) for names, files in groups.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
@@ -74,22 +110,12 @@ def read_delimited(
 
 
 def read_with_preamble(spark: SparkSession, path: str, sep: str = ";", date_pattern: str = r"(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})") -> DataFrame:
-    """Delimited text whose first line carries the source date and whose second is the header,
-    per file: each file has its own date and its own order of columns."""
-    parts = []
-    for file in _files(spark.read.text(path)):
-        lines = spark.read.text(file)
-        first, header = (r.value for r in lines.take(2))
-        names = [h.strip() for h in next(csv.reader([header.replace("\ufeff", "")], delimiter=sep))]
-        stamp = re.search(date_pattern, first)
-        stamp_text = F.lit(stamp.group(1) if stamp else None).cast("string")
-        data = lines.withColumn("row_no", _position()).filter(~F.col("value").isin(first, header) & (F.trim("value") != ""))
-        parts.append(data.select(F.from_csv("value", _ddl(names), {"sep": sep, "escape": '"'}).alias("x"), "row_no")
-                     .select("x.*", "row_no", F.coalesce(F.try_to_date(stamp_text, "yyyy-MM-dd"), F.try_to_date(stamp_text, "dd/MM/yyyy")).alias("source_date")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+    """All columns of files whose first line carries the source date and whose second is the header, per file, each
+    with its own date and its own order of columns; rows, quotes and all, by the ``landed_csv`` source."""
+    spark.dataSource.register(LandedCsv)
+    rows = spark.read.format("landed_csv").options(sep=sep, preamble="1", date_pattern=date_pattern).load(path)
+    stamp = F.col("source_date")
+    return rows.withColumn("source_date", F.coalesce(F.try_to_date(stamp, "yyyy-MM-dd"), F.try_to_date(stamp, "dd/MM/yyyy")))
 
 
 def _ddl(names: Sequence[str]) -> str:

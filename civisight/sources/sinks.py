@@ -3,10 +3,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from civisight.operators.windows import dedupe_last, top_per_group
+from civisight.session import settle
+from civisight.sources.readers import read_state
+
 
 def drop_empty_fields(df: DataFrame) -> DataFrame:
     """Empty strings and empty lists to null, so that JSON writers leave them out."""
@@ -48,13 +52,37 @@ def union_typed(parts: dict[str, DataFrame], kind: str = "row_kind") -> DataFram
 
 def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Updates replace target rows of the same key; among updates the last by ``order`` wins."""
-    from civisight.operators.windows import dedupe_last
-
     latest = dedupe_last(updates, keys, order)
     kept = target.join(latest.select(*keys), list(keys), "left_anti")
     return kept.unionByName(latest.select(*target.columns), allowMissingColumns=True)
 
 
+def upsert_buckets(updates: DataFrame, path: str, keys: Sequence[str], order: str, buckets: int = 256, newest: bool = False) -> int:
+    """Updates into a keyed table at rest, bucketed by key hash; only the buckets that updates touch are rewritten.
+
+    Of equal keys the last update by ``order`` wins; against a stored row it always wins, or with ``newest`` only if its
+    ``order`` is not smaller. The merged buckets are settled before the old ones are replaced, so a run that
+    is cut off can be run again. Returns the number of buckets rewritten. Read the table with ``read_buckets``.
+    """
+    spark = updates.sparkSession
+    fresh = settle(dedupe_last(updates, keys, order).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+    touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    if not touched:
+        return 0
+    stored = read_buckets(spark, path, updates.schema).filter(F.col("bucket").isin(touched))
+    rows = stored.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
+    first = [F.col(order).desc(), F.col("_new").desc()] if newest else [F.col("_new").desc(), F.col(order).desc()]
+    merged = settle(top_per_group(rows, keys, first, 1).drop("_new"))
+    write_partitions(merged, path, ["bucket"])
+    return len(touched)
+
+
+def read_buckets(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table of ``upsert_buckets`` with its bucket numbers; empty if it was never written."""
+    fields = [f for f in schema.fields if f.name != "bucket"]
+    return read_state(spark, path, T.StructType([*fields, T.StructField("bucket", T.IntegerType())]))
+
+
 def write_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
     """Replace only the partitions present in ``df``. Rows are rebalanced by partition value: a heavy
     value is split over as many writers as its size asks for, small ones share a writer."""

@@ -1,8 +1,9 @@
 """Stream forms of the monitors: new-key alerts, snapshot deltas, first-seen feeds.
 
-State lives in a shared folder as Parquet, in two slots that take turns: batch n reads slot
-(n-1) mod 2 and overwrites slot n mod 2. A batch that is run again after a lost driver or
-executor reads the same slot and writes the same files, so every key is reported once.
+Increments use Spark's own keyed state (stateful deduplication), or a table bucketed by key of which a batch rewrites
+the buckets it touches. Where a batch is a whole snapshot, it is kept as a table in a shared folder, in two slots that take
+turns: batch n reads slot (n-1) mod 2 and overwrites slot n mod 2. A batch that is run again after a lost driver or
+executor reads the same state and writes the same files, so every key is reported once.
 """
 from __future__ import annotations
 
@@ -15,11 +16,12 @@ from pyspark.sql import types as T
 from civisight.functions.arrays import short_id
 from civisight.functions.text import clean_text, first_line, word_count
 from civisight.operators.lookups import new_keys, snapshot_diff
-from civisight.operators.windows import dedupe_last
+from civisight.sources.readers import read_state
+from civisight.sources.sinks import upsert_buckets
 
 
 class StateSlots:
-    """Alternating state folders of one streaming job; ``seed`` is the state before batch 0."""
+    """The last two snapshots of one streaming job; ``seed`` is the one before batch 0."""
 
     def __init__(self, path: str, seed: DataFrame | None = None):
         self.path, self.seed = path, seed
@@ -31,12 +33,6 @@ class StateSlots:
 
     def write(self, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/slot={batch % 2}")
-        # the pointer follows its slot: a batch that fails in between is run again
-        df.sparkSession.range(batch, batch + 1).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/last")
-
-    def latest(self, spark: SparkSession) -> str:
-        """Folder of the slot written last, also when this run had nothing to do."""
-        return f"{self.path}/slot={spark.read.parquet(f'{self.path}/last').first()[0] % 2}"
 
 
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -49,20 +45,33 @@ def new_key_alert(stream: DataFrame, keys: Sequence[str], path: str, seed: DataF
     """Every key is reported once. Without a seed the first batch only fills the state.
 
     ``snapshot`` batches are complete lists: the state becomes the current keys, so a key that
-    went away and comes back is reported again. Otherwise batches are increments and the
-    state grows. Returns the folder of alerts, one sub-folder per batch.
+    went away and comes back is reported again. Otherwise batches are increments: keys met before are dropped by
+    Spark's state store, those of the seed by a join. Returns the folder of alerts, one sub-folder per batch.
     """
-    slots, out = StateSlots(f"{path}/state", seed), f"{path}/alerts"
+    out = f"{path}/alerts"
+
+    def report(alerts: DataFrame, number: int) -> None:
+        alerts.withColumn("batch_id", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    if not snapshot:
+        fresh = stream.select(*keys).dropDuplicates(list(keys))
+        if seed is not None:
+            fresh = fresh.join(seed.select(*keys).distinct(), list(keys), "left_anti")
+
+        def increment(batch: DataFrame, number: int) -> None:
+            # a silent first batch must still go through the state, so its filter is none that Spark can resolve beforehand
+            report(batch if seed is not None or number > 0 else batch.filter(F.spark_partition_id() < 0), number)
+
+        run_available(fresh, increment, f"{path}/checkpoint")
+        return out
+    slots = StateSlots(f"{path}/state", seed)
 
     def each(batch: DataFrame, number: int) -> None:
         seen = slots.read(batch.sparkSession, number)
         current = batch.select(*keys).distinct()
         first = seen is None
-        known = current if first else seen.select(*keys)
-        alerts = new_keys(current, known, keys, first_run=first)
-        alerts.withColumn("batch_id", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        state = current if snapshot or first else known.union(current).distinct()
-        slots.write(state, number)
+        report(new_keys(current, current if first else seen.select(*keys), keys, first_run=first), number)
+        slots.write(current, number)
 
     run_available(stream, each, f"{path}/checkpoint")
     return out
@@ -109,18 +118,21 @@ def snapshot_delta(
     return f"{path}/delta"
 
 
-def upsert_stream(stream: DataFrame, keys: Sequence[str], order: str, path: str, seed: DataFrame | None = None) -> str:
-    """Keyed table kept by a stream of updates, the largest ``order`` wins, also over batches.
-    Returns the folder of the last slot."""
-    slots = StateSlots(f"{path}/state", seed)
+def upsert_stream(stream: DataFrame, keys: Sequence[str], order: str, path: str, seed: DataFrame | None = None, buckets: int = 256) -> str:
+    """Keyed table kept by a stream of updates, the largest ``order`` wins, also over batches; a batch rewrites
+    the buckets of its keys only. Returns the folder of the table, empty if there were no updates yet."""
+    spark, out = stream.sparkSession, f"{path}/table"
 
     def each(batch: DataFrame, number: int) -> None:
-        before = slots.read(batch.sparkSession, number)
-        rows = batch if before is None else before.unionByName(batch, allowMissingColumns=True)
-        slots.write(dedupe_last(rows, keys, order), number)
+        rows = seed.unionByName(batch, allowMissingColumns=True) if number == 0 and seed is not None else batch
+        upsert_buckets(rows, out, keys, order, buckets, newest=True)
 
     run_available(stream, each, f"{path}/checkpoint")
-    return slots.latest(stream.sparkSession)
+    if read_state(spark, out, stream.schema).isEmpty():
+        rows = spark.createDataFrame([], stream.schema) if seed is None else seed
+        if not upsert_buckets(rows, out, keys, order, buckets):
+            rows.write.mode("overwrite").parquet(f"{out}/bucket=0")
+    return out
 
 
 # -------------------------------------------------------------- posts feed

@@ -146,3 +146,35 @@ def test_heavy_partition_is_split(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_bucketed_upsert_rewrites_touched_buckets(spark, tmp_path):
+    """A hundred updates to a million rows rewrite a hundred buckets at most."""
+    path = str(tmp_path / "t")
+    rows = spark.range(1_000_000).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("o"), F.lit("old").alias("v"))
+    sinks.upsert_buckets(rows, path, ["k"], "o", buckets=512)
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "t").glob("bucket=*/*.parquet")}
+    before = files()
+    updates = spark.range(100).select((F.col("id") * 9973).alias("k"), F.lit(1).cast("long").alias("o"), F.lit("new").alias("v"))
+    again = updates.unionByName(updates.withColumns({"o": F.lit(0).cast("long"), "v": F.lit("stale")}))
+    n = sinks.upsert_buckets(again, path, ["k"], "o", buckets=512)
+    after = files()
+    same = {p.parent.name for p in before if after.get(p) == before[p]}
+    assert 80 <= n <= 100 and len(same) == 512 - n
+    stored = sinks.read_buckets(spark, path, rows.schema)
+    assert tuple(stored.agg(F.count("*"), F.count_distinct("k"), F.count_if("v" == F.lit("x")), F.count_if(F.col("v") == "new")).first()) == (1_000_000, 1_000_000, 0, 100)
+    assert sinks.upsert_buckets(updates.limit(0), path, ["k"], "o") == 0
+    older = updates.withColumns({"o": F.lit(-1).cast("long"), "v": F.lit("late")})
+    sinks.upsert_buckets(older, path, ["k"], "o", buckets=512, newest=True)
+    assert sinks.read_buckets(spark, path, rows.schema).filter("v = 'late'").isEmpty()
+
+
+def test_numbers_of_a_whole_table(spark):
+    from civisight.operators.windows import numbered, rank_page
+
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), (F.col("id") % 3).alias("g")).repartition(7)
+    got = numbered(rows, [F.col("g").desc(), F.col("k")]).orderBy("position").collect()
+    assert [(r.g, r.k) for r in got] == sorted([(r.g, r.k) for r in rows.collect()], key=lambda r: (-r[0], r[1]))
+    assert [r.position for r in got] == list(range(1, 5001))
+    assert {r.k for r in rank_page(rows, [F.col("k")], 250, 20).collect()} == set(range(4980, 5000))
+    assert numbered(rows.limit(0), [F.col("k")]).collect() == []

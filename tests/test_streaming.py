@@ -93,3 +93,26 @@ def test_upsert_stream_resumes_and_keeps_order(spark, tmp_path):
     assert state(monitors.upsert_stream(stream(), ["k"], "o", path)) == {(1, "new"), (2, "b")}  # nothing new
     land("3", [(1, 1, "stale"), (3, 1, "c")])
     assert state(monitors.upsert_stream(stream(), ["k"], "o", path)) == {(1, "new"), (2, "b"), (3, "c")}
+
+
+def test_upsert_stream_without_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("k int, o int, v string").parquet(str(tmp_path / "in"))
+    out = monitors.upsert_stream(stream, ["k"], "o", str(tmp_path / "job"))
+    assert spark.read.parquet(out).select("k", "o", "v").collect() == []
+    seed = spark.createDataFrame([(1, 1, "a")], "k int, o int, v string")
+    out = monitors.upsert_stream(stream, ["k"], "o", str(tmp_path / "seeded"), seed)
+    assert [(r.k, r.v) for r in spark.read.parquet(out).collect()] == [(1, "a")]
+
+
+def test_new_key_increments_keep_spark_state(spark, tmp_path):
+    """A later run of the stream reports only keys that no earlier run has met; the state is Spark's."""
+    src, path = tmp_path / "in", str(tmp_path / "job")
+    land = lambda name, keys: spark.createDataFrame([(k,) for k in keys], "k string").coalesce(1).write.parquet(str(src / name))
+    stream = lambda: spark.readStream.schema("k string").parquet(str(src / "*"))
+    land("1", "ab")
+    monitors.new_key_alert(stream(), ["k"], path, snapshot=False)
+    land("2", "bcc")
+    out = monitors.new_key_alert(stream(), ["k"], path, snapshot=False)
+    assert [(r.batch_id, r.k) for r in spark.read.parquet(f"{out}/*").collect()] == [(1, "c")]
+    assert (tmp_path / "job" / "checkpoint" / "state").is_dir() and not (tmp_path / "job" / "state").exists()
