@@ -9,9 +9,9 @@ sets meet in a band of their common size class (pigeonhole). Candidates then pas
 
 Sets that are equal are one node. A band shared by many sets is no clique: its members are first compared with one hub
 per round and joined by label. What then still carries different labels is put into families, the components of sets over
-shared bands, and each family is compared once, in cells of two blocks, with token hashes at hand: pairs of different
-labels go through the Hamming test, then, the nearest first, through the exact test, and a pair whose labels are
-joined by then is skipped. So a cell gives at most as many links as it has members, and no link between components is
+shared bands, and each family is compared once, in cells of two blocks: a first pass finds the sets of a cell that have
+a partner of another label in it by the Hamming test; a second brings their token hashes to the cell, where pairs go,
+the nearest first, through the exact test, and a pair whose labels are joined by then is skipped. So a cell gives at most as many links as it has members, and no link between components is
 lost. Blocks hold a bounded number of sets and of tokens; two blocks of one label do not meet.
 Tokens and nodes are 64-bit hashes; equality of hashes stands for equality.
 
@@ -33,7 +33,7 @@ from civisight.llm.words import Words, mix, slices
 
 SKETCH_WORDS = 16
 HOT = 64
-CELL, CELL_TOKENS = 1000, 2_000_000  # sets and tokens of a block
+CELL, CELL_TOKENS = 2000, 4_000_000  # sets and tokens of a block
 FINE_BITS, FINE_FROM = 1 << 14, 60  # longer sketches, and the difference from which they are worth it
 _U = np.uint64
 
@@ -119,7 +119,7 @@ def _part(key: np.ndarray, parts: int) -> np.ndarray:
 
 def _bands(batches: Iterator[pa.RecordBatch], k: int, threshold: int, bounds: np.ndarray, parts: int):
     for batch in batches:
-        for _, data, offsets in slices(batch, limit=4 << 20):
+        for _, data, offsets in slices(batch, limit=2 << 20):
             known, keys, index = {}, [], []
             for tokens in shingle_sets(data, offsets, k):
                 if len(tokens) and (node := _node(tokens)) not in known:
@@ -254,25 +254,67 @@ def _cell_links(rows: pa.Table, threshold: int) -> list[tuple[int, int]]:
     return found
 
 
-def _cells(batches: Iterator[pa.RecordBatch], threshold: int):
-    """Links of each cell; rows are (family, i, j, block, node, label, n, sketch, tokens), sorted by cell."""
-    held = None
+def _cell_near(rows: pa.Table, threshold: int) -> np.ndarray:
+    """Whether each row has a partner of another label in the cell by the Hamming test."""
+    block, label, n = (rows.column(k).to_numpy() for k in ("block", "label", "n"))
+    sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
+    i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+    left, right, found = np.flatnonzero(block == i), np.flatnonzero(block == j), np.zeros(len(n), bool)
+    for cut in range(0, len(left), 64):
+        some = left[cut:cut + 64]
+        near = label[some][:, None] != label[right][None, :]
+        near &= 100 * np.minimum(n[some][:, None], n[right][None, :]) >= threshold * np.maximum(n[some][:, None], n[right][None, :])
+        x, y = np.nonzero(near)
+        x, y = some[x], right[y]
+        ok = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1) * (100 + threshold) <= (n[x] + n[y]) * (100 - threshold)
+        found[x[ok]] = True
+        found[y[ok]] = True
+    return found
 
-    def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], names=["a", "b"])
 
+def _by_cell(batches: Iterator[pa.RecordBatch], each):
+    """``each`` of the rows of every cell; rows come sorted by (family, i, j)."""
+    held = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         held = rows if held is None else pa.concat_tables([held, rows])
         cell = [held.column(k).to_numpy() for k in ("family", "i", "j")]
         cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cell])) + 1
-        links = []
         for a, b in zip(np.append(0, cuts)[:-1], cuts):
-            links += _cell_links(held.slice(a, b - a), threshold)
-        yield out(links)
+            yield each(held.slice(a, b - a))
         held = held.slice(cuts[-1]) if len(cuts) else held
     if held is not None and held.num_rows:
-        yield out(_cell_links(held, threshold))
+        yield each(held)
+
+
+def _near_cells(batches: Iterator[pa.RecordBatch], threshold: int):
+    """Rows (family, i, j, block, node, label, n, sketch) that may have a link in their cell."""
+    def near(rows: pa.Table) -> pa.Table:
+        return rows.filter(pa.array(_cell_near(rows, threshold)))
+
+    held = []
+    for rows in _by_cell(batches, near):
+        held.append(rows)
+        if sum(r.num_rows for r in held) > 1000:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.concat_tables(held).combine_chunks().to_batches()
+
+
+def _cells(batches: Iterator[pa.RecordBatch], threshold: int):
+    """Links of each cell; rows are those of ``_near_cells`` with their tokens, sorted by cell."""
+    links = []
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], names=["a", "b"])
+
+    for found in _by_cell(batches, lambda rows: _cell_links(rows, threshold)):
+        links += found
+        if len(links) > 1000:
+            yield out()
+            links = []
+    yield out()
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], k: int):
@@ -312,7 +354,7 @@ def _linked(batches: Iterator[pa.RecordBatch], k: int, threshold: int):
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
-def ngram_components(docs: DataFrame, k: int = 5, threshold: int = 80, star_rounds: int = 6) -> DataFrame:
+def ngram_components(docs: DataFrame, k: int = 5, threshold: int = 80, star_rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of docs(doc_id, text).
 
     component_id is the smallest id reachable over links, a link being a Jaccard similarity of the
@@ -387,7 +429,6 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: int = 80, star_roun
         least = bands.groupBy("band").agg(F.min("node").alias("a"))
         over = shelf.put(bands.select("band", F.col("node").alias("b")).join(least, "band").filter("a <> b").select("a", "b").distinct(), "over")
         family = components(shelf, opened.select(F.col("node").alias("id")), over).select(F.col("id").alias("node"), F.col("label").alias("family"))
-        tokens = texts.join(opened, "node").select("node", "text").mapInArrow(lambda b: _tokens(b, k), "node long, tokens binary")
         members = (family.join(labels.withColumnRenamed("id", "node"), "node").join(known.filter("n > 0").select("node", "n", "sketch"), "node"))
         # a label with many sets has blocks of its own; the others of a family share some
         sizes = members.groupBy("family", "label").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
@@ -402,9 +443,11 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: int = 80, star_roun
         other = other.select("_family", "_own", name(F.col("_part").cast("long")).alias("other"))
         cells = (placed.join(other, (F.col("family") == F.col("_family")) & (F.col("own").isNull() | ~F.col("own").eqNullSafe(F.col("_own"))))
                  .select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "n", "sketch"))
-        links_in = (cells.join(shelf.put(tokens, "tokens"), "node").repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j")
-                    .select("family", "i", "j", "block", "node", "label", "n", "sketch", "tokens")
-                    .mapInArrow(lambda b: _cells(b, threshold), "a long, b long"))
+        dealt = lambda rows: rows.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j")
+        near = shelf.put(dealt(cells).mapInArrow(lambda b: _near_cells(b, threshold), cells.schema), "near")
+        tokens = (texts.join(near.select("node").distinct(), "node").select("node", "text")
+                  .mapInArrow(lambda b: _tokens(b, k), "node long, tokens binary"))
+        links_in = dealt(near.join(tokens, "node").select(*near.columns, "tokens")).mapInArrow(lambda b: _cells(b, threshold), "a long, b long")
         labels = components(shelf, nodes, shelf.put(links_in, "links"), labels)
 
     labelled = sets.join(labels.select(F.col("id").alias("node"), "label"), "node", "left")
