@@ -9,9 +9,11 @@
 3. Each path is verified: the words at the source coordinates are read and compared by digest.
 
 Words covered by a window that also starts in a document with a smaller id are removed, all judged
-on the input. Null texts have no words, texts shorter than k words are left whole, repeats inside one
-document stay, rows that repeat an id count as one document each, with no smaller id between them;
-rows with a null id are left whole; further columns are ignored; no rows give no rows.
+on the input. A row is named by its id and a hash of its text, so rows that repeat an id keep their own words: none of
+them has a smaller id than the others, and each may be the source of later ones. Parts answer with the shared minimisers
+of all rows of a bucket at once; rows meet these answers in their bucket. A path whose words do not agree with its
+source's is not proven and removes nothing. Null texts have no words, texts shorter than k words are left whole,
+repeats inside one document stay; rows with a null id are left whole; further columns are ignored; no rows give no rows.
 """
 from __future__ import annotations
 
@@ -27,7 +29,9 @@ from civisight.llm.common import PACK, Shelf, exchange, pack, width
 from civisight.llm.words import Words, mix, slices
 
 _U = np.uint64
-PATHS = "doc_id long, start long, windows long, source long, source_start long"
+PATHS = "doc_id long, row long, start long, windows long, source long, source_row long, source_start long"
+_KEY = np.dtype([("doc", "<i8"), ("row", "<i8")])  # a row: its id and the hash that tells rows of one id apart
+REPLY = 1 << 16
 
 
 def _minimisers(words: Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,8 +66,14 @@ def _marks(batches: Iterator[pa.RecordBatch], k: int, m: int, parts: int):
             order = np.lexsort((row, least))
             least, row = least[order], row[order]
             new = np.append(True, (least[1:] != least[:-1]) | (row[1:] != row[:-1]))[:len(least)]
-            ids = np.array(rows.column(0), np.int64)
-            yield from _packed(least[new] % _U(parts), ids, row[new], least[new])
+            yield from _packed(least[new] % _U(parts), _keys(rows), row[new], least[new])
+
+
+def _keys(rows: pa.RecordBatch) -> np.ndarray:
+    out = np.empty(rows.num_rows, _KEY)
+    for name, column in (("doc", "doc_id"), ("row", "row")):
+        out[name] = rows.column(rows.schema.names.index(column)).to_numpy()
+    return out
 
 
 def _packed(part: np.ndarray, ids: np.ndarray, row: np.ndarray, *columns: np.ndarray):
@@ -79,100 +89,132 @@ def _packed(part: np.ndarray, ids: np.ndarray, row: np.ndarray, *columns: np.nda
         yield out
 
 
-def _shared(rows: list[tuple]):
-    """(doc_id, mark) of the marks that more than one document has."""
-    marks = np.concatenate([np.frombuffer(r[3], np.uint64) for r in rows])
-    docs = np.concatenate([np.frombuffer(r[5], np.int64)[np.frombuffer(r[2], np.uint16 if r[1] == 2 else np.uint32)] for r in rows])
+def _owners(rows: list[tuple]) -> np.ndarray:
+    """Keys of the entries of packed rows."""
+    return np.concatenate([np.frombuffer(r[5], _KEY)[np.frombuffer(r[2], np.uint16 if r[1] == 2 else np.uint32)] for r in rows])
+
+
+def _shared(rows: list[tuple], buckets: int):
+    """(bucket, rows, marks): the marks that more than one document has, for all rows of a bucket together."""
+    marks, owner = np.concatenate([np.frombuffer(r[3], np.uint64) for r in rows]), _owners(rows)
     order = np.argsort(marks, kind="stable")
-    marks, docs = marks[order], docs[order]
+    marks, owner = marks[order], owner[order]
     first = np.flatnonzero(np.append(True, marks[1:] != marks[:-1]))
     size = np.diff(np.append(first, len(marks)))
-    many = np.repeat((size > 1) & (np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)), size)
-    # marks of one document go together, in one row
-    docs, marks = docs[many], marks[many]
-    order = np.argsort(docs, kind="stable")
-    docs, marks = docs[order], marks[order]
-    ids, first = np.unique(docs, return_index=True)
-    cut = np.append(first, len(docs))
-    for at in range(0, len(ids), 4000):
-        some = range(at, min(at + 4000, len(ids)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[at:at + 4000]), pa.array([marks[cut[i]:cut[i + 1]].tobytes() for i in some], pa.binary())],
-            names=["doc_id", "marks"])
+    many = np.repeat((size > 1) & (np.minimum.reduceat(owner["doc"], first) != np.maximum.reduceat(owner["doc"], first)), size)
+    row, marks = owner["row"][many], marks[many]
+    bucket = row % buckets
+    order = np.lexsort((row, bucket))
+    row, marks, bucket = row[order], marks[order], bucket[order]
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))[:len(bucket)]
+    cuts = [(f, min(f + REPLY, e)) for a, e in zip(first, np.append(first[1:], len(bucket))) for f in range(a, e, REPLY)]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([bucket[f] for f, _ in cuts], pa.int32()), pa.array([row[f:e].tobytes() for f, e in cuts], pa.binary()),
+         pa.array([marks[f:e].tobytes() for f, e in cuts], pa.binary())], names=["bucket", "rows", "marks"])
 
 
 _EDGE = np.dtype([("hash", "<u8"), ("more", "<u4"), ("at", "<u4")])
 
 
+def _met(batches: Iterator[pa.RecordBatch]):
+    """(answers, texts) of each bucket, a batch of texts at a time; input rows are (bucket, kind, row, doc_id, text, rows,
+    marks), the bucket's answers (kind 0) first, then its texts by row; texts that no answer names and repeats are left out."""
+    now, blobs, answers, last = None, [], None, None
+    for batch in batches:
+        bucket, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cut = np.append(0, np.flatnonzero((bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1])) + 1)
+        for f, e in zip(cut.tolist(), [*cut[1:].tolist(), batch.num_rows]):
+            if f == e:
+                continue
+            if bucket[f] != now:
+                now, blobs, answers, last = bucket[f], [], None, None
+            part = batch.slice(f, e - f)
+            if kind[f] == 0:
+                blobs += zip(part.column(5).to_pylist(), part.column(6).to_pylist())
+                continue
+            if answers is None:
+                row = np.frombuffer(b"".join(r for r, _ in blobs), np.int64)
+                mark = np.frombuffer(b"".join(m for _, m in blobs), np.uint64)
+                order = np.lexsort((mark, row))
+                answers, blobs = (row[order], mark[order]), []
+            row = part.column(2).to_numpy()
+            place = np.minimum(np.searchsorted(answers[0], row), max(len(answers[0]) - 1, 0))
+            named = answers[0][place] == row if len(answers[0]) else np.zeros(len(row), bool)
+            named &= np.append(row[:1] != last if last is not None else True, row[1:] != row[:-1])
+            last = row[-1]
+            if named.any():
+                yield answers, part.filter(pa.array(named)).select([2, 3, 4])
+
+
 def _edges(batches: Iterator[pa.RecordBatch], k: int, m: int, parts: int):
     """Windows with shared minimisers, packed by minimiser."""
-    for batch in batches:
-        for rows, data, offsets in slices(batch, limit=4 << 20):
+    for (owner, marks), some in _met(batches):
+        for rows, data, offsets in slices(some, limit=2 << 20):
             words = Words(data, offsets)
             at, hashes, more, least = _minimisers(words, k, m)
-            row = words.row[at]
+            row, keys = words.row[at], _keys(rows)
             cut = np.searchsorted(row, np.arange(rows.num_rows + 1))
+            from_, to = np.searchsorted(owner, keys["row"]), np.searchsorted(owner, keys["row"], "right")
             keep = np.zeros(len(at), bool)
-            for i, blobs in enumerate(rows.column(2).to_pylist()):
-                wanted = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in blobs]))
-                mine = least[cut[i]:cut[i + 1]]
+            for i in range(rows.num_rows):
+                wanted, mine = marks[from_[i]:to[i]], least[cut[i]:cut[i + 1]]
                 place = np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)
                 keep[cut[i]:cut[i + 1]] = wanted[place] == mine
             edge = np.empty(int(keep.sum()), _EDGE)
             edge["hash"], edge["more"] = hashes[keep], more[keep]
             edge["at"] = at[keep] - words.first[row[keep]]
-            ids = np.array(rows.column(0), np.int64)
-            yield from _packed(mix(least[keep]) % _U(parts), ids, row[keep], edge)
+            yield from _packed(mix(least[keep]) % _U(parts), keys, row[keep], edge)
 
 
 def _paths(rows: list[tuple]):
     """Compacted runs of windows whose first occurrence lies in a document with a smaller id."""
-    edge = np.concatenate([np.frombuffer(r[3], _EDGE) for r in rows])
-    docs = np.concatenate([np.frombuffer(r[5], np.int64)[np.frombuffer(r[2], np.uint16 if r[1] == 2 else np.uint32)] for r in rows])
-    order = np.lexsort((edge["at"], docs, edge["more"], edge["hash"]))
-    edge, docs = edge[order], docs[order]
+    edge, owner = np.concatenate([np.frombuffer(r[3], _EDGE) for r in rows]), _owners(rows)
+    order = np.lexsort((edge["at"], owner["row"], owner["doc"], edge["more"], edge["hash"]))
+    edge, owner = edge[order], owner[order]
     new = np.append(True, (edge["hash"][1:] != edge["hash"][:-1]) | (edge["more"][1:] != edge["more"][:-1]))
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(edge)))
-    source, source_at = np.repeat(docs[first], size), np.repeat(edge["at"][first], size).astype(np.int64)
-    later = docs != source
-    docs, at, source, source_at = docs[later], edge["at"][later].astype(np.int64), source[later], source_at[later]
-    yield from _runs(docs, at, np.ones(len(at), np.int64), source, source_at)
+    source, source_at = np.repeat(owner[first], size), np.repeat(edge["at"][first], size).astype(np.int64)
+    later = owner["doc"] != source["doc"]
+    at = edge["at"][later].astype(np.int64)
+    yield from _runs(owner[later], at, np.ones(len(at), np.int64), source[later], source_at[later])
 
 
-def _runs(docs, at, windows, source, source_at):
+def _runs(owner, at, windows, source, source_at):
     """Join paths that follow each other in the document and in its source."""
-    if not len(docs):
+    if not len(owner):
         return
-    order = np.lexsort((at, source_at - at, source, docs))
-    docs, at, windows, source, source_at = (x[order] for x in (docs, at, windows, source, source_at))
+    order = np.lexsort((at, source_at - at, source["row"], source["doc"], owner["row"], owner["doc"]))
+    owner, at, windows, source, source_at = (x[order] for x in (owner, at, windows, source, source_at))
     end = at + windows
-    new = np.append(True, (docs[1:] != docs[:-1]) | (source[1:] != source[:-1]) | (source_at[1:] - at[1:] != source_at[:-1] - at[:-1]) | (at[1:] != end[:-1]))
+    new = np.append(True, (owner[1:] != owner[:-1]) | (source[1:] != source[:-1]) | (source_at[1:] - at[1:] != source_at[:-1] - at[:-1]) | (at[1:] != end[:-1]))
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(docs)) - 1
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(x) for x in (docs[first], at[first], end[last] - at[first], source[first], source_at[first])],
-        names=["doc_id", "start", "windows", "source", "source_start"])
+    last = np.append(first[1:], len(owner)) - 1
+    columns = (owner["doc"][first], owner["row"][first], at[first], end[last] - at[first], source["doc"][first], source["row"][first], source_at[first])
+    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns],
+                                     names=["doc_id", "row", "start", "windows", "source", "source_row", "source_start"])
 
 
 def _joined(batches: Iterator[pa.RecordBatch]):
-    """Paths of each document joined end to end; rows are (doc_id, list of paths)."""
+    """Paths of each row joined end to end; input rows are (doc_id, row, list of paths)."""
     for batch in batches:
-        flat = batch.column(1).flatten()
-        docs = np.repeat(np.array(batch.column(0), np.int64), np.diff(np.array(batch.column(1).offsets)))
-        yield from _runs(docs, *(np.array(flat.field(i), np.int64) for i in range(4)))
+        flat, count = batch.column(2).flatten(), np.diff(np.array(batch.column(2).offsets))
+        owner, source = np.empty(len(flat), _KEY), np.empty(len(flat), _KEY)
+        owner["doc"], owner["row"] = (np.repeat(batch.column(i).to_numpy(), count) for i in (0, 1))
+        start, windows, source["doc"], source["row"], source_start = (np.array(flat.field(i), np.int64) for i in range(5))
+        yield from _runs(owner, start, windows, source, source_start)
 
 
 def _digests(batches: Iterator[pa.RecordBatch], k: int):
-    """Digest of the words at (start, windows) of each row's text; rows are (doc_id, text, start, windows)."""
+    """Digest of the words at (start, windows) of each row's text; rows are (doc_id, row, text, start, windows)."""
     for batch in batches:
         held, out = (None, []), []
-        for text, start, windows in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+        for text, start, windows in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
             if text is not held[0]:
                 held = (text, text.encode().split())
             out.append(hashlib.blake2b(b" ".join(held[1][start:start + windows + k - 1]), digest_size=16).digest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(out, pa.binary())],
-                                         names=["source", "source_start", "windows", "digest"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(out, pa.binary())],
+                                         names=["source", "source_row", "source_start", "windows", "digest"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch], k: int):
@@ -185,7 +227,7 @@ def _kept(batches: Iterator[pa.RecordBatch], k: int):
             for p in paths or ():
                 span = slice(p["start"], p["start"] + p["windows"] + k - 1)
                 if hashlib.blake2b(b" ".join(words[span]), digest_size=16).digest() != p["digest"]:
-                    raise ValueError(f"words of document {p['source']} differ from the path that names them")
+                    continue  # not proven
                 gone[span.start] += 1
                 gone[span.stop] -= 1
             keep = np.cumsum(gone[:-1]) == 0
@@ -200,36 +242,36 @@ def _kept(batches: Iterator[pa.RecordBatch], k: int):
             names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
-def repeated_paths(docs: DataFrame, k: int = 13, m: int = 6, shelf: Shelf | None = None) -> tuple[DataFrame, DataFrame]:
-    """(paths, texts): paths(doc_id, start, windows, source, source_start) in words, each a maximal run of
-    windows whose first occurrence is in ``source``, with a smaller id; texts of the documents involved."""
+def repeated_paths(docs: DataFrame, k: int = 13, m: int = 6, shelf: Shelf | None = None) -> DataFrame:
+    """(doc_id, row, start, windows, source, source_row, source_start) over docs(doc_id, row, text), in words: each a maximal
+    run of windows whose first occurrence is in ``source``, with a smaller id."""
     spark = docs.sparkSession
     shelf, n = shelf or Shelf(spark), width(spark)
-    parts = n
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    marks = exchange(base.mapInArrow(lambda b: _marks(b, k, m, parts), PACK), n, _shared, "doc_id long, marks binary")
-    marks = shelf.put(marks, "marks")
-    mine = marks.filter("length(marks) > 0").groupBy("doc_id").agg(F.collect_list("marks").alias("marks"))
-    texts = shelf.put(base.join(mine, "doc_id"), "texts")
-    paths = exchange(texts.select("doc_id", "text", "marks").mapInArrow(lambda b: _edges(b, k, m, parts), PACK), n, _paths, PATHS)
-    per_doc = paths.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "source", "source_start")).alias("paths"))
-    return shelf.put(per_doc.mapInArrow(_joined, PATHS), "paths"), texts
+    base = docs.filter("doc_id is not null").select("doc_id", "row", "text")
+    marks = base.mapInArrow(lambda b: _marks(b, k, m, n), PACK)
+    answers = exchange(marks, n, lambda rows: _shared(rows, n), "bucket int, rows binary, marks binary")
+    none = lambda kind: F.lit(None).cast(kind)
+    both = (answers.select("bucket", F.lit(0).alias("kind"), none("long").alias("row"), none("long").alias("doc_id"), none("string").alias("text"), "rows", "marks")
+            .unionByName(base.select(F.pmod("row", F.lit(n)).cast("int").alias("bucket"), F.lit(1).alias("kind"), "row", "doc_id", "text",
+                                     none("binary").alias("rows"), none("binary").alias("marks"))))
+    met = both.repartitionById(n, "bucket").sortWithinPartitions("bucket", "kind", "row")
+    paths = exchange(met.mapInArrow(lambda b: _edges(b, k, m, n), PACK), n, _paths, PATHS)
+    per_row = paths.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "windows", "source", "source_row", "source_start")).alias("paths"))
+    return shelf.put(per_row.mapInArrow(_joined, PATHS), "paths")
 
 
 def substring_dedup(docs: DataFrame, k: int = 13, m: int = 6) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text), one row per row of docs(doc_id, text)."""
     shelf = Shelf(docs.sparkSession)
-    paths, texts = repeated_paths(docs, k, m, shelf)
-    texts = texts.select("doc_id", "text")
-    asked = paths.select(F.col("source").alias("doc_id"), F.col("source_start").alias("start"), "windows").distinct()
-    # with rows that repeat an id any of them may hold the words: the path is verified if one does
-    digests = (texts.join(asked, "doc_id").select("doc_id", "text", "start", "windows")
-               .mapInArrow(lambda b: _digests(b, k), "source long, source_start long, windows long, digest binary"))
-    proven = paths.join(digests, ["source", "source_start", "windows"])
-    cuts = shelf.put(proven.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "source", "digest")).alias("paths")), "cuts")
-    out = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    touched = texts.join(cuts, "doc_id").select("doc_id", "text", "paths").mapInArrow(lambda b: _kept(b, k), out)
-    whole = base.withColumn("paths", F.lit(None).cast("array<struct<start:long,windows:long,source:long,digest:binary>>"))
-    whole = whole.mapInArrow(lambda b: _kept(b, k), out).join(cuts.select("doc_id"), "doc_id", "left_anti")
-    return whole.unionByName(touched)
+    base = base.withColumn("row", F.xxhash64("doc_id", "text"))
+    paths = repeated_paths(base, k, m, shelf)
+    asked = paths.select(F.col("source").alias("doc_id"), F.col("source_row").alias("row"), F.col("source_start").alias("start"), "windows").distinct()
+    digests = (base.join(asked, ["doc_id", "row"]).select("doc_id", "row", "text", "start", "windows")
+               .mapInArrow(lambda b: _digests(b, k), "source long, source_row long, source_start long, windows long, digest binary")
+               .dropDuplicates(["source", "source_row", "source_start", "windows"]))
+    proven = paths.join(digests, ["source", "source_row", "source_start", "windows"])
+    cuts = shelf.put(proven.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "windows", "digest")).alias("paths")), "cuts")
+    out = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    held = base.join(cuts, ["doc_id", "row"], "left").select("doc_id", "text", "paths")
+    return held.mapInArrow(lambda b: _kept(b, k), out)
