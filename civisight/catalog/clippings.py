@@ -42,6 +42,16 @@ def unwrapped_urls(t: Tables) -> DataFrame:
     return t.pages.select("page_id", urls.unwrap_url(wrapped).alias("target"))
 
 
+@query("aggregator_tokens", """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'T' || page_id WHEN 1 THEN 'R' || page_id WHEN 2 THEN 'A' || page_id END AS token FROM pages""")
+def aggregator_tokens(t: Tables) -> DataFrame:
+    """Tokens of feed, read and article links of an aggregator; none for other paths and hosts."""
+    page = F.col("page_id").cast("string")
+    paths = [F.concat(F.lit("https://news.google.com/rss/articles/T"), page, F.lit("?oc=5")), F.concat(F.lit("https://news.google.com/read/R"), page),
+             F.concat(F.lit("https://News.Google.com/x/articles/A"), page, F.lit("/")), F.concat(F.lit("https://news.google.com/topics/"), page)]
+    url = F.coalesce(*[F.when(F.col("page_id") % 5 == i, u) for i, u in enumerate(paths)], F.concat(F.col("url"), F.lit("/articles/x")))
+    return t.pages.select("page_id", urls.aggregator_token(url).alias("token"))
+
+
 @query("in_domains", f"""SELECT page_id, {HOST.format(u='url')} IN ('ththre.example.com') OR {HOST.format(u='url')} LIKE '%.example.net' AS wanted FROM pages""")
 def in_domains(t: Tables) -> DataFrame:
     return t.pages.select("page_id", urls.in_domains(urls.domain("url"), ["ththre.example.com", "example.net"]).alias("wanted"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from civisight.catalog.base import Tables, query
 from civisight.functions import dates, text
+from civisight.functions.text import clean_text
 from civisight.operators import clean, entities, lookups, profiles, search
 from civisight.plans import corpus as plan
 
@@ -138,6 +139,27 @@ def record_precedence(t: Tables) -> DataFrame:
     return clean.assemble_record(listing, previous, parsed, "key", {"title": "none", "status": None}, forced=["status"])
 
 
+@query("text_records", """WITH d AS (SELECT doc_id, text, CAST(o_orderdate AS DATE) AS day, CASE WHEN doc_id % 3 = 0 THEN 'Listed ' || doc_id WHEN doc_id % 3 = 1 THEN 'Old ' || doc_id ELSE 'About ' || doc_id END AS title
+ FROM documents JOIN orders ON o_orderkey = doc_id WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '')
+SELECT doc_id, title, CASE WHEN doc_id % 2 = 0 THEN day ELSE make_date((1950 + doc_id % 50)::INTEGER, 1, 1) END::VARCHAR AS date, CASE WHEN doc_id % 2 = 0 THEN 'text' ELSE 'url-year' END AS date_source,
+ CASE WHEN doc_id % 3 = 0 THEN 'listed' ELSE 'library' END AS source, md5(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN strftime(day, '%d/%m/%Y') || chr(10) ELSE '' END || text, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')) AS text
+FROM d WHERE doc_id % 2 = 0 OR NOT regexp_matches(text, '[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2}| de [0-9]{4}')""")
+def text_records(t: Tables) -> DataFrame:
+    """Records out of landed text files: title by precedence, date by the first lines or the address, source by the listing."""
+    dated = t.orders.select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").cast("date").alias("day"))
+    head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.date_format("day", "dd/MM/yyyy"), F.lit("\n"))).otherwise("")
+    url = F.concat(F.lit("https://library.example/"), (F.lit(1950) + F.col("doc_id") % 50).cast("string"), F.lit("/n"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    odd = F.col("text").rlike(r"[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2}| de [0-9]{4}") & (F.col("doc_id") % 2 == 1)
+    rows = t.documents.filter(~odd).join(dated, "doc_id").select("doc_id", F.concat(head, F.col("text")).alias("text"), url.alias("url")).filter(clean_text("text").isNotNull())
+    kind = F.col("doc_id") % 3
+    title = lambda word: F.concat(F.lit(word), F.col("doc_id").cast("string"))
+    listing = rows.select("url", F.when(kind == 0, title("Listed ")).alias("title"), F.when(kind == 0, "listed").alias("source"))
+    previous = rows.select("url", F.when(kind == 1, title("Old ")).alias("title"), title("About ").alias("description"))
+    parsed = plan.text_documents(rows, listing, previous, 2030)
+    out = plan.records(listing, previous, parsed, {}, "none", "none", {}, "text", "library", "/x/")
+    return out.join(rows.select("url", "doc_id"), "url").select("doc_id", "title", F.col("date").cast("string").alias("date"), "date_source", "source", F.md5("text").alias("text"))
+
+
 @query("bad_records", """SELECT doc_id FROM documents WHERE (source IN ('src1', 'src2') AND length(trim(text, ' ')) < 400) OR lower(trim(lang)) IN ('', 'es')""")
 def bad_records(t: Tables) -> DataFrame:
     """Blocked titles and long-form sources without text."""

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civisight import rules
 from civisight.catalog.base import Tables, query
 from civisight.operators import classify, concentration, lookups, periods, profiles, ranking, rollups
 from civisight.operators.search import facet_filter
 from civisight.plans import requests as plan
+from civisight.session import settle
 
 REQ_SQL = """req AS (SELECT o_orderkey AS id, o_custkey AS requester, n_name AS body, r_name AS theme, year(o_orderdate)::INTEGER AS year,
   month(o_orderdate)::INTEGER AS month, o_orderstatus AS decision, o_orderpriority AS reason,
@@ -146,6 +148,29 @@ def personal_rank_per_year(t: Tables) -> DataFrame:
     return top_per_group(rows, ["year"], order, 10, rank="position")
 
 
+_CHOICE_ORDER = "personal / total::DOUBLE DESC, personal DESC, denied DESC, total DESC, body"
+
+
+@query("ranking_choice", f"""WITH {REQ_SQL}, c AS (SELECT year, body, {CNT} FROM req GROUP BY ALL), o AS (SELECT body, {CNT} FROM req GROUP BY body),
+y AS (SELECT year, body, row_number() OVER (PARTITION BY year ORDER BY {_CHOICE_ORDER}) AS position FROM c WHERE total >= 20),
+w AS (SELECT body, row_number() OVER (ORDER BY {_CHOICE_ORDER}) AS position FROM o)
+SELECT 'year' AS choice, year, body, position::INTEGER AS position FROM y WHERE year = 1996 AND position <= 25
+UNION ALL SELECT 'unknown', year, body, position::INTEGER FROM y WHERE year = (SELECT max(year) FROM y) AND position <= 25
+UNION ALL SELECT 'series', NULL, body, position::INTEGER FROM w WHERE position <= 25
+UNION ALL SELECT 'none', NULL, body, position::INTEGER FROM w WHERE position <= 25""")
+def ranking_choice(t: Tables) -> DataFrame:
+    """The ranking of one year, of a year that has none, of the whole series, and where no year has one."""
+    from civisight.operators.sets import union_tagged
+    from civisight.operators.windows import top_per_group
+
+    rated = lambda rows: rollups.rates(rows, {"personal_rate": ("personal", "total")})
+    order = [F.col(c).desc() for c in ("personal_rate", "personal", "denied", "total")] + [F.col("body")]
+    years = top_per_group(rated(by(t, "year", "body").filter("total >= 20")), ["year"], order, 25, rank="position").select("year", "body", "position")
+    series = top_per_group(rated(by(t, "body")).withColumn("_all", F.lit(1)), ["_all"], order, 25, rank="position").select("body", "position")
+    choices = {"year": (years, 1996), "unknown": (years, 1900), "series": (years, None), "none": (years.filter("year < 0"), 1994)}
+    return union_tagged({k: ranking.chosen_ranking(rows, series, year) for k, (rows, year) in choices.items()}, "choice").select("choice", "year", "body", "position")
+
+
 @query("personal_rank_overall", f"""WITH {REQ_SQL} SELECT body, {CNT}, count(*) FILTER (is_personal) / count(*) FILTER (is_restricted)::DOUBLE AS share_in_restricted
 FROM req GROUP BY body HAVING count(*) FILTER (is_personal) > 0 ORDER BY personal DESC, restricted DESC, body LIMIT 20""")
 def personal_rank_overall(t: Tables) -> DataFrame:
@@ -341,3 +366,47 @@ def denied_samples(t: Tables) -> DataFrame:
     files = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.concat(F.lit("https://files.example/"), F.min("l_partkey").cast("string")).alias("attachment"))
     rows = plan.denied_samples(base, files, "https://public.example/", "https://search.example/", excerpt=9)
     return rows.select("id", "year", "body", "reason", "theme", "text_excerpt", "public_link", "attachment")
+
+
+# ------------------------------------------------------- landed, by default rules
+
+_WORDS = [w for _, words in rules.THEMES for w in words]
+
+
+def _told(words) -> str:
+    return " OR ".join(f"contains(coalesce(w, '') || ' ' || p, '{x.lower()}')" for x in words)
+
+
+_THEME_CASE = " ".join(["CASE", *[f"WHEN {_told(words)} THEN '{label}'" for label, words in rules.THEMES], f"ELSE '{rules.OTHER_THEMES}' END"])
+LANDED_SQL = f"""k AS (SELECT [{', '.join(f"'{w}'" for w in _WORDS)}] AS words),
+raw AS (SELECT o_orderkey, o_custkey, year(o_orderdate)::INTEGER AS year, month(o_orderdate)::INTEGER AS month, o_orderstatus AS st, lower(words[(o_orderkey % (len(words) + 9) + 1)::INTEGER]) AS w, lower(o_orderpriority) AS p FROM orders, k),
+lnd AS (SELECT o_orderkey::VARCHAR AS id, year, month, CASE st WHEN 'F' THEN '{rules.DENIED}' WHEN 'O' THEN 'Acesso Concedido' ELSE '{rules.NO_DECISION}' END AS decision, {_THEME_CASE} AS theme FROM raw)"""
+
+
+def _landed(t: Tables) -> DataFrame:
+    """Landed requests out of orders: every theme word in turn, some rows without one, decisions by status."""
+    null = F.lit(None).cast("string")
+    word = F.get(F.array(*[F.lit(w.upper()) for w in _WORDS]), (F.col("o_orderkey") % (len(_WORDS) + 9)).cast("int"))
+    decision = F.when(F.col("o_orderstatus") == "F", " acesso negado ").when(F.col("o_orderstatus") == "O", "Acesso  Concedido")
+    given = {"IdPedido": F.col("o_orderkey").cast("string"), "IdSolicitante": F.col("o_custkey").cast("string"), "DataRegistro": F.date_format("o_orderdate", "dd/MM/yyyy"),
+             "ResumoSolicitacao": word, "DetalhamentoSolicitacao": F.col("o_orderpriority"), "Decisao": decision}
+    return t.orders.select(*[given.get(c, null).alias(c) for c in plan.LANDED])
+
+
+@query("landed_themes", f"""WITH {LANDED_SQL} SELECT id, year, month, decision, theme, decision = '{rules.DENIED}' AS is_denied FROM lnd""")
+def landed_themes(t: Tables) -> DataFrame:
+    """Landed requests with the default themes and decisions."""
+    return plan.landed_requests(_landed(t)).select("id", "year", "month", "decision", "theme", "is_denied")
+
+
+_PRESETS = ", ".join(f"('{p['id']}', '{p['filters']['theme']}')" for p in rules.SEARCH_PRESETS)
+
+
+@query("preset_counts", f"""WITH {LANDED_SQL} SELECT preset, count(*) AS n FROM lnd JOIN (VALUES {_PRESETS}) v(preset, wanted) ON theme = wanted AND decision = '{rules.DENIED}' GROUP BY preset""")
+def preset_counts(t: Tables) -> DataFrame:
+    """Requests behind each ready-made filter."""
+    from civisight.operators.sets import union_tagged
+
+    rows = settle(plan.landed_requests(_landed(t)).select("theme", "year", F.col("body").alias("org"), F.when(F.col("is_denied"), "negado").otherwise("outro").alias("decision_group")))
+    found = {p["id"]: facet_filter(rows, p["filters"]) for p in rules.SEARCH_PRESETS}
+    return union_tagged(found, "preset").groupBy("preset").agg(F.count("*").alias("n"))

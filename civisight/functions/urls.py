@@ -64,6 +64,15 @@ def unwrap_url(c: ColumnOrName) -> Column:
     )
 
 
+def aggregator_token(c: ColumnOrName, host: str = "news.google.com") -> Column:
+    """Token of an article behind a news aggregator's URL, or null: what follows ``/rss/articles/``, else the last part
+    of the path after ``articles`` or ``read``."""
+    parts = F.filter(F.split(url_part(c, "path"), "/"), lambda p: p != "")
+    at = lambda i: F.try_element_at(parts, F.lit(i))
+    feed = (at(1) == "rss") & (at(2) == "articles") & (F.size(parts) >= 3)
+    return F.when(F.lower(url_part(c, "host")) == host, F.when(feed, at(3)).when(at(-2).isin("articles", "read"), at(-1)))
+
+
 def _encode(c: Column) -> Column:
     out = F.url_encode(c)
     return F.replace(F.replace(out, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))

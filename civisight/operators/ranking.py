@@ -20,6 +20,19 @@ def rank_rows(df: DataFrame, order: Sequence[Column], n: int, where: Column | No
     return (df if where is None else df.filter(where)).orderBy(*order).limit(n)
 
 
+def chosen_ranking(by_year: DataFrame, overall: DataFrame, year: int | None, n: int = 25, rank: str = "position") -> DataFrame:
+    """First rows of one year's ranking, or of the whole series (``year`` null) if no year is asked for.
+
+    A year that has no ranking is replaced by the latest that has one; without any, the whole series is shown.
+    """
+    whole = overall.filter(F.col(rank) <= n).withColumn("year", F.lit(None).cast("int"))
+    if year is None:
+        return whole
+    shown = by_year.agg(F.coalesce(F.max(F.when(F.col("year") == year, F.col("year"))), F.max("year"))).scalar()
+    one = by_year.filter((F.col("year") == shown) & (F.col(rank) <= n))
+    return one.unionByName(whole.filter(shown.isNull()).select(*one.columns), allowMissingColumns=True)
+
+
 def top_n_plus_pinned(df: DataFrame, order: Sequence[Column], n: int, pinned: Column, volume: str, key: str) -> DataFrame:
     """Top rows, plus the largest row that matches a pattern when it is not among them."""
     head = df.orderBy(*order).limit(n)

@@ -73,6 +73,22 @@ def document_pages(pages: DataFrame, last_year: int) -> DataFrame:
         prose_place([line(0), line(1), line(2), "description", "title"]).alias("location"))
 
 
+def text_documents(files: DataFrame, listing: DataFrame, previous: DataFrame, last_year: int) -> DataFrame:
+    """Fields of landed text files (``url``, ``text``), as of ``document_pages``: title by the listing, the previous record or its
+    description; date and place by title, description and the first five lines that hold something. Files without text are left out."""
+    lines = F.filter(F.transform(F.split("text", r"\r\n|\r|\n"), lambda x: clean_text(x)), lambda x: x.isNotNull())
+    before = previous.select("url", F.col("title").alias("_old"), F.col("description").alias("description"))
+    known = files.select(article_url("url").alias("url"), "text").filter(clean_text("text").isNotNull()).withColumn("lines", F.slice(lines, 1, 5))
+    known = known.join(listing.select("url", F.col("title").alias("_listed")), "url", "left").join(before, "url", "left")
+    known = known.withColumn("title", F.coalesce(clean_text("_listed"), clean_text("_old"), clean_text("description")))
+    at = [F.get("lines", F.lit(i)) for i in range(5)]
+    dated = known.withColumn("_d", prose_date(["title", "description", *at], "url", last_year))
+    body = F.regexp_replace("text", r"^\s+|\s+$", "")
+    return dated.select(
+        "url", "title", "description", body.alias("text"), F.length(body).alias("text_length"), F.col("_d.date").alias("date"),
+        F.col("_d.source").alias("date_source"), prose_place([*at, F.col("description"), F.col("title")]).alias("location"))
+
+
 def records(listing: DataFrame, previous: DataFrame, parsed: DataFrame, names: dict[str, str], forced_source: str, forced_slug: str, types: dict[str, str], default_type: str, default_source: str, slug_segment: str) -> DataFrame:
     """Corpus records by precedence: listing, previous record, page, inference, default."""
     base = clean.assemble_record(

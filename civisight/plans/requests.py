@@ -20,7 +20,7 @@ LANDED = (
 MASKS = ("total", "denied", "restricted", "personal")
 
 
-def landed_requests(raw: DataFrame, themes: Sequence[tuple[str, Sequence[str]]], year: int | None = None, whole_words: bool = False) -> DataFrame:
+def landed_requests(raw: DataFrame, themes: Sequence[tuple[str, Sequence[str]]] = rules.THEMES, year: int | None = None, whole_words: bool = False) -> DataFrame:
     """Typed projection of a landed request file (columns of ``LANDED``, absent ones null)."""
     decision = classify.canonical_label("Decisao", rules.DECISIONS, rules.NO_DECISION, rules.FREE_TEXT, 120)
     reason = classify.canonical_by_map(

@@ -128,3 +128,42 @@ SOCIAL_HOSTS = ("linkedin.com", "facebook.com", "instagram.com")
 # Paths of the crawl modes of a site.
 ARTICLE_PATHS = ("/articles/",)
 LISTING_PATHS = ("/colaborador/", "/page/")
+
+# Themes of information requests with the words that tell them, tried in this order.
+THEMES = (
+    ("Dados pessoais e vida privada", (
+        "dado pessoal", "dados pessoais", "informação pessoal", "informacao pessoal", "lgpd", "privacidade", "sigilo banc", "sigilo fiscal",
+        "cpf", "cnpj", "prontuário", "prontuario", "endereço", "endereco")),
+    ("Contratos, licitações e fornecedores", (
+        "contrato", "licita", "pregão", "pregao", "edital", "fornecedor", "aditivo", "ata de registro", "dispensa de licita", "inexigibilidade")),
+    ("Gastos públicos e orçamento", (
+        "gasto", "despesa", "orçamento", "orcamento", "empenho", "pagamento", "nota fiscal", "diária", "diaria", "passagem", "custeio",
+        "dotação", "dotacao")),
+    ("Servidores, salários e concursos", (
+        "servidor", "remuneração", "remuneracao", "salário", "salario", "cargo", "concurso", "nomeação", "nomeacao", "lotação", "lotacao",
+        "folha de pagamento", "benefício de servidor")),
+    ("Previdência e benefícios sociais", (
+        "inss", "aposentadoria", "benefício", "beneficio", "pensão", "pensao", "auxílio", "auxilio", "bpc", "cadúnico", "cadunico",
+        "bolsa família", "bolsa familia")),
+    ("Saúde e medicamentos", ("medicamento", "hospital", "leito", "sus", "tratamento", "vacina", "saúde", "saude", "fila de espera")),
+    ("Segurança pública e polícia", (
+        "polícia", "policia", "delegacia", "boletim de ocorrência", "boletim de ocorrencia", "inquérito", "inquerito", "crime", "armamento",
+        "prisão", "prisao", "pf")),
+    ("Educação e pesquisa", ("escola", "universidade", "enem", "educação", "educacao", "matrícula", "matricula", "bolsa", "aluno", "professor")),
+    ("Obras, infraestrutura e transportes", (
+        "obra", "rodovia", "ponte", "aeroporto", "infraestrutura", "transporte", "pavimentação", "pavimentacao", "ferrovia")),
+    ("Meio ambiente e território", (
+        "desmatamento", "licença ambiental", "licenca ambiental", "ibama", "icmbio", "terra indígena", "terra indigena", "queimada",
+        "mineração", "mineracao")),
+    ("Processos administrativos e sanções", (
+        "processo administrativo", "sindicância", "sindicancia", "pad", "multa", "auto de infração", "autos de infração", "sanção", "sancao")),
+)
+
+# Filters offered ready-made; an empty facet matches everything.
+SEARCH_PRESETS = (
+    {"id": "dados-pessoais", "label": "Negativas por dados pessoais", "filters": {"theme": "Dados pessoais e vida privada", "decision_group": "negado", "year": "", "org": ""}},
+    {"id": "contratos", "label": "Contratos e licitações", "filters": {"theme": "Contratos, licitações e fornecedores", "decision_group": "negado", "year": "", "org": ""}},
+    {"id": "servidores", "label": "Servidores e concursos", "filters": {"theme": "Servidores, salários e concursos", "decision_group": "negado", "year": "", "org": ""}},
+    {"id": "inss-beneficios", "label": "INSS e benefícios", "filters": {"theme": "Previdência e benefícios sociais", "decision_group": "negado", "year": "", "org": ""}},
+    {"id": "gastos-negados", "label": "Gastos públicos negados", "filters": {"theme": "Gastos públicos e orçamento", "decision_group": "negado", "year": "", "org": ""}},
+)

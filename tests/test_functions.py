@@ -134,3 +134,11 @@ def test_jsonld_nested(one):
 
 def test_short_body_is_kept(one):
     assert one(html.body_lines("x"), x="<main><p>Short</p></main>")[0] == ["Short"]
+
+
+def test_jsonld_with_half_a_surrogate_pair(spark):
+    block = '<script type="application/ld+json">{"headline": "Cut \\ud83d", "author": [{"name": "A \\ud83d\\ude00"}]}</script>'
+    from civisight.functions.html import jsonld_blocks, jsonld_fields
+
+    row = spark.createDataFrame([(block,)], "h string").select(jsonld_fields(jsonld_blocks("h")).alias("x")).first().x
+    assert row.title.startswith("Cut ") and row.author_names == ["A \U0001f600"]
