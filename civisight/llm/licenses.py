@@ -1,7 +1,7 @@
 """Licence scans: known sentences in order.
 
 Texts are cut into sentences, sentences are normalised (lower case, letters and digits, single blanks) and
-joined to a table of known licence sentences; the ids that a document's sentences give are matched
+looked up in a map of known licence sentences; the ids that a document's sentences give are matched
 against ordered rules: the steps of a rule must follow each other among the recognised sentences.
 
 Only documents with a match give rows. Null and empty texts have none; repeated rows give repeated matches
@@ -9,7 +9,9 @@ of their id, counted together; further columns are ignored; no rows give no rows
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,24 +51,29 @@ RULES = {
 }
 
 
+def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A short list as a table whose size Spark knows, so that it is not shuffled against documents."""
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("r")).select("r.*")
+
+
 def recognised(docs: DataFrame, sentences: dict[str, str]) -> DataFrame:
-    """(doc_id, number, sentence_id): recognised sentences with their numbers in the text, from 0."""
-    spark = docs.sparkSession
-    known = spark.createDataFrame(list(sentences.items()), "sentence_id string, sentence string")
-    longest = 3 * max(map(len, sentences.values()), default=0)
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(
-                F.split(F.regexp_replace(F.col("text").cast("string"), "([.!?])[ \\t\\r]+", "$1\n"), "\n+")).alias("number", "s"))
-            .filter(F.length("s").between(3, longest))  # longer ones cannot become a known sentence unless padded threefold
-            .withColumn("sentence", F.trim(F.regexp_replace(F.lower("s"), "[^a-z0-9]+", " ")))
-            .join(known, "sentence").select("doc_id", "number", "sentence_id"))
+    """(doc_id, number, sentence_id): recognised sentences with their numbers in the text, from 0.
+
+    Every sentence is normalised, however long it was, and looked up in a map of the known ones where it is read.
+    """
+    names = F.create_map(*[F.lit(x) for i, s in sentences.items() for x in (s, i)]) if sentences else F.lit(None).cast("map<string,string>")
+    parts = F.split(F.regexp_replace(F.col("text").cast("string"), "([.!?])[ \t\r]+", "$1\n"), "\n+")
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(parts).alias("number", "s")).filter(F.length("s") >= 3)
+            .select("doc_id", "number", F.try_element_at(names, F.trim(F.regexp_replace(F.lower("s"), "[^a-z0-9]+", " "))).alias("sentence_id"))
+            .filter("sentence_id is not null"))
 
 
 def license_matches(docs: DataFrame, sentences: dict[str, str] | None = None, rules: dict[str, list[str]] | None = None) -> DataFrame:
     """(doc_id, license_id, n_matches, first_sentence), one row per document and matched rule."""
     spark = prepare(docs.sparkSession)
     sentences, rules = sentences or SENTENCES, rules or RULES
-    steps = spark.createDataFrame([(r, i, s, len(ids)) for r, ids in rules.items() for i, s in enumerate(ids)],
-                                  "license_id string, step int, sentence_id string, steps int")
+    steps = _table(spark, [{"license_id": r, "step": i, "sentence_id": s, "steps": len(ids)} for r, ids in rules.items() for i, s in enumerate(ids)],
+                   "license_id:string,step:int,sentence_id:string,steps:int")
     found = recognised(docs, sentences).withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy("number", "sentence_id")))
     return (found.join(steps, "sentence_id").groupBy("doc_id", "license_id", (F.col("place") - F.col("step")).alias("begin"))
             .agg(F.count_distinct("step").alias("met"), F.first("steps").alias("steps"), F.min("number").alias("number"))
