@@ -19,6 +19,9 @@ RUNTIME_CONF = {
 }
 
 
+_LOCAL: dict[str, str] = {}  # folders of local sessions that name none
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session we were handed."""
     for key, value in RUNTIME_CONF.items():
@@ -52,9 +55,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="civisight-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="civisight-")
+    return _LOCAL[app]
 
 
 def settle(df: DataFrame) -> DataFrame:
