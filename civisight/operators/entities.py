@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from civisight.functions.text import ColumnOrName, array_unique_folded, clean_text, fold, match_text, match_tokens
 from civisight.operators.lookups import key_bits, may_hold
+from civisight.session import settle
 
 # Particles and suffixes of Portuguese names.
 PARTICLES = ("a", "as", "da", "das", "de", "del", "della", "di", "do", "dos", "du", "e")
@@ -138,9 +139,10 @@ def alias_hits(docs: DataFrame, aliases: DataFrame, doc: str = "doc_id", text: s
     After folding, an alias at token boundaries is a token n-gram. Each alias is looked up by its anchor, the
     word that the fewest documents have (``frequencies``, of ``token_frequencies``; counted when not given). Words
     are tested against the anchors' bits where they are read, then joined with the anchors; only around the few places
-    left the whole alias is compared.
+    left the whole alias is compared. Aliases and anchors are settled once, so that neither is worked out for every use.
     """
-    anchors = alias_anchors(aliases, token_frequencies(docs, aliases, text) if frequencies is None else frequencies)
+    aliases = settle(aliases)
+    anchors = settle(alias_anchors(aliases, token_frequencies(docs, aliases, text) if frequencies is None else frequencies))
     reach = aliases.agg(F.coalesce(F.max("n_tokens"), F.lit(1))).scalar()
     places = docs.select(doc, match_tokens(text).alias("_t")).select(doc, "_t", F.posexplode("_t").alias("at", "token")).filter(may_hold(key_bits(anchors, "token"), "token"))
     before = F.least(F.col("at"), reach - 1)

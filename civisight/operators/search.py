@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civisight.functions.arrays import owners, share_number
-from civisight.functions.text import case_when, compact_key, fold, fold_text, let, match_tokens
+from civisight.functions.text import case_when, compact_key, fold, fold_text, match_tokens
 from civisight.operators.lookups import key_bits, may_hold
 from civisight.operators.windows import top_per_group
+from civisight.session import settle
 
-GRAM = 3
+GRAM, WORDS = 3, 1 << 12
 _QUERY = ("struct<id:int,way:string,query:string,norm:string,compact:string,digits:string,"
           "tokens:array<struct<t:string,c:string>>,grams:array<string>>")
 
@@ -41,33 +42,39 @@ def _queries(spark: SparkSession, queries: Sequence[str], ways: dict[str, object
     return spark.range(1).select(F.explode(F.from_json(F.lit(table), f"array<{_QUERY}>")).alias("_q"))
 
 
-def grams(c: Column, way: str, sizes: Sequence[int] = (GRAM,)) -> Column:
-    """Distinct tagged n-grams of a text; the empty one is in every text."""
-    def of(chars: Column, n: int) -> Column:
-        places = F.sequence(F.lit(0), F.size(chars) - n)
-        return F.when(F.size(chars) >= n, F.transform(places, lambda i: F.concat(F.lit(f"{way}:"), *[F.get(chars, i + k) for k in range(n)])))
+def _grams(records: DataFrame, columns: Sequence[str], text: Column, way: str, sizes: Sequence[int], bits: Column) -> DataFrame:
+    """columns and ``_gram``: the tagged n-grams of a text that ``bits`` may hold, each once per record; the empty one is in
+    every text. N-grams are cut and tested place by place, so that none of them is kept that nobody asks for."""
+    at, size = F.col("_at"), F.length("_s")
+    rows = records.withColumn("_s", text).select(*columns, "_s", F.explode(F.sequence(F.lit(0), size)).alias("_at"))
+    cut = [F.when((at > 0) & (at + (n - 1) <= size), F.substring("_s", at, F.lit(n))) for n in sizes if n]
+    rows = rows.select(*columns, "_s", "_at", F.explode(F.array(F.when(at == 0, ""), *cut)).alias("_g")).filter("_g is not null")
+    rows = rows.withColumn("_gram", F.concat(F.lit(f"{way}:"), "_g")).filter(may_hold(bits, "_gram", WORDS))
+    return rows.filter((at == 0) | (F.call_function("instr", F.col("_s"), F.col("_g")) == at)).select(*columns, "_gram")
 
-    none = F.array().cast("array<string>")
-    found = let(F.split(c, ""), lambda chars: F.concat(*[F.coalesce(of(chars, n), none) for n in sizes if n]))
-    return F.array_distinct(F.concat(F.array(F.lit(f"{way}:")), found))
 
+def candidates(records: DataFrame, texts: Sequence[tuple[str, Column, Sequence[int]]], queries: DataFrame) -> DataFrame:
+    """records with each query (``_q``) whose rarest n-gram they hold, once per query and text (way, column, sizes of n-grams).
 
-def candidates(records: DataFrame, held: Column, queries: DataFrame) -> DataFrame:
-    """records with each query (``_q``) whose rarest n-gram they hold, once per query and way.
-
-    ``held`` is the array of a record's n-grams. Records are tested against the n-grams' bits where they are read, so
-    what is shuffled, or looked up in the table of queries, are candidates only.
+    Records are tested against the n-grams' bits where they are read, so what is shuffled, or looked up in the table
+    of queries, are candidates only.
     """
+    def held(columns: Sequence[str], keys: DataFrame) -> DataFrame:
+        bits = key_bits(keys, "_gram", WORDS)
+        parts = [_grams(records, columns, text, way, sizes, bits) for way, text, sizes in texts]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
     asked = queries.select("_q", F.explode("_q.grams").alias("_gram"))
     wanted = asked.select("_gram").distinct()
-    counts = (records.select(F.explode(held).alias("_gram")).filter(may_hold(key_bits(wanted, "_gram"), "_gram"))
-              .join(wanted, "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_n")))
+    counts = held([], wanted).join(wanted, "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_n"))
     # an n-gram that no record holds rules its query out
-    rarest = (asked.join(counts, "_gram", "left").groupBy("_q.id")
-              .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_r"), F.first("_q").alias("_q"))
-              .filter("_r.n > 0").select("_q", F.col("_r.gram").alias("_gram")))
-    rows = records.select("*", F.explode(held).alias("_gram")).filter(may_hold(key_bits(rarest, "_gram"), "_gram"))
-    return rows.join(rarest, "_gram").drop("_gram")
+    rarest = settle(asked.join(counts, "_gram", "left").groupBy("_q.id")
+                    .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_r"), F.first("_q").alias("_q"))
+                    .filter("_r.n > 0").select("_q", F.col("_r.gram").alias("_gram")))
+    return held(records.columns, rarest).join(rarest, "_gram").drop("_gram")
 
 
 def _sizes(queries: Sequence[str]) -> list[int]:
@@ -106,8 +113,9 @@ def search_registry(
     # a word that hits any field is, without its signs, part of one of the two compact texts
     sizes = _sizes(queries)
     ask = _queries(df.sparkSession, queries, {"c": lambda row: [x["c"] for x in row["tokens"]]})
-    held = F.array_union(grams(F.col("_comp"), "c", sizes), grams(F.regexp_replace("_text", "[^a-z0-9]+", ""), "c", sizes))
-    work = candidates(df.withColumns(keys), held, ask)
+    # which of the two only matters where fields differ between them
+    whole = F.col("_comp") if tuple(more) == tuple(more_compact) else F.concat_ws(" ", F.col("_comp"), F.regexp_replace("_text", "[^a-z0-9]+", ""))
+    work = candidates(df.withColumns(keys), [("c", whole, sizes)], ask)
     q, pre, doc = F.col("_q"), F.col("_pre"), F.col("_doc")
     c, n = q["compact"], q["norm"]
     some = c != ""
@@ -140,7 +148,7 @@ def search_sanctions(df: DataFrame, queries: Sequence[str], name: str, document:
         "_text": fold(F.concat_ws(" ", *[F.col(f) for f in fields])), "_digits": F.coalesce(F.regexp_replace(document, r"\D+", ""), F.lit(""))})
     ask = _queries(df.sparkSession, queries, {
         "d": lambda row: [row["digits"]] if len(row["digits"]) >= 5 else None, "t": lambda row: [row["norm"]] if len(row["norm"]) >= 3 else None})
-    work = candidates(keyed, F.concat(grams(F.col("_digits"), "d"), grams(F.col("_text"), "t")), ask)
+    work = candidates(keyed, [("d", F.col("_digits"), [GRAM]), ("t", F.col("_text"), [GRAM])], ask)
     q, text, digits = F.col("_q"), F.col("_text"), F.col("_digits")
     by_doc = (F.length(q["digits"]) >= 5) & digits.contains(q["digits"])
     by_text = (F.length(q["norm"]) >= 3) & text.contains(q["norm"])

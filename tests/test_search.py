@@ -29,7 +29,7 @@ def test_a_thousand_queries_score_only_their_hits(spark):
 
     keyed = rows.withColumns({"_text": search.fold("name"), "_digits": F.col("doc")})
     asked = search._queries(spark, queries, {"d": lambda r: [r["digits"]] if len(r["digits"]) >= 5 else None, "t": lambda r: [r["norm"]]})
-    pairs = search.candidates(keyed, F.concat(search.grams(F.col("_digits"), "d"), search.grams(F.col("_text"), "t")), asked).count()
+    pairs = search.candidates(keyed, [("d", F.col("_digits"), [3]), ("t", F.col("_text"), [3])], asked).count()
     assert pairs <= 20 * len(want) < len(queries) * len(people) / 100  # the rarest of a thousand trigrams of digits still has some others
 
 
