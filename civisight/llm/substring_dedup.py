@@ -270,7 +270,6 @@ def substring_dedup(docs: DataFrame, k: int = 13, m: int = 6) -> DataFrame:
     digests = (base.join(asked, ["doc_id", "row"]).select("doc_id", "row", "text", "start", "windows")
                .mapInArrow(lambda b: _digests(b, k), "source long, source_row long, source_start long, windows long, digest binary")
                .dropDuplicates(["source", "source_row", "source_start", "windows"]))
-    digests = shelf.put(digests, "digests")  # settled, so that the join below can split a source that many paths name
     proven = paths.join(digests, ["source", "source_row", "source_start", "windows"])
     cuts = shelf.put(proven.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "windows", "digest")).alias("paths")), "cuts")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
