@@ -101,6 +101,7 @@ def interval_join(df: DataFrame, date: str, intervals: DataFrame, start: str, en
 
     Intervals become O(log n) aligned ranges and days the ranges that hold them, so this is an equi-join whose size
     does not depend on the length of the intervals. Only the distinct (keys, day) of the rows are looked up.
+    Spark takes exploded ranges for as small as the intervals and would broadcast them, so the join asks for a shuffle.
     """
     ranges = interval_ranges(intervals, start, end, ordinal, [label], horizon, keys)
     levels = ranges.agg(F.array_sort(F.collect_set("level"))).scalar()
@@ -108,7 +109,7 @@ def interval_join(df: DataFrame, date: str, intervals: DataFrame, start: str, en
     asked = work.select(*keys, "_day").filter("_day is not null").distinct()
     prefixes = asked.withColumn("_levels", levels).select(*keys, "_day", F.explode(dyadic_prefixes(F.col("_day"), F.col("_levels"))).alias("_r")).select(
         *keys, "_day", F.col("_r.level").alias("level"), F.col("_r.block").alias("block"))
-    found = prefixes.join(ranges, [*keys, "level", "block"]).groupBy(*keys, "_day").agg(F.min_by(f"_l.{label}", ordinal).alias(label))
+    found = prefixes.join(ranges.hint("merge"), [*keys, "level", "block"]).groupBy(*keys, "_day").agg(F.min_by(f"_l.{label}", ordinal).alias(label))
     return work.join(found, [*keys, "_day"], "left").withColumn(label, F.coalesce(label, F.lit(default))).drop("_day")
 
 

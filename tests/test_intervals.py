@@ -43,3 +43,11 @@ def test_first_of_overlapping_intervals(spark):
         return min(fits)[1] if fits else "none"
 
     assert sorted((r.n, r.role) for r in got.collect()) == sorted((n, first(k, d)) for n, k, d in facts)
+
+
+def test_exploded_ranges_are_not_broadcast(spark):
+    facts = spark.range(50).selectExpr("id % 5 as k", "date_add(date'1990-01-01', cast(id as int)) as d")
+    spans = spark.range(20).selectExpr("id % 5 as k", "id as o", "date'1989-01-01' as s", "cast(null as date) as e", "'r' as role")
+    got = lookups.interval_join(facts, "d", spans, "s", "e", "o", "role", "none", F.lit(DAY), ["k"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join" in line and "strategy=merge" in line for line in plan.splitlines())
