@@ -99,7 +99,7 @@ def state_tables(t: Tables) -> DataFrame:
 def text_files(t: Tables) -> DataFrame:
     """One text file per document, read back whole."""
     path = _folder(t, "corpus")
-    t.documents.filter("text <> ''").select("text", "doc_id").repartition(4, "doc_id").write.partitionBy("doc_id").text(path)
+    sinks.write_text_corpus(t.documents.filter("text <> ''"), path, "text", "doc_id")
     return readers.read_text_corpus(t.spark, path).select(F.md5(F.regexp_replace("text", r"\n\z", "")).alias("text"))
 
 

@@ -41,6 +41,16 @@ def write_table_csv(df: DataFrame, path: str, columns: Sequence[str], sep: str =
     df.select(*columns).write.mode("overwrite").option("header", True).option("sep", sep).option("quoteAll", True).csv(path)
 
 
+def write_text_corpus(df: DataFrame, path: str, text: str, key: str) -> None:
+    """One text file per row, in as many tasks as a shuffle has; what files cost goes by their number, not by their bytes.
+
+    Each task fills a folder of its own, so that the job is committed, and listed again, by folder and not by file.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(text, key).repartition(tasks, key).select(F.col(text).alias("value"), F.spark_partition_id().alias("folder"))
+    rows.write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
+
+
 def union_typed(parts: dict[str, DataFrame], kind: str = "row_kind") -> DataFrame:
     """Rows of several shapes in one export, tagged by kind; absent columns are null."""
     out: DataFrame | None = None

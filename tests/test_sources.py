@@ -58,6 +58,15 @@ def test_jsonl_state_corpus(spark, tmp_path):
     assert (row.file_name, row.doc_key, row.text) == ("BR-1.txt", "BR-1", "a\nb")
 
 
+def test_text_corpus_by_folder_of_task(spark, tmp_path):
+    texts = {i: f"a{i}\r\n\n b " + "x" * i for i in range(60)}
+    sinks.write_text_corpus(spark.createDataFrame(list(texts.items()), "k int, t string"), str(tmp_path / "c"), "t", "k")
+    folders = [f for f in (tmp_path / "c").iterdir() if f.is_dir()]
+    assert 1 < len(folders) <= int(spark.conf.get("spark.sql.shuffle.partitions"))  # not a folder per text
+    assert sum(len(list(f.glob("*.txt"))) for f in folders) == len(texts)  # but a file
+    assert sorted(r.text for r in readers.read_text_corpus(spark, str(tmp_path / "c")).collect()) == sorted(t + "\n" for t in texts.values())
+
+
 def test_feeds(spark):
     docs = spark.createDataFrame([('{"dados": [{"nome": "Ana", "partido": "X"}, {"nome": "Bia"}]}',)], "doc string")
     flat = readers.flatten_json(docs, "doc", "dados array<struct<nome:string,partido:string>>", "dados")
