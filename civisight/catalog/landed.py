@@ -55,7 +55,8 @@ def utf16_delimited(t: Tables) -> DataFrame:
 def archive_members(t: Tables) -> DataFrame:
     """A member of each of several archives; headers match after folding."""
     path = _folder(t, "archives")
-    landed.write_archives(customers(t).repartition(5), path)
+    for half in range(2):
+        landed.write_archives(customers(t).filter(F.col("c_custkey") % 2 == half).hint("rebalance"), path)
     return landed.read_archives(t.spark, path, ["C CustKey", "Ç Name", "absent"], contains=["data"]).drop("file", "row_no")
 
 
@@ -63,7 +64,7 @@ def archive_members(t: Tables) -> DataFrame:
 def document_archives(t: Tables) -> DataFrame:
     """Whole texts through archives: line breaks and quotes stay inside their row."""
     path = _folder(t, "texts")
-    landed.write_archives(t.documents.filter("not contains(text, char(0))").select("doc_id", "text", "lang").repartition(4), path)
+    landed.write_archives(t.documents.filter("not contains(text, char(0))").select("doc_id", "text", "lang").hint("rebalance"), path)
     return landed.read_archives(t.spark, path, ["doc_id", "text", "lang"]).select("doc_id", F.md5("text").alias("text"), "lang")
 
 
@@ -73,7 +74,7 @@ def preamble_files(t: Tables) -> DataFrame:
     path, title = _folder(t, "preamble"), "Updated: 2024-05-06"
     odd = t.spark.createDataFrame([("c_custkey", "c_name"), (title, "two\nlines")], "c_custkey string, c_name string")
     rows = _text(customers(t).select("c_custkey", "c_name"))
-    landed.write_preamble(rows.repartition(3).unionByName(odd), path, title)
+    landed.write_preamble(rows.hint("rebalance").unionByName(odd), path, title)
     t.spark.range(1).select(F.lit(title).alias("value")).coalesce(1).write.mode("append").text(path)
     out = readers.read_with_preamble(t.spark, path)
     return out.select("c_custkey", "c_name", F.col("source_date").cast("string").alias("source_date"))

@@ -55,3 +55,17 @@ def test_two_thousand_files_by_one_job(spark, tmp_path):
     assert jobs <= 1 + 2 + len(heads)  # the first lines; the rest are listings of many paths, one per scan
     rows = df.agg(F.count("*"), F.count_if(F.expr("a = concat('a', substr(b, 2))")), F.count("c")).first()
     assert tuple(rows) == (2000, 2000, 666)
+
+
+def test_archives_grow_in_number_not_in_size(spark):
+    import __spark_entry__
+
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        assert __spark_entry__.queries()["document_archives"](spark, "/root/testdata/sf0.01").rdd.getNumPartitions() > 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
