@@ -56,8 +56,8 @@ def _grams(records: DataFrame, columns: Sequence[str], text: Column, way: str, s
 def candidates(records: DataFrame, texts: Sequence[tuple[str, Column, Sequence[int]]], queries: DataFrame) -> DataFrame:
     """records with each query (``_q``) whose rarest n-gram they hold, once per query and text (way, column, sizes of n-grams).
 
-    Records are tested against the n-grams' bits where they are read, so what is shuffled, or looked up in the table
-    of queries, are candidates only.
+    Records are tested against the n-grams' bits where they are cut, so what is looked up in the table of queries are
+    candidates only.
     """
     def held(columns: Sequence[str], keys: DataFrame) -> DataFrame:
         bits = key_bits(keys, "_gram", WORDS)
@@ -77,6 +77,11 @@ def candidates(records: DataFrame, texts: Sequence[tuple[str, Column, Sequence[i
     return held(records.columns, rarest).join(rarest, "_gram").drop("_gram")
 
 
+def _spread(records: DataFrame) -> DataFrame:
+    """Records over all tasks: keys and n-grams cost far more than the bytes by which a scan is split."""
+    return records.hint("rebalance")
+
+
 def _sizes(queries: Sequence[str]) -> list[int]:
     """Lengths of the n-grams that the words of queries are looked up by."""
     words = [re.sub(r"[^a-z0-9]+", "", t) for q in queries for t in fold_text(q).split(" ")]
@@ -115,7 +120,7 @@ def search_registry(
     ask = _queries(df.sparkSession, queries, {"c": lambda row: [x["c"] for x in row["tokens"]]})
     # which of the two only matters where fields differ between them
     whole = F.col("_comp") if tuple(more) == tuple(more_compact) else F.concat_ws(" ", F.col("_comp"), F.regexp_replace("_text", "[^a-z0-9]+", ""))
-    work = candidates(df.withColumns(keys), [("c", whole, sizes)], ask)
+    work = candidates(_spread(df).withColumns(keys), [("c", whole, sizes)], ask)
     q, pre, doc = F.col("_q"), F.col("_pre"), F.col("_doc")
     c, n = q["compact"], q["norm"]
     some = c != ""
@@ -144,7 +149,7 @@ def search_registry(
 
 def search_sanctions(df: DataFrame, queries: Sequence[str], name: str, document: str, active: str, fields: Sequence[str], key: str, limit: int = 60) -> DataFrame:
     """Best records per query by name (3 characters or more) or document digits (5 or more)."""
-    keyed = df.withColumns({
+    keyed = _spread(df).withColumns({
         "_text": fold(F.concat_ws(" ", *[F.col(f) for f in fields])), "_digits": F.coalesce(F.regexp_replace(document, r"\D+", ""), F.lit(""))})
     ask = _queries(df.sparkSession, queries, {
         "d": lambda row: [row["digits"]] if len(row["digits"]) >= 5 else None, "t": lambda row: [row["norm"]] if len(row["norm"]) >= 3 else None})

@@ -43,3 +43,11 @@ def test_short_and_odd_queries(spark):
         got.setdefault(r["query"], set()).add(r["prefix"])
     assert got == {"a": {"PT-AB", "PR-XYZ"}, "pt": {"PT-AB"}, "#": {"PR-XYZ"}, "óleo cia": {"PT-AB"}, "PR-XYZ b": {"PR-XYZ"},
                    "b #9": {"PR-XYZ"}, "q": {"PT-AB", "PR-XYZ", ""}}
+
+
+def test_records_of_one_scan_task_are_spread(spark, tmp_path):
+    spark.createDataFrame(_people(50), "key int, name string, doc string, act boolean").coalesce(1).write.parquet(str(tmp_path / "p"))
+    rows = spark.read.parquet(str(tmp_path / "p"))
+    found = search.search_sanctions(rows, ["an", "ana"], "name", "doc", "act", ["name"], "key")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RebalancePartitions" in plan
