@@ -30,6 +30,11 @@ def clean_text(c: ColumnOrName, markers: Sequence[str] = ()) -> Column:
     return F.when(~absent, out)
 
 
+def has_text(c: ColumnOrName) -> Column:
+    """Whether ``clean_text`` leaves anything, found at the first character that stays."""
+    return as_col(c).rlike(r"(?U)[^\s\x{FEFF}]")
+
+
 def first_present(*cols: ColumnOrName, default: str | None = None) -> Column:
     """First non-empty value of several columns, else the default."""
     parts = [clean_text(c) for c in cols]
@@ -205,25 +210,32 @@ def first_line(c: ColumnOrName, n: int, default: str) -> Column:
 
 def snippet(c: ColumnOrName, aliases: ColumnOrName, n: int = 340) -> Column:
     """First sentence or line that holds an alias, else the opening of the text."""
+    return let(snippet_source(c), lambda source: snippet_of(source, aliases, n))
+
+
+def snippet_source(c: ColumnOrName) -> Column:
+    """struct(text, keyed sentences) for ``snippet_of``, so that several snippets of a text take it apart once."""
     text = F.coalesce(as_col(c), F.lit(""))
-    segments = F.filter(
-        F.transform(F.split(text, r"\n+|(?<=[.!?])\s+"), lambda s: F.coalesce(clean_text(s), F.lit(""))), lambda s: s != "")
+    segments = F.transform(F.filter(F.split(text, r"\n+|(?<=[.!?])\s+"), has_text), lambda s: clean_text(s))
+    keyed = let(segments, lambda a: F.transform(a, lambda s: F.struct(s.alias("s"), match_text(s).alias("k"))))
+    return F.struct(text.alias("text"), keyed.alias("keyed"))
+
+
+def snippet_of(source: Column, aliases: ColumnOrName, n: int = 340) -> Column:
+    """Snippet out of a bound ``snippet_source``."""
     wanted = F.filter(F.transform(as_col(aliases), match_text), lambda a: a != "")
 
-    def holding(x: Column) -> Column:
-        keyed = F.transform(x["segments"], lambda s: F.struct(s.alias("s"), match_text(s).alias("k")))
-        hits = F.filter(keyed, lambda s: let(s["k"], lambda k: F.exists(x["wanted"], lambda a: k.contains(a))))
-        return F.get(hits, F.lit(0))["s"]
+    def holding(words: Column) -> Column:
+        return F.get(F.filter(source["keyed"], lambda s: F.exists(words, lambda a: s["k"].contains(a))), F.lit(0))["s"]
 
-    def shaped(x: Column) -> Column:
-        found = x["found"]
+    def shaped(found: Column) -> Column:
+        text = source["text"]
         cut = F.concat(F.rtrim(F.substring(found, 1, n - 3)), F.lit("..."))
-        opening = F.coalesce(clean_text(F.substring(x["text"], 1, n)), F.lit(""))
-        fallback = F.when(F.length(x["text"]) > F.length(opening), F.concat(opening, F.lit("..."))).otherwise(opening)
-        return F.when(x["text"] == "", "").when(found.isNotNull(), F.when(F.length(found) > n, cut).otherwise(found)).otherwise(fallback)
+        opening = F.coalesce(clean_text(F.substring(text, 1, n)), F.lit(""))
+        fallback = F.when(F.length(text) > F.length(opening), F.concat(opening, F.lit("..."))).otherwise(opening)
+        return F.when(text == "", "").when(found.isNotNull(), F.when(F.length(found) > n, cut).otherwise(found)).otherwise(fallback)
 
-    hit = let(F.struct(segments.alias("segments"), wanted.alias("wanted")), holding)
-    return let(F.struct(text.alias("text"), hit.alias("found")), shaped)
+    return let(let(wanted, holding), shaped)
 
 
 # Separators between a title and the name of its site, in order of trial.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from civisight.functions import html
 from civisight.functions.arrays import short_id
 from civisight.functions.dates import iso_week, month_key, prose_date, prose_place
-from civisight.functions.text import clean_text, fold, snippet, title_case, word_count
+from civisight.functions.text import clean_text, fold, has_text, let, snippet_of, snippet_source, title_case, word_count
 from civisight.functions.urls import article_url, doc_type, slug_after, url_part
 from civisight.operators import clean, entities, lookups, profiles, ranking, sets, state
 from civisight.operators.windows import dedupe_last
@@ -131,12 +131,15 @@ def metadata(rows: DataFrame) -> DataFrame:
 def mention_rows(docs: DataFrame, aliases: DataFrame, people: DataFrame) -> DataFrame:
     """One row per document and person, with count, aliases, snippet and period keys."""
     counts = entities.mention_counts(entities.accepted_mentions(entities.alias_hits(docs, aliases)))
-    about = docs.select("doc_id", "url", "title", "date", "text")
-    who = people.select(F.col("id").alias("entity_id"), "kind", "name")
-    out = counts.join(about, "doc_id").join(who, "entity_id")
+    # one row per document, so that its text is taken apart once, however many people it mentions
+    found = counts.groupBy("doc_id").agg(F.collect_list(F.struct("entity_id", "occurrences", "matched_aliases")).alias("_found"))
+    about = found.join(docs.select("doc_id", "url", "title", "date", "text"), "doc_id")
+    shown = let(snippet_source("text"), lambda source: F.transform("_found", lambda m: F.struct(m.alias("m"), snippet_of(source, m["matched_aliases"]).alias("snippet"))))
+    rows = about.select("doc_id", "url", "title", "date", F.explode(shown).alias("_x")).select("doc_id", "url", "title", "date", "_x.m.*", "_x.snippet")
+    out = rows.join(people.select(F.col("id").alias("entity_id"), "kind", "name"), "entity_id")
     return out.select(
         "entity_id", "kind", "name", "doc_id", "url", "title", "date", month_key("date").alias("month"), iso_week("date").alias("week"),
-        F.year("date").alias("year"), "occurrences", "matched_aliases", snippet("text", "matched_aliases").alias("snippet"))
+        F.year("date").alias("year"), "occurrences", "matched_aliases", "snippet")
 
 
 def listing_rule(kind: Column, url: Column, slug: str | None, sections: dict[str, Sequence[str]], index_pages: Sequence[str]) -> Column:

@@ -229,3 +229,31 @@ def test_listed_labels_survive_the_cut(spark):
     df = rows(spark, "c", *[(x,) for x in "aaabbccd"])
     got = {(r.label, r.n) for r in profiles.corpus_profile(df, ["c"], 2, {"c": ["d", "zz"]}).collect()}
     assert got == {("a", 3), ("b", 2), ("d", 1), ("zz", 0)}
+
+
+def test_snippets_take_a_document_apart_once(spark):
+    from civisight.functions.text import snippet
+
+    docs = spark.createDataFrame([(1, "u", "t", None, "Opening.\nSpoke with Ana Prado; Rui Lemos came.\nRui Lemos left! \ufeff\n\nEnd"), (2, "v", "t", None, "Nobody")],
+                                 "doc_id int, url string, title string, date date, text string")
+    people = spark.createDataFrame([(7, "x", "Ana Prado"), (8, "x", "Rui Lemos")], "id int, kind string, name string")
+    aliases = people.selectExpr("id as entity_id", "name as alias", "lower(name) as alias_key", "1 as alias_rank", "2 as n_tokens")
+    got = corpus.mention_rows(docs, aliases, people)
+    want = docs.select(snippet("text", F.array(F.lit("Rui Lemos")))).first()[0]
+    assert sorted((r.entity_id, r.occurrences, r.snippet) for r in got.collect()) == [(7, 1, want), (8, 2, want)] and want == "Spoke with Ana Prado; Rui Lemos came."
+    top = got._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert "split(" not in top  # not once more per person
+
+
+def test_text_records_read_documents_once(spark):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["text_records"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan  # the landed texts, and of them the columns that are asked for
+
+
+def test_has_text_is_what_clean_text_leaves(spark):
+    from civisight.functions.text import clean_text, has_text
+
+    rows = spark.createDataFrame([(x,) for x in (None, "", " ", "\ufeff \t", "\u00a0\u2003\n", "\u200b", "a", " \n\ufeffb ", "\x00", "\x0b\x85")], "t string")
+    assert rows.filter(~clean_text("t").isNotNull().eqNullSafe(F.coalesce(has_text("t"), F.lit(False)))).count() == 0
