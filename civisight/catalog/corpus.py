@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from civisight.catalog.base import Tables, query
 from civisight.functions import dates, text
-from civisight.functions.text import clean_text
 from civisight.operators import clean, entities, lookups, profiles, search
 from civisight.plans import corpus as plan
+from civisight.session import settle
 
 FOLD = "trim(regexp_replace(lower(strip_accents({c})), '\\s+', ' ', 'g'))"
 KEY = "trim(regexp_replace(lower(strip_accents({c})), '[^a-z0-9]+', ' ', 'g'))"
@@ -150,7 +150,8 @@ def text_records(t: Tables) -> DataFrame:
     head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.date_format("day", "dd/MM/yyyy"), F.lit("\n"))).otherwise("")
     url = F.concat(F.lit("https://library.example/"), (F.lit(1950) + F.col("doc_id") % 50).cast("string"), F.lit("/n"), F.col("doc_id").cast("string"), F.lit(".txt"))
     odd = F.col("text").rlike(r"[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2}| de [0-9]{4}") & (F.col("doc_id") % 2 == 1)
-    rows = t.documents.filter(~odd).join(dated, "doc_id").select("doc_id", F.concat(head, F.col("text")).alias("text"), url.alias("url")).filter(clean_text("text").isNotNull())
+    rows = t.documents.filter(~odd).join(dated, "doc_id").select("doc_id", F.concat(head, F.col("text")).alias("text"), url.alias("url")).filter(text.has_text("text"))
+    rows = settle(rows)  # as landed
     kind = F.col("doc_id") % 3
     title = lambda word: F.concat(F.lit(word), F.col("doc_id").cast("string"))
     listing = rows.select("url", F.when(kind == 0, title("Listed ")).alias("title"), F.when(kind == 0, "listed").alias("source"))

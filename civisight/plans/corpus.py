@@ -76,9 +76,9 @@ def document_pages(pages: DataFrame, last_year: int) -> DataFrame:
 def text_documents(files: DataFrame, listing: DataFrame, previous: DataFrame, last_year: int) -> DataFrame:
     """Fields of landed text files (``url``, ``text``), as of ``document_pages``: title by the listing, the previous record or its
     description; date and place by title, description and the first five lines that hold something. Files without text are left out."""
-    lines = F.filter(F.transform(F.split("text", r"\r\n|\r|\n"), lambda x: clean_text(x)), lambda x: x.isNotNull())
+    lines = F.transform(F.slice(F.filter(F.split("text", r"\r\n|\r|\n"), has_text), 1, 5), lambda x: clean_text(x))
     before = previous.select("url", F.col("title").alias("_old"), F.col("description").alias("description"))
-    known = files.select(article_url("url").alias("url"), "text").filter(clean_text("text").isNotNull()).withColumn("lines", F.slice(lines, 1, 5))
+    known = files.select(article_url("url").alias("url"), "text").filter(has_text("text")).withColumn("lines", lines)
     known = known.join(listing.select("url", F.col("title").alias("_listed")), "url", "left").join(before, "url", "left")
     known = known.withColumn("title", F.coalesce(clean_text("_listed"), clean_text("_old"), clean_text("description")))
     at = [F.get("lines", F.lit(i)) for i in range(5)]
