@@ -7,6 +7,8 @@ import brute
 import numpy as np
 import pytest
 
+from civisight.llm import lm_score
+from civisight.llm.common import Shelf
 from civisight.llm.langid import predict_languages
 from civisight.llm.lm_score import lm_scores
 from civisight.llm.packing import pack_documents, patterns, tokenizer_path
@@ -122,6 +124,25 @@ def test_lm_of_unseen_words_is_a_distribution(spark):
     assert 0 < sum(10 ** r.score for r in got) < 1
 
 
+def test_lm_models_learn_from_all(spark):
+    """Kinds and mixer weights come from all training texts and words, not from the first few."""
+    texts = ["the cat sat on the mat"] * 5 + ["der Hund lag auf dem Sofa"] * 25
+    train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    (one,) = (kinds := lm_score.learn_kinds(train, Shelf(spark), 2, 1)).logs
+    counts = np.array(sorted(Counter(w for t in texts for w in t.lower().split()).values())) + 0.5
+    assert len(kinds.prior) == 1 and np.sort(np.exp(one)) == pytest.approx(counts / counts.sum())
+    both = lm_score.learn_kinds(train, Shelf(spark), 2, 30)
+    assert sorted(np.exp(both.prior) * 32 - 1) == pytest.approx([5, 25])
+
+    words = [f"w{i:03d}" for i in range(50)]
+    word, pair = np.zeros(50, lm_score._WORD), np.zeros(50, lm_score._PAIR)
+    word["hash"], word["size"], pair["word"], pair["train"] = np.arange(50), 4, np.arange(50), 1
+    index = list(lm_score._index([(0, 0, word.tobytes(), pair.tobytes(), "".join(words).encode(), np.int64(0).tobytes())], 1))
+    tables = np.zeros((lm_score._FIRST[-1], 2), np.float32)
+    (learned,) = lm_score._weights(iter(index), tables, 10)
+    assert set(learned.column(2).to_pylist()) == {50.0}
+
+
 @pytest.mark.parametrize("operator", [pack_documents, predict_languages, lm_scores])
 def test_no_rows(nothing, operator):
     assert operator(nothing).collect() == []
