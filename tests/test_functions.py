@@ -142,3 +142,17 @@ def test_jsonld_with_half_a_surrogate_pair(spark):
 
     row = spark.createDataFrame([(block,)], "h string").select(jsonld_fields(jsonld_blocks("h")).alias("x")).first().x
     assert row.title.startswith("Cut ") and row.author_names == ["A \U0001f600"]
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from civisight.session import tune
+
+    @F.pandas_udf("long")
+    def rows(pages: pd.Series) -> pd.Series:
+        return pd.Series([len(pages)] * len(pages))
+
+    pages = tune(spark).range(0, 64, 1, 1).select(F.expr("repeat('x', 262144 + id)").alias("page"))
+    assert 1 <= pages.select(rows("page").alias("n")).agg(F.max("n")).first()[0] <= 20
