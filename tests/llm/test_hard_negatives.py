@@ -2,9 +2,10 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from civisight.llm.hard_negatives import best, hard_negatives, strassen
+from civisight.llm.hard_negatives import LEAF, _tiles, best, hard_negatives, strassen
 
 
 def test_strassen_is_exact():
@@ -56,3 +57,12 @@ def test_no_anchors_and_no_rows(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert hard_negatives(spark.createDataFrame([(1, [1.0], 1), (2, [1.0], 2)], schema), F.col("vec_id") % 100 == 0).collect() == []
     assert hard_negatives(spark.createDataFrame([], schema), F.col("vec_id") % 100 == 0).collect() == []
+
+
+def test_tiles_of_anchors_are_large_enough_for_the_recursion():
+    rows = [(label, i, i % 10 == 0, [i, label]) for label in (1, 2) for i in range(2000)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("label", "id", "anchor", "vector"), r)) for r in rows])
+    tiles = [t for b in _tiles(iter([batch])) for t in b.to_pylist()]
+    anchors = [t for t in tiles if t["anchor"]]
+    assert [len(t["ids"]) // 8 for t in anchors] == [200, 200] and LEAF < 200
+    assert sum(len(t["ids"]) // 8 for t in tiles if not t["anchor"]) == 4000 and len({t["tile"] for t in tiles}) == len(tiles)
