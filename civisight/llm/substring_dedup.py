@@ -249,7 +249,7 @@ def repeated_paths(docs: DataFrame, k: int = 13, m: int = 6, shelf: Shelf | None
     shelf, n = shelf or Shelf(spark), width(spark)
     base = docs.filter("doc_id is not null").select("doc_id", "row", "text")
     marks = base.mapInArrow(lambda b: _marks(b, k, m, n), PACK)
-    answers = exchange(marks, n, lambda rows: _shared(rows, n), "bucket int, rows binary, marks binary")
+    answers = shelf.put(exchange(marks, n, lambda rows: _shared(rows, n), "bucket int, rows binary, marks binary"), "answers")
     none = lambda kind: F.lit(None).cast(kind)
     both = (answers.select("bucket", F.lit(0).alias("kind"), none("long").alias("row"), none("long").alias("doc_id"), none("string").alias("text"), "rows", "marks")
             .unionByName(base.select(F.pmod("row", F.lit(n)).cast("int").alias("bucket"), F.lit(1).alias("kind"), "row", "doc_id", "text",
@@ -257,7 +257,9 @@ def repeated_paths(docs: DataFrame, k: int = 13, m: int = 6, shelf: Shelf | None
     met = both.repartitionById(n, "bucket").sortWithinPartitions("bucket", "kind", "row")
     paths = exchange(met.mapInArrow(lambda b: _edges(b, k, m, n), PACK), n, _paths, PATHS)
     per_row = paths.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "windows", "source", "source_row", "source_start")).alias("paths"))
-    return shelf.put(per_row.mapInArrow(_joined, PATHS), "paths")
+    out = shelf.put(per_row.mapInArrow(_joined, PATHS), "paths")
+    shelf.drop(answers)
+    return out
 
 
 def substring_dedup(docs: DataFrame, k: int = 13, m: int = 6) -> DataFrame:
@@ -270,8 +272,10 @@ def substring_dedup(docs: DataFrame, k: int = 13, m: int = 6) -> DataFrame:
     digests = (base.join(asked, ["doc_id", "row"]).select("doc_id", "row", "text", "start", "windows")
                .mapInArrow(lambda b: _digests(b, k), "source long, source_row long, source_start long, windows long, digest binary")
                .dropDuplicates(["source", "source_row", "source_start", "windows"]))
+    digests = shelf.put(digests, "digests")  # settled, so that the join below can split a source that many paths name
     proven = paths.join(digests, ["source", "source_row", "source_start", "windows"])
     cuts = shelf.put(proven.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "windows", "digest")).alias("paths")), "cuts")
+    shelf.drop(paths, digests)
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     held = base.join(cuts, ["doc_id", "row"], "left").select("doc_id", "text", "paths")
     return held.mapInArrow(lambda b: _kept(b, k), out)

@@ -1,9 +1,13 @@
 """Substring dedup with repeated ids, null ids and a passage in every document."""
 import hashlib
 import random
+import time
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from tests.llm.brute import WORD
+from civisight.llm.common import _CLEAN, Shelf
 from civisight.llm.substring_dedup import substring_dedup
 
 
@@ -41,3 +45,16 @@ def test_rows_against_plain_version(spark):
     for i, _, n, _ in got:
         removed[i] += n
     assert removed[None] == 0 and removed[-5] == 0 and sum(removed.values()) > 300 * 20
+
+
+def test_what_a_written_table_has_shuffled_goes_with_the_write(spark):
+    """Shuffle files of a settled table do not stay on the disk until the driver collects its garbage."""
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffles = lambda: {b for b in str(blocks.getAllBlocks().mkString(" ")).split() if b.startswith("shuffle_")}
+    clean, before = spark.conf.get(_CLEAN, "false"), shuffles()
+    table = Shelf(spark).put(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 5
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert spark.conf.get(_CLEAN, "false") == clean and table.count() == 7
