@@ -166,3 +166,49 @@ def test_token_ids_of_odd_texts():
         ids, cut = token_ids(data, offsets, tokenizer_path(), 1)
         for text, a, b in zip(rows.column(0).to_pylist(), cut[:-1], cut[1:]):
             assert ids[a:b].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
+def _index_of(words):
+    word, pair = np.zeros(len(words), lm_score._WORD), np.zeros(len(words), lm_score._PAIR)
+    word["hash"], word["size"], pair["word"], pair["train"] = np.arange(len(words)), [len(w) for w in words], np.arange(len(words)), 1
+    return list(lm_score._index([(0, 0, word.tobytes(), pair.tobytes(), "".join(words).encode(), np.int64(0).tobytes())], 1))
+
+
+def _counts_of(index):
+    tables = np.zeros((lm_score._FIRST[-1], 2), np.float32)
+    for batch in lm_score._tables(iter(index)):
+        at = batch.column(0)[0].as_py() * lm_score.CHUNK
+        tables[at:at + lm_score.CHUNK] = np.frombuffer(batch.column(2)[0].as_py(), "<u4").reshape(-1, 2)
+    return tables
+
+
+def test_lm_lookups_against_plain_counts():
+    """Counts follow every bit of every word; looked-up inputs are those of the counts, with the bit's own left out."""
+    index = _index_of([f"w{i * 7919 % 5000:04d}" for i in range(300)])
+    tables, size = _counts_of(index), 300 * 6 * 8
+    assert [int(tables[a:b].sum()) for a, b in zip(lm_score._FIRST[:-1], lm_score._FIRST[1:])] == [size] * 5
+    (part,) = lm_score._parts(iter(index))
+    whole, less = lm_score.Lookup(tables), lm_score.Lookup(tables, own=True)
+    for bit, slots in part.spelling(np.arange(300)).bits():
+        for own, lookup in ((0, whole), (1, less)):
+            x, gate = lookup.of(bit, slots)
+            for column, s in zip(x, slots):
+                zero, one = tables[s, 0] - own * (1 - bit), tables[s, 1] - own * bit
+                assert zero.min() >= 0 and one.min() >= 0 and column == pytest.approx(np.log((one + 0.3) / (zero + 0.3)), abs=1e-5)
+            assert (gate == np.minimum(np.floor(np.log2(zero + one + 1)), lm_score.GATES - 1)).all()
+
+
+def test_lm_mixer_takes_one_step_for_all_bits_of_a_block(monkeypatch):
+    """Steps of the mixer are as many as blocks of bytes, not eight times as many."""
+    index, steps, exp = _index_of([f"{i * 7919 % 100003:05d}word" for i in range(3000)]), [], np.exp
+    tables = _counts_of(index)
+    monkeypatch.setattr(np, "exp", lambda x: steps.append(x.size) or exp(x))
+    (learned,) = lm_score._weights(iter(index), tables, 3000)
+    assert sum(steps) == 3000 * 10 * 8 and len(steps) <= 3000 * 10 // 256 + 1
+    assert set(learned.column(2).to_pylist()) == {3000.0}
+
+
+def test_lm_facts_of_rows_without_words_or_id(spark):
+    rows = [(1, "a b a"), (2, ""), (3, None), (None, "a b"), (-1, " \n"), (20, "A é")]
+    got = {(r.doc_id, r.n_tokens, r.held_out) for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {(i, len((t or "").split()) + 1, i is not None and zlib.crc32(str(i).encode()) % 10 == 0) for i, t in rows}
