@@ -13,6 +13,9 @@ shared bands, and each family is compared once, in cells of two blocks: a first
 a partner of another label in it by the Hamming test; a second brings their token hashes to the cell, where pairs go,
 the nearest first, through the exact test, and a pair whose labels are joined by then is skipped. So a cell gives at most as many links as it has members, and no link between components is
 lost. Blocks hold a bounded number of sets and of tokens; two blocks of one label do not meet.
+The more sets there are, the more share a single band by chance, until these chain most of them into one family, whose cells
+grow with its square. So a family of more than one block is cut into components over sets that share more bands; a band whose
+sets are then in several families is compared by itself. Cells are dealt out in rounds of a bounded number of rows.
 Tokens and nodes are 64-bit hashes; equality of hashes stands for equality.
 
 Null and empty texts have no tokens and no links; repeated rows are copies; rows that repeat an id with other texts
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civisight.llm.common import PACK, Shelf, by_id, components, exchange, pack, width
@@ -34,6 +37,8 @@ from civisight.llm.words import Words, mix, slices
 SKETCH_WORDS = 16
 HOT = 64
 CELL, CELL_TOKENS = 2000, 4_000_000  # sets and tokens of a block
+SUPPORTS = (2, 4, 8, 16)  # bands that two sets share at least, where a family is too large
+ROUND, ROUND_TOKENS = 4_000_000, 1 << 27  # rows and tokens dealt to cells at once
 FINE_BITS, FINE_FROM = 1 << 14, 60  # longer sketches, and the difference from which they are worth it
 _U = np.uint64
 
@@ -354,6 +359,20 @@ def _linked(batches: Iterator[pa.RecordBatch], k: int, threshold: int):
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
+def _families(shelf: Shelf, bands: DataFrame) -> DataFrame:
+    """(node, family) of the sets of bands(band, node): components over shared bands, the larger ones over several shared bands."""
+    least = bands.groupBy("band").agg(F.min("node").alias("a"))
+    over = shelf.put(bands.select("band", F.col("node").alias("b")).join(least, "band").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared")), "over")
+    family = components(shelf, bands.select(F.col("node").alias("id")).distinct(), over)
+    for support in SUPPORTS:
+        large = shelf.put(family.groupBy("label").agg(F.count("*").alias("m")).filter(F.col("m") > CELL).select("label"), "large")
+        if large.isEmpty():
+            break
+        cut = components(shelf, family.join(large, "label", "left_semi").select("id"), over.filter(F.col("shared") >= support))
+        family = shelf.put(family.join(large, "label", "left_anti").unionByName(cut.select("label", "id")), "family")
+    return family.select(F.col("id").alias("node"), F.col("label").alias("family"))
+
+
 def ngram_components(docs: DataFrame, k: int = 5, threshold: int = 80, star_rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of docs(doc_id, text).
 
@@ -379,14 +398,15 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: int = 80, star_roun
     texts = shelf.put(docs.join(one, docs["doc_id"].eqNullSafe(one["_id"]) & (docs["digest"] == one["_digest"])).dropDuplicates(["node"])
                       .select("node", "text"), "texts")
 
+    def may_link(na: str, nb: str, sa: str, sb: str) -> Column:
+        """The Hamming test of two sets, by their sizes and sketches."""
+        hamming = F.aggregate(F.zip_with(sa, sb, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
+        return (100 * F.least(na, nb) >= threshold * F.greatest(na, nb)) & (hamming * (100 + threshold) <= (F.col(na) + F.col(nb)) * (100 - threshold))
+
     def links(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are linked."""
         side = lambda x: known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-        hamming = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
-        near = (pairs.join(side("a"), "a").join(side("b"), "b")
-                .filter((100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-                        & (hamming * (100 + threshold) <= (F.col("na") + F.col("nb")) * (100 - threshold)))
-                .select("a", "b"))
+        near = pairs.join(side("a"), "a").join(side("b"), "b").filter(may_link("na", "nb", "sa", "sb")).select("a", "b")
         full = (near.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
                 .join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb"))
         return full.mapInArrow(lambda b: _linked(b, k, threshold), "a long, b long")
@@ -425,15 +445,23 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: int = 80, star_roun
         test(pairs)
 
     if work:
-        opened = shelf.put(bands.select("node").distinct(), "opened")
-        least = bands.groupBy("band").agg(F.min("node").alias("a"))
-        over = shelf.put(bands.select("band", F.col("node").alias("b")).join(least, "band").filter("a <> b").select("a", "b").distinct(), "over")
-        family = components(shelf, opened.select(F.col("node").alias("id")), over).select(F.col("id").alias("node"), F.col("label").alias("family"))
-        members = (family.join(labels.withColumnRenamed("id", "node"), "node").join(known.filter("n > 0").select("node", "n", "sketch"), "node"))
+        family = shelf.put(_families(shelf, bands.select("band", "node")), "families")
+        facing = bands.select("band", "node").join(family, "node").join(labels.withColumnRenamed("id", "node"), "node")
+        mixed = facing.groupBy("band").agg(F.count("*").alias("m"), F.min("family").alias("low"), F.max("family").alias("high"),
+                                           F.min("label").alias("one"), F.max("label").alias("other")).filter("low <> high and one <> other")
+        sketches = known.filter("n > 0").select("node", "n", "sketch")
+        apart = shelf.put(facing.join(mixed.select("band", "m"), "band").join(sketches, "node"), "apart")
+        if not apart.isEmpty():
+            side = lambda x: apart.filter(F.col("m") <= HOT).select("band", *[F.col(c).alias(f"{c}{x}") for c in ("node", "family", "label", "n", "sketch")])
+            test(side("a").join(side("b"), "band").filter("nodea < nodeb and familya <> familyb and labela <> labelb")
+                 .filter(may_link("na", "nb", "sketcha", "sketchb")).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct())
+        # a band of many sets, in several families, is a family of its own
+        family = family.unionByName(apart.filter(F.col("m") > HOT).select("node", F.col("band").alias("family")))
+        members = (family.join(labels.withColumnRenamed("id", "node"), "node").join(sketches, "node"))
         # a label with many sets has blocks of its own; the others of a family share some
         sizes = members.groupBy("family", "label").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
         sizes = sizes.withColumn("own", F.when((F.col("m") * 2 > CELL) | (F.col("t") * 2 > CELL_TOKENS), F.col("label")))
-        blocks = sizes.groupBy("family", "own").agg(F.greatest(F.ceil(F.sum("m") / CELL), F.ceil(F.sum("t") / CELL_TOKENS)).cast("int").alias("parts"))
+        blocks = sizes.groupBy("family", "own").agg(F.sum("m").alias("m"), F.greatest(F.ceil(F.sum("m") / CELL), F.ceil(F.sum("t") / CELL_TOKENS)).cast("int").alias("parts"))
         sizes, blocks = shelf.put(sizes.select("family", "label", "own"), "sizes"), shelf.put(blocks, "blocks")
         name = lambda part: F.xxhash64(F.coalesce("own", F.lit(0)), F.col("own").isNull(), part)
         placed = (members.join(sizes, ["family", "label"]).join(blocks, (members["family"] == blocks["family"]) & sizes["own"].eqNullSafe(blocks["own"]))
@@ -444,11 +472,22 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: int = 80, star_roun
         cells = (placed.join(other, (F.col("family") == F.col("_family")) & (F.col("own").isNull() | ~F.col("own").eqNullSafe(F.col("_own"))))
                  .select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "n", "sketch"))
         dealt = lambda rows: rows.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j")
-        near = shelf.put(dealt(cells).mapInArrow(lambda b: _near_cells(b, threshold), cells.schema), "near")
-        tokens = (texts.join(near.select("node").distinct(), "node").select("node", "text")
-                  .mapInArrow(lambda b: _tokens(b, k), "node long, tokens binary"))
-        links_in = dealt(near.join(tokens, "node").select(*near.columns, "tokens")).mapInArrow(lambda b: _cells(b, threshold), "a long, b long")
-        labels = components(shelf, nodes, shelf.put(links_in, "links"), labels)
+
+        def rounds(rows: DataFrame, load: int, most: int) -> list[DataFrame]:
+            """The rows by cell, in as many rounds as their load asks for; what a round shuffles goes with its end."""
+            turns = -(-load // most) or 1
+            turn = F.pmod(F.xxhash64("j", "i", "family"), F.lit(turns))
+            return [rows.filter(turn == i) if turns > 1 else rows for i in range(turns)]
+
+        load = blocks.groupBy("family").agg((F.sum("m") * F.sum("parts")).alias("rows")).agg(F.sum("rows")).first()[0] or 0
+        for some in rounds(cells, load, ROUND):
+            near = shelf.put(dealt(some).mapInArrow(lambda b: _near_cells(b, threshold), cells.schema), "near")
+            tokens = (texts.join(near.select("node").distinct(), "node").select("node", "text")
+                      .mapInArrow(lambda b: _tokens(b, k), "node long, tokens binary"))
+            for part in rounds(near, near.agg(F.sum("n")).first()[0] or 0, ROUND_TOKENS):
+                links_in = dealt(part.join(tokens, "node").select(*near.columns, "tokens")).mapInArrow(lambda b: _cells(b, threshold), "a long, b long")
+                labels = components(shelf, nodes, shelf.put(links_in, "links"), labels)
+            shelf.drop(near)
 
     labelled = sets.join(labels.select(F.col("id").alias("node"), "label"), "node", "left")
     # nodes outside every band are components of their own; texts without tokens of their row alone

@@ -2,6 +2,8 @@
 import random
 
 from tests.llm.brute import components, shingles
+from civisight.llm import ngram_join
+from civisight.llm.common import Shelf
 from civisight.llm.ngram_join import ngram_components, ngram_dedup
 
 
@@ -64,3 +66,27 @@ def test_null_and_repeated_ids(spark):
     assert components([(1, None)]) == {1: (0, 1)}
     kept = [r.doc_id for r in ngram_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert kept.count(7) == 1 and 9 not in kept and 11 in kept
+
+
+def test_chance_bands_do_not_make_one_family(spark, monkeypatch):
+    """Sets chained by single bands are not one family, sets that share several bands stay one."""
+    monkeypatch.setattr(ngram_join, "CELL", 20)
+    monkeypatch.setattr(ngram_join, "SUPPORTS", (2,))
+    chain = [(1000 + i, node) for i in range(59) for node in (i, i + 1)]
+    dense = [(9000 + b, 5000 + i) for b in range(3) for i in range(30)]
+    got = {r.node: r.family for r in ngram_join._families(Shelf(spark), spark.createDataFrame(chain + dense, "band long, node long")).collect()}
+    assert len(got) == 90 and len({got[i] for i in range(60)}) == 60 and len({got[5000 + i] for i in range(30)}) == 1
+
+
+def test_components_with_small_blocks_and_rounds(spark, monkeypatch):
+    """Families that are cut, bands between them, and cells dealt in rounds give the components of the plain version."""
+    for name, value in (("CELL", 4), ("SUPPORTS", (2, 16)), ("ROUND", 150), ("ROUND_TOKENS", 3000), ("HOT", 3)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng, rows = random.Random(12), []
+    for _ in range(4):
+        base, tail = _words(rng, 45), _words(rng, 9)
+        for t in _family(rng, base, 9, 1):
+            words = t.split()
+            rows.append((len(rows), " ".join(words + tail if rng.random() < 0.5 else words[:rng.randint(36, 45)])))
+    got = {r.doc_id: r.component_id for r in ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), star_rounds=0).collect()}
+    assert got == {i: c for i, (_, c) in components(rows).items()}
