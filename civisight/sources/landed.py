@@ -16,6 +16,7 @@ from __future__ import annotations
 import csv
 import fnmatch
 import io
+import json
 import re
 import uuid
 import zipfile
@@ -288,3 +289,142 @@ def write_preamble(df: DataFrame, path: str, title: str, sep: str = ";") -> None
     """Rows, as text, in files that begin with a title line."""
     df.sparkSession.dataSource.register(LandedCsv)
     df.selectExpr(*[f"cast(`{c}` as string) as `{c}`" for c in df.columns]).write.format("landed_csv").options(sep=sep, preamble="1", title=title).mode("append").save(path)
+
+
+# ------------------------------------------------------------- text corpora
+
+CORPUS_FILES, CORPUS_BYTES, CORPUS_BATCH = 2000, 32 << 20, 4 << 20  # files and bytes of a task, bytes of a batch
+_PACKED = (".gz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst", ".xz")
+
+
+def corpus_store(spark: SparkSession, path: str) -> str | None:
+    """URI of a folder in a store whose files are opened here, one by one, at less than what Spark asks for each; else None."""
+    if any(c in path for c in "*?[]{}%"):
+        return None
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    try:
+        store, _ = open_store(uri)
+    except (OSError, ValueError, pa.ArrowException):
+        return None
+    return uri if store.type_name in ("local", "hdfs") else None
+
+
+def _corpus_files(store, folder: str) -> tuple[list, list[str]]:
+    """(files, folders of partitions) of a folder, as Spark's readers see it."""
+    from pyarrow import fs
+
+    info = [f for f in store.get_file_info(fs.FileSelector(folder))
+            if not (f.base_name.startswith(".") or f.base_name.startswith("_") and "=" not in f.base_name or f.base_name.endswith("._COPYING_"))]
+    return [f for f in info if f.type == fs.FileType.File], [f.path for f in info if f.type == fs.FileType.Directory and "=" in f.base_name]
+
+
+def corpus_shares(uri: str) -> list[tuple[str, int, int]]:
+    """(folder, i, n) for every task: each n-th file of the folder; none where the folder is one for Spark's own reader."""
+    from pyarrow import fs
+
+    store, inner = open_store(uri)
+    if store.get_file_info(inner).type != fs.FileType.Directory:
+        return []
+    out, open_folders = [], [inner]
+    while open_folders:
+        folder = open_folders.pop()
+        files, more = _corpus_files(store, folder)
+        if files and more or any(f.base_name.endswith(_PACKED) for f in files):
+            return []
+        n = max(-(-len(files) // CORPUS_FILES), -(-sum(f.size for f in files) // CORPUS_BYTES))
+        out += [(folder, i, n) for i in range(n)]
+        open_folders += more
+    return out
+
+
+@dataclass
+class Share(InputPartition):
+    folder: str
+    index: int
+    of: int
+
+
+class CorpusReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.uri, self.shares = options["uri"], json.loads(options["shares"])
+
+    def partitions(self) -> list[Share]:
+        return [Share(*s) for s in self.shares]
+
+    def read(self, share: Share) -> Iterator[pa.RecordBatch]:
+        store, _ = open_store(self.uri)
+        files = sorted(_corpus_files(store, share.folder)[0], key=lambda f: f.base_name)[share.index::share.of]
+        names, texts, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            blobs = pa.array(texts, pa.binary())  # bytes are taken as they are, as Spark does
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.Array.from_buffers(pa.string(), len(blobs), blobs.buffers())], names=["file_name", "text"])
+
+        for f in files:
+            with store.open_input_file(f.path) as opened:
+                texts.append(opened.read())
+            names.append(f.base_name)
+            held += len(texts[-1])
+            if held >= CORPUS_BATCH:
+                yield flush()
+                names, texts, held = [], [], 0
+        if names:
+            yield flush()
+
+
+class TextCorpus(DataSource):
+    """Whole files of a folder, many in a task; see ``readers.read_text_corpus``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "text_corpus"
+
+    def schema(self) -> str:
+        return "file_name string, text string"
+
+    def reader(self, schema: StructType) -> CorpusReader:
+        return CorpusReader(self.options)
+
+
+def read_corpus(spark: SparkSession, uri: str, shares: list[tuple[str, int, int]]) -> DataFrame:
+    """(file_name, text) of the files of the shares."""
+    spark.dataSource.register(TextCorpus)
+    return spark.read.format("text_corpus").options(uri=uri, shares=json.dumps(shares)).load()
+
+
+def _write_texts(batches: Iterator[pa.RecordBatch], uri: str, held: str) -> Iterator[pa.RecordBatch]:
+    """A file for every text, in a folder of the task's attempt; yields that folder and the name it gets in the end."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    store, inner = open_store(uri)
+    part, n = task.partitionId(), 0
+    folder = f"{inner}/{held}/{part}.{task.taskAttemptId()}"
+    for batch in batches:
+        for text in batch.column(0).cast(pa.binary()).to_pylist():
+            if not n:
+                store.create_dir(folder, recursive=True)
+            with store.open_output_stream(f"{folder}/part-{part:05d}-{n:07d}.txt") as out:
+                out.write((text or b"") + b"\n")
+            n += 1
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([folder]), pa.array([f"{inner}/folder={part}"])], names=["held", "name"])
+
+
+def write_corpus(texts: DataFrame, uri: str) -> bool:
+    """One file per row of texts(value) in a folder per task, which gets its name when all are written; False if there is something at the URI."""
+    from pyarrow import fs
+
+    store, inner = open_store(uri)
+    if store.get_file_info(inner).type != fs.FileType.NotFound:
+        return False
+    held = f"_temporary-{uuid.uuid4().hex}"
+    store.create_dir(f"{inner}/{held}", recursive=True)
+    try:
+        for r in texts.mapInArrow(lambda b: _write_texts(b, uri, held), "held string, name string").collect():  # a row per task
+            store.move(r.held, r.name)
+    finally:
+        store.delete_dir(f"{inner}/{held}")
+    store.open_output_stream(f"{inner}/_SUCCESS").close()
+    return True

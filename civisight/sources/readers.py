@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civisight.functions.text import clean_text, fold_text, snake
-from civisight.sources.landed import LandedCsv, open_store
+from civisight.sources.landed import LandedCsv, corpus_shares, corpus_store, open_store, read_corpus
 
 ENCODINGS = ("utf-8-sig", "utf-8", "latin-1")
 BATCH_ROWS = 20_000
@@ -206,12 +206,17 @@ def read_state(spark: SparkSession, path: str, schema: T.StructType | str, fmt:
 
 
 def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files: ``file_name``, ``doc_key`` (name without suffix), ``text``."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("file_name"),
-        F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("doc_key"),
-        F.col("value").alias("text"),
-    )
+    """Whole text files: ``file_name``, ``doc_key`` (name without suffix), ``text``.
+
+    Spark's reader counts each file as 4 MB and so makes a task of a few; in a store that can be opened here a task
+    takes as many as fill it. Patterns, packed files and other stores are left to Spark.
+    """
+    uri = corpus_store(spark, path)
+    if shares := corpus_shares(uri) if uri else []:
+        files = read_corpus(spark, uri, shares)
+    else:
+        files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
+    return files.select("file_name", F.regexp_replace("file_name", r"\.[^.]*$", "").alias("doc_key"), "text")
 
 
 # ------------------------------------------------------------ landed feeds

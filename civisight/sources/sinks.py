@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from civisight.operators.windows import dedupe_last, top_per_group
 from civisight.session import settle
+from civisight.sources.landed import corpus_store, write_corpus
 from civisight.sources.readers import read_state
 
 
@@ -44,11 +45,14 @@ def write_table_csv(df: DataFrame, path: str, columns: Sequence[str], sep: str =
 def write_text_corpus(df: DataFrame, path: str, text: str, key: str) -> None:
     """One text file per row, in as many tasks as a shuffle has; what files cost goes by their number, not by their bytes.
 
-    Each task fills a folder of its own, so that the job is committed, and listed again, by folder and not by file.
+    Each task fills a folder of its own, so that the job is committed, and listed again, by folder and not by file. Files are
+    opened without Spark's writer, which asks the store several times for each, where the store is one that can be opened here.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(text, key).repartition(tasks, key).select(F.col(text).alias("value"), F.spark_partition_id().alias("folder"))
-    rows.write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
+    rows = df.select(F.col(text).alias("value"), key).repartition(tasks, key).select("value")
+    uri = corpus_store(df.sparkSession, path)
+    if not (uri and write_corpus(rows, uri)):
+        rows.withColumn("folder", F.spark_partition_id()).write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
 
 
 def union_typed(parts: dict[str, DataFrame], kind: str = "row_kind") -> DataFrame:

@@ -4,6 +4,8 @@ import gzip
 import json
 import zipfile
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from civisight.operators import search
@@ -67,6 +69,31 @@ def test_text_corpus_by_folder_of_task(spark, tmp_path):
     assert sorted(r.text for r in readers.read_text_corpus(spark, str(tmp_path / "c")).collect()) == sorted(t + "\n" for t in texts.values())
 
 
+def test_text_corpus_many_files_in_a_task(spark, tmp_path):
+    """Tasks take as many files as fill them; bytes, nulls and what is at the path already are treated as by Spark."""
+    path = str(tmp_path / "c")
+    rows = [(i, None if i == 7 else "" if i == 8 else f"é{i}\r\n") for i in range(300)]
+    sinks.write_text_corpus(spark.createDataFrame(rows, "k int, t string"), path, "t", "k")
+    got = readers.read_text_corpus(spark, path)
+    assert got.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(r.text for r in got.collect()) == sorted((t or "") + "\n" for _, t in rows)
+    plain = spark.read.text(path, wholetext=True).select("value", "_metadata.file_name").collect()
+    assert sorted((r.value, r.file_name) for r in plain) == sorted((r.text, r.file_name) for r in got.collect())
+    assert {r.doc_key + ".txt" for r in got.collect()} == {r.file_name for r in got.collect()}
+    with pytest.raises(AnalysisException):
+        sinks.write_text_corpus(spark.createDataFrame(rows, "k int, t string"), path, "t", "k")
+    packed = tmp_path / "packed"
+    packed.mkdir()
+    with gzip.open(packed / "a.txt.gz", "wt", encoding="utf-8") as f:
+        f.write("zipped")
+    (packed / "_hidden.txt").write_text("no")
+    assert [(r.doc_key, r.text) for r in readers.read_text_corpus(spark, str(packed)).collect()] == [("a.txt", "zipped")]
+    odd = tmp_path / "odd"
+    odd.mkdir()
+    (odd / "b.txt").write_bytes(b"\xff\xfea")
+    assert [bytes(r.b) for r in readers.read_text_corpus(spark, str(odd)).selectExpr("cast(text as binary) as b").collect()] == [b"\xff\xfea"]
+
+
 def test_feeds(spark):
     docs = spark.createDataFrame([('{"dados": [{"nome": "Ana", "partido": "X"}, {"nome": "Bia"}]}',)], "doc string")
     flat = readers.flatten_json(docs, "doc", "dados array<struct<nome:string,partido:string>>", "dados")
