@@ -10,6 +10,7 @@ from civisight.functions.dates import month_key
 from civisight.functions.money import money
 from civisight.operators import lookups, periods, profiles, state, windows
 from civisight.plans import cards as plan
+from civisight.session import settle
 
 TX_SQL = """tx AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS m, CAST(l_extendedprice AS DECIMAL(20,2)) AS amount, l_linestatus = 'O' AS is_cash, n_name AS unit, l_discount
  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
@@ -192,6 +193,7 @@ def keyed_periods(t: Tables) -> DataFrame:
         F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("ord"), start.alias("s"),
         F.when(F.col("o_orderkey") % 3 > 0, F.date_add(start, (F.col("o_orderkey") % 900).cast("int"))).alias("e"), F.col("o_orderpriority").alias("role"))
     facts = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("k")), "l_orderkey")
+    facts = settle(facts.select("l_orderkey", "l_linenumber", "l_shipdate", "k"))  # days are looked up and given back
     horizon = t.lineitem.agg(F.max(F.col("l_shipdate").cast("date"))).scalar()
     return lookups.interval_join(facts, "l_shipdate", own, "s", "e", "ord", "role", "none", horizon, keys=["k"]).select("l_orderkey", "l_linenumber", "role")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civisight.functions.money import ratio
@@ -63,6 +63,14 @@ def _day_number(day: Column) -> Column:
     return F.unix_date(day) + F.lit(_ZERO)
 
 
+def _block(level: int, block: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), block.alias("block"))
+
+
+def _shifted(number: Column, level: int) -> Column:
+    return F.call_function("shiftright", number, F.lit(level))
+
+
 def dyadic_ranges(start: Column, end: Column) -> Column:
     """The days from start to end as aligned ranges of 1, 2, 4, ... days: array of (level, block).
 
@@ -70,47 +78,43 @@ def dyadic_ranges(start: Column, end: Column) -> Column:
     for an empty interval.
     """
     low, high = _day_number(start), _day_number(end) + 1
+    out = []
+    for level in range(_LEVELS):
+        up, down = _shifted(low + F.lit((1 << level) - 1), level), _shifted(high, level)
+        out += [F.when((up < down) & (up % 2 == 1), _block(level, up)), F.when((up < down) & (down % 2 == 1), _block(level, down - 1))]
+    return F.array_compact(F.array(*out))
 
-    def at(level: Column) -> Column:
-        up = F.call_function("shiftright", low + F.call_function("shiftleft", F.lit(1), level) - 1, level)
-        down = F.call_function("shiftright", high, level)
-        block = lambda b: F.struct(level.alias("level"), b.alias("block"))
-        return F.array(F.when((up < down) & (up % 2 == 1), block(up)), F.when((up < down) & (down % 2 == 1), block(down - 1)))
-
-    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), at)))
 
-
-def dyadic_prefixes(day: Column, levels: Column) -> Column:
-    """The aligned ranges of the given levels that hold a day: array of (level, block)."""
+def dyadic_prefixes(day: Column, longest: Column) -> Column:
+    """The aligned ranges, of at most ``longest`` days, that hold a day: array of (level, block)."""
     number = _day_number(day)
-    return F.transform(levels, lambda level: F.struct(level.alias("level"), F.call_function("shiftright", number, level).alias("block")))
-
-
-def interval_ranges(intervals: DataFrame, start: str, end: str, ordinal: str, labels: Sequence[str], horizon: Column, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, level, block, labels, ordinal): intervals as dyadic ranges; open ends reach the horizon."""
-    last = F.least(F.coalesce(F.col(end), horizon), horizon)
-    cut = intervals.select(*keys, ordinal, F.struct(*labels).alias("_l"), F.col(start).alias("_s"), last.alias("_e"))
-    parts = cut.select(*keys, ordinal, "_l", F.explode(dyadic_ranges(F.col("_s"), F.col("_e"))).alias("_r"))
-    # of equal ranges of a key only the first interval counts
-    return parts.groupBy(*keys, F.col("_r.level").alias("level"), F.col("_r.block").alias("block")).agg(
-        F.min_by("_l", ordinal).alias("_l"), F.min(ordinal).alias(ordinal))
+    return F.array_compact(F.array(*[F.when(longest >= (1 << level), _block(level, _shifted(number, level))) for level in range(_LEVELS)]))
 
 
 def interval_join(df: DataFrame, date: str, intervals: DataFrame, start: str, end: str, ordinal: str, label: str, default: str, horizon: Column, keys: Sequence[str] = ()) -> DataFrame:
     """Point-in-interval join, per key: the first interval (by ``ordinal``) that holds the day, else the default.
 
-    Intervals become O(log n) aligned ranges and days the ranges that hold them, so this is an equi-join whose size
-    does not depend on the length of the intervals. Only the distinct (keys, day) of the rows are looked up.
-    Spark takes exploded ranges for as small as the intervals and would broadcast them, so the join asks for a shuffle.
+    Intervals become O(log n) aligned ranges and days the ranges that hold them, and the ranges of a day and of an interval
+    that are equal meet, so the work does not depend on the length of the intervals. Only the distinct (keys, day) of the rows are
+    looked up. Days and intervals are dealt out by key first and taken apart there, so ranges are not shuffled.
+    Spark takes what was found for as small as its sources and would broadcast it, so the last join asks for a shuffle.
     """
-    ranges = interval_ranges(intervals, start, end, ordinal, [label], horizon, keys)
-    levels = ranges.agg(F.array_sort(F.collect_set("level"))).scalar()
+    last = F.least(F.coalesce(F.col(end), horizon), horizon)
+    known = lambda rows, *more: rows.filter(" and ".join(f"`{c}` is not null" for c in (*keys, *more)))
+    spans = known(intervals.select(*keys, F.struct(F.col(ordinal).alias("o"), F.col(label).alias("l")).alias("_own"), F.col(start).alias("_s"), last.alias("_e")), "_s", "_e")
+    spans = spans.filter("_own.o is not null")
+    longest = spans.agg(F.max(F.date_diff("_e", "_s") + 1)).scalar()
     work = df.withColumn("_day", F.col(date).cast("date"))
-    asked = work.select(*keys, "_day").filter("_day is not null").distinct()
-    prefixes = asked.withColumn("_levels", levels).select(*keys, "_day", F.explode(dyadic_prefixes(F.col("_day"), F.col("_levels"))).alias("_r")).select(
-        *keys, "_day", F.col("_r.level").alias("level"), F.col("_r.block").alias("block"))
-    found = prefixes.join(ranges.hint("merge"), [*keys, "level", "block"]).groupBy(*keys, "_day").agg(F.min_by(f"_l.{label}", ordinal).alias(label))
-    return work.join(found, [*keys, "_day"], "left").withColumn(label, F.coalesce(label, F.lit(default))).drop("_day")
+    asked = known(work.select(*keys, "_day"), "_day").distinct()
+    both = asked.unionByName(spans, allowMissingColumns=True)
+    if keys:  # by the shuffle's width: ranges are many more than the rows that Spark would merge parts by
+        both = both.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    ranges = F.when(F.col("_day").isNull(), dyadic_ranges(F.col("_s"), F.col("_e"))).otherwise(dyadic_prefixes(F.col("_day"), longest))
+    met = both.select(*keys, "_day", "_own", F.explode(ranges).alias("_r"))
+    first = F.min("_own").over(Window.partitionBy(*keys, "_r.level", "_r.block"))  # days have no interval of their own
+    hit = met.withColumn("_first", first).filter("_day is not null and _first is not null")
+    found = hit.groupBy(*keys, "_day").agg(F.min("_first").alias("_first")).select(*keys, "_day", F.col("_first.l").alias(label))
+    return work.join(found.hint("merge"), [*keys, "_day"], "left").withColumn(label, F.coalesce(label, F.lit(default))).drop("_day")
 
 
 def term_label(df: DataFrame, slug: str, name: str, date: str, url: str, terms: Sequence[dict], url_labels: Sequence[dict] = (), forced: Sequence[dict] = (), undated: dict[str, str] | None = None) -> DataFrame:

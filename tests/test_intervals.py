@@ -51,3 +51,16 @@ def test_exploded_ranges_are_not_broadcast(spark):
     got = lookups.interval_join(facts, "d", spans, "s", "e", "o", "role", "none", F.lit(DAY), ["k"])
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert any("Join" in line and "strategy=merge" in line for line in plan.splitlines())
+
+
+def test_ranges_are_not_shuffled(spark):
+    """Days and intervals are dealt out by key before they are taken apart: no exchange reads exploded rows."""
+    facts = spark.range(50).selectExpr("id % 5 as k", "date_add(date'1990-01-01', cast(id as int)) as d")
+    spans = spark.range(20).selectExpr("id % 5 as k", "id as o", "date'1989-01-01' as s", "cast(null as date) as e", "'r' as role")
+    got = lookups.interval_join(facts, "d", spans, "s", "e", "o", "role", "none", F.lit(dt.date(1990, 1, 20)), ["k"])
+    executed = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    (at,) = [i for i, line in enumerate(executed) if "Generate explode" in line]
+    above = [line for i, line in enumerate(executed[:at]) if depth(line) < min(depth(x) for x in executed[i + 1:at + 1])]
+    assert sum("Exchange" in line for line in above) <= 1  # that of what was found, by key and day
+    assert sorted(r.role for r in got.collect()) == ["none"] * 30 + ["r"] * 20
