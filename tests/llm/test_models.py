@@ -212,3 +212,34 @@ def test_lm_facts_of_rows_without_words_or_id(spark):
     rows = [(1, "a b a"), (2, ""), (3, None), (None, "a b"), (-1, " \n"), (20, "A é")]
     got = {(r.doc_id, r.n_tokens, r.held_out) for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == {(i, len((t or "").split()) + 1, i is not None and zlib.crc32(str(i).encode()) % 10 == 0) for i, t in rows}
+
+
+def test_lm_counts_take_every_occurrence():
+    """A word's bits count as often as it occurs in training; the mixer is fitted with all of its occurrences left out."""
+    words, times = ["alpha", "beta", "gamma"], np.array([1, 7, 300])
+    word, pair = np.zeros(3, lm_score._WORD), np.zeros(3, lm_score._PAIR)
+    word["hash"], word["size"], pair["word"], pair["train"] = np.arange(3), [len(w) for w in words], np.arange(3), times
+    index = list(lm_score._index([(0, 0, word.tobytes(), pair.tobytes(), "".join(words).encode(), np.int64(0).tobytes())], 1))
+    tables = _counts_of(index)
+    size = 8 * int(((word["size"] + 1) * times).sum())
+    assert [int(tables[a:b].sum()) for a, b in zip(lm_score._FIRST[:-1], lm_score._FIRST[1:])] == [size] * 5
+    (part,) = lm_score._parts(iter(index))
+    spelling, lookup = part.spelling(np.arange(3)), lm_score.Lookup(tables, own=True)
+    of = times[spelling.word]
+    for bit, slots in spelling.bits():
+        x, gate = lookup.of(bit, slots, of)
+        for column, s in zip(x, slots):
+            zero, one = np.maximum(tables[s, 0] - of * (1 - bit), 0), np.maximum(tables[s, 1] - of * bit, 0)
+            assert column == pytest.approx(np.log((one + 0.3) / (zero + 0.3)), abs=1e-5)
+        assert (gate == np.minimum(np.floor(np.log2(zero + one + 1)), lm_score.GATES - 1)).all()
+
+
+def test_lm_parts_grow_with_the_texts(spark, monkeypatch):
+    """Words are dealt to as many parts as their bytes ask for, at any width of the shuffle; scores are of the same texts."""
+    seen, exchange = [], lm_score.exchange
+    monkeypatch.setattr(lm_score, "exchange", lambda packed, parts, *rest: seen.append(parts) or exchange(packed, parts, *rest))
+    monkeypatch.setattr(lm_score, "PART", 100)
+    rows = [(i, f"some words of text {i % 7} and w{i}") for i in range(60)]
+    got = lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_tokens").collect()
+    assert seen[0] == -(-sum(len(t) for _, t in rows) // 100) > 10
+    assert sorted(map(tuple, got)) == [(i, len(t.split()) + 1) for i, t in rows]
